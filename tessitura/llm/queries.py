@@ -7,6 +7,8 @@ from importlib import import_module
 #: query name: (module, function, name of its SQL or None)
 _TABLE = {
     "op9_quality_rules": ("quality", "op9_quality_rules", "OP9_SQL"),
+    "op10_decontaminate": ("decontaminate", "op10_decontaminate", "OP10_SQL"),
+    "op5_minimax_shards": ("sharding", "op5_minimax_shards", None),
 }
 
 
