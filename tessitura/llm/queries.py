@@ -8,6 +8,7 @@ from importlib import import_module
 _TABLE = {
     "op9_quality_rules": ("quality", "op9_quality_rules", "OP9_SQL"),
     "op10_decontaminate": ("decontaminate", "op10_decontaminate", "OP10_SQL"),
+    "op7_sentencepiece": ("pieces", "op7_sentencepiece", None),
     "op5_minimax_shards": ("sharding", "op5_minimax_shards", None),
 }
 

@@ -34,7 +34,7 @@ from .common import cut, free_name
 
 SHARDS = 16
 _STEP = 3  # hex digits by which a prefix is opened
-_SLOT_ROWS = 50_000
+_SLOT_ROWS = 10_000
 
 
 @dataclass(frozen=True)
@@ -161,7 +161,7 @@ def shard(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shards
         place = place + (F.col(digest) >= F.lit(s)).cast("int")
     buckets = max(1, -(-n_rows // (shards * _SLOT_ROWS)))
     placed = rows.withColumn(n_shard, place).withColumn(bucket, F.pmod(F.xxhash64(id_column, digest), F.lit(buckets)))
-    # shards x buckets rows: about a row for each 50,000 documents.
+    # shards x buckets rows: about a row for each 10,000 documents.
     counts = placed.groupBy(n_shard, bucket).agg(F.count("*").alias("n"))
     offsets = counts.select(n_shard, bucket, (F.sum("n").over(W.partitionBy(n_shard).orderBy(bucket)) - F.col("n")).alias(offset))
     number = F.row_number().over(W.partitionBy(n_shard, bucket).orderBy(id_column, digest))
