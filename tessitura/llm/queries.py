@@ -9,6 +9,8 @@ _TABLE = {
     "op9_quality_rules": ("quality", "op9_quality_rules", "OP9_SQL"),
     "op10_decontaminate": ("decontaminate", "op10_decontaminate", "OP10_SQL"),
     "op7_sentencepiece": ("pieces", "op7_sentencepiece", None),
+    "op6_simhash": ("simhash", "op6_simhash", None),
+    "op4_warc": ("warc", "op4_warc", "OP4_SQL"),
     "op5_minimax_shards": ("sharding", "op5_minimax_shards", None),
 }
 
