@@ -11,6 +11,7 @@ _TABLE = {
     "op7_sentencepiece": ("pieces", "op7_sentencepiece", None),
     "op6_simhash": ("simhash", "op6_simhash", None),
     "op4_warc": ("warc", "op4_warc", "OP4_SQL"),
+    "op3_line_dedup": ("line_dedup", "op3_line_dedup", None),
     "op5_minimax_shards": ("sharding", "op5_minimax_shards", None),
 }
 
