@@ -12,6 +12,7 @@ _TABLE = {
     "op6_simhash": ("simhash", "op6_simhash", None),
     "op4_warc": ("warc", "op4_warc", "OP4_SQL"),
     "op3_line_dedup": ("line_dedup", "op3_line_dedup", None),
+    "op1_surrogates": ("surrogates", "op1_surrogates", None),
     "op5_minimax_shards": ("sharding", "op5_minimax_shards", None),
 }
 
