@@ -49,8 +49,13 @@ PATTERNS = {
     "person": rf"{_B}{_FORM} {_NAME}(?: {_NAME})?",
 }
 _PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: Texts without any of these hold no entity; far cheaper to look for.
-_HINT = rf"@|\d\d|\d\.\d|[0-9A-Fa-f]{{32}}|{_FORM} \p{{Lu}}"
+_LATIN_FORMS = "|".join(x for x in (*MALE_FORMS, *FEMALE_FORMS) if x.isascii() or x.startswith("S"))
+
+
+def _may_hold(text: Column) -> Column:
+    """False only for texts without entities; far cheaper than the patterns."""
+    return text.contains("@") | text.rlike(r"\d\d|\d\.\d") | text.rlike("[0-9A-Fa-f]{32}") | text.contains("г-") | text.contains("господин") | text.contains("госпожа") | text.rlike(rf"\b(?:{_LATIN_FORMS})\.? \p{{Lu}}")
+
 
 #: Given names for surrogates, by script and gender.
 GIVEN = {
@@ -181,6 +186,7 @@ def render(kind: Column, entity: Column, surrogate: Column) -> Column:
         number = lambda i: F.length(F.regexp_replace(F.substr(entity, F.lit(1), i + 1), member, ""))
         return F.array_join(F.transform(chars, lambda c, i: F.when(~F.regexp_replace(c, member, "").eqNullSafe(""), F.substr(target, number(i), F.lit(1))).otherwise(c)), "")
 
+    secret = F.when(entity == F.upper(entity), F.upper(surrogate)).otherwise(surrogate)
     cased = F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.when(c.between("A", "Z"), F.upper(F.substr(surrogate, i + 1, F.lit(1)))).otherwise(F.substr(surrogate, i + 1, F.lit(1)))), "")
     form = F.regexp_extract(entity, rf"^({_FORM}) ", 1)
     name = F.regexp_replace(entity, rf"^{_FORM} ", "")
@@ -190,14 +196,14 @@ def render(kind: Column, entity: Column, surrogate: Column) -> Column:
         F.when(kind.isin("phone", "card", "ssn"), spelled(F.regexp_replace(surrogate, _LET_DIGIT, ""), _LET_DIGIT))
         .when(kind == "iban", spelled(surrogate, " "))
         .when(kind == "person", person)
-        .when(kind.isin("email", "secret"), cased)
+        .when(kind == "email", cased)
+        .when(kind == "secret", secret)
         .otherwise(surrogate)
     )
 
 
 def _entities(text: Column) -> Column:
-    found = F.regexp_extract_all(text, F.lit(_PATTERN), F.lit(0))
-    return F.when(text.rlike(_HINT), found).otherwise(F.array().cast("array<string>"))
+    return F.regexp_extract_all(text, F.lit(_PATTERN), F.lit(0))
 
 
 def _typed(entities: Column) -> Column:
@@ -227,7 +233,7 @@ def replace(docs: DataFrame, key: str, text: str = "text", into: str = "entities
     taken = [*docs.columns, into]
     own = F.col(f"`{text}`")
     n_map, n_h1, n_h2, n_found = (free_name(taken, x) for x in ("draws", "h1", "h2", "found"))
-    found = docs.where(own.rlike(_HINT)).select(F.xxhash64(own).alias("h1"), F.xxhash64(F.lit(1), own).alias("h2"), F.explode(_typed(_entities(own))).alias("e")).select("h1", "h2", "e.kind", "e.canon")
+    found = docs.where(_may_hold(own)).select(F.xxhash64(own).alias("h1"), F.xxhash64(F.lit(1), own).alias("h2"), F.explode(_typed(_entities(own))).alias("e")).select("h1", "h2", "e.kind", "e.canon")
     found = cut(found.distinct())
     later = assigned(found.select("kind", "canon").distinct(), key).where("turn > 0")
     if later.isEmpty():
@@ -243,7 +249,7 @@ def replace(docs: DataFrame, key: str, text: str = "text", into: str = "entities
     entities = F.col(n_found)
     swapped = F.array_join(F.zip_with(F.split(own, _PATTERN), F.transform(entities, surrogate), lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
     return (
-        mapped.withColumn(n_found, F.when(own.isNull(), F.array().cast("array<struct<kind:string,canon:string,entity:string>>")).otherwise(_typed(_entities(own))))
+        mapped.withColumn(n_found, F.when(_may_hold(own), _typed(_entities(own))).otherwise(F.array().cast("array<struct<kind:string,canon:string,entity:string>>")))
         .withColumn(into, F.transform(entities, lambda e: e["kind"]))
         .withColumn(text, F.when(F.size(entities) == 0, own).otherwise(swapped))
         .select(*[F.col(f"`{c}`") for c in docs.columns], into)
