@@ -13,6 +13,7 @@ _TABLE = {
     "op4_warc": ("warc", "op4_warc", "OP4_SQL"),
     "op3_line_dedup": ("line_dedup", "op3_line_dedup", None),
     "op1_surrogates": ("surrogates", "op1_surrogates", None),
+    "op8_main_text": ("wrappers", "op8_main_text", None),
     "op5_minimax_shards": ("sharding", "op5_minimax_shards", None),
 }
 
