@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def free_name(taken, base: str) -> str:
@@ -36,3 +37,24 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """``df`` kept in the shared folder, its lineage cut; survives the loss of executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager)
+
+
+_MAP_BITS = 4096 * 8
+
+
+def likely(rows: DataFrame, key, keys: DataFrame, bits: int = 26) -> DataFrame:
+    """The ``rows`` whose ``key`` (a long) is among ``keys`` (one long column), and by chance some others.
+
+    The keys become a bitmap of 2**bits bits, so what is broadcast is at most
+    2**bits / 8 bytes whatever their number; a full bitmap lets all rows pass.
+    Null keys do not pass."""
+    slot = F.pmod(F.col(keys.columns[0]), F.lit(1 << bits))
+    maps = keys.select(F.floor(slot / _MAP_BITS).alias("bitmap_no"), (slot % _MAP_BITS).alias("at")).groupBy("bitmap_no").agg(F.expr("bitmap_construct_agg(at)").alias("bitmap"))
+    own, number, bitmap = (free_name(rows.columns, x) for x in ("slot", "bitmap_no", "bitmap"))
+    slotted = rows.withColumn(own, F.pmod(key, F.lit(1 << bits))).withColumn(number, F.floor(F.col(own) / _MAP_BITS))
+    if number != "bitmap_no" or bitmap != "bitmap":
+        maps = maps.withColumnsRenamed({"bitmap_no": number, "bitmap": bitmap})
+    at = F.col(own) % _MAP_BITS
+    byte = F.conv(F.hex(F.substring(F.col(bitmap), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.floor(byte / F.pow(F.lit(2), at % 8)).cast("int") % 2 == 1
+    return slotted.join(F.broadcast(maps), number).where(bit).select([F.col(f"`{c}`") for c in rows.columns])

@@ -19,7 +19,6 @@ all reported; other columns pass through.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from itertools import repeat
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free_name
+from .common import cut, free_name, likely
 
 THRESHOLD, MIN_CHARS, FUZZY_CHARS = 2, 20, 48
 _BUCKET_BYTES = 16 << 20  # of text, for each bucket
@@ -216,7 +216,10 @@ def repeated(docs: DataFrame, id_column: str = "doc_id", text: str = "text", thr
         # Only lines in some group are fetched, from where they first stand.
         wanted = members.select(F.col("key").alias("k1")).distinct().join(distinct, "k1").groupBy("first.id", "first.mark").agg(F.collect_set("first.no").alias("nos"))
         parts = F.split("text", "\n")
-        found = texts.withColumn("mark", F.xxhash64("text")).join(wanted.hint("shuffle_hash"), ["id", "mark"]).select(F.explode(F.transform("nos", lambda i: F.get(parts, i))).alias("line")).where("line is not null").distinct()
+        place_key = F.xxhash64("id", "mark")
+        wanted = cut(wanted)
+        holders = likely(texts.withColumn("mark", F.xxhash64("text")), place_key, wanted.select(place_key))
+        found = holders.join(wanted.hint("shuffle_hash"), ["id", "mark"]).select(F.explode(F.transform("nos", lambda i: F.get(parts, i))).alias("line")).where("line is not null").distinct()
         found = found.select(*_keys(F.col("line")), "line")
         grouped = members.withColumnRenamed("key", "k1").join(found, "k1").select("grp", "k1", "k2", "line")
         near = grouped.repartition("grp").sortWithinPartitions("grp").mapInArrow(_verified(threshold), "a1 bigint, a2 bigint, b1 bigint, b2 bigint").distinct()

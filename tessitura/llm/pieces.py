@@ -152,6 +152,7 @@ class Encoder:
     def __init__(self, path: str):
         self.vocabulary = MergeVocabulary(path)
         self.memory = _Memory(self.vocabulary)
+        self.numerals = list(map(str, range(self.vocabulary.library.get_piece_size())))
 
     def _sections(self, text: str):
         """Normalised text in sections that begin at words."""
@@ -180,6 +181,10 @@ class Encoder:
             out = [self.encode(x) for x in texts]  # with the library's ids
         return out
 
+    def decimal(self, ids: list[int]) -> bytes:
+        """Decimal ids joined by commas."""
+        return ",".join(map(self.numerals.__getitem__, ids)).encode()
+
     def decode_batch(self, ids) -> list[str]:
         return self.vocabulary.library.decode([x or [] for x in ids], num_threads=1)
 
@@ -218,19 +223,28 @@ def decode(docs: DataFrame, model: str, ids: str = "ids", into: str = "decoded")
     return docs.withColumn(into, run(F.col(f"`{ids}`")))
 
 
-def digests(docs: DataFrame, model: str, text: str = "text", into: str = "pieces") -> DataFrame:
-    """``docs`` with a struct of n_tokens, ids_sha256 and decoded_sha256; ids and decoded texts stay in the Arrow batch."""
-    kind = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+def encode_and_decode(docs: DataFrame, model: str, text: str = "text", into: str = "pieces", keep_ids: bool = True) -> DataFrame:
+    """``docs`` with a struct of n_tokens, ids (if kept), ids_sha256 (decimal ids joined by commas) and decoded_sha256.
+
+    Ids are decoded where they are made, so decoded texts stay in the Arrow batch."""
+    if into in docs.columns:
+        raise ValueError(f"the table already has a column {into!r}; name another")
+    fields = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("ids", pa.list_(pa.int32()))] * keep_ids
 
-    @F.arrow_udf("struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>")
+    @F.arrow_udf("struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string" + ",ids:array<int>" * keep_ids + ">")
     def run(texts: pa.Array) -> pa.Array:
-        own, rows = encoder(model), []
+        own, columns = encoder(model), [[] for _ in fields]
         for at in range(0, len(texts), 64):
             lists = own.encode_batch(texts[at : at + 64].to_pylist())
             for ids, back in zip(lists, own.decode_batch(lists), strict=True):
-                joined = ",".join(map(str, ids)).encode()
-                rows.append({"n_tokens": len(ids), "ids_sha256": hashlib.sha256(joined).hexdigest(), "decoded_sha256": hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest()})
-        return pa.array(rows, kind)
+                columns[0].append(len(ids))
+                columns[1].append(hashlib.sha256(own.decimal(ids)).hexdigest())
+                columns[2].append(hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest())
+            if keep_ids:
+                columns[3].append(pa.array(lists, pa.list_(pa.int32())))
+        if keep_ids:
+            columns[3] = pa.concat_arrays(columns[3]) if columns[3] else []
+        return pa.StructArray.from_arrays([pa.array(c, kind) if isinstance(c, list) else c for c, (_, kind) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
     return docs.withColumn(into, run(F.col(f"`{text}`")))
 
@@ -244,4 +258,4 @@ def default_model() -> str:
 def op7_sentencepiece(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     p = F.col("pieces")
-    return digests(docs, default_model()).select("doc_id", p["n_tokens"].alias("n_tokens"), p["ids_sha256"].alias("ids_sha256"), p["decoded_sha256"].alias("decoded_sha256"))
+    return encode_and_decode(docs, default_model(), keep_ids=False).select("doc_id", p["n_tokens"].alias("n_tokens"), p["ids_sha256"].alias("ids_sha256"), p["decoded_sha256"].alias("decoded_sha256"))

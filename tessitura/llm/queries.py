@@ -14,6 +14,7 @@ _TABLE = {
     "op3_line_dedup": ("line_dedup", "op3_line_dedup", None),
     "op1_surrogates": ("surrogates", "op1_surrogates", None),
     "op8_main_text": ("wrappers", "op8_main_text", None),
+    "op2_substrings": ("substrings", "op2_substrings", None),
     "op5_minimax_shards": ("sharding", "op5_minimax_shards", None),
 }
 
