@@ -3,17 +3,67 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from tessitura.llm.common import new_folder
+from tessitura.llm.decontaminate import decontaminate
+from tessitura.llm.line_dedup import drop_repeated_lines
+from tessitura.llm.pieces import default_model, encode_and_decode
 from tessitura.llm.quality import keep_good
+from tessitura.llm.simhash import drop_near_duplicates
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    """n_chars as the text now is."""
+    return docs.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long"))
 
 
 def quality_rules(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that break a quality rule go."""
     return keep_good(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def line_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that stand earlier go; every document stays, if need be with an empty text."""
+    return _measured(drop_repeated_lines(docs))
+
+
+def simhash_near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: the one with the smallest id."""
+    return drop_near_duplicates(docs)
+
+
+def benchmark_decontamination(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words that occur in benchmark windows go; the documents stay."""
+    return _measured(decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def sentencepiece(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts become ids, which are decoded to check them; null texts have none."""
+    p = F.col("pieces")
+    encoded = encode_and_decode(docs, default_model())
+    return encoded.select("doc_id", "lang", "source", p["n_tokens"].alias("n_tokens"), p["ids"].alias("ids"), p["decoded_sha256"].alias("decoded_sha256"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("sentencepiece", sentencepiece),
+]
+
+#: Near-duplicates, edit distances and pieces are beyond SQL; tests/llm/test_pipeline.py holds the rows against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages on ``documents``; each but the last is written under the shared folder and read again."""
+    folder = new_folder(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.parquet(f"{folder}/{k}-{name}")
+            docs = spark.read.parquet(f"{folder}/{k}-{name}")
+    return docs
