@@ -152,12 +152,12 @@ def redistribute(notes: DataFrame, key: list[str], order: list[str], start: str,
     w, whole = _window(key, order), W.partitionBy(*key)
     length = F.col(end) - F.col(start)
     deficit, excess = F.greatest(F.lit(target) - length, F.lit(0.0)), F.greatest(length - F.lit(target), F.lit(0.0))
-    d = notes.withColumns({"_l": length, "_d": deficit, "_x": excess}).withColumns({"_D": F.sum("_d").over(whole), "_X": F.sum("_x").over(whole), "_a": F.min(start).over(whole)})
-    gain = F.least("_D", "_X")
-    new = F.when((F.col("_D") > 0) & (F.col("_X") > 0), F.col("_l") + F.col("_d") / F.col("_D") * gain - F.col("_x") / F.col("_X") * gain).otherwise(F.col("_l"))
+    d = notes.withColumns({"_l": length, "_d": deficit, "_x": excess}).withColumns({"_all_d": F.sum("_d").over(whole), "_all_x": F.sum("_x").over(whole), "_a": F.min(start).over(whole)})
+    gain = F.least("_all_d", "_all_x")
+    new = F.when((F.col("_all_d") > 0) & (F.col("_all_x") > 0), F.col("_l") + F.col("_d") / F.col("_all_d") * gain - F.col("_x") / F.col("_all_x") * gain).otherwise(F.col("_l"))
     up = w.rowsBetween(W.unboundedPreceding, W.currentRow)
     d = d.withColumn("_n", new).withColumns({"_e": F.col("_a") + F.sum("_l").over(up), "_p": F.col("_a") + F.sum("_n").over(up)})
     shift = F.max(F.abs(F.col("_p") - F.col("_e"))).over(whole)
     factor = F.when(shift > 0, F.least(F.lit(1.0), F.lit(most) / shift)).otherwise(F.lit(1.0))
     d = d.withColumn("new_end", F.col("_e") + factor * (F.col("_p") - F.col("_e")))
-    return d.withColumn("new_start", F.coalesce(F.lag("new_end").over(w), F.col("_a"))).drop("_l", "_d", "_x", "_D", "_X", "_a", "_n", "_e", "_p")
+    return d.withColumn("new_start", F.coalesce(F.lag("new_end").over(w), F.col("_a"))).drop("_l", "_d", "_x", "_all_d", "_all_x", "_a", "_n", "_e", "_p")

@@ -34,7 +34,8 @@ def caption_candidates(items: DataFrame, captions: DataFrame, key: list[str], mo
     items: key, item, text; captions: key, ord, start, text. Both sides meet on the key."""
     w = W.partitionBy(*key).orderBy("start", "ord")
     ahead = [F.col("text"), *(F.lead("text", k).over(w) for k in (1, 2))]
-    grams = captions.select(*key, "ord", "start", F.explode(F.array(*[F.when(ahead[k].isNotNull(), F.struct(F.lit(k + 1).alias("n"), F.concat_ws(" ", *ahead[: k + 1]).alias("gram"))) for k in range(3)])).alias("g")).where("g is not null")
+    options = [F.when(ahead[k].isNotNull(), F.struct(F.lit(k + 1).alias("n"), F.concat_ws(" ", *ahead[: k + 1]).alias("gram"))) for k in range(3)]
+    grams = captions.withColumn("g", F.array_compact(F.array(*options))).select(*key, "ord", "start", F.explode("g").alias("g"))
     scored = items.join(grams.select(*key, "ord", "start", "g.n", "g.gram"), key).withColumn("score", indel_ratio(F.lower("text"), F.lower("gram")))
     best = W.partitionBy(*key, "item").orderBy(F.desc("score"), "start", "ord", "n")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most)
