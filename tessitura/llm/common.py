@@ -42,9 +42,10 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
 _MAP_BITS = 4096 * 8
 
 
-def likely(rows: DataFrame, key, keys: DataFrame, bits: int = 26) -> DataFrame:
+def likely(rows: DataFrame, key, keys: DataFrame, bits: int = 26, flag: str | None = None) -> DataFrame:
     """The ``rows`` whose ``key`` (a long) is among ``keys`` (one long column), and by chance some others.
 
+    With ``flag``: all rows, those marked true in that column.
     The keys become a bitmap of 2**bits bits, so what is broadcast is at most
     2**bits / 8 bytes whatever their number; a full bitmap lets all rows pass.
     Null keys do not pass."""
@@ -57,4 +58,6 @@ def likely(rows: DataFrame, key, keys: DataFrame, bits: int = 26) -> DataFrame:
     at = F.col(own) % _MAP_BITS
     byte = F.conv(F.hex(F.substring(F.col(bitmap), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     bit = F.floor(byte / F.pow(F.lit(2), at % 8)).cast("int") % 2 == 1
-    return slotted.join(F.broadcast(maps), number).where(bit).select([F.col(f"`{c}`") for c in rows.columns])
+    found = slotted.join(F.broadcast(maps), number, "left" if flag else "inner")
+    own_columns = [F.col(f"`{c}`") for c in rows.columns]
+    return found.select(*own_columns, F.coalesce(bit, F.lit(False)).alias(flag)) if flag else found.where(bit).select(own_columns)

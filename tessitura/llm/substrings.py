@@ -29,15 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, likely
 
 LENGTH = 50
 _GRAM = 8
 _BUCKET_BYTES = 4 << 20  # of text, for each bucket
-_HOT_BYTES = 64 << 20  # of packed runs
+_HOT_BYTES = 64 << 20  # of runs
 _SLICE = 2 << 20
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
-_PACKED = pa.schema([("bucket", pa.int64()), ("n_bytes", pa.int64()), ("runs", pa.binary())])
+_PACKED = pa.schema([("bucket", pa.int64()), ("runs", pa.binary())])
+_SIZES = pa.schema([("bucket", pa.int64()), ("n_bytes", pa.int64())])
 
 
 def _loads(data: np.ndarray) -> np.ndarray:
@@ -73,8 +74,8 @@ def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.cumsum(out)
 
 
-def _runs(ids, keys, texts: list[bytes], bases, length: int, buckets: int):
-    """Runs by bucket for some texts, or pieces of texts that begin at ``bases``."""
+def _runs(ids, keys, texts: list[bytes], bases, length: int, buckets: int, sizes_only: bool = False):
+    """Runs by bucket for some texts, or pieces of texts that begin at ``bases``; or only (bucket, bytes)."""
     sizes = np.array([len(t) for t in texts], np.int64)
     data = np.frombuffer(b"".join(texts) + bytes(8), np.uint8)
     ends = np.cumsum(sizes)
@@ -93,6 +94,10 @@ def _runs(ids, keys, texts: list[bytes], bases, length: int, buckets: int):
     if not len(starts):
         return
     bucket = (_mix(smallest[starts], _ODD[1]) % np.uint64(buckets)).astype(np.int64)
+    if sizes_only:
+        found, place = np.unique(bucket, return_inverse=True)
+        yield from zip(found.tolist(), np.bincount(place, counts + (length - 1)).astype(np.int64).tolist(), strict=True)
+        return
     order = np.argsort(bucket, kind="stable")
     starts, counts, bucket = starts[order], counts[order], bucket[order]
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
@@ -103,11 +108,14 @@ def _runs(ids, keys, texts: list[bytes], bases, length: int, buckets: int):
 
 
 def _pack(ids, keys, places, counts, raw) -> bytes:
+    """Runs (those of one document side by side) as bytes: a table of documents, and differences of places."""
     import zstandard
 
-    head = np.array([len(ids), len(raw)], "<i8").tobytes()
-    body = ids.astype("<i8").tobytes() + keys.astype("<i8").tobytes() + places.astype("<i8").tobytes() + counts.astype("<i4").tobytes() + raw.tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + body)
+    first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])]))
+    runs = np.diff(np.append(first, len(ids)))
+    head = np.array([len(first), len(ids)], "<i8").tobytes()
+    columns = [np.diff(ids[first], prepend=0).astype("<i8"), keys[first].astype("<i8"), np.diff(places, prepend=0).astype("<i8"), runs.astype("<i4"), counts.astype("<i4"), raw]
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(c.tobytes() for c in columns))
 
 
 def _unpack(blobs):
@@ -117,9 +125,14 @@ def _unpack(blobs):
     unpack = zstandard.ZstdDecompressor()
     parts = []
     for blob in blobs:
-        body = unpack.decompress(blob)
-        n, _ = np.frombuffer(body, "<i8", 2)
-        parts.append([np.frombuffer(body, "<i8", n, 16 + 8 * n * k) for k in range(3)] + [np.frombuffer(body, "<i4", n, 16 + 24 * n).astype(np.int64), np.frombuffer(body, np.uint8, offset=16 + 28 * n)])
+        body, at = unpack.decompress(blob), 16
+        docs, n = np.frombuffer(body, "<i8", 2)
+        columns = []
+        for kind, size in (("<i8", docs), ("<i8", docs), ("<i8", n), ("<i4", docs), ("<i4", n)):
+            columns.append(np.frombuffer(body, kind, size, at))
+            at += columns[-1].nbytes
+        ids, keys, places, runs, counts = columns
+        parts.append([np.repeat(np.cumsum(ids), runs), np.repeat(keys, runs), np.cumsum(places), counts.astype(np.int64), np.frombuffer(body, np.uint8, offset=at)])
     return [np.concatenate(x) for x in zip(*parts, strict=True)]
 
 
@@ -180,26 +193,40 @@ def _spans(keys: np.ndarray, places: np.ndarray, length: int):
     return keys[starts], places[starts], places[last] + length
 
 
+def _slices(batches, length: int):
+    """Lists of (id, key, bytes, base) of about ``_SLICE`` bytes; a long text goes in pieces, each string in one of them."""
+    held: list[tuple] = []
+    size = 0
+    for batch in batches:
+        for i, k, text in zip(*batch.columns, strict=True):
+            i, k, text = i.as_py(), k.as_py(), text.as_py()
+            for base in range(0, max(len(text) - length + 1, 0), _SLICE):
+                piece = text[base : base + _SLICE + length - 1]
+                held.append((i, k, piece, base))
+                size += len(piece)
+                if size >= _SLICE:
+                    yield held
+                    held, size = [], 0
+    if held:
+        yield held
+
+
 def _packer(length: int, buckets: int):
     def run(batches):
-        for batch in batches:
-            held: list[tuple] = []
-            size = 0
-            for i, k, text in zip(*batch.columns, strict=True):
-                i, k, text = i.as_py(), k.as_py(), text.as_py()
-                for base in range(0, max(len(text) - length + 1, 0), _SLICE):  # a long text in pieces, each string in one
-                    piece = text[base : base + _SLICE + length - 1]
-                    held.append((i, k, piece, base))
-                    size += len(piece)
-                    if size >= _SLICE:
-                        yield from made(held)
-                        held, size = [], 0
-            yield from made(held)
-
-    def made(held):
-        rows = [(b, len(x[-1]), _pack(*x)) for b, *x in _runs(*zip(*held, strict=True), length, buckets)] if held else []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], schema=_PACKED)
+        for held in _slices(batches, length):
+            rows = [(b, _pack(*x)) for b, *x in _runs(*zip(*held, strict=True), length, buckets)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], schema=_PACKED)
+
+    return run
+
+
+def _measure(length: int, buckets: int):
+    def run(batches):
+        for held in _slices(batches, length):
+            rows = list(_runs(*zip(*held, strict=True), length, buckets, sizes_only=True))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], schema=_SIZES)
 
     return run
 
@@ -252,9 +279,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, buckets: int | None =
     if buckets is None:
         total = docs.agg(F.sum(F.octet_length("raw"))).head()[0] or 0
         buckets = max(8, -(-total // _BUCKET_BYTES))
-    packed = docs.select("id", "key", "raw").mapInArrow(_packer(length, buckets), "bucket bigint, n_bytes bigint, runs binary")
-    packed = cut(packed)
-    hot = [r["bucket"] for r in packed.groupBy("bucket").agg(F.sum("n_bytes").alias("n")).where(F.col("n") > hot_bytes).select("bucket").collect()]
+    plain = docs.select("id", "key", "raw")
+    # Bytes by bucket are counted first: packed runs are large, so they are made where they are dealt, and not kept.
+    sizes = plain.mapInArrow(_measure(length, buckets), "bucket bigint, n_bytes bigint").groupBy("bucket").agg(F.sum("n_bytes").alias("n"))
+    hot = [r["bucket"] for r in sizes.where(F.col("n") > hot_bytes).select("bucket").collect()]
+    packed = plain.mapInArrow(_packer(length, buckets), "bucket bigint, runs binary")
     spans = packed.where(~F.col("bucket").isin(hot)).groupBy("bucket").applyInArrow(_of_bucket(length), "key bigint, begin bigint, end bigint")
     if hot:
         rows = packed.where(F.col("bucket").isin(hot)).select("runs").mapInArrow(_string_rows(length), "f1 bigint, f2 bigint, id bigint, key bigint, place bigint")
@@ -294,8 +323,12 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
             out.append({"n_bytes": len(r), "spans": [{"begin": x, "end": y} for x, y in merged], "kept": kept})
         return pa.array(out, kind)
 
-    joined = rows.join(spans, "key", "left")
-    return joined.withColumn("x", apply("raw", "begins", "ends")).select(F.col("id").alias(id_column), "x.n_bytes", "x.spans", "x.kept")
+    # Documents that surely lose nothing are not dealt.
+    marked = likely(rows, F.col("key"), spans.select("key"), flag="marked")
+    applied = marked.where("marked").join(spans, "key", "left").withColumn("x", apply("raw", "begins", "ends")).select("id", "x.n_bytes", "x.spans", "x.kept")
+    none = F.array().cast("array<struct<begin:bigint,end:bigint>>")
+    whole = marked.where("not marked").select("id", F.octet_length("raw").cast("long").alias("n_bytes"), none.alias("spans"), F.col("raw").alias("kept"))
+    return applied.unionByName(whole).withColumnRenamed("id", id_column)
 
 
 def op2_substrings(spark, sf_dir: str) -> DataFrame:
