@@ -45,7 +45,7 @@ def captions(files: DataFrame, mode: str = "lenient", key: str = "path") -> Data
         milliseconds(F.regexp_extract(times, rf"-->\s*{_TIME}", 1)).alias("end_ms"),
         F.when(F.col("at") >= 0, raw).alias("raw"), numbered.alias("numbered"),
     ).withColumn("text", clean_markup(F.col("raw")))
-    by_key, by_idx, by_time = W.partitionBy(key), W.partitionBy(key, "idx"), W.partitionBy(key).orderBy("start_ms", "ord")
+    by_idx, by_time = W.partitionBy(key, "idx"), W.partitionBy(key).orderBy("start_ms", "ord")
     shape = (F.size("lines") < 3) | ~F.col("numbered") if mode == "strict" else F.lit(False)
     problem = (
         F.when(shape | F.col("start_ms").isNull() | F.col("end_ms").isNull(), F.lit("no_valid_times"))
@@ -54,7 +54,6 @@ def captions(files: DataFrame, mode: str = "lenient", key: str = "path") -> Data
     )
     if mode == "strict":
         problem = F.coalesce(problem, F.when(F.col("start_ms") < F.lag("end_ms").over(by_time), F.lit("overlap")))
-    del by_key
     return parsed.withColumn("problem", problem).select(key, "idx", "ord", "start_ms", "end_ms", "raw", "text", (~F.coalesce(F.col("text").rlike(WORD), F.lit(False))).alias("is_empty"), "problem")
 
 
