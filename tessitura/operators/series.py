@@ -168,3 +168,24 @@ def difficulty(notes: DataFrame, key: list[str], pitch: str, start: str, end: st
     score = 0.85 * clip((F.col("peak") - BASE_PITCH) / (TOP_PITCH - BASE_PITCH)) + 0.15 * clip((F.col("kinds") - 1) / (PITCH_KINDS - 1))
     band = F.when(score >= 0.65, F.lit("advanced")).when(score >= 0.35, F.lit("intermediate")).otherwise(F.lit("beginner"))
     return got.select(*key, F.when(F.col("invalid") == 0, score).alias("score"), F.when(F.col("invalid") == 0, band).alias("band"))
+
+
+def harmonic_frames(frames: DataFrame, key: list[str], order: list[str], chroma: str = "chroma", energy: str = "rms", window: int = 9) -> DataFrame:
+    """``frames`` with chroma smoothed in time and scaled to a peak of one, and harmonic_confidence.
+
+    Confidence is how far the largest share exceeds an even one, times the energy between its 15th and 70th percentiles."""
+    w = W.partitionBy(*key).orderBy(*order)
+    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    half = window // 2
+    logged = frames.withColumn("_c", F.transform(F.col(chroma).cast("array<double>"), lambda x: F.log1p(10 * x)))
+    around = F.array(*[F.coalesce(F.lag("_c", -k).over(w), (F.first("_c") if k < 0 else F.last("_c")).over(whole)) for k in range(-half, half + 1)])
+    near = logged.withColumn("_near", around)
+    smoothed = near.withColumn("_c", F.transform(F.col("_c"), lambda x, i: F.get(F.array_sort(F.transform(F.col("_near"), lambda v: F.get(v, i))), F.lit(half))))
+    total, peak = F.aggregate("_c", F.lit(0.0), lambda a, x: a + x), F.array_max("_c")
+    share = F.when(total > 1e-12, peak / total).otherwise(0.0)
+    clip = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
+    low, high = (F.percentile(energy, F.lit(q)).over(W.partitionBy(*key)) for q in (0.15, 0.70))
+    loud = F.when(high - low <= 1e-12, (F.col(energy) > 0).cast("double")).otherwise(clip((F.col(energy) - low) / (high - low)))
+    confident = clip((share - 1 / 12) / (0.30 - 1 / 12)) * loud
+    scaled = F.transform("_c", lambda x: F.when(peak > 1e-12, x / peak).otherwise(0.0))
+    return smoothed.withColumns({"harmonic_confidence": confident, "_scaled": scaled}).withColumn(chroma, F.col("_scaled")).drop("_c", "_near", "_scaled")
