@@ -13,8 +13,8 @@ A bucket over ``_HOT_BYTES`` (one passage in a large share of all documents) is
 not gathered: its strings become rows whose smallest ids are combined by
 partial aggregation.
 
-README.md says why the strings of a bucket are not ordered by external
-induced sorting.
+Buckets are shards of the corpus, so Spark's shuffle is the store on disk, and
+a bucket is small enough to be sorted in memory.
 
 Null texts count as empty. Rows without an id keep everything and remove
 nothing; rows that share an id do not remove from each other; an empty table
@@ -30,11 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, likely
+from .induced import common_prefixes, suffix_order
 
 LENGTH = 50
 _GRAM = 8
-_BUCKET_BYTES = 4 << 20  # of text, for each bucket
-_HOT_BYTES = 64 << 20  # of runs
+_BUCKET_BYTES = 2 << 20  # of text, for each bucket; about three times that in runs
+_HOT_BYTES = 20 << 20  # of runs
 _SLICE = 2 << 20
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
 _PACKED = pa.schema([("bucket", pa.int64()), ("runs", pa.binary())])
@@ -114,7 +115,7 @@ def _pack(ids, keys, places, counts, raw) -> bytes:
     first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])]))
     runs = np.diff(np.append(first, len(ids)))
     head = np.array([len(first), len(ids)], "<i8").tobytes()
-    columns = [np.diff(ids[first], prepend=0).astype("<i8"), keys[first].astype("<i8"), np.diff(places, prepend=0).astype("<i8"), runs.astype("<i4"), counts.astype("<i4"), raw]
+    columns = [np.diff(ids[first], prepend=0).astype("<i8"), (keys[first] - ids[first]).astype("<i8"), np.diff(places, prepend=0).astype("<i8"), runs.astype("<i4"), counts.astype("<i4"), raw]
     return zstandard.ZstdCompressor(level=3).compress(head + b"".join(c.tobytes() for c in columns))
 
 
@@ -132,18 +133,16 @@ def _unpack(blobs):
             columns.append(np.frombuffer(body, kind, size, at))
             at += columns[-1].nbytes
         ids, keys, places, runs, counts = columns
-        parts.append([np.repeat(np.cumsum(ids), runs), np.repeat(keys, runs), np.cumsum(places), counts.astype(np.int64), np.frombuffer(body, np.uint8, offset=at)])
+        ids = np.cumsum(ids)
+        parts.append([np.repeat(ids, runs), np.repeat(keys + ids, runs), np.cumsum(places), counts.astype(np.int64), np.frombuffer(body, np.uint8, offset=at)])
     return [np.concatenate(x) for x in zip(*parts, strict=True)]
 
 
 def _strings(counts: np.ndarray, raw: np.ndarray, length: int):
-    """For each string of the runs: its run, its number in the run, and its bytes as overlapping loads."""
-    run = np.repeat(np.arange(len(counts)), counts)
-    first = np.cumsum(counts + (length - 1)) - (counts + (length - 1))
-    number = _spread(np.zeros(len(counts), np.int64), counts)
-    at = first[run] + number
+    """Where each string of the runs begins, and the bytes as overlapping loads."""
+    begins = np.cumsum(counts + (length - 1)) - (counts + (length - 1))
     loads = _loads(np.concatenate([raw, np.zeros(8, np.uint8)]))
-    return run, number, at, loads, [*range(0, length - 8, 8), length - 8]
+    return _spread(begins, counts), loads, [*range(0, length - 8, 8), length - 8]
 
 
 def _fingerprint(at, loads, offsets, seed: int) -> np.ndarray:
@@ -155,32 +154,34 @@ def _fingerprint(at, loads, offsets, seed: int) -> np.ndarray:
 
 
 def _covered(ids, counts, raw, length: int):
-    """Run and number of each string that also stands under a smaller id."""
-    run, number, at, loads, offsets = _strings(counts, raw, length)
-    prints = _fingerprint(at, loads, offsets, 1)
+    """Run and number of each string that also stands under a smaller id.
+
+    Fingerprints leave the runs that can hold a repeated string. Their
+    suffixes are ordered by induced sorting; neighbours that share ``length``
+    bytes are equal strings, and the smallest id of each group decides."""
+    prints = _fingerprint(*_strings(counts, raw, length), 1)
     order = np.argsort(prints)
-    ordered = prints[order]
-    same = ordered[1:] == ordered[:-1]
-    touched = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-    order = order[touched]
-    if not len(order):
-        return run[:0], number[:0]
-    spot, now = at[order], prints[order]
-    change = now[1:] != now[:-1]
-    differs = np.zeros(len(spot) - 1, bool)
-    for o in offsets:
-        differs |= loads[spot[1:] + o] != loads[spot[:-1] + o]
-    if (differs & ~change).any():  # different strings with one fingerprint: group by the bytes
-        whole = np.stack([loads[spot + o] for o in offsets], 1)
-        _, group = np.unique(whole, axis=0, return_inverse=True)
-        sub = np.argsort(group.reshape(-1), kind="stable")
-        order, group = order[sub], group.reshape(-1)[sub]
-        change = group[1:] != group[:-1]
-    starts = np.concatenate([[0], np.flatnonzero(change) + 1])
-    owner = ids[run[order]]
-    least = np.repeat(np.minimum.reduceat(owner, starts), np.diff(np.append(starts, len(order))))
-    late = order[owner > least]
-    return run[late], number[late]
+    prints = prints[order]
+    same = prints[1:] == prints[:-1]
+    repeated = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+    del prints, order, same
+    chosen = np.unique(np.searchsorted(np.cumsum(counts), repeated, "right"))
+    if not len(chosen):
+        return chosen, chosen
+    sizes = counts + (length - 1)
+    begins = np.cumsum(sizes) - sizes
+    data = raw[_spread(begins[chosen], sizes[chosen])]
+    base = np.cumsum(sizes[chosen]) - sizes[chosen]
+    own = np.full(len(data), -1, np.int64)  # the run of each place where a string starts
+    starts = _spread(base, counts[chosen])
+    own[starts] = np.repeat(np.arange(len(chosen)), counts[chosen])
+    suffixes = suffix_order(data)
+    suffixes = suffixes[own[suffixes] >= 0]
+    groups = np.concatenate([[0], np.flatnonzero(common_prefixes(data, suffixes, length) < length) + 1])
+    owner = ids[chosen[own[suffixes]]]
+    least = np.repeat(np.minimum.reduceat(owner, groups), np.diff(np.append(groups, len(suffixes))))
+    late = suffixes[owner > least]
+    return chosen[own[late]], late - base[own[late]]
 
 
 def _spans(keys: np.ndarray, places: np.ndarray, length: int):
@@ -253,9 +254,9 @@ def _string_rows(length: int):
         for batch in batches:
             for blob in batch.column(0).to_pylist():
                 ids, keys, places, counts, raw = _unpack([blob])
-                r, number, at, loads, offsets = _strings(counts, raw, length)
-                columns = [_fingerprint(at, loads, offsets, s).view(np.int64) for s in (1, 2)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, ids[r], keys[r], places[r] + number)], schema=kind)
+                strings = _strings(counts, raw, length)
+                columns = [_fingerprint(*strings, s).view(np.int64) for s in (1, 2)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, np.repeat(ids, counts), np.repeat(keys, counts), _spread(places, counts))], schema=kind)
 
     return run
 
@@ -311,7 +312,11 @@ def _kept(raw: bytes, begins, ends):
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = LENGTH, **how) -> DataFrame:
     """For each row: id, n_bytes, spans (maximal removed byte ranges) and kept (the remaining bytes)."""
     raw = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(F.col(f"`{id_column}`").alias("id"), raw.alias("raw")).withColumn("key", F.xxhash64("id", "raw"))
+    rows = docs.select(F.col(f"`{id_column}`").alias("id"), raw.alias("raw"))
+    # Where no id has two texts, the id tells a text; else its hash does, which no packing can shorten.
+    text_key = F.xxhash64("id", "raw")
+    shared = rows.where("id is not null").groupBy("id").agg(F.min(text_key).alias("a"), F.max(text_key).alias("b")).where("a <> b")
+    rows = rows.withColumn("key", F.col("id").cast("long") if shared.isEmpty() else text_key)
     spans = cut(repeated_spans(rows, length, **how).groupBy("key").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends")))
     kind = pa.struct([("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 

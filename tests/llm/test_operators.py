@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessitura.llm import components, decontaminate, line_dedup, pieces, quality, sharding, simhash, substrings, surrogates, warc, wrappers
+from tessitura.llm import components, decontaminate, induced, line_dedup, pieces, quality, sharding, simhash, substrings, surrogates, warc, wrappers
 from tessitura.llm.common import likely
 
 from . import fixtures
@@ -286,6 +286,8 @@ def test_substrings(spark, docs, hot_bytes, monkeypatch):
                 covered[i : i + 50] = b"\1" * 50
         want[d, len(raw), bytes(c for c, k in zip(raw, covered) if not k), len(re.findall(b"\1+", covered))] += 1
     assert Counter((r["doc_id"], r["n_bytes"], bytes(r["kept"]), len(r["spans"])) for r in got) == want
+    other = docs.where("doc_id is not null").union(docs.where("doc_id = 3").withColumn("text", F.lit(ROWS[1][1] + " and more")))
+    assert substrings.remove_repeats(other, buckets=5).where("doc_id = 3").select("n_bytes").distinct().count() == 2
     assert substrings.remove_repeats(fixtures.empty(spark)).count() == 0
 
 
@@ -310,7 +312,22 @@ def test_equal_fingerprints_are_compared(monkeypatch):
     monkeypatch.setattr(substrings, "_fingerprint", lambda at, loads, offsets, seed: np.zeros(len(at), np.uint64))
     a, b = b"a" * 50, b"b" * 50
     run, number = substrings._covered(np.array([1, 2, 3]), np.array([1, 1, 1]), np.frombuffer(a + b + a, np.uint8), 50)
-    assert run.tolist() == [2]
+    assert run.tolist() == [2] and number.tolist() == [0]
+
+
+def test_induced_sorting_against_plain_sorting():
+    r = np.random.default_rng(0)
+    for k in range(1500):
+        d = r.integers(97, 97 + int(r.integers(1, 5)), int(r.integers(1, 40)), dtype=np.uint8)
+        if k % 3 == 0:
+            d = np.concatenate([d, d, d[: len(d) // 2]])
+        if k % 7 == 0:
+            d = ((d - 97) * 85).astype(np.uint8)
+        b = bytes(d)
+        want = sorted(range(len(b)), key=lambda i: b[i:])
+        assert induced.suffix_order(d).tolist() == want
+        shared = [next((p for p in range(20) if max(x, y) + p >= len(b) or b[x + p] != b[y + p]), 20) for x, y in zip(want, want[1:])]
+        assert induced.common_prefixes(d, np.array(want), 20).tolist() == shared
 
 
 def test_likely(spark):
