@@ -163,7 +163,7 @@ def _scanner(shared, first: bool):
             rows.append({"n_words": len(ids), "n_hit": sum(e - b for b, e in runs), "items": sorted(found), "words": [{"begin": b, "end": e} for b, e in runs]})
         return pa.array(rows, _ARROW)
 
-    return scan
+    return scan.asNondeterministic()  # else a condition on the hits scans the texts once more
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", into: str = "hits", width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -26,6 +26,7 @@ each other's lines. Other columns pass through; an empty table stays empty.
 
 from __future__ import annotations
 
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -38,6 +39,7 @@ from .common import cut, free_name, likely
 THRESHOLD, MIN_CHARS, FUZZY_CHARS = 2, 20, 48
 _BUCKET_BYTES = 16 << 20  # of text, for each bucket
 _CHUNK = 128
+_ROWS, _SEEN = 2000, 200_000
 _ENTRY = np.dtype([("hash", "<u4"), ("line", "<u8")])
 
 
@@ -105,32 +107,34 @@ def _entries(threshold: int, least: int, buckets: int):
 
     def run(batches):
         seen: set[int] = set()
+        digest = xxhash.xxh64_intdigest
         for batch in batches:
-            hashes, lines = [], []
-            digest = xxhash.xxh64_intdigest
-            for text in batch.column(0).to_pylist():
-                for line in (text or "").split("\n"):
-                    if len(line) < least:
-                        continue
-                    key = digest(line, 42)
-                    if key in seen:
-                        continue
-                    seen.add(key)
-                    own = [digest(line[b:e], s) for s, b, e in places(len(line), threshold, least)]
-                    hashes += own
-                    lines += [key] * len(own)
-            if len(seen) > 500_000:
-                seen.clear()
-            if not hashes:
-                continue
-            all_hashes = np.array(hashes, np.uint64)
-            table = np.empty(len(hashes), _ENTRY)
-            table["hash"], table["line"] = all_hashes & np.uint64(0xFFFFFFFF), np.array(lines, np.uint64)
-            bucket = ((all_hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            table, bucket = table[order], bucket[order]
-            cuts = np.flatnonzero(np.diff(bucket)) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[np.concatenate([[0], cuts])]), pa.array([x.tobytes() for x in np.split(table, cuts)], pa.binary())], schema=kind)
+            for at in range(0, batch.num_rows, _ROWS):
+                hashes, lines = array("Q"), array("Q")
+                for text in batch.column(0).slice(at, _ROWS):
+                    for line in (text.as_py() or "").split("\n"):
+                        if len(line) < least:
+                            continue
+                        key = digest(line, 42)
+                        if key in seen:
+                            continue
+                        seen.add(key)
+                        own = [digest(line[b:e], s) for s, b, e in places(len(line), threshold, least)]
+                        hashes.extend(own)
+                        lines.extend([key] * len(own))
+                if len(seen) > _SEEN:
+                    seen.clear()
+                if hashes:
+                    yield packed(np.frombuffer(hashes, np.uint64), np.frombuffer(lines, np.uint64))
+
+    def packed(hashes, lines):
+        table = np.empty(len(hashes), _ENTRY)
+        table["hash"], table["line"] = hashes & np.uint64(0xFFFFFFFF), lines
+        bucket = ((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        table, bucket = table[order], bucket[order]
+        cuts = np.flatnonzero(np.diff(bucket)) + 1
+        return pa.RecordBatch.from_arrays([pa.array(bucket[np.concatenate([[0], cuts])]), pa.array([x.tobytes() for x in np.split(table, cuts)], pa.binary())], schema=kind)
 
     return run
 

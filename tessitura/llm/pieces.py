@@ -18,6 +18,7 @@ encoded independently, an empty table stays empty, other columns pass through.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from heapq import heapify, heappop, heappush
 from itertools import chain
@@ -27,8 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-_REMEMBERED = 400_000
+_REMEMBERED = 150_000
 _PART = 1 << 20
+_SHORT = 48
 _PIECES = "struct<n_tokens:bigint,ids:array<int>>"
 
 
@@ -66,7 +68,21 @@ class MergeVocabulary:
         """The ids of one part, by the agenda."""
         symbols = list(part)
         n, cost = len(symbols), self.cost
-        agenda = [(cost[p], i, i + 1, 2) for i in range(n - 1) if (p := symbols[i] + symbols[i + 1]) in cost]
+        if n <= _SHORT:
+            # A short agenda is a list: the cost of each pair, the best from the left.
+            get, none = cost.get, math.inf
+            agenda = [get(a + b, none) for a, b in zip(symbols, symbols[1:])]  # noqa: B905
+            while agenda and (best := min(agenda)) != none:
+                i = agenda.index(best)
+                symbols[i] += symbols[i + 1]
+                del symbols[i + 1], agenda[i]
+                if i:
+                    agenda[i - 1] = get(symbols[i - 1] + symbols[i], none)
+                if i < len(agenda):
+                    agenda[i] = get(symbols[i] + symbols[i + 1], none)
+            agenda = []
+        else:
+            agenda = [(cost[p], i, i + 1, 2) for i in range(n - 1) if (p := symbols[i] + symbols[i + 1]) in cost]
         if agenda:
             after, before = list(range(1, n + 1)), list(range(-1, n - 1))
             heapify(agenda)

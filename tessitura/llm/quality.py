@@ -162,12 +162,21 @@ def assess(docs: DataFrame, text: str = "text", into: str = "quality", rules=RUL
     )
 
 
+def passes(text: Column, rules=RULES) -> Column:
+    """Whether a text passes every rule; the metrics are evaluated once, also where the optimiser moves the condition."""
+
+    def judged(m: Column) -> Column:
+        ok = F.lit(True)
+        for r in (*BASE_RULES, *rules):
+            ok = ok & r.passes(m)
+        return ok
+
+    return _bind(metrics(text), judged)
+
+
 def keep_good(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """The rows of ``docs`` that pass every rule, with the columns of ``docs``."""
-    into = "quality"
-    while into in docs.columns:
-        into += "_"
-    return assess(docs, text, into, rules).where(F.col(into)["kept"]).select([F.col(f"`{c}`") for c in docs.columns])
+    return docs.where(passes(F.col(f"`{text}`"), rules))
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:

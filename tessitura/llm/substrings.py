@@ -153,35 +153,72 @@ def _fingerprint(at, loads, offsets, seed: int) -> np.ndarray:
     return out
 
 
+def _distinct(counts, raw, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each run the first run that is seen to have the same bytes, and the first runs."""
+    sizes = counts + (length - 1)
+    begins = np.cumsum(sizes) - sizes
+    loads = _loads(np.concatenate([raw, np.zeros(8, np.uint8)]))
+    offsets = [*range(0, length - 8, 8), length - 8]
+    prints = _fingerprint(begins, loads, offsets, 1) ^ _mix(_fingerprint(begins + counts - 1, loads, offsets, 2) + counts.astype(np.uint64), _ODD[4])
+    order = np.argsort(prints, kind="stable")
+    same = (prints[order][1:] == prints[order][:-1]) & (counts[order][1:] == counts[order][:-1])
+    active, k = np.flatnonzero(same), 0
+    while len(active):  # equal prints: compare the bytes, eight at a time, the last eight as they end
+        x, y = order[active], order[active + 1]
+        at = np.minimum(k, sizes[x] - 8)
+        equal = loads[begins[x] + at] == loads[begins[y] + at]
+        same[active[~equal]] = False
+        active = active[equal & (k < sizes[x] - 8)]
+        k += 8
+    group = np.concatenate([[0], np.cumsum(~same)])
+    heads = order[np.concatenate([[True], ~same])]
+    first = np.empty(len(counts), np.int64)
+    first[order] = group
+    return first, heads
+
+
 def _covered(ids, counts, raw, length: int):
     """Run and number of each string that also stands under a smaller id.
 
-    Fingerprints leave the runs that can hold a repeated string. Their
-    suffixes are ordered by induced sorting; neighbours that share ``length``
-    bytes are equal strings, and the smallest id of each group decides."""
-    prints = _fingerprint(*_strings(counts, raw, length), 1)
+    Equal runs are folded to one with the smallest of their ids. Fingerprints
+    leave the runs that share a string with another one; the suffixes of these
+    are ordered by induced sorting, neighbours that share ``length`` bytes are
+    equal strings, and the smallest id of each group decides."""
+    first, heads = _distinct(counts, raw, length)
+    least = np.full(len(heads), np.iinfo(np.int64).max)
+    np.minimum.at(least, first, ids)
+    sizes = counts + (length - 1)
+    begins = np.cumsum(sizes) - sizes
+    h_counts = counts[heads]
+    h_raw = raw[_spread(begins[heads], sizes[heads])]
+    h_base = np.cumsum(h_counts) - h_counts
+    lowest = np.repeat(least, h_counts)  # for each string of the folded runs
+    prints = _fingerprint(*_strings(h_counts, h_raw, length), 1)
     order = np.argsort(prints)
     prints = prints[order]
     same = prints[1:] == prints[:-1]
     repeated = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
     del prints, order, same
-    chosen = np.unique(np.searchsorted(np.cumsum(counts), repeated, "right"))
-    if not len(chosen):
-        return chosen, chosen
-    sizes = counts + (length - 1)
-    begins = np.cumsum(sizes) - sizes
-    data = raw[_spread(begins[chosen], sizes[chosen])]
-    base = np.cumsum(sizes[chosen]) - sizes[chosen]
-    own = np.full(len(data), -1, np.int64)  # the run of each place where a string starts
-    starts = _spread(base, counts[chosen])
-    own[starts] = np.repeat(np.arange(len(chosen)), counts[chosen])
-    suffixes = suffix_order(data)
-    suffixes = suffixes[own[suffixes] >= 0]
-    groups = np.concatenate([[0], np.flatnonzero(common_prefixes(data, suffixes, length) < length) + 1])
-    owner = ids[chosen[own[suffixes]]]
-    least = np.repeat(np.minimum.reduceat(owner, groups), np.diff(np.append(groups, len(suffixes))))
-    late = suffixes[owner > least]
-    return chosen[own[late]], late - base[own[late]]
+    chosen = np.unique(np.searchsorted(np.cumsum(h_counts), repeated, "right"))
+    if len(chosen):
+        h_sizes = h_counts + (length - 1)
+        h_begins = np.cumsum(h_sizes) - h_sizes
+        data = h_raw[_spread(h_begins[chosen], h_sizes[chosen])]
+        place = np.full(len(data), -1, np.int64)  # the string that starts here
+        place[_spread(np.cumsum(h_sizes[chosen]) - h_sizes[chosen], h_counts[chosen])] = _spread(h_base[chosen], h_counts[chosen])
+        suffixes = suffix_order(data)
+        suffixes = suffixes[place[suffixes] >= 0]
+        groups = np.concatenate([[0], np.flatnonzero(common_prefixes(data, suffixes, length) < length) + 1])
+        strings = place[suffixes]
+        lowest[strings] = np.repeat(np.minimum.reduceat(lowest[strings], groups), np.diff(np.append(groups, len(strings))))
+    # Only runs whose strings can stand under a smaller id are looked at string by string.
+    bounds = np.minimum.reduceat(lowest, h_base)
+    maybe = np.flatnonzero(ids > bounds[first])
+    at = _spread(h_base[first[maybe]], counts[maybe]) if len(maybe) else maybe
+    run = np.repeat(maybe, counts[maybe])
+    late = ids[run] > lowest[at]
+    number = _spread(np.zeros(len(maybe), np.int64), counts[maybe]) if len(maybe) else maybe
+    return run[late], number[late]
 
 
 def _spans(keys: np.ndarray, places: np.ndarray, length: int):
