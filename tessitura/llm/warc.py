@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from .common import cut, new_folder
 
 FILE_BYTES = 128 << 20
+_READERS = 20_000
 _BLOCK = 1 << 20
 _MEMBER = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/\d+\.\d+\r\n")
@@ -267,8 +268,9 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, _ROWS_ARROW)
 
-    # The deal is by path: each file is one row, and one task at a time reads it.
-    return manifest.select("path").repartition("path").mapInArrow(read, ROWS)
+    # Paths are dealt one to a task up to _READERS tasks: their rows are tiny, so a deal by size would leave all files to one task.
+    paths = manifest.select("path")
+    return paths.repartition(max(1, min(paths.count(), _READERS))).mapInArrow(read, ROWS)
 
 
 def _page_id(column):
