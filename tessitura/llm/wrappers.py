@@ -2,22 +2,32 @@
 
 A page becomes a stream of block tags and texts. Its wrapper is a union-free
 regular expression over that stream, held as a tree of (label, times,
-children): times is ``1``, ``?``, ``+`` or ``*``, and ``#`` is a text slot.
+children): times is ``1``, ``?``, ``+`` or ``*``, ``#`` is a text slot and
+``=`` with a number is a text of the template.
 Adjacent equal groups of up to four siblings fold into a repeated group. Two
 wrappers of a host are aligned child by child; what only one of them has
 becomes optional, what is repeated in either becomes a repeated group, texts
 become slots. Aligning goes on until one wrapper stands for the host.
 
-Pages of a host that fold to the same expression are counted first, distinct
-expressions are aligned in salted groups and those results once more, so the
-pages of a hot host never meet in one task. What a slot holds (characters, and
-those inside links) is summed by path in the same two steps.
+A text is of the template if it stands word for word under the same path on all
+distinct pages of the host, or (in a group that is then optional) on at least
+three of them and half of all. Two pages alone count as template and content
+only if they differ in half of their text or more, else as copies. Template
+texts are found by counting before pages are folded, so a notice between two
+paragraphs keeps its own token; all others are slots.
 
-In the host's wrapper the main text is the ``article`` with most text that is
-free of navigation, else ``main``, else the block that the text is in. From it
-the slots in menus, headers, footers, sidebars, notices, adverts, forms,
-scripts and reader comments are left out. A page without text in its host's
-place is read by its own wrapper.
+Pages of a host that fold to the same expression are counted first, distinct
+expressions are aligned in salted groups of some ``_GROUP`` each, in a tree with
+as many levels as their number needs, so the pages of a hot host never meet in
+one task. What a slot holds (characters, and those inside links) is summed by
+path with partial aggregation.
+
+The main text is looked for in what the wrapper's slots hold: it is the
+``article`` with most text that is free of navigation, else ``main``, else the
+block that the text is in. From it template texts are left out, and by tag
+names and class words the slots in menus, headers, footers, sidebars, notices,
+adverts, forms, scripts and reader comments. A page without text in its host's
+place is read by its own wrapper, without a template.
 
 Null html counts as empty and has an empty text; a null url is a host of its
 own; tags that are never closed end with their parent; elements deeper than
@@ -27,6 +37,7 @@ empty; repeated pages get equal results; other columns pass through.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -39,7 +50,7 @@ from pyspark.sql import functions as F
 from .common import cut, free_name
 
 _DEPTH = 48
-_SALTS = 64
+_GROUP = 64
 _BROADCAST_BYTES = 32 << 20
 
 #: Element names.
@@ -65,8 +76,13 @@ def _label(name: str, attributes: str) -> str:
     return f"{name}!" if parts & MARKS or _HIDDEN.search(attributes) else name
 
 
+def _key(path: tuple[str, ...], text: str) -> int:
+    """A text under its path, as a number."""
+    return int.from_bytes(hashlib.blake2b(f"{'/'.join(path)}\0{text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
 def blocks(page: str | None):
-    """(path, text, link characters) of each text block, and the events (open label, close, or text) between them."""
+    """(path, text, link characters) of each text block, and the events (open label, close, or key of a text) between them."""
     page = page or ""
     stack: list[tuple[str, str]] = []  # (name, label)
     events: list = []
@@ -80,7 +96,7 @@ def blocks(page: str | None):
         if whole:
             found.append((tuple(label for _, label in stack[:_DEPTH]), whole, min(links[1], len(whole))))
             if len(stack) <= _DEPTH:
-                events.append("#")
+                events.append(_key(*found[-1][:2]))
         text.clear()
         links[1] = 0
 
@@ -155,6 +171,11 @@ def _both(a: str, b: str) -> str:
     return {(False, False): "1", (True, False): "?", (False, True): "+", (True, True): "*"}[a in "?*" or b in "?*", a in "+*" or b in "+*"]
 
 
+def _sign(node: list) -> str:
+    """What two nodes must have in common to be one: the label and the template texts directly below it."""
+    return " ".join([node[0], *(c[0] for c in node[2] if c[0][:1] == "=")])
+
+
 def _fold(children: list) -> list:
     """Adjacent equal groups of up to four siblings as one repeated group."""
     done = False
@@ -165,7 +186,7 @@ def _fold(children: list) -> list:
             while i < len(children):
                 group = children[i : i + size]
                 n = 1
-                while len(group) == size and [c[0] for c in children[i + n * size : i + (n + 1) * size]] == [c[0] for c in group] and not any(c[0] == "()" for c in group):
+                while len(group) == size and [_sign(c) for c in children[i + n * size : i + (n + 1) * size]] == [_sign(c) for c in group] and not any(c[0] == "()" for c in group):
                     group = [_align(x, y) for x, y in zip(group, children[i + n * size : i + (n + 1) * size], strict=True)]
                     n += 1
                 if n > 1:
@@ -184,7 +205,7 @@ def _align(a: list, b: list) -> list:
     if a == b:
         return a
     x, y, out = a[2], b[2], []
-    for tag, i1, i2, j1, j2 in SequenceMatcher(None, [c[0] for c in x], [c[0] for c in y], autojunk=False).get_opcodes():
+    for tag, i1, i2, j1, j2 in SequenceMatcher(None, [_sign(c) for c in x], [_sign(c) for c in y], autojunk=False).get_opcodes():
         if tag == "equal":
             out += [_align(p, q) for p, q in zip(x[i1:i2], y[j1:j2], strict=True)]
         else:
@@ -192,16 +213,16 @@ def _align(a: list, b: list) -> list:
     return [a[0], _both(a[1], b[1]), _fold(out)]
 
 
-def expression(events: list) -> list:
-    """The wrapper of one page."""
+def expression(events: list, template=frozenset()) -> list:
+    """The wrapper of one page, given the keys of the texts of its host's template."""
     root = ["", "1", []]
     open_ = [root]
     for e in events:
         if e is None:
             node = open_.pop()
             node[2] = _fold(node[2])
-        elif e == "#":
-            open_[-1][2].append(["#", "1", []])
+        elif isinstance(e, int):
+            open_[-1][2].append([f"={e & (1 << 64) - 1:016x}" if e in template else "#", "1", []])
         else:
             node = [e, "1", []]
             open_[-1][2].append(node)
@@ -271,22 +292,46 @@ def _held(found) -> dict:
     return held
 
 
-def main_text(page: str | None, place: tuple[str, ...] | None) -> str:
+def main_text(page: str | None, place: tuple[str, ...] | None, template=frozenset()) -> str:
     found, _ = blocks(page)
 
-    def inside(place):
-        return [text for path, text, _ in found if path[: len(place)] == place and _clean(path[len(place) - (place[-1:] in (("article",), ("main",))) :])]
+    def inside(place, template=frozenset()):
+        return [text for path, text, _ in found if path[: len(place)] == place and _clean(path[len(place) - (place[-1:] in (("article",), ("main",))) :]) and not (template and _key(path, text) in template)]
 
-    kept = inside(place) if place is not None else []
+    kept = inside(place, template) if place is not None else []
     return "\n\n".join(kept or inside(main_place(_held(found))))
 
 
 _FEATURES = pa.struct([("expression", pa.string()), ("slots", pa.list_(pa.struct([("path", pa.string()), ("chars", pa.int64()), ("links", pa.int64())])))])
 
 
-def _features(page: str | None) -> dict:
+def _features(page: str | None, template: frozenset) -> dict:
     found, events = blocks(page)
-    return {"expression": json.dumps(expression(events)), "slots": [{"path": "/".join(p), "chars": n, "links": k} for p, (n, k) in _held(found).items()]}
+    free = [x for x in found if _key(*x[:2]) not in template] if template else found
+    return {"expression": json.dumps(expression(events, template)), "slots": [{"path": "/".join(p), "chars": n, "links": k} for p, (n, k) in _held(free).items()]}
+
+
+def _texts(page: str | None) -> list[dict]:
+    """The distinct texts of a page, with their characters where they could be main text."""
+    found = {_key(path, text): len(text) if _clean(path) else 0 for path, text, _ in blocks(page)[0]}
+    return [{"key": k, "chars": n} for k, n in found.items()]
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """For each host of pages (host, html) that has any: template, the keys of the texts that its pages share."""
+    kind = pa.list_(pa.struct([("key", pa.int64()), ("chars", pa.int64())]))
+
+    @F.arrow_udf("array<struct<key:bigint,chars:bigint>>")
+    def texts(html_: pa.Array) -> pa.Array:
+        return pa.array([_texts(x) for x in html_.to_pylist()], kind)
+
+    # Equal pages count once; what is kept and shuffled are numbers.
+    own = cut(pages.select("host", F.xxhash64("html").alias("page"), texts("html").alias("texts")).where(F.size("texts") > 0))
+    held = cut(own.select("host", "page", F.explode("texts").alias("t")).groupBy("host", "t.key").agg(F.count_distinct("page").alias("n"), F.max("t.chars").alias("chars")).where("n > 1"))
+    totals = cut(own.select("host", "page", F.aggregate("texts", F.lit(0).cast("long"), lambda a, t: a + t["chars"]).alias("chars")).distinct().groupBy("host").agg(F.count("*").alias("pages"), F.sum("chars").alias("all_chars")))
+    shared = held.join(totals, "host").where("n = pages or (n >= 3 and 2 * n >= pages)")
+    whole = shared.groupBy("host").agg(F.collect_list("key").alias("template"), F.first("pages").alias("pages"), F.first("all_chars").alias("all_chars"), F.sum(F.col("n") * F.col("chars")).alias("chars"))
+    return whole.where("pages > 2 or 2 * chars <= all_chars").select("host", "template")
 
 
 def _merge(key, table):
@@ -298,12 +343,18 @@ def _merge(key, table):
     return pa.table({"host": pa.array([key[0].as_py()], pa.string()), "expression": pa.array([json.dumps(whole)])})
 
 
+def _joined(pages: DataFrame, known: DataFrame, host: str, size) -> DataFrame:
+    """``pages`` with what is ``known`` of their hosts, broadcast if ``size`` (bytes a host) adds up to little."""
+    total = known.agg(F.sum(size)).head()[0] or 0
+    return pages.join(F.broadcast(known) if total <= _BROADCAST_BYTES else known, host, "left")
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
-    """For each host of pages (host, html): wrapper (as text) and place (the path of the main text)."""
+    """For each host of pages (host, html): wrapper (as text), place (the path of the main text) and template (keys of its texts)."""
 
     @F.arrow_udf("struct<expression:string,slots:array<struct<path:string,chars:bigint,links:bigint>>>")
-    def features(html_: pa.Array) -> pa.Array:
-        return pa.array([_features(x) for x in html_.to_pylist()], _FEATURES)
+    def features(html_: pa.Array, template: pa.Array) -> pa.Array:
+        return pa.array([_features(x, _template(t)) for x, t in zip(html_.to_pylist(), template, strict=True)], _FEATURES)
 
     @F.arrow_udf("struct<wrapper:string,place:string>")
     def decided(expressions: pa.Array, slots: pa.Array) -> pa.Array:
@@ -316,11 +367,23 @@ def wrappers(pages: DataFrame) -> DataFrame:
             out.append({"wrapper": written(wrapper), "place": "/".join(place)})
         return pa.array(out, pa.struct([("wrapper", pa.string()), ("place", pa.string())]))
 
-    seen = cut(pages.select("host", features("html").alias("f")).select("host", "f.expression", F.explode_outer("f.slots").alias("s")).groupBy("host", "expression", "s.path").agg(F.sum("s.chars").alias("chars"), F.sum("s.links").alias("links")))
-    kinds = seen.select("host", "expression").distinct().withColumn("salt", F.pmod(F.xxhash64("expression"), F.lit(_SALTS)))
-    merged = kinds.groupBy("host", "salt").applyInArrow(_merge, "host string, expression string").groupBy("host").applyInArrow(_merge, "host string, expression string")
+    shared = cut(templates(pages))
+    full = _joined(pages, shared, "host", F.octet_length("host") + 8 * F.size("template") + 64)
+    seen = cut(full.select("host", features("html", "template").alias("f")).select("host", "f.expression", F.explode_outer("f.slots").alias("s")).groupBy("host", "expression", "s.path").agg(F.sum("s.chars").alias("chars"), F.sum("s.links").alias("links")))
+    merged = cut(seen.select("host", "expression").distinct())
+    most = merged.groupBy("host").count().agg(F.max("count")).head()[0] or 0
+    while True:
+        groups = -(-most // _GROUP)
+        merged = merged.groupBy("host", F.pmod(F.xxhash64("expression"), F.lit(max(1, groups)))).applyInArrow(_merge, "host string, expression string")
+        if groups <= 1:
+            break
+        merged, most = cut(merged), groups
     slots = seen.where("path is not null").groupBy("host", "path").agg(F.sum("chars").alias("chars"), F.sum("links").alias("links")).groupBy("host").agg(F.collect_list(F.struct("path", "chars", "links")).alias("slots"))
-    return merged.join(slots, "host", "left").select("host", decided("expression", "slots").alias("d")).select("host", "d.wrapper", "d.place")
+    return merged.join(slots, "host", "left").select("host", decided("expression", "slots").alias("d")).join(shared, "host", "left").select("host", "d.wrapper", "d.place", "template")
+
+
+def _template(keys) -> frozenset:
+    return frozenset(keys.as_py() or ())
 
 
 def extract(pages: DataFrame, url: str = "url", page: str = "html", into: str = "text") -> DataFrame:
@@ -329,16 +392,15 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html", into: str =
         raise ValueError(f"the table already has a column {into!r}; name another")
 
     @F.arrow_udf("string")
-    def text(htmls: pa.Array, places: pa.Array) -> pa.Array:
-        return pa.array([main_text(h, None if p is None else tuple(p.split("/")) if p else ()) for h, p in zip(htmls.to_pylist(), places.to_pylist(), strict=True)], pa.string())
+    def text(htmls: pa.Array, places: pa.Array, templates: pa.Array) -> pa.Array:
+        return pa.array([main_text(h, None if p is None else tuple(p.split("/")) if p else (), _template(t)) for h, p, t in zip(htmls.to_pylist(), places.to_pylist(), templates, strict=True)], pa.string())
 
-    host, place = (free_name([*pages.columns, into], x) for x in ("host", "place"))
+    host, place, template = (free_name([*pages.columns, into], x) for x in ("host", "place", "template"))
     found = F.coalesce(F.lower(F.regexp_extract(F.col(f"`{url}`"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1)), F.lit(""))
     hosted = pages.withColumn(host, found)
-    known = cut(wrappers(hosted.select(F.col(host).alias("host"), F.col(f"`{page}`").alias("html"))).select(F.col("host").alias(host), F.col("place").alias(place)))
-    size = known.agg(F.sum(F.octet_length(host) + F.octet_length(place) + 64)).head()[0] or 0
-    joined = hosted.join(F.broadcast(known) if size <= _BROADCAST_BYTES else known, host, "left")
-    return joined.withColumn(into, text(F.col(f"`{page}`"), F.col(place))).select(*[F.col(f"`{c}`") for c in pages.columns], into)
+    known = cut(wrappers(hosted.select(F.col(host).alias("host"), F.col(f"`{page}`").alias("html"))).select(F.col("host").alias(host), F.col("place").alias(place), F.col("template").alias(template)))
+    joined = _joined(hosted, known, host, F.octet_length(host) + F.octet_length(place) + 8 * F.coalesce(F.size(template), F.lit(0)) + 64)
+    return joined.withColumn(into, text(F.col(f"`{page}`"), F.col(place), F.col(template))).select(*[F.col(f"`{c}`") for c in pages.columns], into)
 
 
 def op8_main_text(spark, sf_dir: str) -> DataFrame:

@@ -410,6 +410,27 @@ def test_wrappers_align():
     assert wrappers.written(wrappers.expression(wrappers.blocks("<h2>a</h2><p>b</p>" * 3)[1])) == "((h2(#) p(#))+)"
 
 
+def test_template_texts_are_left_out(spark):
+    notice, advert = "Our shop is closed on Sunday.", "Buy two lamps and get one."
+    page = lambda k: f"<body><div><h1>Title {k}</h1><p>First text of page {k}.</p><p>{notice}</p><p>Second text {k}.</p></div>{f'<section><p>{advert}</p></section>' if k % 2 else ''}</body>"
+    rows = [(k, "http://a.example", page(k)) for k in range(200)] + [(200, "http://b.example", page(1)), (201, "http://b.example", page(1)), (202, "http://c.example", page(1)), (203, "http://c.example", page(1).replace("Second", "Third"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in wrappers.extract(df).collect()}
+    assert all(got[k] == f"Title {k}\n\nFirst text of page {k}.\n\nSecond text {k}." for k in range(200))
+    # Equal pages, and two pages that are near copies, show no template.
+    assert got[200] == got[201] == got[202] and notice in got[200] and notice in got[203]
+    found = {r["host"]: r["wrapper"] for r in wrappers.wrappers(df.where("page_id < 200").selectExpr("'a' as host", "html")).collect()}
+    assert re.fullmatch(r"\(body\(div\(h1\(#\) p\(#\) p\(=\w+\) p\(#\)\) section\(p\(=\w+\)\)\?\)\)", found["a"]), found
+
+
+def test_wrappers_merge_in_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(wrappers, "_GROUP", 3)
+    tags = "h1 h2 h3 h4 h5 h6 p pre section dl".split()
+    rows = [("a", "".join(f"<{t}>x{i}{j}</{t}>" for t in {tags[i], tags[j]})) for i in range(10) for j in range(10)]
+    got = wrappers.wrappers(spark.createDataFrame(rows, "host string, html string")).collect()
+    assert len(got) == 1 and all(t in got[0]["wrapper"] for t in tags)
+
+
 # --- 1 surrogates
 
 PII = [
