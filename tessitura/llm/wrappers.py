@@ -26,7 +26,9 @@ The main text is looked for in what the wrapper's slots hold: it is the
 ``article`` with most text that is free of navigation, else ``main``, else the
 block that the text is in. From it template texts are left out, and by tag
 names and class words the slots in menus, headers, footers, sidebars, notices,
-adverts, forms, scripts and reader comments. A page without text in its host's
+adverts, forms, scripts and reader comments; classes such as ``has-sidebar``
+mark nothing, headings in an ``article`` stay, and words of layouts mark no
+element that holds most of the text. A page without text in its host's
 place is read by its own wrapper, without a template.
 
 Null html counts as empty and has an empty text; a null url is a host of its
@@ -63,6 +65,10 @@ ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 #: Parts of class, id and role that mark what is not the main text.
 MARKS = set("ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar aside nav navbar navigation menu breadcrumb breadcrumbs footer header masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login share sharing social related recommended recommendations comment comments respond disqus replies widget pagination pager toolbar search searchbox skip copyright complementary contentinfo".split())
 
+#: Marks that also name layouts around the main text, and the prefixes that make a class no mark.
+LAYOUT = set("sidebar aside nav navbar navigation menu header footer masthead banner toolbar widget search".split())
+_NO_MARK = re.compile(r"^(?:has|no|not|with|without)[-_]", re.I)
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _MARKED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none", re.I)
@@ -72,8 +78,11 @@ _PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 def _label(name: str, attributes: str) -> str:
     if name in ("html", "body", "article", "main"):
         return name
-    parts = {p.lower() for m in _MARKED.finditer(attributes) for p in _PARTS.findall(next(filter(None, m.groups()), ""))}
-    return f"{name}!" if parts & MARKS or _HIDDEN.search(attributes) else name
+    words = [w for m in _MARKED.finditer(attributes) for w in next(filter(None, m.groups()), "").split() if not _NO_MARK.match(w)]
+    marks = {p.lower() for w in words for p in _PARTS.findall(w)} & MARKS
+    if _HIDDEN.search(attributes) or marks - LAYOUT:
+        return f"{name}!"
+    return f"{name}!{'header' if marks <= {'header', 'masthead'} else 'layout'}" if marks else name
 
 
 def _key(path: tuple[str, ...], text: str) -> int:
@@ -246,21 +255,38 @@ def _paths(node: list, above=()) -> set[tuple[str, ...]]:
     return set().union(*(_paths(c, own) for c in node[2])) if node[2] else set()
 
 
-def _clean(path) -> bool:
+def _clean(path, around: int = 0) -> bool:
+    """Whether no label of ``path`` tells that it is not main text; marks of layouts count after the first ``around`` labels only."""
     inside = False
-    for label in path:
+    for k, label in enumerate(path):
         if label in ("article", "main"):
             inside = True
-        elif label.endswith("!") or label in LEFT_OUT and not (label == "header" and inside):
+        elif label.endswith(("!header", "!layout")) and k < around:
+            continue
+        elif "!" in label and not (label.endswith("!header") and inside) or label in LEFT_OUT and not (label == "header" and inside):
             return False
     return True
 
 
+def _around(held: dict[tuple[str, ...], tuple[int, int]]) -> tuple[str, ...]:
+    """The longest path, if any, of an element marked as a layout that holds more than half of the text."""
+    below: dict[tuple[str, ...], int] = {}
+    total = 0
+    for path, (chars, links) in held.items():
+        n = max(0, chars - links)
+        total += n
+        for k, label in enumerate(path):
+            if label.endswith(("!header", "!layout")):
+                below[path[: k + 1]] = below.get(path[: k + 1], 0) + n
+    return max((p for p, n in below.items() if 2 * n > total), key=len, default=())
+
+
 def main_place(held: dict[tuple[str, ...], tuple[int, int]]) -> tuple[str, ...]:
     """Where the main text stands, given (characters, link characters) by path."""
+    around = _around(held)
     own: dict[tuple[str, ...], int] = {}
     for path, (chars, links) in held.items():
-        if _clean(path):
+        if _clean(path, len(around) if path[: len(around)] == around else 0):
             own[path] = own.get(path, 0) + max(0, chars - links)
     for name in ("article", "main"):
         totals: dict[tuple[str, ...], int] = {}
@@ -274,7 +300,7 @@ def main_place(held: dict[tuple[str, ...], tuple[int, int]]) -> tuple[str, ...]:
     while True:
         below: dict[tuple[str, ...], int] = {}
         for path, n in own.items():
-            if len(path) > len(place) and path[: len(place)] == place and path[len(place)] in ("html", "body", "div", "section", "table", "tbody", "tr", "td", "center"):
+            if len(path) > len(place) and path[: len(place)] == place and path[len(place)].split("!")[0] in ("html", "body", "div", "section", "table", "tbody", "tr", "td", "center"):
                 child = path[: len(place) + 1]
                 below[child] = below.get(child, 0) + n
         total = sum(n for path, n in own.items() if path[: len(place)] == place)
@@ -295,8 +321,12 @@ def _held(found) -> dict:
 def main_text(page: str | None, place: tuple[str, ...] | None, template=frozenset()) -> str:
     found, _ = blocks(page)
 
+    around = _around(_held(found))
+
     def inside(place, template=frozenset()):
-        return [text for path, text, _ in found if path[: len(place)] == place and _clean(path[len(place) - (place[-1:] in (("article",), ("main",))) :]) and not (template and _key(path, text) in template)]
+        cut_at = len(place) - (place[-1:] in (("article",), ("main",)))
+        free = lambda path: len(around) - cut_at if path[: len(around)] == around else 0
+        return [text for path, text, _ in found if path[: len(place)] == place and _clean(path[cut_at:], free(path)) and not (template and _key(path, text) in template)]
 
     kept = inside(place, template) if place is not None else []
     return "\n\n".join(kept or inside(main_place(_held(found))))

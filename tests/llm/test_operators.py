@@ -423,6 +423,22 @@ def test_template_texts_are_left_out(spark):
     assert re.fullmatch(r"\(body\(div\(h1\(#\) p\(#\) p\(=\w+\) p\(#\)\) section\(p\(=\w+\)\)\?\)\)", found["a"]), found
 
 
+def test_marks_around_the_main_text():
+    long = "A long text that makes up the article. " * 3
+    article = f"<article><div class='page-header'><h1>Head</h1></div><p>{long}</p><div class='share'>Share</div></article>"
+    comments = "<section class='comments'><article><p>Nice!</p></article></section>"
+    for around in ("layout has-sidebar", "sidebar-right", "with_menu", "search"):
+        page = f"<body><div class='{around}'>{article}<div class='sidebar'>Side</div>{comments}</div><p>Note</p></body>"
+        assert wrappers.main_text(page, None) == f"Head\n\n{long.strip()}"
+        # The same without an article.
+        page = f"<body><div class='{around}'><div><p>{long}</p></div><div class='sidebar'>Side</div>{comments}</div></body>"
+        assert wrappers.main_text(page, None) == long.strip()
+    # Six tenths of the text in a marked layout.
+    assert wrappers.main_text(f"<body><div class='search'><p>{'a' * 60}</p></div><div><p>{'b' * 40}</p></div></body>", None) == "a" * 60 + "\n\n" + "b" * 40
+    # Comments stay out, however long they are.
+    assert wrappers.main_text(f"<body><div><p>Short</p></div><div class='comments'><p>{long}</p></div></body>", None) == "Short"
+
+
 def test_wrappers_merge_in_a_tree(spark, monkeypatch):
     monkeypatch.setattr(wrappers, "_GROUP", 3)
     tags = "h1 h2 h3 h4 h5 h6 p pre section dl".split()
