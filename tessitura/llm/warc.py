@@ -11,10 +11,15 @@ read again, so lost executors leave unread files behind, never wrong results.
 
 The reader checks each gzip member (CRC and length) and each record (version
 line, header, Content-Length, closing blank lines, block and payload digests).
-After a failed check it searches for the next valid member (gzip) or version
-line (plain) and goes on there; the bytes in between are returned as a gap
-with the reason. One task reads one file as a stream and holds one gzip member
-or one plain record at a time.
+A member is inflated twice as a stream, to check it and to read its records one
+by one. After a bad record it goes on at the next version line, inside the
+member's content too. Of a member that is torn or fails its CRC, what could be
+inflated is searched, and records whose own digest agrees are kept (a digest
+does not cover the header); deflate cannot be entered again behind a tear, so
+the reader then looks for the next member. What no valid record covers is
+returned as a gap with the reason; a gap inside a member has the place of the
+member, and its reason tells the bytes of the content. One task reads one file
+and holds one record, or a member of up to ``_HELD`` bytes, at a time.
 
 Null payloads count as empty. A null id is written as such: it is a response
 unless a page with an id has the same payload. Rows that repeat the smallest
@@ -43,7 +48,7 @@ _BLOCK = 1 << 20
 _MEMBER = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/\d+\.\d+\r\n")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_HEADER_BYTES = 1 << 20
+_HELD = 8 << 20
 
 MANIFEST = "path string, bytes bigint, records bigint"
 ROWS = "path string, begin bigint, end bigint, problem string, record_id string, record_type string, refers_to string, target_uri string, payload_bytes bigint, payload_digest string, payload binary"
@@ -123,7 +128,7 @@ def _header(data: bytes, at: int) -> tuple[dict[str, str], int]:
     """The named fields of the record at ``at``, and where its block begins."""
     if not _VERSION.match(data, at):
         raise _Problem("no version line")
-    end = data.find(b"\r\n\r\n", at, at + _HEADER_BYTES)
+    end = data.find(b"\r\n\r\n", at)
     if end < 0:
         raise _Problem("header does not end")
     fields = {}
@@ -160,35 +165,108 @@ def _checked(fields: dict[str, str], block: bytes) -> dict:
     return {"record_id": fields.get("warc-record-id"), "record_type": kind, "refers_to": fields.get("warc-refers-to"), "target_uri": fields.get("warc-target-uri"), "payload_bytes": size, "payload_digest": own, "payload": payload}
 
 
-def _records(data: bytes) -> list[dict]:
-    """All records of the content of one gzip member."""
-    at, found = 0, []
-    while at < len(data):
-        fields, begin = _header(data, at)
-        end = begin + int(fields["content-length"])
-        if data[end : end + 4] != b"\r\n\r\n":
-            raise _Problem("record does not end where its Content-Length says")
-        found.append(_checked(fields, data[begin:end]))
-        at = end + 4
-    if not found:
-        raise _Problem("empty member")
-    return found
-
-
-def _inflate(source, at: int) -> tuple[bytes, int]:
-    """The content of the gzip member at ``at`` and where the member ends."""
-    source.seek(at)
-    unpack, parts, taken = zlib.decompressobj(31), [], 0
-    while not unpack.eof:
-        raw = source.read(64 << 10)
-        if not raw:
-            raise _Problem("member is cut off")
+def _sure(fields: dict[str, str]) -> bool:
+    """Whether a digest of the record was compared."""
+    return fields.get("warc-block-digest", "").startswith("sha1:") or fields.get("warc-type") != "revisit" and fields.get("warc-payload-digest", "").startswith("sha1:")
+
+
+class _Member:
+    """The gzip member at ``at``: after its chunks are read, ``end`` is where it ends, or ``problem`` why it does not."""
+
+    def __init__(self, source, at: int):
+        self.source, self.at, self.end, self.problem = source, at, None, None
+
+    def chunks(self):
+        unpack, raw, at, more = zlib.decompressobj(31), b"", self.at, False
+        while not unpack.eof:
+            if not raw and not more:
+                self.source.seek(at)
+                raw = self.source.read(64 << 10)
+                at += len(raw)
+                if not raw:
+                    self.problem = "member is cut off"
+                    return
+            before = unpack.copy()
+            try:
+                out = unpack.decompress(raw, _BLOCK)
+            except zlib.error as error:
+                self.problem = f"gzip: {error}"
+                yield from self._up_to_tear(before, raw)
+                return
+            raw, more = unpack.unconsumed_tail, len(out) == _BLOCK
+            if out:
+                yield out
+        self.end = at - len(unpack.unused_data)
+
+    @staticmethod
+    def _up_to_tear(unpack, raw: bytes):
+        for k in range(len(raw)):
+            try:
+                out = unpack.decompress(raw[k : k + 1])
+            except zlib.error:
+                return
+            if out:
+                yield out
+
+
+def _records(chunks, size: int):
+    """What the content (``size`` bytes in ``chunks``) of a member holds, in order: (begin, end, problem, None, False) for a gap, (begin, end, None, record, sure)."""
+    chunks, held, base = iter(chunks), bytearray(), 0  # held begins at base
+
+    def fill(n: int) -> bool:
+        while len(held) < n:
+            part = next(chunks, None)
+            if part is None:
+                return False
+            held.extend(part)
+        return True
+
+    lost, why = None, ""
+    while fill(1):
         try:
-            parts.append(unpack.decompress(raw))
-        except zlib.error as error:
-            raise _Problem(f"gzip: {error}") from None
-        taken += len(raw)
-    return b"".join(parts), at + taken - len(unpack.unused_data)
+            fill(64)
+            if not _VERSION.match(held):
+                raise _Problem("no version line")
+            seen = 0
+            while held.find(b"\r\n\r\n", max(0, seen - 3)) < 0:
+                seen = len(held)
+                if not fill(seen + 1):
+                    break
+            fields, begin = _header(held, 0)
+            end = begin + int(fields["content-length"])
+            if base + end + 4 > size:
+                raise _Problem("record is cut off")
+            fill(end + 4)
+            if held[end : end + 4] != b"\r\n\r\n":
+                raise _Problem("record does not end where its Content-Length says")
+            found = _checked(fields, bytes(held[begin:end]))
+        except _Problem as problem:
+            if lost is None:
+                lost, why = base, str(problem)
+            # On to the next version line; a line that the chunks cut is kept.
+            drop = 1
+            while True:
+                m = _VERSION.search(held, drop)
+                if m:
+                    drop = m.start()
+                    break
+                drop = max(drop, len(held) - 32)
+                del held[:drop]
+                base, drop = base + drop, 0
+                if not fill(len(held) + 1):
+                    drop = len(held)
+                    break
+            del held[:drop]
+            base += drop
+            continue
+        if lost is not None:
+            yield lost, base, why, None, False
+            lost = None
+        yield base, base + end + 4, None, found, _sure(fields)
+        del held[: end + 4]
+        base += end + 4
+    if lost is not None:
+        yield lost, size, why, None, False
 
 
 def _next(source, at: int, size: int, mark: bytes) -> int:
@@ -206,13 +284,36 @@ def _next(source, at: int, size: int, mark: bytes) -> int:
 
 
 def _member_rows(source, at: int, size: int):
-    data, end = _inflate(source, at)
-    return _records(data), end
+    """Rows of the member at ``at``, inner gaps among them."""
+    whole, parts, total = _Member(source, at), [], 0
+    for part in whole.chunks():
+        total += len(part)
+        if parts is not None:
+            parts.append(part)
+            if total > _HELD:
+                parts = None
+    stop = whole.end if whole.end is not None else _next(source, at + 1, size, _MEMBER)
+    chunks = _Member(source, at).chunks() if parts is None else parts
+    kept, gaps = 0, []
+    for begin, end, why, found, sure in _records(chunks, total):
+        if found is None or not sure and whole.end is None:
+            gaps.append({"begin": at, "end": stop, "problem": f"bytes {begin} to {end} of the content: {why or 'no digest, and ' + whole.problem}"})
+            continue
+        yield from gaps
+        gaps, kept = [], kept + 1
+        yield found | {"begin": at, "end": stop}
+    if not kept:
+        raise _Problem(whole.problem or (gaps[0]["problem"] if gaps else "empty member"))
+    yield from gaps
+    if whole.problem:
+        yield {"begin": at, "end": stop, "problem": f"after {kept} records: {whole.problem}"}
 
 
 def _plain_rows(source, at: int, size: int):
     source.seek(at)
-    head = source.read(_HEADER_BYTES)
+    head, more = source.read(4096), 4096
+    while _VERSION.match(head) and b"\r\n\r\n" not in head and (part := source.read(more)):
+        head, more = head + part, 2 * more
     fields, begin = _header(head, 0)
     length = int(fields["content-length"])
     if at + begin + length + 4 > size:
@@ -221,7 +322,7 @@ def _plain_rows(source, at: int, size: int):
     block = source.read(length)
     if source.read(4) != b"\r\n\r\n":
         raise _Problem("record does not end where its Content-Length says")
-    return [_checked(fields, block)], at + begin + length + 4
+    yield _checked(fields, block) | {"begin": at, "end": at + begin + length + 4}
 
 
 def salvage(source, size: int):
@@ -231,18 +332,18 @@ def salvage(source, size: int):
     read, mark = (_member_rows, _MEMBER) if zipped else (_plain_rows, b"WARC/")
     at, lost, why = 0, None, ""
     while at < size:
+        end = None
         try:
-            found, end = read(source, at, size)
+            for row in read(source, at, size):
+                if lost is not None:
+                    yield {"begin": lost, "end": at, "problem": why}
+                    lost = None
+                yield row
+                end = row["end"]
         except _Problem as problem:
             if lost is None:
                 lost, why = at, str(problem)
-            at = _next(source, at + 1, size, mark)
-            continue
-        if lost is not None:
-            yield {"begin": lost, "end": at, "problem": why}
-            lost = None
-        for x in found:
-            yield x | {"begin": at, "end": end}
+            end = _next(source, at + 1, size, mark)
         at = end
     if lost is not None:
         yield {"begin": lost, "end": size, "problem": why}

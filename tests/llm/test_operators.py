@@ -382,6 +382,38 @@ def test_salvage(zipped):
     assert _salvaged(b"") == [] and [r["problem"] is not None for r in _salvaged(b"junk")] == [True]
 
 
+@pytest.mark.parametrize("held", [8 << 20, 100])
+def test_salvage_inside_members(held, monkeypatch):
+    monkeypatch.setattr(warc, "_HELD", held)
+    monkeypatch.setattr(warc, "_BLOCK", 700)
+    noise = np.random.default_rng(3)
+    made = [warc.record(i, f"u{i}", noise.bytes(3000)) for i in range(40)]
+    ids = lambda got: [int(r["record_id"][10:-1]) for r in got if not r.get("problem")]
+    assert ids(_salvaged(warc.member(b"".join(made)))) == list(range(40))
+    # One bad record in a valid member of many: the others stay, and the gap is told.
+    bad = made.copy()
+    bad[7] = bad[7][:2000] + b"?" + bad[7][2001:]
+    bad[20] = bad[20][:-100]
+    got = _salvaged(warc.member(b"".join(bad)) + warc.member(made[0]))
+    assert ids(got) == [i for i in range(40) if i not in (7, 20)] + [0] and sum(bool(r.get("problem")) for r in got) == 2
+    # A tear: all records before it, and the next member.
+    whole = warc.member(b"".join(made))
+    got = _salvaged(whole[: len(whole) // 2] + warc.member(made[39]))
+    assert ids(got)[-1] == 39 and ids(got)[:-1] == list(range(len(ids(got)) - 1)) and len(ids(got)) > 18 and any(r.get("problem") for r in got)
+    # A wrong CRC: records with digests stay, others go.
+    assert ids(_salvaged(whole[:-8] + b"\0\0\0\0" + whole[-4:])) == list(range(40))
+    plain = b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:1>\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
+    one = warc.member(plain)
+    assert ids(_salvaged(one)) == [1] and ids(_salvaged(one[:-8] + b"\0\0\0\0" + one[-4:])) == []
+
+
+@pytest.mark.parametrize("zipped", [True, False])
+def test_long_headers_are_read(zipped):
+    made = [warc.record(i, "u" * (3 << 20), b"x") for i in range(2)]
+    got = _salvaged(b"".join(map(warc.member, made) if zipped else made))
+    assert [len(r.get("target_uri") or "") for r in got] == [3 << 20] * 2
+
+
 # --- 8 wrappers
 
 PAGE = (
