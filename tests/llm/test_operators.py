@@ -155,6 +155,36 @@ def test_pieces_equal_the_library(spark, docs):
     assert pieces.encode(fixtures.empty(spark), model).count() == 0
 
 
+def test_agendas_in_step_equal_one_agenda(monkeypatch):
+    import random
+
+    own = pieces.encoder(pieces.default_model())
+    r, out = random.Random(4), {}
+    letters = "abcdeinorst▁é日𠀀'."
+    words = sorted({"".join(r.choice(letters) for _ in range(r.randrange(1, 30))) for _ in range(400)}, key=len)
+    for part, ids in zip(words, own.memory.agenda.merge(words), strict=True):
+        out[part] = ids
+        assert ids is None or list(ids) == own.vocabulary.merge(part)
+    assert sum(x is not None for x in out.values()) > 150
+    # Forgetting, sections and long parts change nothing.
+    monkeypatch.setattr(pieces, "_PART", 100)
+    monkeypatch.setattr(pieces, "_REMEMBERED_BYTES", 3000)
+    small = pieces.Encoder(pieces.default_model())
+    texts = [" ".join(words), None, "x" * 5000 + " y" * 200, "", "one\n two"] * 2
+    assert small.encode_batch(texts) == [small.vocabulary.library.encode(t or "") for t in texts]
+
+
+def test_pieces_with_long_texts_and_clashing_names(spark):
+    model = pieces.default_model()
+    long = "many words of a text that goes on " * 40_000
+    df = fixtures.table(spark, [(1, long, "", "", 0), (1, long, "", "", 0), (None, "a b", None, None, None)]).withColumnRenamed("lang", "ids")
+    with pytest.raises(ValueError):
+        pieces.encode(df, model)
+    got = pieces.encode_and_decode(df, model).collect()
+    own = pieces.encoder(model).vocabulary.library.encode(long)
+    assert [r["pieces"]["n_tokens"] for r in got if r["doc_id"]] == [len(own)] * 2 and list(got[0]["pieces"]["ids"]) == own and "ids" in got[0].asDict()
+
+
 # --- 6 simhash
 
 
