@@ -10,9 +10,14 @@ Fingerprints that differ in at most ``distance`` bits share at least
 therefore dealt once for every choice of that many blocks, fingerprints that
 share all chosen blocks meet, and their Hamming distance is verified. Equal
 fingerprints are folded to one row before that. A bucket yields a spanning
-forest of its links, one edge for each fingerprint at most, never all pairs;
-it holds 8 bytes for each distinct fingerprint. Components are found by star
-steps in Spark, so nothing is collected.
+forest of its links, one edge for each fingerprint at most, never all pairs. A
+bucket with more distinct fingerprints than one task should compare is dealt
+out again in pairs of chunks, each to a group of its own. Components are found
+by star steps in Spark, so nothing is collected.
+
+``words`` adds fingerprints from the same hashes, mixed anew. They are no
+blocks, but a link must hold for all words together too (``most``), so texts
+that agree in one word by chance are told apart.
 
 Null texts have no words; a null id stays null and takes the smallest id
 reachable; an empty table gives an empty table; repeated rows and ties share
@@ -33,32 +38,45 @@ from .common import cut, free_name
 from .components import components
 
 WIDTH, DISTANCE, BLOCKS = 3, 3, 6
+#: Near-duplicates by five words: the first of three fingerprint words may differ in 6 bits, all three in 32 of 192.
+#: Shingle sets with a similarity of 0.8 differ in 29 of 192 bits on average.
+NEAR = {"width": 5, "distance": 6, "blocks": 9, "words": 3, "most": 32}
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _WORDS = 1 << 16
+_HELD = 1 << 15
+_ODD = 0x9E3779B97F4A7C15
 
 
-def _votes(shingles) -> tuple[np.ndarray, int]:
+def _votes(shingles, words: int) -> tuple[np.ndarray, int]:
     import xxhash
 
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64)
-    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64), len(hashes)
-
-
-def fingerprint(text: str | None, width: int = WIDTH) -> int:
-    """The fingerprint as an unsigned integer; long texts are voted in parts."""
+    votes = []
+    for k in range(words):
+        bits = hashes
+        if k:  # further words come from the same hash, mixed anew
+            bits = (bits ^ bits >> np.uint64(29)) * np.uint64(_ODD * (2 * k + 1) & (1 << 64) - 1)
+            bits = (bits ^ bits >> np.uint64(32)) * np.uint64(_ODD)
+            bits ^= bits >> np.uint64(31)
+        votes.append(np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64))
+    return np.concatenate(votes), len(hashes)
+
+
+def fingerprint(text: str | None, width: int = WIDTH, words: int = 1) -> np.ndarray:
+    """The fingerprint as ``words`` unsigned integers; long texts are voted in parts."""
     data = (text or "").encode("utf-8", "surrogatepass").lower()
-    votes, n, kept = np.zeros(64, np.int64), 0, []
+    votes, n, kept = np.zeros(64 * words, np.int64), 0, []
     for m in _batches(data):
-        words = kept + m
-        if len(words) >= width:
-            v, k = _votes(map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)))
+        found = kept + m
+        if len(found) >= width:
+            v, k = _votes(map(b" ".join, zip(*(found[i:] for i in range(width)), strict=False)), words)
             votes, n = votes + v, n + k
-        kept = words[len(words) - width + 1 :] if len(words) >= width else words
+        kept = found[len(found) - width + 1 :] if len(found) >= width else found
     if not n:
         if not kept:
-            return 0
-        votes, n = _votes([b" ".join(kept)])
-    return int(np.packbits(2 * votes > n, bitorder="little").view(np.uint64)[0])
+            return np.zeros(words, np.uint64)
+        votes, n = _votes([b" ".join(kept)], words)
+    return np.packbits(2 * votes > n, bitorder="little").view(np.uint64)
 
 
 def _batches(data: bytes):
@@ -74,17 +92,23 @@ def _batches(data: bytes):
     yield batch
 
 
-def fingerprints(text: Column, width: int = WIDTH) -> Column:
-    """The fingerprint as a (signed) long."""
+def fingerprints(text: Column, width: int = WIDTH, words: int = 1) -> Column:
+    """The fingerprint as an array of (signed) longs."""
 
-    @F.arrow_udf("bigint")
+    @F.arrow_udf("array<bigint>")
     def run(texts: pa.Array) -> pa.Array:
-        values = np.fromiter((fingerprint(x.as_py(), width) for x in texts), np.uint64, len(texts))
-        return pa.array(values.view(np.int64))
+        values = [fingerprint(x.as_py(), width, words) for x in texts]
+        flat = np.concatenate(values).view(np.int64) if values else np.zeros(0, np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * words, pa.int32()), pa.array(flat))
 
     return run(text)
 
 
+def digits(print_: Column, words: int = 1) -> Column:
+    """A fingerprint as 16 lower-case hex digits a word."""
+    return F.lower(F.concat(*[F.lpad(F.hex(F.get(print_, F.lit(k))), 16, "0") for k in range(words)]))
+
+
 def masks(distance: int = DISTANCE, blocks: int = BLOCKS) -> list[int]:
     """Signed 64-bit masks: every choice of ``blocks - distance`` of the blocks."""
     if not distance < blocks <= 64:
@@ -95,75 +119,129 @@ def masks(distance: int = DISTANCE, blocks: int = BLOCKS) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in found]
 
 
-def _forest(values: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links within one bucket."""
-    left, edges, queue = values, [], []
+def _forest(prints: np.ndarray, distance: int, most: int | None) -> list[tuple[int, int]]:
+    """A spanning forest of the links within one bucket: pairs of rows of ``prints`` (a column for each word)."""
+    left, edges, queue = np.arange(len(prints)), [], []
     while len(left):
         if not queue:
             queue, left = [left[0]], left[1:]
         x = queue.pop()
-        near = np.bitwise_count(left ^ x) <= distance
+        near = np.bitwise_count(prints[left, 0] ^ prints[x, 0]) <= distance
+        if most is not None and near.any():
+            near[near] = np.bitwise_count(prints[left[near]] ^ prints[x]).sum(1) <= most
         if near.any():
             found = left[near]
             left = left[~near]
-            edges += [(int(x), int(y)) for y in found]
+            edges += [(x, y) for y in found]
             queue += list(found)
     return edges
 
 
-def _bucket_links(distance: int):
-    kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def done(choice, part, prints):
+def _bucket_links(distance: int, most: int | None, keys: int, held_rows: int | None):
+    """Rows sorted by their first ``keys`` columns to links (a, b); a bucket of over ``held_rows`` rows gives one row with its first keys and no link."""
+
+    def spelled(prints):
+        return ["".join(f"{x:016x}" for x in row) for row in prints.tolist()]
+
+    def batch(prints, edges, hot):
+        e = np.array(edges, np.int64).reshape(-1, 2)
+        a, b = spelled(prints[e[:, 0]]), spelled(prints[e[:, 1]])
+        none = [None] * len(hot)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(a + none, pa.string()), pa.array(b + none, pa.string()), pa.array([None] * len(e) + [k[0] for k in hot], pa.int32()), pa.array([None] * len(e) + [k[1] for k in hot], pa.int64())],
+            names=["a", "b", "choice", "part"],
+        )
+
+    def equal(columns, key):
+        out = np.ones(len(columns[0]), bool)
+        for c, k in zip(columns, key, strict=False):
+            out &= c == k
+        return out
+
+    def done(columns):
+        change = np.zeros(len(columns[0]), bool)
+        change[0] = True
+        for c in columns[:keys]:
+            change[1:] |= c[1:] != c[:-1]
+        starts = np.flatnonzero(change)
+        ends = np.append(starts[1:], len(change))
+        prints = np.stack(columns[keys:], 1).view(np.uint64)
         edges = []
-        starts = np.flatnonzero(np.concatenate([[True], (choice[1:] != choice[:-1]) | (part[1:] != part[:-1])]))
-        ends = np.append(starts[1:], len(part))
         for k in np.flatnonzero(ends - starts > 1):
-            edges += _forest(prints[starts[k] : ends[k]].view(np.uint64), distance)
-        table = np.array(edges, np.uint64).reshape(-1, 2).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(table[:, 0]), pa.array(table[:, 1])], schema=kind)
+            edges += [(starts[k] + x, starts[k] + y) for x, y in _forest(prints[starts[k] : ends[k]], distance, most)]
+        return batch(prints, edges, [])
 
     def links(batches):
-        held = None
-        for batch in batches:
-            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        parts: list[list[np.ndarray]] = []  # the rows of the open bucket
+        now = too_large = None
+        for arrow in batches:
+            new = [c.to_numpy(zero_copy_only=False) for c in arrow.columns]
+            if too_large is not None and len(new[0]):
+                other = ~equal(new, too_large)
+                new, too_large = [c[other] for c in new], None if other.any() else too_large
             if not len(new[0]):
                 continue
-            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-            choice, part, prints = held
-            last = int(np.flatnonzero((choice != choice[-1]) | (part != part[-1]))[-1]) + 1 if (choice[0] != choice[-1] or part[0] != part[-1]) else 0
-            if last:
-                yield done(choice[:last], part[:last], prints[:last])
-                held = [c[last:] for c in held]
-        if held is not None:
-            yield done(*held)
+            key = tuple(c[-1] for c in new[:keys])
+            open_ = equal(new, key)
+            if open_.all() and now in (None, key):
+                parts.append(new)
+            else:
+                columns = [np.concatenate(x) for x in zip(*parts, new, strict=True)]
+                open_ = equal(columns, key)
+                yield done([c[~open_] for c in columns])
+                parts = [[c[open_] for c in columns]]
+            now = key
+            if held_rows is not None and sum(len(x[0]) for x in parts) > held_rows:
+                yield batch(np.zeros((0, 1), np.uint64), [], [tuple(int(x) for x in key)])
+                parts, now, too_large = [], None, key
+        if parts:
+            yield done([np.concatenate(x) for x in zip(*parts, strict=True)])
 
     return links
 
 
-def links(prints: DataFrame, column: str = "fingerprint", distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints that connect whatever lies within ``distance`` bits."""
-    if distance == 0:
-        return prints.select(F.col(column).alias("a"), F.col(column).alias("b")).limit(0)
-    choices = F.array(*[F.struct(F.lit(k).cast("int").alias("choice"), F.col("p").bitwiseAND(F.lit(m)).alias("part")) for k, m in enumerate(masks(distance, blocks))])
-    dealt = prints.select(F.col(column).alias("p")).where("p is not null").distinct().select(F.explode(choices).alias("c"), "p").select("c.choice", "c.part", "p")
-    return dealt.repartition("choice", "part").sortWithinPartitions("choice", "part").mapInArrow(_bucket_links(distance), "a bigint, b bigint").distinct()
-
-
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = WIDTH, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
-    """For each row: id, fingerprint (16 hex digits) and component_id (the smallest id reachable, itself included)."""
-    rows = cut(docs.select(F.col(f"`{id_column}`").alias("id"), fingerprints(F.col(f"`{text}`"), width).alias("fingerprint")))
-    prints = rows.groupBy("fingerprint").agg(F.min("id").alias("first"))
-    rooted = components(links(prints, "fingerprint", distance, blocks)).withColumnRenamed("node", "fingerprint")
-    prints = prints.join(rooted, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
-    lowest = prints.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_print = prints.join(lowest, "root").select("fingerprint", "component_id")
-    return rows.join(of_print, "fingerprint").select(F.col("id").alias(id_column), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+def links(prints: DataFrame, column: str = "fingerprint", distance: int = DISTANCE, blocks: int = BLOCKS, words: int = 1, most: int | None = None, held_rows: int = _HELD) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints (as hex digits) that connect whatever is linked: at most ``distance`` bits
+    of the first word differ and, if ``most`` is given, at most that many of all words.
+
+    Buckets of over ``held_rows`` fingerprints are dealt out once more, as pairs of chunks."""
+    names = [f"w{k}" for k in range(words)]
+    own = [F.get(F.col(column), F.lit(k)).alias(n) for k, n in enumerate(names)]
+    distinct = prints.where(F.col(column).isNotNull()).select(*own).distinct()
+    if distance == 0 and most is None:
+        return distinct.select(F.lit("").alias("a"), F.lit("").alias("b")).limit(0)
+    choices = F.array(*[F.struct(F.lit(k).cast("int").alias("choice"), F.col("w0").bitwiseAND(F.lit(m)).alias("part")) for k, m in enumerate(masks(distance, blocks))])
+    dealt = distinct.select(F.explode(choices).alias("c"), *names).select("c.choice", "c.part", *names)
+    kind, key = "a string, b string, choice int, part bigint", ["choice", "part"]
+    found = cut(dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(_bucket_links(distance, most, 2, held_rows), kind))
+    hot = found.where("a is null").select(*key)
+    edges = found.where("a is not null").select("a", "b")
+    if not hot.isEmpty():
+        rows = cut(dealt.join(hot, key))
+        chunks = rows.groupBy(*key).agg(F.ceil(F.count("*") * 2 / held_rows).cast("int").alias("chunks"))
+        own_chunk = F.pmod(F.xxhash64(*names), F.col("chunks")).cast("int")
+        paired = rows.join(chunks, key).withColumn("own", own_chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        pairs = paired.select(*key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *names)
+        key = [*key, "i", "j"]
+        edges = edges.union(pairs.repartition(*key).sortWithinPartitions(*key).mapInArrow(_bucket_links(distance, most, 4, None), kind).select("a", "b"))
+    return edges.distinct()
+
+
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = WIDTH, distance: int = DISTANCE, blocks: int = BLOCKS, words: int = 1, most: int | None = None) -> DataFrame:
+    """For each row: id, fingerprint (16 hex digits a word) and component_id (the smallest id reachable, itself included)."""
+    rows = cut(docs.select(F.col(f"`{id_column}`").alias("id"), fingerprints(F.col(f"`{text}`"), width, words).alias("print")))
+    rows = rows.select("id", "print", digits(F.col("print"), words).alias("fingerprint"))
+    firsts = rows.groupBy("fingerprint").agg(F.min("id").alias("first"))
+    rooted = components(links(rows, "print", distance, blocks, words, most)).withColumnRenamed("node", "fingerprint")
+    firsts = firsts.join(rooted, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+    lowest = firsts.groupBy("root").agg(F.min("first").alias("component_id"))
+    of_print = firsts.join(lowest, "root").select("fingerprint", "component_id")
+    return rows.join(of_print, "fingerprint").select(F.col("id").alias(id_column), "fingerprint", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """One document of each component: the row with the smallest id (of rows with that id, one). Rows without an id stay. The columns of ``docs``."""
-    component, same = free_name(docs.columns, "component"), free_name(docs.columns, "same")
+    component = free_name(docs.columns, "component")
     found = near_duplicates(docs, id_column, text, **how).where(F.col(id_column).isNotNull())
     kept = found.where(F.col(id_column) == F.col("component_id")).select(F.col(id_column).alias(component)).distinct()
     identified = docs.where(F.col(f"`{id_column}`").isNotNull()).join(kept, F.col(f"`{id_column}`") == F.col(component), "left_semi")

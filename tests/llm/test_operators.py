@@ -226,9 +226,48 @@ def test_pigeonhole_masks_find_every_close_pair():
 
 def test_long_texts_vote_in_parts(monkeypatch):
     text = " ".join(f"w{i}" for i in range(300_000))
-    whole = simhash.fingerprint(text)
+    whole = simhash.fingerprint(text, words=3).tolist()
     monkeypatch.setattr(simhash, "_WORDS", 1000)
-    assert simhash.fingerprint(text) == whole
+    assert simhash.fingerprint(text, words=3).tolist() == whole and simhash.fingerprint(text).tolist() == whole[:1]
+
+
+@pytest.mark.parametrize("held_rows", [4, 50, 1 << 15])
+def test_hot_buckets_are_dealt_out_again(spark, held_rows):
+    r = np.random.default_rng(3)
+    near = [int(x) for x in r.integers(0, 2**63, 3)]
+    values = sorted({x ^ 1 << int(a) ^ 1 << int(b) for x in near for a, b in r.integers(40, 64, (60, 2))} | {int(x) for x in r.integers(0, 2**63, 100)})
+    signed = [[x - (1 << 64) if x >> 63 else x] for x in values]
+    got = simhash.links(spark.createDataFrame([(x,) for x in signed], "fingerprint array<bigint>"), held_rows=held_rows).collect()
+    root = {x: x for x in values}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for e in got:
+        a, b = int(e["a"], 16), int(e["b"], 16)
+        assert (a ^ b).bit_count() <= 3
+        root[find(a)] = find(b)
+    for a in values:
+        for b in values:
+            assert (a ^ b).bit_count() > 3 or find(a) == find(b)
+
+
+def test_near_copies_by_five_words(spark):
+    r = np.random.default_rng(5)
+    rows, pairs, at = [], [], 0
+    for share in (0.0, 0.005, 0.01, 0.4):
+        for _ in range(12):
+            words = [f"w{x}" for x in r.integers(0, 5000, 400)]
+            other = [f"c{x}" if y < share else w for w, x, y in zip(words, r.integers(0, 5000, 400), r.random(400), strict=True)]
+            one, two = ({tuple(x[i : i + 5]) for i in range(396)} for x in (words, other))
+            pairs.append((at, at + 1, len(one & two) / len(one | two)))
+            rows += [(at, " ".join(words), "", "", 0), (at + 1, " ".join(other), "", "", 0)]
+            at += 2
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(fixtures.table(spark, rows), **simhash.NEAR).collect()}
+    linked = lambda low, high: [got[a] == got[b] for a, b, j in pairs if low <= j <= high]
+    assert all(linked(0.97, 1)) and not any(linked(0, 0.6)) and np.mean(linked(0.9, 1)) >= 0.75
 
 
 def test_components(spark):

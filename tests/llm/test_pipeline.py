@@ -4,7 +4,6 @@ import hashlib
 import re
 from collections import Counter
 
-import numpy as np
 import xxhash
 
 import corpus_pipeline
@@ -50,10 +49,20 @@ def _without_lines(rows):
 
 
 def _print(text):
+    """The three words of a fingerprint of five-word shingles."""
     words = WS.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
-    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    shingles = [" ".join(words[i : i + 5]) for i in range(len(words) - 4)] or ([" ".join(words)] if words else [])
     hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    full, odd = (1 << 64) - 1, 0x9E3779B97F4A7C15
+    out = []
+    for k in range(3):
+        mixed = hashes
+        if k:
+            mixed = [(h ^ h >> 29) * (odd * (2 * k + 1) & full) & full for h in hashes]
+            mixed = [(h ^ h >> 32) * odd & full for h in mixed]
+            mixed = [h ^ h >> 31 for h in mixed]
+        out.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in mixed) > len(mixed)))
+    return tuple(out)
 
 
 def _one_of_each(rows):
@@ -62,7 +71,7 @@ def _one_of_each(rows):
     for _ in root:
         for a in root:
             for b in root:
-                if np.bitwise_count(np.uint64(a ^ b)) <= 3:
+                if (a[0] ^ b[0]).bit_count() <= 6 and sum((x ^ y).bit_count() for x, y in zip(a, b, strict=True)) <= 32:
                     root[a] = root[b] = min(root[a], root[b])
     least: dict[int, int] = {}
     for p, (d, _) in zip(prints, rows, strict=True):
