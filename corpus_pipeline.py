@@ -10,7 +10,7 @@ from tessitura.llm.decontaminate import decontaminate
 from tessitura.llm.line_dedup import drop_repeated_lines
 from tessitura.llm.pieces import default_model, encode_and_decode
 from tessitura.llm.quality import keep_good
-from tessitura.llm.simhash import drop_near_duplicates
+from tessitura.llm.simhash import NEAR, drop_near_duplicates
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -29,8 +29,8 @@ def line_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest id."""
-    return drop_near_duplicates(docs)
+    """One document of each group of near-duplicates (shingles of five words) stays: the one with the smallest id."""
+    return drop_near_duplicates(docs, **NEAR)
 
 
 def benchmark_decontamination(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
