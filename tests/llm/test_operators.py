@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -294,17 +295,19 @@ def _distance(a, b):
     return row[-1]
 
 
-@pytest.mark.parametrize("threshold", [0, 2])
-def test_lines(spark, docs, threshold):
-    how = {"threshold": threshold, "min_chars": 20, "fuzzy_chars": 30}
+@pytest.mark.parametrize("chunk", [3, 128])
+def test_lines(spark, docs, chunk):
+    limits = line_dedup.Limits(20, 20, 34)
+    how = {"limits": limits, "chunk": chunk}  # with chunks of 3 almost every group is large
     places: dict[str, tuple] = {}
     for d, text, *_ in ROWS:
         if d is not None and text is not None:
             for no, line in enumerate(text.split("\n")):
                 if len(line) >= 20:
                     places[line] = min(places.get(line, (d, no)), (d, no))
-    near = {a: min([places[a], *(places[b] for b in places if threshold and b != a and min(len(a), len(b)) >= 30 and abs(len(a) - len(b)) <= 2 and _distance(a, b) <= threshold)]) for a in places}
-    assert not threshold or any(near[a] < places[a] for a in places)
+    allowed = lambda a, b: 2 if min(len(a), len(b)) >= 34 else 1
+    near = {a: min([places[a], *(places[b] for b in places if b != a and abs(len(a) - len(b)) <= allowed(a, b) and _distance(a, b) <= allowed(a, b))]) for a in places}
+    assert any(near[a] < places[a] for a in places)
     got = line_dedup.mark_lines(docs, **how).collect()
     for r in got:
         if r["text"] is None or r["doc_id"] is None:
@@ -324,14 +327,42 @@ def test_lines_keep_columns(spark, docs):
     assert line_dedup.drop_repeated_lines(fixtures.empty(spark)).count() == 0
 
 
-def test_long_runs_are_chunked(monkeypatch):
+def test_large_groups_are_paired(spark):
     table = np.zeros(700, line_dedup._ENTRY)
     table["line"] = np.arange(700)
-    pairs = set()
-    for _, lines in line_dedup._groups_of(1, [table.tobytes()]):
-        assert len(lines) <= 2 * line_dedup._CHUNK
-        pairs |= {(a, b) for a in lines.tolist() for b in lines.tolist() if a < b}
-    assert len(pairs) == 700 * 699 // 2
+    rows = line_dedup._share(128)((pa.scalar(1),), pa.table({"entries": [table.tobytes()]}))
+    groups = line_dedup._in_pairs(spark.createDataFrame(rows.to_pandas(), line_dedup._MEMBERS)).groupBy("grp").agg(F.collect_list("key").alias("keys")).collect()
+    assert max(len(g["keys"]) for g in groups) <= 256
+    assert len({(a, b) for g in groups for a in g["keys"] for b in g["keys"] if a < b}) == 700 * 699 // 2
+
+
+def test_both_kinds_of_keys_find_every_near_line():
+    import random
+
+    r, limits = random.Random(8), line_dedup.Limits()
+    for _ in range(300):
+        a = b = "".join(r.choice("abcé ") for _ in range(r.randrange(20, 70)))
+        for _ in range(limits.edits(len(a))):
+            at, how = r.randrange(len(b)), r.randrange(3)
+            b = b[:at] + ("" if how == 0 else r.choice("xyz")) + b[at + (how < 2) :]
+        if line_dedup.within(a, b, min(limits.edits(len(a)), limits.edits(len(b)))) and len(b) >= 20:
+            for keys in (line_dedup.segment_keys, line_dedup.deletion_keys):
+                assert set(map(int, keys(a, limits))) & set(map(int, keys(b, limits)))
+
+
+def test_a_fixed_start_before_a_changing_tail(spark):
+    start = "the same long beginning of a line that stands in every single document of the table, number "
+    rows = [(i, f"{start}{i * 7919 % 100_000:05d}{i * 104_729 % 100_000:05d}", "", "", 0) for i in range(600)] + [(600, start + "0000000000"[:9], "", "", 0), (601, start * 2000, "", "", 0), (602, (start + "\n") * 3, "", "", 0)]
+    places: dict[str, tuple] = {}
+    for d, text, *_ in rows:
+        for no, line in enumerate(text.split("\n")):
+            if len(line) >= 20:
+                places[line] = min(places.get(line, (d, no)), (d, no))
+    short = [x for x in places if len(x) < 200]
+    near = {x: min([places[x], *(places[y] for y in short if abs(len(x) - len(y)) <= 2 and line_dedup.within(x, y, 2))]) for x in short}
+    got = {r["doc_id"]: list(r["lines"]["gone"]) for r in line_dedup.mark_lines(fixtures.table(spark, rows)).collect()}
+    for d, text, *_ in rows:
+        assert got[d] == [no for no, x in enumerate(text.split("\n")) if x in near and near[x] < (d, no)]
 
 
 # --- 2 substrings

@@ -39,7 +39,8 @@ def _without_lines(rows):
         for no, line in enumerate(text.split("\n") if d is not None and text is not None else ()):
             if len(line) >= 20:
                 first[line] = min(first.get(line, (d, no)), (d, no))
-    close = lambda a, b: min(len(a), len(b)) >= 48 and abs(len(a) - len(b)) <= 2 and _distance(a, b) <= 2
+    most = lambda a, b: 2 if min(len(a), len(b)) >= 48 else 1
+    close = lambda a, b: abs(len(a) - len(b)) <= most(a, b) and _distance(a, b) <= most(a, b)
     earliest = {a: min([first[a], *(first[b] for b in first if first[b] < first[a] and close(a, b))]) for a in first}
     for d, text in rows:
         if d is None or text is None:
