@@ -4,8 +4,8 @@ The writer gives each page a record in a gzip member of its own. Of pages with
 equal payloads the one with the smallest id is the response; the others are
 revisits that refer to it and keep only the HTTP header, whose Content-Length
 still tells the size of the payload. The smallest id is found by partial
-aggregation on the payload's digest, so a group that holds a third of all rows
-is combined map-side. Each task writes files of its own name and returns a
+aggregation on the payload's SHA-256, so a group that holds a third of all rows
+is combined map-side; payloads themselves are not shuffled. Each task writes files of its own name and returns a
 manifest row for each; only the manifest of the attempt that Spark keeps is
 read again, so lost executors leave unread files behind, never wrong results.
 
@@ -40,7 +40,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, new_folder
+from .common import cut, likely, new_folder
 
 FILE_BYTES = 128 << 20
 _READERS = 20_000
@@ -62,14 +62,16 @@ def digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record(page_id, url: str | None, payload: bytes, refers_to=None, date: str = "2024-01-01T00:00:00Z") -> bytes:
-    """One record, not compressed; a revisit if ``refers_to`` is given."""
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+def record(page_id, url: str | None, payload: bytes | None, refers_to=None, size: int | None = None, sha1: bytes | None = None, date: str = "2024-01-01T00:00:00Z") -> bytes:
+    """One record, not compressed; a revisit if ``refers_to`` is given, which needs no payload but its size and SHA-1."""
+    if payload is not None:
+        size, sha1 = len(payload), hashlib.sha1(payload).digest()
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
     block = http if refers_to is not None else http + payload
     uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "")
     head = [
         "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {date}", f"WARC-Target-URI: {uri}",
-        f"WARC-Payload-Digest: sha1:{digest(payload)}", f"WARC-Block-Digest: sha1:{digest(block)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
+        f"WARC-Payload-Digest: sha1:{base64.b32encode(sha1).decode()}", f"WARC-Block-Digest: sha1:{digest(block)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
     if refers_to is not None:
         head[3:3] = [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
@@ -81,11 +83,27 @@ def member(data: bytes) -> bytes:
     return pack.compress(data) + pack.flush()
 
 
+_TO_WRITE = ["id", "url", "payload", "original", "size", "sha1"]
+
+
 def with_originals(pages: DataFrame) -> DataFrame:
-    """pages (id, url, payload) with ``original``: the smallest id whose payload is equal."""
-    keyed = pages.withColumn("key", F.sha1(F.coalesce("payload", F.lit("").cast("binary"))))
-    firsts = keyed.groupBy("key").agg(F.min("id").alias("original"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return keyed.join(firsts, "key", "left").select("id", "url", "payload", "original")
+    """pages (id, url, payload) as ``_TO_WRITE``: revisits have ``original`` (the smallest id whose payload is equal), size and sha1 instead of a payload.
+
+    Payloads surely held once are not shuffled, of others only the responses' are; what is joined are digests and ids."""
+    own = F.coalesce("payload", F.lit("").cast("binary"))
+    keyed = pages.select("id", "url", own.alias("payload"), F.sha2(own, 256).alias("key"))
+    small = cut(keyed.select("id", "url", "key", F.octet_length("payload").cast("long").alias("size"), F.unhex(F.sha1("payload")).alias("sha1")))
+    firsts = cut(small.groupBy("key").agg(F.min("id").alias("original"), F.count("*").alias("n")).where("n > 1 and original is not null").drop("n"))
+    again = small.join(firsts, "key").where(~F.col("id").eqNullSafe(F.col("original")))
+    revisits = again.select("id", "url", F.lit(None).cast("binary").alias("payload"), "original", "size", "sha1")
+    marked = likely(keyed, F.xxhash64("key"), firsts.select(F.xxhash64("key")), flag="shared")
+    # The response of each group, and what only seemed to be shared.
+    kept = small.join(firsts, "key", "left").where(F.col("original").isNull() | F.col("id").eqNullSafe(F.col("original"))).select(F.xxhash64("id", "key").alias("held"))
+    maybe = marked.where("shared").withColumn("held", F.xxhash64("id", "key"))
+    responses = likely(maybe, F.col("held"), likely(kept, F.col("held"), maybe.select("held")).select("held"))
+    responses = responses.join(firsts, "key", "left").where(F.col("original").isNull() | F.col("id").eqNullSafe(F.col("original")))
+    none = [F.lit(None).cast("long").alias("original"), F.lit(None).cast("long").alias("size"), F.lit(None).cast("binary").alias("sha1")]
+    return marked.where("not shared").union(responses.select(*marked.columns)).select("id", "url", "payload", *none).union(revisits.select(*_TO_WRITE))
 
 
 def write_archives(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -102,13 +120,11 @@ def write_archives(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES)
             return pa.RecordBatch.from_pylist([{"path": f"{folder}/{name}", "bytes": written, "records": count}], _MANIFEST_ARROW)
 
         for batch in batches:
-            for page_id, url, payload, original in zip(*(c for c in batch.columns), strict=True):
-                page_id, original = page_id.as_py(), original.as_py()
-                again = original if original is not None and original != page_id else None
+            for page_id, url, payload, original, size, sha1 in zip(*(c for c in batch.columns), strict=True):
                 if out is None:
                     name, written, count = f"{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = files.open_output_stream(f"{root}/{name}", compression=None)
-                data = member(record(page_id, url.as_py(), payload.as_py() or b"", again))
+                data = member(record(page_id.as_py(), url.as_py(), payload.as_py(), original.as_py(), size.as_py(), sha1.as_py()))
                 out.write(data)
                 written, count = written + len(data), count + 1
                 if written >= file_bytes:
@@ -374,14 +390,22 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
     return paths.repartition(max(1, min(paths.count(), _READERS))).mapInArrow(read, ROWS)
 
 
+def read_valid(manifest: DataFrame, quarantine: str, payloads: bool = True) -> DataFrame:
+    """The valid records of all archives; the gaps (path, begin, end, problem) are written to ``quarantine`` as Parquet."""
+    rows = cut(read_archives(manifest, payloads))
+    rows.where("problem is not null").select("path", "begin", "end", "problem").coalesce(1).write.mode("errorifexists").parquet(quarantine)
+    return rows.where("problem is null").drop("problem")
+
+
 def _page_id(column):
     return F.regexp_extract(column, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
 
 
 def op4_warc(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("id"), "url", F.col("html").cast("binary").alias("payload"))
-    rows = read_archives(write_archives(pages, new_folder(spark, "warc")), payloads=False)
-    return rows.where("problem is null").select(_page_id(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", _page_id(F.col("refers_to")).alias("refers_to"))
+    folder = new_folder(spark, "warc")
+    rows = read_valid(write_archives(pages, folder), f"{folder}-quarantine", payloads=False)
+    return rows.select(_page_id(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", _page_id(F.col("refers_to")).alias("refers_to"))
 
 
 OP4_SQL = """
