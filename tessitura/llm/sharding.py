@@ -6,8 +6,8 @@ is as small as any contiguous cut allows: the smallest feasible capacity is
 found by binary search, each capacity checked greedily.
 
 The list of groups stays distributed. The driver sees sums over prefixes of
-the hash (``4096`` children for each prefix that is opened), which bound the
-answer from both sides: cuts at known places give a capacity that is
+the hash (4096 at first, then 16 children for each prefix that is opened, at
+most ``_MOST_OPENED`` of them at a time), which bound the answer from both sides: cuts at known places give a capacity that is
 feasible, cuts anywhere inside a prefix give one that none can beat. Prefixes
 in which a cut could still move are opened further, until both capacities
 meet; what is collected is bounded by shards and depth, not by rows.
@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from .common import cut, free_name
 
 SHARDS = 16
-_STEP = 3  # hex digits by which a prefix is opened
+_FIRST = 3  # hex digits of the first prefixes; further ones are opened digit by digit
+_MOST_OPENED = 256
 _SLOT_ROWS = 10_000
 
 
@@ -85,7 +86,7 @@ def _smallest(segments, shards: int, loose: bool) -> int:
 
 def _children(groups: DataFrame, depth: int, opened: list[str] | None) -> list[Segment]:
     if opened is not None:
-        groups = groups.where(F.substring("digest", 1, depth - _STEP).isin(opened))
+        groups = groups.where(F.substring("digest", 1, depth - 1).isin(opened))
     rows = groups.groupBy(F.substring("digest", 1, depth).alias("prefix")).agg(F.sum("size").alias("size"), F.count("*").alias("groups"), F.max("size").alias("largest")).collect()
     return sorted((Segment(r["prefix"], r["size"], r["groups"], r["largest"]) for r in rows), key=lambda s: s.prefix)
 
@@ -94,10 +95,9 @@ def minimax_cuts(groups: DataFrame, shards: int = SHARDS) -> tuple[int, list[str
     """The smallest capacity, and the digest prefix at which each shard after the first begins.
 
     groups: columns digest (hex, distinct) and size."""
-    segments = _children(groups, _STEP, None)
+    segments = _children(groups, _FIRST, None)
     if not segments:
         return 0, []
-    depth = _STEP
     while True:
         capacity, bound = _smallest(segments, shards, False), _smallest(segments, shards, True)
         if capacity == bound or all(s.groups == 1 for s in segments):
@@ -113,10 +113,12 @@ def minimax_cuts(groups: DataFrame, shards: int = SHARDS) -> tuple[int, list[str
             at += s.size
         if not opened:
             opened = [s.prefix for s in segments if s.groups > 1]
+        if len(opened) > _MOST_OPENED:  # the others' turn comes, if it must, when the zones are smaller
+            largest = {s.prefix for s in sorted((s for s in segments if s.groups > 1), key=lambda s: -s.size)[:_MOST_OPENED]}
+            opened = [p for p in opened if p in largest] or opened[:_MOST_OPENED]
         shallow = min(len(p) for p in opened)
         chosen = {p for p in opened if len(p) == shallow}
-        depth = shallow + _STEP
-        segments = sorted([s for s in segments if s.prefix not in chosen] + _children(groups, depth, sorted(chosen)), key=lambda s: s.prefix)
+        segments = sorted([s for s in segments if s.prefix not in chosen] + _children(groups, shallow + 1, sorted(chosen)), key=lambda s: s.prefix)
     return capacity, _balanced(segments, capacity, shards)
 
 
