@@ -7,8 +7,8 @@ window. A document word inside any occurrence of a window is hit.
 
 The benchmark is measured first. Up to ``block_bytes`` its windows are
 broadcast as sorted 64-bit hashes; a larger one is dealt into blocks of about
-that size and the documents are scanned once for each block, so what is
-broadcast stays bounded. A hash that is found is verified word by word.
+that size and the documents are scanned once for each block, with what was
+found kept in the shared folder, so one block at a time is broadcast. A hash that is found is verified word by word.
 The scan is narrow: nothing is shuffled, and hot sources, copies and common
 passages cost what other rows cost.
 
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import free_name
+from .common import cut, free_name
 
 WIDTH = 10
 BLOCK_BYTES = 16 << 20
@@ -180,6 +180,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
         rows = dealt.where(F.col("block") == k).select("id", "text").toArrow()
         shared = spark.sparkContext.broadcast(Windows(zip(rows["id"].to_pylist(), rows["text"].to_pylist(), strict=True), width))
         docs = docs.withColumn(into, _scanner(shared, k == 0)(F.col(f"`{text}`"), F.col(into) if k else empty))
+        if k < blocks - 1:  # one block at a time is held by the driver and the executors
+            docs = cut(docs)
+            shared.destroy()
     return docs
 
 
