@@ -16,17 +16,24 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Frequent function words of English, French, German and Spanish.
+#: Frequent function words of English, French, German, Spanish, Portuguese, Italian, Dutch, Swedish and Polish.
 STOP_WORDS = (
     "the be to of and that have with is in it for on as by was this are from or an at not "
     "le la les de des du et un une en que qui dans pour est sur pas au par avec "
     "der die das und ist von zu den mit ein eine auf im für nicht sich dem als auch es "
-    "el los las y en un una que del se por con para no su al lo"
+    "el los las y en un una que del se por con para no su al lo "
+    "os as um uma do da dos em não com mais ao "
+    "il gli di che per con una sono della non "
+    "het een van op dat niet zijn voor "
+    "och att det som på är av för "
+    "w i z na się do nie jest"
 ).split()
 
 #: As they stand in running text and at the start of a sentence.
 _STOP_FORMS = sorted({x for w in STOP_WORDS for x in (w, w.capitalize())})
 _SYMBOLS = "#*$%&|<>"
+#: Latin letters, marks and general punctuation; texts in other scripts need no word of the list.
+_LATIN = r"[\x00-\x{24F}\x{1E00}-\x{1EFF}\x{2000}-\x{206F}]+"
 
 
 @dataclass(frozen=True)
@@ -60,7 +67,7 @@ BASE_RULES = (
 RULES = (
     Rule("word_length", "word_chars", per="n_words", low=2, high=15),
     Rule("symbols", "n_symbols", per="n_words", high=0.1),
-    Rule("stop_words", "n_stop_words", low=1),
+    Rule("stop_words", "n_language_signs", low=1),
     Rule("repeated_lines", "n_dup_lines", per="n_lines", high=0.4),
     Rule("bullet_lines", "n_bullet_lines", per="n_lines", high=0.9),
     Rule("ellipsis_lines", "n_ellipsis_lines", per="n_lines", high=0.3),
@@ -142,12 +149,17 @@ def metrics(text: Column) -> Column:
                 F.size(F.filter(s["lines"], lambda x: x.rlike(r"^\s*[-*•‣▪]"))).cast("long").alias("n_bullet_lines"),
                 F.size(F.filter(s["lines"], lambda x: x.rlike(r"(\.\.\.|…)\s*$"))).cast("long").alias("n_ellipsis_lines"),
                 F.size(F.array_intersect(words, stop)).cast("long").alias("n_stop_words"),
+                F.char_length(F.regexp_replace(clean, _LATIN, "")).cast("long").alias("n_other_chars"),
                 s["repeat"].alias("n_repeat_words"),
                 (s["repeat"] * 100).alias("n_repeat_words_x100"),
             ),
         )
 
-    return _bind(words_of(text), of)
+    def signed(m: Column) -> Column:
+        other = (m["n_other_chars"] * 4 > m["word_chars"]).cast("long")
+        return m.withField("n_language_signs", m["n_stop_words"] + other)
+
+    return _bind(_bind(words_of(text), of), signed)
 
 
 def assess(docs: DataFrame, text: str = "text", into: str = "quality", rules=RULES) -> DataFrame:
@@ -184,7 +196,7 @@ def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
     q = F.col("quality")
     return assess(docs).select(
         "doc_id", *[q[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")],
-        *[q[c].alias(c) for c in ("n_lines", "n_stop_words", "n_bullet_lines", "n_ellipsis_lines")],
+        *[q[c].alias(c) for c in ("n_lines", "n_stop_words", "n_other_chars", "n_bullet_lines", "n_ellipsis_lines")],
     )
 
 
@@ -213,6 +225,7 @@ WITH base AS (
          coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
          len(list_filter(lines, lambda x: regexp_matches(x, '^\\s*[-*•‣▪]')))::BIGINT AS n_bullet_lines,
          len(list_filter(lines, lambda x: regexp_matches(x, '(\\.\\.\\.|…)\\s*$')))::BIGINT AS n_ellipsis_lines,
+         length(regexp_replace(text, '[\\x00-\\x{{24F}}\\x{{1E00}}-\\x{{1EFF}}\\x{{2000}}-\\x{{206F}}]+', '', 'g'))::BIGINT AS n_other_chars,
          len(list_distinct(list_filter(words, lambda x: x IN ({_STOP_SQL}))))::BIGINT AS n_stop_words
   FROM w LEFT JOIN rep ON rep.rid = w.rid
 ), v AS (
@@ -220,9 +233,9 @@ WITH base AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        (NOT base_failed AND word_chars >= 2 * n_words AND word_chars <= 15 * n_words
-        AND n_symbols <= n_words * 0.1::DOUBLE AND n_stop_words >= 1
+        AND n_symbols <= n_words * 0.1::DOUBLE AND (n_stop_words >= 1 OR n_other_chars * 4 > word_chars)
         AND n_dup_lines <= n_lines * 0.4::DOUBLE AND n_bullet_lines <= n_lines * 0.9::DOUBLE
         AND n_ellipsis_lines <= n_lines * 0.3::DOUBLE) AS kept,
-       n_lines, n_stop_words, n_bullet_lines, n_ellipsis_lines
+       n_lines, n_stop_words, n_other_chars, n_bullet_lines, n_ellipsis_lines
 FROM v
 """

@@ -49,6 +49,9 @@ def test_quality_verdicts(spark):
     rows = [(1, good, "", "", 0), (2, " ".join(w + "###" for w in good.split()), "", "", 0), (3, "too short", "", "", 0), (4, " ".join(["spam and eggs on toast"] * 9), "", "", 0), (5, None, "", "", 0)]
     kept = quality.keep_good(fixtures.table(spark, rows))
     assert [r["doc_id"] for r in kept.collect()] == [1] and kept.columns == fixtures.table(spark, rows).columns
+    greek = fixtures.table(spark, [(1, "ένα κείμενο γραμμένο σε άλλη γραφή χωρίς καμία από τις γνωστές λέξεις", "", "", 0), (2, "xa xb xc xd xe xf xg xh xi xj xk", "", "", 0), (3, "the long text " * 200_000, "", "", 0)])
+    assert [r["doc_id"] for r in quality.keep_good(greek).collect()] == [1]
+    assert quality.assess(fixtures.empty(spark)).count() == 0
     clash = fixtures.table(spark, rows).withColumn("quality", F.lit("mine"))
     assert quality.keep_good(clash).columns == clash.columns
     with pytest.raises(ValueError):
@@ -453,6 +456,28 @@ def test_archives(spark, tmp_path):
         want[f"<urn:page:{'' if i is None else i}>", "revisit" if again else "response", f"<urn:page:{min(same)}>" if again else None, len(p or b""), base64.b32encode(hashlib.sha1(p or b"").digest()).decode()] += 1
     assert got == want
     assert warc.read_archives(warc.write_archives(pages.limit(0), f"file://{tmp_path}/b")).count() == 0
+    # Gaps go to a table of their own.
+    name = manifest.orderBy("path").head()["path"].removeprefix("file://")
+    with open(name, "r+b") as f:
+        f.seek(40)
+        f.write(b"????")
+    valid = warc.read_valid(manifest, f"file://{tmp_path}/gaps").count()
+    gaps = spark.read.parquet(f"file://{tmp_path}/gaps").collect()
+    assert valid < len(rows) and gaps and all(g["problem"] and g["end"] > g["begin"] for g in gaps)
+
+
+def test_payloads_are_not_shuffled(spark, tmp_path):
+    rows = [(i, f"u{i}", b"one" if i % 3 == 0 else f"p{i % 50}".encode() if i % 2 else f"own {i}".encode()) for i in range(400)]
+    pages = spark.createDataFrame(rows, "id long, url string, payload binary").repartition(5)
+    got = {r["record_id"]: r for r in warc.read_archives(warc.write_archives(pages, f"file://{tmp_path}/a")).collect()}
+    least: dict[bytes, int] = {}
+    for i, _, p in rows:
+        least[p] = min(least.get(p, i), i)
+    assert len(got) == len(rows)
+    for i, u, p in rows:
+        r = got[f"<urn:page:{i}>"]
+        assert (r["record_type"], r["payload"], r["target_uri"], r["payload_bytes"]) == (("response", p, u, len(p)) if least[p] == i else ("revisit", None, u, len(p)))
+        assert r["refers_to"] == (None if least[p] == i else f"<urn:page:{least[p]}>") and r["payload_digest"] == warc.digest(p)
 
 
 class _Source(io.BytesIO):

@@ -26,7 +26,7 @@ def _good(text):
         and 100 * len(repeated) <= 20 * len(words)
         and 2 * len(words) <= chars <= 15 * len(words)
         and sum(c in "#*$%&|<>" for c in text) <= 0.1 * len(words)
-        and not stop.isdisjoint(words)
+        and (not stop.isdisjoint(words) or 4 * len(re.sub("[\x00-\u024f\u1e00-\u1eff\u2000-\u206f]", "", text)) > chars)
         and len(lines) - len(set(lines)) <= 0.4 * len(lines)
         and sum(bool(re.match(r"\s*[-*•‣▪]", x)) for x in lines) <= 0.9 * len(lines)
         and sum(x.rstrip().endswith(("...", "…")) for x in lines) <= 0.3 * len(lines)
