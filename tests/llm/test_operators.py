@@ -634,7 +634,7 @@ def test_surrogates(spark):
     assert sum(sum(divmod(int(c) * (2 if i % 2 else 1), 10)) for i, c in enumerate(reversed(solid))) % 10 == 0
     five = next(r for r in got if r[0] == 5 and "key=" in r[1])
     names = re.findall(r"(?:Mr\.|MR|Frau|г-жа) ([\w]+(?: [\w]+)?)", five[1])
-    assert "Smith" not in five[1] and "Иванова" not in five[1] and re.search(r"г-жа [А-я]+ [А-я]+", five[1])
+    assert "Smith" not in five[1] and "Иванова" not in five[1] and re.search(r"г-жа [А-яё]+ [А-яё]+", five[1])
     assert re.fullmatch(r"[a-z0-9]{40}", re.search(r'key="(\w+)"', five[1])[1]) and names
     phone = re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", two[1])[0]
     assert phone in next(r for r in got if r[0] == 5 and "key=" not in r[1])[1]
@@ -651,6 +651,56 @@ def test_surrogates_of_a_small_space_stay_distinct(spark, monkeypatch):
     assert len(set(got)) == 12
 
 
+NAMED = [
+    "Mr. John Smith met MR JOHN SMITH and John Smith. Mr. Smith left. Smith, John came back.",
+    "Dr. Anna Jones and Prof. Lee wrote; Anna laughed. The Jones report by Lee.",
+    "Frau Müller-Lüdenscheidt, Herr von Goethe und Müller-Lüdenscheidt. Mr. J. R. Tolkien; Tolkien said so.",
+    "Mr. Γιώργος Παπάς and г-жа Анна Иванова, Анна, ПАПÁΣ.",
+    "Mrs. John Smith is named as her husband; JOHN is not.",
+    None, "", "no names here: Smith and John are only words",
+]
+
+
+def test_names_are_coreferent_and_distinct(spark):
+    df = spark.createDataFrame(list(enumerate(NAMED)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in surrogates.replace(df, "key").collect()}
+    word = re.compile(r"[^\W\d_]+")
+    of_word: dict[str, set] = {}
+    for k, old in enumerate(NAMED):
+        if not old:
+            assert got[k] == old
+            continue
+        # Format: what is no word stays where it is, case stays.
+        assert word.sub("", old) == word.sub("", got[k])
+        for a, b in zip(word.findall(old), word.findall(got[k]), strict=True):
+            assert a.isupper() == b.isupper() and a[0].isupper() == b[0].isupper()
+            if a != b and len(a) > 1 and k != 4:
+                of_word.setdefault(a.lower(), set()).add(b.lower())
+    assert got[7] == NAMED[7]
+    hidden = "john smith anna jones lee müller lüdenscheidt goethe tolkien γιώργος παπάς анна иванова".split()
+    assert all(len(of_word[w]) == 1 for w in hidden if w != "anna")  # each name has one surrogate,
+    new = [next(iter(of_word[w])) for w in hidden]
+    assert len(set(new)) == len(new) and not set(new) & set(hidden)  # no two share one
+    for k in (0, 1, 2, 3):
+        assert not {w for w in word.findall(got[k].lower())} & set(hidden)
+    assert re.search("[α-ω]", of_word["γιώργος"].copy().pop()) and re.search("[а-я]", of_word["анна"].copy().pop())
+    assert "von " in got[2] and "The " in got[1] and re.search(r"Mr\. [A-Z]\. [A-Z]\. ", got[2]) and "J. R." not in got[2]
+
+
+def test_more_entities(spark):
+    text = "v6 2001:db8:0:1:2:3:4:5 or fe80::1, amex 3782 822463 10005, call 1-800-555-1234 or 555 123 4567 or 030 12345678, at 12:30:45 in 1999 2000"
+    r = surrogates.replace(spark.createDataFrame([(1, text), (1, text), (2, "Mr. Long Name " + "and much text " * 100_000)], "doc_id long, text string"), "key").collect()
+    assert list(r[0]["entities"]) == ["ipv6", "ipv6", "card", "phone", "phone", "phone"] and r[0] == r[1]
+    assert re.fullmatch(r"v6 [\da-f:]+ or [\da-f]{4}::[\da-f], amex \d{4} \d{6} \d{5}, call \d-\d{3}-\d{3}-\d{4} or \d{3} \d{3} \d{4} or \d{3} \d{8}, at 12:30:45 in 1999 2000", r[0]["text"])
+    assert len(r[2]["text"]) > 1_400_000 and "Long" not in r[2]["text"]
+
+
+def test_a_full_space_gets_longer(spark):
+    rows = [(k * 26 + i, f"x {chr(97 + k)}{chr(97 + i)}@b.co y") for k in range(26) for i in range(26)]
+    got = [re.search(r"\S+@\S+", r["text"])[0] for r in surrogates.replace(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()]
+    assert len(set(got)) == len(rows) and not {x.split("@")[0] for x in got if x.endswith("@b.co") and len(x) == 7}
+
+
 def test_surrogate_plan_is_native(spark):
     df = spark.createDataFrame(PII, "doc_id long, text string")
     plan = surrogates.replace(df, "key")._jdf.queryExecution().executedPlan().toString()
