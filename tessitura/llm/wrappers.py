@@ -25,15 +25,15 @@ path with partial aggregation.
 The main text is looked for in what the wrapper's slots hold: it is the
 ``article`` with most text that is free of navigation, else ``main``, else the
 block that the text is in. From it template texts are left out, and by tag
-names and class words the slots in menus, headers, footers, sidebars, notices,
+names and class words (a mark that nothing but a container word follows) the slots in menus, headers, footers, sidebars, notices,
 adverts, forms, scripts and reader comments; classes such as ``has-sidebar``
 mark nothing, headings in an ``article`` stay, and words of layouts mark no
 element that holds most of the text. A page without text in its host's
 place is read by its own wrapper, without a template.
 
 Null html counts as empty and has an empty text; a null url is a host of its
-own; tags that are never closed end with their parent; elements deeper than
-``_DEPTH`` count to their ancestor; broken tags are text; an empty table stays
+own; tags that are never closed end with their parent; wrappers end at the depth
+``_DEPTH``, while marks of deeper elements still count; broken tags are text; an empty table stays
 empty; repeated pages get equal results; other columns pass through.
 """
 
@@ -57,7 +57,7 @@ _BROADCAST_BYTES = 32 << 20
 
 #: Element names.
 BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html iframe legend li main menu nav object ol optgroup option p pre section select summary table tbody td template tfoot th thead tr ul button textarea canvas svg video audio noscript head title".split())
-RAW = set("script style template noscript iframe svg math canvas object video audio textarea head title select".split())
+RAW = set("script style template noscript iframe svg canvas object video audio textarea head title select".split())
 LEFT_OUT = set("nav aside footer form button fieldset menu dialog header select".split())
 EMPTY = set("br hr img input meta link area base col embed source track wbr param".split())
 ENDS_P = BLOCKS - {"button", "object", "svg", "video", "audio", "noscript", "option", "optgroup", "canvas", "iframe", "template"}
@@ -72,14 +72,25 @@ _NO_MARK = re.compile(r"^(?:has|no|not|with|without)[-_]", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _MARKED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none", re.I)
+#: What may follow a mark within one class word, as in related-posts or sidebar__inner.
+CONTAINERS = set("post posts article articles link links list box bar block section area wrapper wrap container inner outer body content contents left right top bottom main button buttons icon icons item items news story stories reading topics form field message messages panel row col column columns group slot unit zone text title heading id no small large mobile desktop sticky fixed primary secondary".split())
 _PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
+def _marks_of(word: str) -> set[str]:
+    """The marks of a class word; none if something that is no container follows (related-work)."""
+    parts = [p.lower() for p in _PARTS.findall(word)]
+    first = next((k for k, p in enumerate(parts) if p in MARKS), None)
+    if first is None or any(p not in MARKS and p not in CONTAINERS for p in parts[first:]):
+        return set()
+    return {p for p in parts if p in MARKS}
+
+
 def _label(name: str, attributes: str) -> str:
     if name in ("html", "body", "article", "main"):
         return name
     words = [w for m in _MARKED.finditer(attributes) for w in next(filter(None, m.groups()), "").split() if not _NO_MARK.match(w)]
-    marks = {p.lower() for w in words for p in _PARTS.findall(w)} & MARKS
+    marks = set().union(*map(_marks_of, words)) if words else set()
     if _HIDDEN.search(attributes) or marks - LAYOUT:
         return f"{name}!"
     return f"{name}!{'header' if marks <= {'header', 'masthead'} else 'layout'}" if marks else name
@@ -103,7 +114,8 @@ def blocks(page: str | None):
     def end_block():
         whole = " ".join(html.unescape("".join(text)).split())
         if whole:
-            found.append((tuple(label for _, label in stack[:_DEPTH]), whole, min(links[1], len(whole))))
+            deep = next((label for _, label in stack[_DEPTH:] if "!" in label or label in LEFT_OUT), None)
+            found.append((tuple(label for _, label in stack[:_DEPTH]) + ((deep,) if deep else ()), whole, min(links[1], len(whole))))
             if len(stack) <= _DEPTH:
                 events.append(_key(*found[-1][:2]))
         text.clear()
