@@ -5,25 +5,27 @@ starts in a document with a smaller id is removed; strings are judged on the
 input. Every such string is dealt by the smallest hash of its ``_GRAM``-byte
 parts, so equal strings meet wherever they stand; neighbouring strings with
 the same smallest part travel as one run of bytes (about 22 strings in 70
-bytes), packed by bucket. In a bucket the strings are ordered by a 64-bit
-fingerprint, equal fingerprints are compared byte by byte, and the smallest id
-of each group decides.
+bytes), packed by bucket.
 
-A bucket over ``_HOT_BYTES`` (one passage in a large share of all documents) is
-not gathered: its strings become rows whose smallest ids are combined by
-partial aggregation.
+Buckets are shards of the corpus: Spark's shuffle is the store on disk, and a
+bucket is small enough to be sorted in memory. Within a bucket equal runs are
+folded (a hash of their ends proposes, their bytes decide), fingerprints leave
+the runs that share a string with another one, and the suffixes of these are
+ordered by induced sorting (``induced``). Neighbours in that order that share
+``length`` bytes are equal strings, and the smallest id of each group decides.
 
-Buckets are shards of the corpus, so Spark's shuffle is the store on disk, and
-a bucket is small enough to be sorted in memory.
+A bucket over ``_HOT_BYTES`` (one passage in a large share of all documents) is
+not gathered: its strings themselves become rows, whose smallest ids are
+combined by partial aggregation. Both ways compare bytes.
 
 Null texts count as empty. Rows without an id keep everything and remove
-nothing; rows that share an id do not remove from each other; an empty table
-stays empty; other columns are left to the caller.
+nothing; rows that share an id do not remove from each other; a very long text
+goes in pieces that share their borders; an empty table stays empty; other
+columns are left to the caller.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,6 +39,8 @@ _GRAM = 8
 _BUCKET_BYTES = 2 << 20  # of text, for each bucket; about three times that in runs
 _HOT_BYTES = 20 << 20  # of runs
 _SLICE = 2 << 20
+_TASK_BUCKETS = 8  # about 60 MB of runs
+_STRINGS = 1 << 16
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
 _PACKED = pa.schema([("bucket", pa.int64()), ("runs", pa.binary())])
 _SIZES = pa.schema([("bucket", pa.int64()), ("n_bytes", pa.int64())])
@@ -285,15 +289,20 @@ def _of_bucket(length: int):
 
 
 def _string_rows(length: int):
-    kind = pa.schema([(x, pa.int64()) for x in ("f1", "f2", "id", "key", "place")])
+    kind = pa.schema([("string", pa.binary()), ("id", pa.int64()), ("key", pa.int64()), ("place", pa.int64())])
 
     def run(batches):
         for batch in batches:
             for blob in batch.column(0).to_pylist():
                 ids, keys, places, counts, raw = _unpack([blob])
-                strings = _strings(counts, raw, length)
-                columns = [_fingerprint(*strings, s).view(np.int64) for s in (1, 2)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, np.repeat(ids, counts), np.repeat(keys, counts), _spread(places, counts))], schema=kind)
+                at, _, _ = _strings(counts, raw, length)
+                windows = np.lib.stride_tricks.sliding_window_view(raw, length)
+                owner, place = np.repeat(np.arange(len(ids)), counts), _spread(places, counts)
+                for k in range(0, len(at), _STRINGS):
+                    some = at[k : k + _STRINGS]
+                    strings = pa.FixedSizeBinaryArray.from_buffers(pa.binary(length), len(some), [None, pa.py_buffer(np.ascontiguousarray(windows[some]))]).cast(pa.binary())
+                    own = owner[k : k + _STRINGS]
+                    yield pa.RecordBatch.from_arrays([strings, pa.array(ids[own]), pa.array(keys[own]), pa.array(place[k : k + _STRINGS])], schema=kind)
 
     return run
 
@@ -320,13 +329,18 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, buckets: int | None =
     plain = docs.select("id", "key", "raw")
     # Bytes by bucket are counted first: packed runs are large, so they are made where they are dealt, and not kept.
     sizes = plain.mapInArrow(_measure(length, buckets), "bucket bigint, n_bytes bigint").groupBy("bucket").agg(F.sum("n_bytes").alias("n"))
-    hot = [r["bucket"] for r in sizes.where(F.col("n") > hot_bytes).select("bucket").collect()]
+    hot = cut(sizes.where(F.col("n") > hot_bytes).select("bucket"))
     packed = plain.mapInArrow(_packer(length, buckets), "bucket bigint, runs binary")
-    spans = packed.where(~F.col("bucket").isin(hot)).groupBy("bucket").applyInArrow(_of_bucket(length), "key bigint, begin bigint, end bigint")
-    if hot:
-        rows = packed.where(F.col("bucket").isin(hot)).select("runs").mapInArrow(_string_rows(length), "f1 bigint, f2 bigint, id bigint, key bigint, place bigint")
-        least = rows.groupBy("f1", "f2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
-        late = rows.join(least, ["f1", "f2"]).where("id > least").select("key", "place")
+    cold, rows = packed, None
+    if not hot.isEmpty():
+        cold = packed.join(hot, "bucket", "left_anti")
+        rows = packed.join(hot, "bucket", "left_semi").select("runs").mapInArrow(_string_rows(length), "string binary, id bigint, key bigint, place bigint")
+    # As many tasks as the buckets need, however many the corpus has.
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-buckets // _TASK_BUCKETS))
+    spans = cold.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_of_bucket(length), "key bigint, begin bigint, end bigint")
+    if rows is not None:
+        least = rows.groupBy("string").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
+        late = rows.join(least, "string").where("id > least").select("key", "place")
         spans = spans.unionByName(late.mapInArrow(_joined_spans(length), "key bigint, begin bigint, end bigint"))
     return spans
 
