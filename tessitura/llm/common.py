@@ -39,6 +39,13 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def release() -> None:
+    """Gives memory that an Arrow function no longer needs back, so that workers which are used again stay small."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+
+
 _MAP_BITS = 4096 * 8
 
 

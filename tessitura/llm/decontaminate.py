@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import cut, free_name
+from .common import cut, free_name, release
 
 WIDTH = 10
 BLOCK_BYTES = 16 << 20
@@ -161,6 +161,7 @@ def _scanner(shared, first: bool):
                 old = old.as_py()
                 runs, found = _merged(old, runs), found | set(old["items"])
             rows.append({"n_words": len(ids), "n_hit": sum(e - b for b, e in runs), "items": sorted(found), "words": [{"begin": b, "end": e} for b, e in runs]})
+        release()
         return pa.array(rows, _ARROW)
 
     return scan.asNondeterministic()  # else a condition on the hits scans the texts once more

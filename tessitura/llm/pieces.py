@@ -30,6 +30,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
+
 SPACE = "▁"
 _REMEMBERED_BYTES = 12 << 20
 _PART = 1 << 19
@@ -130,7 +132,7 @@ class Agenda:
                 if p[:k] in number and p[k:] in number:
                     pairs[number[p[:k]] * self.n + number[p[k:]]] = number[p]
         keys = np.fromiter(pairs, np.int64, len(pairs))
-        self.bits = max(4, len(pairs).bit_length() + 2)
+        self.bits = max(4, len(pairs).bit_length() + 1)
         self.keys, self.merged = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
         values, left, slot = np.fromiter(pairs.values(), np.int32, len(pairs)), np.arange(len(pairs)), self._slot(keys)
         while len(left):
@@ -413,6 +415,7 @@ def encode_and_decode(docs: DataFrame, model: str, text: str = "text", into: str
                 columns[3].append(pa.array(lists, pa.list_(pa.int32())))
         if keep_ids:
             columns[3] = pa.concat_arrays(columns[3]) if columns[3] else []
+        release()
         return pa.StructArray.from_arrays([pa.array(c, kind) if isinstance(c, list) else c for c, (_, kind) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
     return docs.withColumn(into, run(F.col(f"`{text}`")))

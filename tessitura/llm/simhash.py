@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free_name
+from .common import cut, free_name, release
 from .components import components
 
 WIDTH, DISTANCE, BLOCKS = 3, 3, 6
@@ -99,6 +99,7 @@ def fingerprints(text: Column, width: int = WIDTH, words: int = 1) -> Column:
     def run(texts: pa.Array) -> pa.Array:
         values = [fingerprint(x.as_py(), width, words) for x in texts]
         flat = np.concatenate(values).view(np.int64) if values else np.zeros(0, np.int64)
+        release()
         return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * words, pa.int32()), pa.array(flat))
 
     return run(text)

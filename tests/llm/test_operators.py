@@ -596,6 +596,21 @@ def test_marks_around_the_main_text():
     assert wrappers.main_text(f"<body><div><p>Short</p></div><div class='comments'><p>{long}</p></div></body>", None) == "Short"
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<article><header class='entry-header'><h1>Title</h1></header><p>Body text here.</p></article>", "Title\n\nBody text here."),
+        ("<body><div class='layout has-sidebar'><div class='content'><p>Long main text of the page.</p></div></div></body>", "Long main text of the page."),
+        ("<article><p>Let <math><mi>x</mi></math> be big.</p></article>", "Let x be big."),
+        ("<article><div class='related-work'><p>Section on related work.</p></div><div class='related-posts'><p>Read more</p></div></article>", "Section on related work."),
+        ("<body>" + "<div>" * 60 + "<nav><p>Menu of the site</p></nav><p>Deep text that counts.</p>" + "</div>" * 60 + "</body>", "Deep text that counts."),
+        ("<article>" + "<p>word</p>" * 20_000 + "</article>", "\n\n".join(["word"] * 20_000)),
+    ],
+)
+def test_probes_of_main_text(page, text):
+    assert wrappers.main_text(page, None) == text
+
+
 def test_wrappers_merge_in_a_tree(spark, monkeypatch):
     monkeypatch.setattr(wrappers, "_GROUP", 3)
     tags = "h1 h2 h3 h4 h5 h6 p pre section dl".split()
