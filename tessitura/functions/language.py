@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessitura.functions.binding import bind
+
 #: Function words that vote for Portuguese.
 PT_WORDS = (
     "o a os as um uma uns umas de da do das dos em no na nos nas "
@@ -33,10 +35,18 @@ def _words(line: Column) -> Column:
 
 
 def votes(line: Column) -> Column:
-    """A struct of pt and en: words that only one language has; ã, õ and ç vote for pt."""
-    pt = F.filter(_words(line), lambda w: w.isin(*ONLY_PT) | w.rlike("[ãõç]"))
-    en = F.filter(_words(line), lambda w: w.isin(*ONLY_EN))
-    return F.struct(F.size(pt).cast("long").alias("pt"), F.size(en).cast("long").alias("en"))
+    """A struct of pt and en: words that only one language has; ã, õ and ç vote for pt. Words are split once and looked up in sets."""
+    pt, en = (F.array(*map(F.lit, x)) for x in (ONLY_PT, ONLY_EN))
+    of_pt = lambda w: F.size(F.filter(w, lambda x: F.array_contains(pt, x) | x.rlike("[ãõç]")))
+    of_en = lambda w: F.size(F.filter(w, lambda x: F.array_contains(en, x)))
+
+    def counted(w: Column) -> Column:
+        # Most words are in neither list: what two set operations rule out is not looked at word by word.
+        some_pt = (F.size(F.array_intersect(w, pt)) > 0) | line.rlike("[ãõçÃÕÇ]")
+        some_en = F.size(F.array_intersect(w, en)) > 0
+        return F.struct(F.when(some_pt, of_pt(w)).otherwise(0).cast("long").alias("pt"), F.when(some_en, of_en(w)).otherwise(0).cast("long").alias("en"))
+
+    return bind(_words(line), counted)
 
 
 def line_languages(lines: DataFrame, key: list[str], order: list[str], line: str = "line") -> DataFrame:

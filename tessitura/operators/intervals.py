@@ -5,8 +5,6 @@ key is one song, user or track. Ordered windows need a total order."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -95,23 +93,49 @@ def plan_gaps(located: DataFrame, key: list[str], total_tokens: Column, duration
 
 
 def conflict_free(rows: DataFrame, occupied: DataFrame, key: list[str], start: str, end: str) -> DataFrame:
-    """``rows`` that overlap no occupied interval of the same key (an anti-join on the key with the overlap as residual)."""
-    o = occupied.select(*[F.col(k).alias(f"_o_{k}") for k in key], F.col(start).alias("_o_start"), F.col(end).alias("_o_end"))
-    same = [F.col(k) == F.col(f"_o_{k}") for k in key]
-    return rows.join(o.hint("merge"), reduce(lambda a, b: a & b, [*same, F.col(start) < F.col("_o_end"), F.col(end) > F.col("_o_start")]), "left_anti")
+    """``rows`` that overlap no occupied interval of the same key.
+
+    Both sides stand in one order by start. A row overlaps one that begins before it if the latest end so far is after
+    its start, and one that begins within it if the next occupied start is before its end: two window passes, no pairs."""
+    o = occupied.select(*key, F.col(start).alias(start), F.col(end).alias(end)).where(F.col(end) > F.col(start)).withColumn("_o", F.lit(1))
+    marked = _conflicts(rows, o, key, start, end)
+    return marked.where("not _hit").drop("_hit")
+
+
+def overlapping(rows: DataFrame, others: DataFrame, key: list[str], start: str, end: str) -> DataFrame:
+    """``rows`` with ``overlaps``: whether they share time with any of the ``others`` of their key."""
+    o = others.select(*key, F.col(start).alias(start), F.col(end).alias(end)).where(F.col(end) > F.col(start)).withColumn("_o", F.lit(1))
+    return _conflicts(rows, o, key, start, end).withColumnRenamed("_hit", "overlaps")
+
+
+def _conflicts(rows: DataFrame, o: DataFrame, key: list[str], start: str, end: str) -> DataFrame:
+    both = rows.withColumn("_o", F.lit(0)).unionByName(o, allowMissingColumns=True)
+    before = _window(key, [start, F.desc("_o")]).rowsBetween(W.unboundedPreceding, W.currentRow)
+    after = _window(key, [F.desc(start), "_o"]).rowsBetween(W.unboundedPreceding, W.currentRow)
+    latest = F.max(F.when(F.col("_o") == 1, F.col(end))).over(before)
+    following = F.min(F.when(F.col("_o") == 1, F.col(start))).over(after)
+    marked = both.withColumns({"_latest": latest, "_next": following}).where("_o = 0")
+    hit = F.coalesce((F.col("_latest") > F.col(start)) | (F.col("_next") < F.col(end)), F.lit(False))
+    return marked.withColumn("_hit", hit).drop("_o", "_latest", "_next")
 
 
 def points_in_intervals(points: DataFrame, intervals: DataFrame, key: list[str], at: str, start: str, end: str, width: float, closed: bool = False) -> DataFrame:
     """Points joined with the intervals they lie in: [start, end), or [start, end] if ``closed``.
 
-    Intervals are dealt to the buckets of ``width`` that they touch, a point has
-    one bucket, and bucket and key are joined on equality; the bounds stay as a
-    residual. No pair is found twice. A width near the median length keeps
-    both sides small."""
-    bucket = lambda c: F.floor(F.col(c) / F.lit(width))
-    dealt = intervals.withColumn("_bucket", F.explode(F.sequence(bucket(start), bucket(end))))
+    Intervals are dealt by length to levels of buckets, each level twice as wide as the one before, so an interval
+    touches three buckets at most however long it is. A point has one bucket on each level that occurs (one number is
+    asked for: a bit for each level); level, bucket and key are joined on equality and the bounds stay as a residual. No
+    pair is found twice. ``width`` is the bucket of the first level."""
+    size = F.greatest(F.col(end).cast("double") - F.col(start).cast("double"), F.lit(float(width)))
+    level = F.ceil(F.log2(size / F.lit(float(width))) - 1e-9).cast("int")
+    bucket = lambda c, lv: F.floor(F.col(c) / (F.lit(float(width)) * F.pow(F.lit(2.0), lv)))
+    levelled = intervals.withColumn("_level", level)
+    dealt = levelled.withColumn("_bucket", F.explode(F.sequence(bucket(start, F.col("_level")), bucket(end, F.col("_level")))))
+    bits = levelled.where("_level between 0 and 62").agg(F.expr("bit_or(shiftleft(1L, _level))")).head()[0] or 0
+    levels = [k for k in range(63) if bits >> k & 1]
     inside = (F.col(at) >= F.col(start)) & ((F.col(at) <= F.col(end)) if closed else (F.col(at) < F.col(end)))
-    return points.withColumn("_bucket", bucket(at)).join(dealt, [*key, "_bucket"]).where(inside).drop("_bucket")
+    placed = points.withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("_bucket", bucket(at, F.col("_level")))
+    return placed.join(dealt, [*key, "_level", "_bucket"]).where(inside).drop("_bucket", "_level")
 
 
 def confirmed_stop(frames: DataFrame, key: list[str], t: str, silent: str, fits: str, step: float, silence: float = 0.120, failure: float = 0.250, least_cover: float = 0.60, least_gain: float = 0.080, end: float | Column = 0.0) -> DataFrame:

@@ -1,23 +1,14 @@
-"""Times of words and syllables: acceptance of model times, placement between anchors, boundaries, cores and consolidation."""
+"""Words and characters: what of a model's times can be used, neighbours of words, and the results of a run."""
 
 from __future__ import annotations
 
-import math
-from difflib import SequenceMatcher
-
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import intervals
-
-VOWELS = frozenset("aeiouyáàâãäéèêëíìîïóòôõöúùûüAEIOUYÁÀÂÃÄÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜ")
 WORD_SCORE = CHAR_SCORE = 0.30
-WORD_FLOOR, SYLLABLE_FLOOR, FLOOR_SHARE = 0.005, 0.060, 0.45
-REFINE, EVENT = 0.100, 0.45
-QUIET, RELATIVE_QUIET, PERIODIC, BRIDGE, PAUSE, CORE_FLOOR = 1e-4, 0.04, 0.55, 0.040, 0.150, 0.030
+WORD_FLOOR, PERIODIC = 0.005, 0.55
 
 
 # --- predicates and projections
@@ -135,195 +126,7 @@ def alignment_problem(words: DataFrame, key: list[str], order: list[str], low: C
     return found.groupBy(*key).agg(F.min_by("_b.rule", F.when(F.col("_b").isNotNull(), F.col("_r"))).alias("problem"))
 
 
-# --- placement of words in a caption
-
-
-def proportional(weights: list[int], start: float, end: float) -> list[tuple[float, float]]:
-    total, edges, up = sum(weights), [start], 0
-    for x in weights[:-1]:
-        up += x
-        edges.append(start + (end - start) * up / total)
-    return list(zip(edges, [*edges[1:], end], strict=True))
-
-
-def place_words(keys: list[str], found: list[tuple[str, float | None, float | None, float | None]], start: float, end: float, snap: bool = True):
-    """(start, end, score, source) of each word of a caption.
-
-    Model times are matched by text, never by position, and taken where they
-    are sure, in order and leave room for the rest; words without one share
-    the free time between their neighbours by length. The ends are snapped to the caption."""
-    n = len(keys)
-    if not n:
-        return []
-    if end <= start:
-        raise ValueError("a caption needs time")
-    match = SequenceMatcher(None, keys, [f[0] for f in found], autojunk=False).get_matching_blocks()
-    partner = {a + k: found[b + k] for a, b, size in match for k in range(size)}
-    floor = min(WORD_FLOOR, (end - start) / n * FLOOR_SHARE)
-    times: list = [None] * n
-    scores = [min(1.0, max(0.0, (partner[i][3] or 0.0))) if i in partner else 0.0 for i in range(n)]
-    last, last_i = start, -1
-    for i in range(n):
-        s, e = partner[i][1:3] if i in partner else (None, None)
-        if s is None or e is None or not (math.isfinite(s) and math.isfinite(e)) or not start <= s < e <= end or e - s < floor or scores[i] < WORD_SCORE:
-            continue
-        if s >= last and s - last >= (i - last_i - 1) * floor and s >= start + i * floor and e <= end - (n - i - 1) * floor:
-            times[i], last, last_i = (s, e), e, i
-    source = ["model" if t else "proportional" for t in times]
-    i = 0
-    while i < n:
-        if times[i] is not None:
-            i += 1
-            continue
-        j = next((k for k in range(i, n) if times[k] is not None), n)
-        low, high = times[i - 1][1] if i else start, times[j][0] if j < n else end
-        times[i:j] = proportional([max(1, len(k)) for k in keys[i:j]], low, high)
-        i = j
-    if snap:
-        times[0], times[-1] = (start, times[0][1]), (times[-1][0], end)
-        if n == 1:
-            times[0] = (start, end)
-    return [(s, e, x if src == "model" or n == 1 else min(x, 0.25), src) for (s, e), x, src in zip(times, scores, source, strict=True)]
-
-
-def place_between(keys, found, start, end, confirmed: dict[int, tuple[float, float]]):
-    """place_words for the parts of a caption between confirmed words, which stay as they are."""
-    out, k, low = [], 0, start
-    while k < len(keys):
-        if k in confirmed:
-            out.append((*confirmed[k], 0.0, "confirmed"))
-            low, k = confirmed[k][1], k + 1
-            continue
-        j = next((x for x in range(k, len(keys)) if x in confirmed), len(keys))
-        high = confirmed[j][0] if j < len(keys) else end
-        inside = [f for f in found if f[1] is not None and f[2] is not None and low <= f[1] < f[2] <= high]
-        out += place_words(keys[k:j], inside, low, high)
-        low, k = high, j
-    return out
-
-
-PLACED = "song_id string, block long, no long, text string, start double, end double, score double, source string"
-
-
-def align_captions(captions: DataFrame, duration: float, pad: float = 0.200) -> DataFrame:
-    """Words of each caption with times. captions: song_id, block, start, end, words, keys, found array<struct<key,start,end,score>>, confirmed map<int,struct<start,end>>.
-
-    Empty captions have no words; times are clipped to the audio; a model without result leaves proportional times."""
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                start, end = max(0.0, r.start), min(duration, r.end)
-                if not len(r.words) or end <= start:
-                    continue
-                found = [(f["key"], f["start"], f["end"], f["score"]) for f in (r.found if r.found is not None else [])]
-                fixed = {int(k): (v["start"], v["end"]) for k, v in (dict(r.confirmed) if r.confirmed is not None else {}).items()}
-                rows += [(r.song_id, r.block, k, w, *t) for k, (w, t) in enumerate(zip(r.words, place_between(list(r.keys), found, start, end, fixed), strict=True), 1)]
-            yield pd.DataFrame(rows, columns=["song_id", "block", "no", "text", "start", "end", "score", "source"])
-
-    return captions.select("song_id", "block", "start", "end", "words", "keys", "found", "confirmed").mapInPandas(run, PLACED)
-
-
-# --- syllables
-
-
-def syllables(word: str, exceptions: dict[str, list[str]] | None = None, language: str = "pt_BR") -> list[str]:
-    """The parts of a word, its case kept: an exception, else hyphenation where the library is installed, else the whole word."""
-    parts = (exceptions or {}).get(word.lower())
-    if parts is None:
-        try:
-            import pyphen
-        except ImportError:
-            return [word]
-        parts = pyphen.Pyphen(lang=language).inserted(word.lower(), "\0").split("\0")
-    if "".join(parts) != word.lower():
-        raise ValueError(f"the parts of {word!r} do not spell it")
-    at, out = 0, []
-    for p in parts:
-        out.append(word[at : at + len(p)])
-        at += len(p)
-    return out
-
-
-def refine(target: float, low: float, high: float, frames: dict | None) -> tuple[float, bool]:
-    """The nearest likely boundary: high flux and low energy within ``REFINE`` seconds, less for distance."""
-    if frames is None:
-        return target, False
-    near = (frames["t"] >= max(low, target - REFINE)) & (frames["t"] <= min(high, target + REFINE))
-    t, rms = frames["t"][near], frames["rms"][near]
-    if not len(t) or rms.max() <= QUIET:
-        return target, False
-    event = 0.6 * frames["flux"][near] + 0.4 * (1 - np.clip(rms / rms.max(), 0, 1))
-    best = int(np.argmax(event - 0.3 * np.abs(t - target) / REFINE))
-    return (float(t[best]), True) if event[best] >= EVENT else (target, False)
-
-
-def syllable_limits(parts: list[str], start: float, end: float, chars: list[tuple[float, float] | None] | None = None, frames: dict | None = None):
-    """Boundaries of the syllables of a word, and where each comes from; chars: usable (start, end) by letter."""
-    if end <= start or not parts:
-        raise ValueError("a word needs time and syllables")
-    n = len(parts)
-    floor = min(SYLLABLE_FLOOR, (end - start) / n * FLOOR_SHARE)
-    weights = np.cumsum([1 + 0.12 * sum(c not in VOWELS for c in p) for p in parts])
-    limits, origin, at = [start], ["caption"], 0
-    for i in range(1, n):
-        at += len(parts[i - 1])
-        low, high = limits[-1] + floor, end - (n - i) * floor
-        target, source = start + (end - start) * float(weights[i - 1] / weights[-1]), "proportional"
-        if chars and 0 < at < len(chars) and chars[at - 1] and chars[at] and chars[at - 1][1] <= chars[at][0] + 0.020 and low <= chars[at][0] <= high:
-            target, source = chars[at][0], "characters"
-        target, refined = refine(min(max(target, low), high), low, high, frames)
-        limits.append(target)
-        origin.append(source + "+refined" * refined)
-    return [*limits, end], [*origin, "caption"]
-
-
-def core(start: float, end: float, vowels: list[tuple[float, float]], frames: dict | None, step: float = 0.010):
-    """(start, end, source, coverage, warnings) of the part of a syllable that is sung on a pitch."""
-    least = min(CORE_FLOOR, (end - start) * 0.4)
-    fallback = (start + 0.2 * (end - start), end - 0.1 * (end - start))
-    inside = None if frames is None else (frames["t"] >= start) & (frames["t"] < end)
-    if inside is not None and inside.any():
-        t, rms, per = (frames[k][inside] for k in ("t", "rms", "per"))
-        active = rms >= max(QUIET, float(np.percentile(rms, 90)) * RELATIVE_QUIET)
-        mask = active & (per >= PERIODIC)
-        coverage = float(mask.mean())
-        filled = mask.copy()
-        for a, b in _true_runs(~mask):
-            if a and b < len(mask) and (b - a) * step <= BRIDGE and active[a:b].all():
-                filled[a:b] = True
-        regions = []
-        for a, b in _true_runs(filled):
-            x, y = max(start, float(t[a]) - step / 2), min(end, float(t[b - 1]) + step / 2)
-            if y - x >= least:
-                regions.append((y - x + sum(max(0.0, min(y, v) - max(x, u)) for u, v in vowels), x, y))
-        warnings = ["long_low_energy"] * any((b - a) * step >= PAUSE for a, b in _true_runs(~active))
-        if not regions:
-            return *fallback, "proportional", coverage, ["no_periodic_core"]
-        _, x, y = max(regions)
-        return x, y, "periodic", coverage, warnings + ["several_periodic_regions"] * (len(regions) > 1)
-    if vowels and max(v for _, v in vowels) - min(u for u, _ in vowels) >= least:
-        return min(u for u, _ in vowels), max(v for _, v in vowels), "characters", None, ["core_without_audio"]
-    return *fallback, "proportional", None, ["core_without_audio"]
-
-
-def _true_runs(mask: np.ndarray) -> list[tuple[int, int]]:
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
-    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
-
-
-# --- drivers
-
-
-def phrase_tails(frames: DataFrame, key: list[str]) -> DataFrame:
-    """confirmed_stop with the constants for the ends of phrases."""
-    return intervals.confirmed_stop(frames, key, "t", "silent", "fits", 0.010, silence=0.140, failure=0.300, least_cover=0.0, least_gain=0.020)
-
-
-def sustained(frames: DataFrame, key: list[str], end: float | Column = 0.0) -> DataFrame:
-    """confirmed_stop with the constants for sustained words."""
-    return intervals.confirmed_stop(frames, key, "t", "silent", "fits", 0.010, end=end)
+# --- groups and results
 
 
 def contiguous_groups(notes: DataFrame, key: list[str], order: list[str], word: str, block: str, start: str, end: str, name: str = "group_no") -> DataFrame:
@@ -342,8 +145,13 @@ def consolidate(kept: DataFrame, corrected: DataFrame, inserted: DataFrame, key:
     return whole.withColumn("problem", F.when(F.rint(F.col("start") * 1000) < F.rint(F.lag("end").over(w) * 1000), "overlap"))
 
 
-def run_metrics(published: DataFrame, key: list[str]) -> DataFrame:
-    return published.groupBy(*key).agg(F.count("*").alias("published"), *[F.count_if(F.col("origin") == o).alias(o) for o in ("kept", "corrected", "inserted")], F.count_if(F.col("problem").isNotNull()).alias("overlaps"))
+def run_metrics(published: DataFrame, key: list[str], gaps: DataFrame | None = None) -> DataFrame:
+    """Counters of a run: published captions by origin and overlaps; with gaps (key, reason, state, asked, recovered, weak) also unsearched and recovered tokens."""
+    out = published.groupBy(*key).agg(F.count("*").alias("published"), *[F.count_if(F.col("origin") == o).alias(o) for o in ("kept", "corrected", "inserted")], F.count_if(F.col("problem").isNotNull()).alias("overlaps"))
+    if gaps is None:
+        return out
+    sums = gaps.groupBy(*key).agg(F.sum(F.when(F.col("reason").isNotNull(), F.col("asked")).otherwise(0)).alias("unsearched"), F.sum("recovered").alias("recovered"), F.sum(F.col("asked") - F.col("recovered")).alias("untimed"), F.sum("weak").alias("low_confidence"), *[F.count_if(F.col("state") == x).alias(f"gaps_{x}") for x in ("none", "partial", "full")])
+    return out.join(sums, key, "left")
 
 
 def split_windows(audited: DataFrame, least: float = 12.0) -> DataFrame:
@@ -351,3 +159,51 @@ def split_windows(audited: DataFrame, least: float = 12.0) -> DataFrame:
     share = F.least("pt_votes", "en_votes") / F.greatest(F.lit(1), F.col("pt_votes") + F.col("en_votes"))
     unsure = (F.least("pt_prob", "en_prob") >= 0.15) | ((F.least("pt_votes", "en_votes") >= 2) & (share >= 0.2)) | (F.col("strong") & (F.col("winner") != F.col("heard")))
     return audited.where((F.col("level") == 0) & F.col("winner").isNotNull() & unsure & (F.col("end") - F.col("start") > least))
+
+
+def named_words(notes: DataFrame, words: DataFrame, key: list[str], word_id: str = "word_id", text: str = "text", into: str = "word") -> DataFrame:
+    """``notes`` with the text of their word, or its id where the word is not known."""
+    known = words.select(*key, F.col(word_id), F.col(text).alias("_text")).dropDuplicates([*key, word_id])
+    return notes.join(known, [*key, word_id], "left").withColumn(into, F.coalesce("_text", word_id)).drop("_text")
+
+
+def model_of_line(tokens: DataFrame, results: DataFrame, key: list[str]) -> DataFrame:
+    """(key, pos, start, end, score): for each token (key, pos, language) the time that the model of its line's language found (key, pos, language, start, end, score)."""
+    return tokens.join(results, [*key, "pos", "language"], "left").select(*tokens.columns, "start", "end", "score")
+
+
+def refinement_windows(chosen: DataFrame, key: list[str], low: Column, high: Column) -> DataFrame:
+    """(key, language, first, last, low, high): runs of tokens of one language with the sure neighbours that bound them; for songs with several languages.
+
+    chosen: key, pos, language, start, end, score."""
+    from tessitura.operators import intervals
+
+    w = W.partitionBy(*key).orderBy("pos")
+    sure = F.col("score") >= WORD_SCORE
+    marked = intervals.runs(chosen, key, ["pos"], F.col("language"), "_run").withColumns({
+        "_before": F.last(F.when(sure, F.col("end")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)),
+        "_after": F.first(F.when(sure, F.col("start")), ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing)),
+        "_kinds": F.size(F.collect_set("language").over(W.partitionBy(*key))),
+    })
+    got = marked.where("_kinds > 1").groupBy(*key, "_run", "language").agg(
+        F.min("pos").alias("first"), F.max("pos").alias("last"), F.coalesce(F.min_by("_before", "pos"), F.first(low)).alias("low"), F.coalesce(F.max_by("_after", "pos"), F.first(high)).alias("high")
+    )
+    return got.where("low < high").drop("_run")
+
+
+def similarity(reference: Column, heard: Column) -> Column:
+    """A struct of ratio (twice the matched words over all words) and differences (kind, reference, heard) of two texts, word by word, case aside."""
+    @F.arrow_udf("struct<ratio:double,differences:array<struct<kind:string,reference:string,heard:string>>>")
+    def run(left: pa.Array, right: pa.Array) -> pa.Array:
+        import re
+        from difflib import SequenceMatcher
+
+        rows = []
+        for one, other in zip(left.to_pylist(), right.to_pylist(), strict=True):
+            a, b = (re.findall(r"\w+", (x or "").casefold()) for x in (one, other))
+            match = SequenceMatcher(None, a, b, autojunk=False)
+            rows.append({"ratio": match.ratio(), "differences": [{"kind": kind, "reference": " ".join(a[i:j]), "heard": " ".join(b[k:n])} for kind, i, j, k, n in match.get_opcodes() if kind != "equal"]})
+        part = pa.struct([("kind", pa.string()), ("reference", pa.string()), ("heard", pa.string())])
+        return pa.array(rows, pa.struct([("ratio", pa.float64()), ("differences", pa.list_(part))]))
+
+    return run(reference, heard)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessitura.functions import language as L
 from tessitura.functions import text as T
-from tessitura.operators import align, audit, intervals, review, series
+from tessitura.operators import alignment, audit, captioning, intervals, review, sequence, series, structure
 from tessitura.sources import captions, writers
 
 QUERIES: dict = {}
@@ -108,7 +108,10 @@ def token_index(spark, sf_dir):
 )
 def comparison_key(spark, sf_dir):
     words = _read(spark, sf_dir, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("w"))
-    return words.select("doc_id", T.comparison_key(F.col("w")).alias("key")).groupBy("key").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
+    # Equal words of a document are counted first, and the key of each distinct word is made once.
+    counted = words.groupBy("doc_id", "w").agg(F.count("*").alias("c"))
+    keys = counted.select("w").distinct().withColumn("key", T.comparison_key(F.col("w")))
+    return counted.join(keys, "w").groupBy("key").agg(F.sum("c").alias("n"), F.count_distinct("doc_id").alias("docs"))
 
 
 @query("SELECT sha256(text) AS digest, count(*)::BIGINT AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1")
@@ -389,7 +392,7 @@ t AS (SELECT *, sum(l) OVER (PARTITION BY l_orderkey ORDER BY k ROWS UNBOUNDED P
 
 def _notes(spark, sf_dir) -> DataFrame:
     order = "l_linenumber l_partkey l_suppkey l_quantity l_extendedprice l_shipdate l_discount l_tax".split()
-    n = _read(spark, sf_dir, "lineitem").select("l_orderkey", F.row_number().over(W.partitionBy("l_orderkey").orderBy(*order)).cast("long").alias("k"), (F.col("l_quantity") / 200.0).alias("l"))
+    n = _read(spark, sf_dir, "lineitem").select("l_orderkey", F.row_number().over(W.partitionBy("l_orderkey").orderBy(*order)).cast("long").alias("k"), (F.col("l_quantity") / 200.0).alias("l"), F.col("l_partkey").alias("part"))
     up = W.partitionBy("l_orderkey").orderBy("k").rowsBetween(W.unboundedPreceding, W.currentRow)
     return n.withColumn("e", F.sum("l").over(up)).withColumn("s", F.col("e") - F.col("l"))
 
@@ -493,7 +496,7 @@ def global_alignment(spark, sf_dir):
     """Benchmark items against themselves without every seventh word."""
     target = _words(spark, sf_dir, "benchmark", "item_id", "target")
     source = target.where("pos % 7 <> 3").withColumn("side", F.lit("source"))
-    return align.global_alignment(source.unionByName(target))
+    return alignment.global_alignment(source.unionByName(target))
 
 
 @query()
@@ -501,7 +504,7 @@ def structure_plan(spark, sf_dir):
     """Lines of benchmark items as captions of the whole item."""
     b = _read(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("song_id"), F.posexplode(F.split("text", "[.\n]")).alias("idx", "line"))
     caps = b.select("song_id", F.col("idx").cast("long").alias("idx"), (F.col("idx") * 5.0).alias("start"), (F.col("idx") * 5.0 + 4).alias("end"), F.transform(T.tokens(F.col("line")), T.comparison_key).alias("keys"))
-    return align.structure_plan(caps, _words(spark, sf_dir, "benchmark", "item_id").select("song_id", "pos", "key"))
+    return structure.structure_plan(caps, _words(spark, sf_dir, "benchmark", "item_id").select("song_id", "pos", "key"))
 
 
 @query()
@@ -509,31 +512,55 @@ def time_choice_beam(spark, sf_dir):
     """Events of each user as timings of words in turn."""
     e = _events(spark, sf_dir)
     word = F.floor(F.row_number().over(W.partitionBy("user_id").orderBy("start_ms", "event_id")) / 3)
-    options = e.select(F.col("user_id").cast("string").alias("song_id"), word.alias("word"), (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000 + 40000).alias("end"), (F.col("value") / 100).alias("score"))
-    return align.time_choice(options.withColumns({"window_start": F.lit(0.0), "window_end": F.lit(1e7)}))
+    options = e.select(F.col("user_id").cast("string").alias("song_id"), word.alias("word"), (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000 + 40000).alias("end"), (F.floor(F.col("value") * 10) / 1024).alias("score"))
+    return sequence.time_choice(options.withColumns({"window_start": F.lit(0.0), "window_end": F.lit(1e7)}))
 
 
-@query()
+@query(
+    """WITH RECURSIVE n AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate, l_discount, l_tax) AS k, l_quantity::BIGINT % 24 + 48 AS centre, l_partkey % 5 AS lift FROM lineitem),
+c AS (SELECT l_orderkey, k, p::INTEGER AS pitch, 0.42 * exp(-0.5 * pow((p - centre) * 100 / 75.0::DOUBLE, 2)) + 0.03 * lift * (p % 3) AS base FROM (SELECT *, unnest(range(centre - 2, centre + 3)) AS p FROM n)),
+r AS (SELECT l_orderkey, k, pitch, score, runner_up FROM (
+    SELECT l_orderkey, k, pitch, base AS score, lead(base) OVER w AS runner_up, row_number() OVER w AS rn FROM c WHERE k = 1 WINDOW w AS (PARTITION BY l_orderkey ORDER BY base DESC, pitch)) WHERE rn = 1
+  UNION ALL
+  SELECT l_orderkey, k, pitch, score, runner_up FROM (
+    SELECT l_orderkey, k, pitch, score, lead(score) OVER w AS runner_up, row_number() OVER w AS rn
+    FROM (SELECT c.l_orderkey, c.k, c.pitch, c.base + 0.05 * exp(-abs(c.pitch - r.pitch) / 4.0::DOUBLE) AS score FROM r JOIN c ON c.l_orderkey = r.l_orderkey AND c.k = r.k + 1)
+    WINDOW w AS (PARTITION BY l_orderkey ORDER BY score DESC, pitch)) WHERE rn = 1)
+SELECT l_orderkey::VARCHAR AS song_id, k AS unit, pitch, round(score, 6) AS score, round(runner_up, 6) AS runner_up FROM r"""
+)
 def note_continuity(spark, sf_dir):
-    """Orders as songs, line items as units with five candidates."""
-    n = _notes(spark, sf_dir).withColumn("centre", 48 + F.col("l") * 200 % 24)
-    c = series.candidates(n, "centre").groupBy("l_orderkey", "k", "s", "e").agg(F.array_sort(F.collect_list(F.struct("pitch", (F.col("proximity") * 0.42).alias("score")))).alias("cands"))
-    return align.note_continuity(c.select(F.col("l_orderkey").cast("string").alias("song_id"), F.col("k").alias("unit"), F.col("s").alias("start"), F.col("e").alias("end"), "cands"))
+    """Orders as songs, line items as units with five candidates, built without a shuffle."""
+    n = _notes(spark, sf_dir).withColumns({"centre": (48 + F.round(F.col("l") * 200) % 24).cast("int"), "lift": F.col("part") % 5})
+    score = lambda p: 0.42 * F.exp(-0.5 * F.pow((p - F.col("centre")) * 100 / 75.0, F.lit(2))) + 0.03 * F.col("lift") * (p % 3)
+    cands = F.transform(F.sequence(F.col("centre") - 2, F.col("centre") + 2), lambda p: F.struct(p.alias("pitch"), score(p).alias("score")))
+    got = sequence.note_continuity(n.select(F.col("l_orderkey").cast("string").alias("song_id"), F.col("k").alias("unit"), F.col("s").alias("start"), F.col("e").alias("end"), cands.alias("cands")))
+    return got.select("song_id", "unit", "pitch", F.round("score", 6).alias("score"), F.round("runner_up", 6).alias("runner_up"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE w AS (
+  SELECT conv_id, turn, i::BIGINT AS no, word, i * 400 + (i // 9) * 1000 AS a, i * 400 + (i // 9) * 1000 + 300 AS z
+  FROM (SELECT conv_id, turn, unnest(range(0, len(ws))) AS i, unnest(ws) AS word FROM (SELECT conv_id, turn, regexp_extract_all(text, '[\\p{L}\\p{N}]+(?:[''’\\-][\\p{L}\\p{N}]+)*') AS ws FROM conversations))),
+g AS (SELECT conv_id, turn, no, word, a, z, a AS first, length(word) AS chars, 0::BIGINT AS grp FROM w WHERE no = 0
+  UNION ALL
+  SELECT w.conv_id, w.turn, w.no, w.word, w.a, w.z, CASE WHEN fresh THEN w.a ELSE first END, CASE WHEN fresh THEN length(w.word) ELSE chars + 1 + length(w.word) END, CASE WHEN fresh THEN grp + 1 ELSE grp END
+  FROM (SELECT w.*, g.first, g.chars, g.grp, w.a - g.z >= 650 OR w.z - g.first > 6000 OR g.chars + 1 + length(w.word) > 72 AS fresh FROM g JOIN w ON w.conv_id = g.conv_id AND w.turn = g.turn AND w.no = g.no + 1) w)
+SELECT conv_id::VARCHAR AS song_id, turn AS seg, grp, min(a) / 1000.0::DOUBLE AS start, max(z) / 1000.0::DOUBLE AS "end", string_agg(word, ' ' ORDER BY no) AS text FROM g GROUP BY conv_id, turn, grp"""
+)
 def capped_groups(spark, sf_dir):
     """Turns of conversations as words with a new caption at pauses, long spans and long texts."""
-    w = _read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("song_id"), F.col("turn").alias("seg"), "text", F.posexplode(T.tokens(F.col("text"))).alias("no", "word"))
-    at = F.col("no") * 0.4 + F.floor(F.col("no") / 9)
-    return align.capped_groups(w.select("song_id", "seg", "no", "word", at.alias("start"), (at + 0.3).alias("end"), F.lit(0.0).alias("seg_start"), F.lit(1e6).alias("seg_end"), F.col("text").alias("seg_text")))
+    w = _read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("song_id"), F.col("turn").alias("seg"), F.posexplode(T.tokens(F.col("text"))).alias("no", "word"))
+    at = (F.col("no") * 400 + F.floor(F.col("no") / 9) * 1000) / 1000
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "word")).over(W.partitionBy("song_id", "seg"))), lambda x: x["word"]), " ")
+    words = w.select("song_id", "seg", "no", "word", at.alias("start"), ((at * 1000 + 300) / 1000).alias("end"), F.lit(0.9).alias("score"), F.lit(0.0).alias("seg_start"), F.lit(1e6).alias("seg_end"), whole.alias("seg_text"))
+    return captioning.capped_groups(words, slack=0.0).select("song_id", "seg", "grp", "start", "end", "text")
 
 
 @query()
 def ngram_candidates(spark, sf_dir):
-    """For the first turn of each conversation, the nearest runs of its own turns."""
+    """For each turn of a conversation, the nearest runs of its turns."""
     c = _read(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("ord"), F.col("turn").cast("double").alias("start"), "text")
-    items = c.where("ord = 1").select("conv_id", F.col("ord").alias("item"), F.col("text"))
+    items = c.select("conv_id", F.col("ord").alias("item"), F.col("text"))
     return review.caption_candidates(items, c, ["conv_id"]).select("conv_id", "item", "ord", "n", "rank", F.round("score", 6).alias("score"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessitura.operators import align, intervals, series, words
+from tessitura.operators import intervals, sequence, series, words
 
 LEAST_FRAMES = 3
 
@@ -37,7 +37,7 @@ def notes(units: DataFrame, frames: DataFrame, width: float = 0.25) -> DataFrame
     scored = dealt.join(near, [*key, "pitch"], "left").join(harmony, [*key, "pitch"], "left").fillna(0.0, ["occupancy", "support", "harmonic"])
     base = w["proximity"] * F.col("proximity") + w["occupancy"] * F.col("occupancy") + w["harmony"] * F.col("support")
     cands = scored.withColumn("base", base).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pitch", F.col("base").alias("score")))).alias("cands"), F.max("harmonic").alias("harmonic"))
-    chosen = align.note_continuity(units.select(*key, "start", "end").join(cands.select(*key, "cands"), key))
+    chosen = sequence.note_continuity(units.select(*key, "start", "end").join(cands.select(*key, "cands"), key))
     out = known.join(chosen, key).join(cands.select(*key, "harmonic"), key)
     has = F.coalesce("n_frames", F.lit(0)) > 0
     sure_of = series.confidence(F.col("score"), F.col("runner_up"), F.coalesce("voice", F.lit(0.0)), F.coalesce("stability", F.lit(0.0)), F.col("harmonic"), has)

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tessitura.operators.align import frame_evidence
+from tessitura.operators.sound import frame_evidence
 
 FRAMES = "path string, i long, t double, rms double, per double, flux double, timbre array<double>"
 

@@ -1,0 +1,207 @@
+import random
+from functools import cache
+
+import numpy as np
+import pytest
+
+from tessitura.functions.text import indel, indel_pairs
+from tessitura.operators import alignment, captioning, recovery, sequence, structure, words
+
+
+def test_indel_pairs():
+    r = random.Random(1)
+    texts = ["".join(r.choice("abcé𠀀 ") for _ in range(n)) for n in [0, 0, 1, 5, 63, 64, 65, 64, 200, 70, 3] * 12]
+    pairs = [(r.choice(texts), r.choice(texts)) for _ in range(400)]
+    for (a, b), got in zip(pairs, indel_pairs(*map(list, zip(*pairs))), strict=True):
+        n = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                n[i + 1][j + 1] = n[i][j] + 1 if x == y else max(n[i][j + 1], n[i + 1][j])
+        assert abs(got - (2 * n[-1][-1] / (len(a) + len(b)) if a or b else 1)) < 1e-12 and abs(got - indel(a, b)) < 1e-12
+
+
+def _all_paths(a, b):
+    """Costs of all alignments with their steps, by plain recursion."""
+    sub = lambda x, y: 0 if x == y else 1.5 - indel(x, y) / 2
+
+    @cache
+    def best(i, j):
+        if not i or not j:
+            return float(i + j), [tuple([(k, None) for k in range(i)] + [(None, k) for k in range(j)])]
+        options = [(best(i - 1, j - 1)[0] + sub(a[i - 1], b[j - 1]), [(*p, (i - 1, j - 1)) for p in best(i - 1, j - 1)[1]])]
+        options += [(best(i - 1, j)[0] + 1, [(*p, (i - 1, None)) for p in best(i - 1, j)[1]]), (best(i, j - 1)[0] + 1, [(*p, (None, j - 1)) for p in best(i, j - 1)[1]])]
+        least = min(c for c, _ in options)
+        return least, [p for c, ps in options if c - least < 1e-8 for p in ps]
+
+    return best(len(a), len(b))
+
+
+def test_best_steps_against_all_paths():
+    r = random.Random(5)
+    for _ in range(60):
+        a, b = ([r.choice(["la", "lá", "sol", "mi"]) for _ in range(r.randrange(1, 6))] for _ in range(2))
+        rows, columns, ambiguous, cost = alignment.best_steps(alignment.substitution_costs(a, b))
+        least, paths = _all_paths(a, b)
+        assert abs(cost - least) < 1e-9
+        steps = {(None if i < 0 else int(i), None if j < 0 else int(j)) for i, j in zip(rows, columns, strict=True)}
+        assert any({s for s in p} == steps for p in paths)
+        partners = {j: {i for p in paths for i, k in p if k == j} for j in range(len(b))}
+        # A word that is only ever inserted, or only ever has one partner, is not ambiguous.
+        assert [bool(x) for x in ambiguous] == [len(partners[j]) > 1 for j in range(len(b))]
+
+
+def _tokens(spark, source, target):
+    rows = [("s", side, i, t, t.lower()) for side, ts in (("source", source), ("target", target)) for i, t in enumerate(ts)]
+    return spark.createDataFrame(rows, "song_id string, side string, pos long, text string, key string")
+
+
+def test_alignment_and_divergences(spark):
+    tokens = _tokens(spark, "Diz antes de Tudo x".split(), "distantes de tudo y z".split())
+    steps = alignment.global_alignment(tokens)
+    got = [(r["source_pos"], r["target_pos"], r["kind"]) for r in steps.orderBy("step").collect()]
+    assert (2, 1, "equal") in got and (3, 2, "spelling") in got and [i for i, _, _ in got if i is not None] == list(range(5)) and [j for _, j, _ in got if j is not None] == list(range(5))
+    groups = [(r["kind"], r["source_text"], r["target_text"]) for r in alignment.divergences(steps, tokens).orderBy("grp").collect()]
+    assert groups == [("replaced", "Diz antes", "distantes"), ("replaced", "x", "y z")]
+    only = alignment.global_alignment(_tokens(spark, [], ["a"])).collect()
+    assert [(r["source_pos"], r["target_pos"], r["kind"]) for r in only] == [(None, 0, "target_only")]
+
+
+def test_structure(spark):
+    lyric = "me diz mais uma vez que já estamos distantes de tudo la la".split()
+    caps = [(1, 0.0, 4.0, "me diz mais uma vez que já estamos"), (2, 4.0, 9.0, "diz antes de tudo"), (3, 9.0, 10.0, "xyz"), (4, 10.0, 11.0, "tudo"), (5, 11.0, 12.0, "la"), (6, 12.0, 13.0, "la"), (7, 30.0, 31.0, "la")]
+    c = spark.createDataFrame([("s", i, a, b, t.split()) for i, a, b, t in caps], "song_id string, idx long, start double, end double, keys array<string>")
+    words_ = spark.createDataFrame([("s", i, w) for i, w in enumerate(lyric)], "song_id string, pos long, key string")
+    got = {r["idx"]: (r["token_start"], r["token_end"], r["warning"]) for r in structure.structure_plan(c, words_).collect()}
+    assert got[1] == (0, 8, None) and got[2] == (8, 11, None) and got[3] == (None, None, "not_in_lyric")
+    assert got[4] == (10, 11, None) and got[5] == (11, 12, None) and got[6] == (12, 13, None) and got[7] == (None, None, "ambiguous")
+
+
+def test_spans_against_all_spans(spark):
+    r = random.Random(2)
+    lyric = [r.choice("la sol mi fa re".split()) for _ in range(14)]
+    caps = [[r.choice("la sol mi fa re lá".split()) for _ in range(r.randrange(1, 6))] for _ in range(6)]
+    c = spark.createDataFrame([("s", i, k) for i, k in enumerate(caps)], "song_id string, idx long, keys array<string>")
+    w = spark.createDataFrame([("s", i, x) for i, x in enumerate(lyric)], "song_id string, pos long, key string")
+    want = set()
+    for i, k in enumerate(caps):
+        n, near = len(k), []
+        for a in range(len(lyric)):
+            for b in range(a + max(1, n // 2), min(len(lyric), a + n + max(6, n)) + 1):
+                score = indel(" ".join(k), " ".join(lyric[a:b]))
+                if score >= 0.65:
+                    near.append((score + 0.02 * (lyric[a] == k[0]) + 0.02 * (lyric[b - 1] == k[-1]), a, b))
+        want |= {(i, a, b) for s, a, b in near if s >= max(near)[0] - 0.025}
+    assert {(x["idx"], x["first"], x["after"]) for x in structure.candidate_spans(c, w).collect()} == want
+
+
+def _gap(spark, found, expected, lines, busy=(), sound=None):
+    e = spark.createDataFrame([("s", 1, i, line, t, t) for i, (t, line) in enumerate(zip(expected, lines, strict=True))], "song_id string, gap long, pos long, line int, text string, key string")
+    f = spark.createDataFrame([("s", 1, i, t, t, a, b, x) for i, (t, a, b, x) in enumerate(found)], "song_id string, gap long, no long, text string, key string, start double, end double, score double")
+    g = spark.createDataFrame([("s", 1, 0.0, 5.0)], "song_id string, gap long, gap_start double, gap_end double")
+    o = spark.createDataFrame([("s", *x) for x in busy], "song_id string, start double, end double")
+    h = None if sound is None else spark.createDataFrame([("s", t / 50, x) for t, x in enumerate(sound)], "song_id string, t double, rms double")
+    return [(r["state"], r["first_token"], r["last_token"], r["start"], r["end"]) for r in recovery.recover_gaps(g, e, f, o, h).orderBy("first_token").collect()]
+
+
+def test_recovery(spark):
+    found = [("la", 1.0, 1.5, 0.9), ("sol", 2.0, 2.5, 0.05)]
+    assert _gap(spark, found, ["la", "sol"], [0, 0]) == [("full", 0, 1, 1.0, 2.5)]
+    assert _gap(spark, found, ["la", "sol"], [0, 1]) == [("partial", 0, 0, 1.0, 1.5)]
+    assert _gap(spark, found, ["la", "sol"], [0, 0], [(1.9, 2.2)]) == [("partial", 0, 0, 1.0, 1.5)]
+    assert _gap(spark, [("la", 1.0, 1.5, 0.05)], ["la"], [0]) == [("none", None, None, None, None)]
+    assert _gap(spark, found, ["la", "sol"], [0, 0], sound=[1.0] * 250) == [("full", 0, 1, 1.0, 2.5)]
+    assert _gap(spark, found, ["la", "sol"], [0, 0], sound=[0.0] * 250) == [("none", None, None, None, None)]
+    assert _gap(spark, [("la", 2.0, 2.5, 0.9), ("sol", 1.0, 1.5, 0.9)], ["la", "sol"], [0, 0])[0][0] == "partial"
+
+
+def test_time_choice_against_all_choices(spark):
+    r = random.Random(9)
+    rows, want = [("x", 0, 1.0, 3.0, 0.95), ("x", 0, 1.0, 2.0, 0.80), ("x", 1, 2.1, 2.9, 0.90), ("y", 0, 1.0, 2.0, 0.5), ("y", 1, None, None, None), ("y", 2, 3.0, 4.0, 0.5)], {"x": (2, 1.7), "y": (2, 1.0)}
+    for k in range(12):
+        lists = [[(a := r.randrange(8), a + r.randrange(1, 4), r.randrange(8) / 8) for _ in range(r.randrange(0, 4))] for _ in range(4)]
+        rows += [(str(k), w, float(a), float(b), s) for w, o in enumerate(lists) for a, b, s in o] + [(str(k), w, None, None, None) for w in range(4)]
+
+        def best(w, at):
+            if w == 4:
+                return (0, 0.0)
+            return max([best(w + 1, at), *((1 + n, s + x) for a, b, s in lists[w] if a >= at and b <= 10 for n, x in [best(w + 1, b)])])
+
+        want[str(k)] = best(0, 0)
+    df = spark.createDataFrame([(*x, 0.0, 10.0) for x in rows], "song_id string, word long, start double, end double, score double, window_start double, window_end double")
+    score = {(k, w, a, b): s for k, w, a, b, s in rows if a is not None}
+    got: dict = {}
+    ends: dict = {}
+    for x in sequence.time_choice(df).orderBy("song_id", "word").collect():
+        n, s = got.get(x["song_id"], (0, 0.0))
+        if x["start"] is not None:
+            assert x["start"] >= ends.get(x["song_id"], 0)
+            ends[x["song_id"]] = x["end"]
+            n, s = n + 1, s + max(v for (k, w, a, b), v in score.items() if (k, w, a, b) == (x["song_id"], x["word"], x["start"], x["end"]))
+        got[x["song_id"]] = (n, s)
+    assert {k: (n, round(s, 9)) for k, (n, s) in got.items()} == {k: (n, round(s, 9)) for k, (n, s) in want.items()}
+
+
+def test_best_paths_against_a_dense_reference(spark):
+    r = np.random.default_rng(7)
+    for _ in range(4):
+        n, songs = int(r.integers(2, 30)), 6
+        dense = np.where(r.random((n, n)) < 0.4, np.round(r.random((n, n)) * 2) / 2, -np.inf)
+        np.fill_diagonal(dense, 0.0)
+        start, rows, want = np.round(r.random(n) * 2) / 2, [], {}
+        for k in range(songs):
+            emit = np.round(r.random((int(r.integers(1, 40)), n)) * 2) / 2
+            rows += [(str(k), i, e.tolist()) for i, e in enumerate(emit)]
+            score, back = start + emit[0], []
+            for e in emit[1:]:
+                options = score[:, None] + dense
+                back.append(options.argmax(0))
+                score = options.max(0) + e
+            path = [int(score.argmax())]
+            for b in back[::-1]:
+                path.append(int(b[path[-1]]))
+            want[str(k)] = path[::-1]
+        moves = [(a, b, float(dense[a, b])) for a in range(n) for b in range(n) if np.isfinite(dense[a, b])]
+        got: dict = {}
+        for x in sequence.best_paths(spark.createDataFrame(rows, "song_id string, step int, emit array<double>"), start.tolist(), moves).orderBy("song_id", "step").collect():
+            got.setdefault(x["song_id"], []).append(x["state"])
+        assert got == want
+
+
+def _groups(spark, segments, duration=100.0):
+    rows = [("s", k, no, w, a, b, s, start, end, text) for k, (start, end, text, ws) in enumerate(segments) for no, (w, a, b, s) in enumerate(ws or [(None, None, None, None)])]
+    df = spark.createDataFrame(rows, "song_id string, seg int, no int, word string, start double, end double, score double, seg_start double, seg_end double, seg_text string")
+    return [(r["start"], r["end"], r["text"], r["problem"], r["adjusted"]) for r in captioning.capped_groups(df, duration).orderBy("seg", "grp").collect()]
+
+
+def test_caption_groups(spark):
+    ws = [("Bom", 0.1, 0.4, 0.9), ("dia", 0.4, 1.0, 0.9), ("amor", 2.0, 3.0, 0.9)]
+    assert _groups(spark, [(0.0, 3.0, "Bom dia amor", ws)]) == [(0.1, 1.0, "Bom dia", None, False), (2.0, 3.0, "amor", None, False)]
+    broken = [ws[0], ("dia", None, None, None), ws[2]]
+    assert _groups(spark, [(0.0, 3.0, " Bom  dia amor", broken)]) == [(0.0, 3.0, "Bom dia amor", "segment_times", False)]
+    assert _groups(spark, [(0.0, 3.0, "Bom dia meu amor", ws)])[0][3] == "segment_times"  # a word is missing
+    assert _groups(spark, [(0.0, 3.0, "Bom dia amor", ws)], 2.5)[0][3] == "segment_times"  # over the end
+    assert _groups(spark, [(0.0, 3.0, "  ", None), (1.0, 2.0, "x", None)]) == [(1.0, 2.0, "x", "segment_times", False)]
+    # The approximate border gives way, else that of the unsure word; a long overlap stays.
+    assert _groups(spark, [(0.0, 1.05, "a", None), (1.0, 2.0, "b", [("b", 1.0, 2.0, 0.9)])])[0] == (0.0, 1.0, "a", "segment_times", True)
+    assert _groups(spark, [(0.0, 1.05, "a", [("a", 0.0, 1.05, 0.9)]), (1.0, 2.0, "b", [("b", 1.0, 2.0, 0.1)])])[1] == (1.05, 2.0, "b", None, True)
+    assert [x[4] for x in _groups(spark, [(0.0, 1.5, "a", None), (1.0, 2.0, "b", [("b", 1.0, 2.0, 0.9)])])] == [False, False]
+
+
+def test_similarity_and_models(spark):
+    df = spark.createDataFrame([("Bom dia meu amor", "bom dia amor")], "a string, b string")
+    from pyspark.sql import functions as F
+
+    r = df.select(words.similarity(F.col("a"), F.col("b")).alias("s")).head()["s"]
+    assert abs(r["ratio"] - 6 / 7) < 1e-9 and [tuple(x) for x in r["differences"]] == [("delete", "meu", "")]
+    t = spark.createDataFrame([("s", i, "pt" if i < 3 else "en") for i in range(5)], "song_id string, pos long, language string")
+    found = spark.createDataFrame([("s", i, la, float(i), i + 0.5, 0.9 if i != 3 else 0.1) for i in range(5) for la in ("pt", "en")], "song_id string, pos long, language string, start double, end double, score double")
+    chosen = words.model_of_line(t, found, ["song_id"])
+    assert chosen.count() == 5
+    got = [(x["language"], x["first"], x["last"], x["low"], x["high"]) for x in words.refinement_windows(chosen, ["song_id"], F.lit(0.0), F.lit(9.0)).orderBy("first").collect()]
+    assert got == [("pt", 0, 2, 0.0, 4.0), ("en", 3, 4, 2.5, 9.0)]
+
+
+def test_too_long_texts_are_refused(monkeypatch):
+    monkeypatch.setattr(alignment, "MOST_CELLS", 10)
+    with pytest.raises(ValueError):
+        alignment.best_steps(np.zeros((5, 5)))

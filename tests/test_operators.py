@@ -3,8 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessitura.functions.text import indel
-from tessitura.operators import align, audit, intervals, review, series
+from tessitura.operators import audit, intervals, review, sequence, series
 
 
 def test_points_in_intervals(spark):
@@ -76,83 +75,13 @@ def test_gap_plan(spark):
     assert got == [(0, 2, 0.0, 0.0, "no_time_between_captions"), (6, 10, 2.0, 9.0, None), (12, 15, 11.0, 20.0, None)]
 
 
-def test_alignment_and_ambiguity():
-    steps, ambiguous, cost = align.align_tokens(["la", "sol"], ["la", "la", "sol"])
-    assert cost == 1 and ambiguous == {0, 1}
-    steps, ambiguous, cost = align.align_tokens("diz antes de tudo".split(), "distantes de tudo".split())
-    assert not ambiguous - {0} and steps[-1] == (3, 2)
-
-
-def test_alignment_cost_against_plain_recursion():
-    from functools import cache
-
-    r = random.Random(5)
-    for _ in range(40):
-        a, b = ([r.choice(["la", "lá", "sol", "mi"]) for _ in range(r.randrange(1, 7))] for _ in range(2))
-
-        @cache
-        def cost(i, j):
-            if not i or not j:
-                return i + j
-            sub = 0 if a[i - 1] == b[j - 1] else 1.5 - indel(a[i - 1], b[j - 1]) / 2
-            return min(cost(i - 1, j - 1) + sub, cost(i - 1, j) + 1, cost(i, j - 1) + 1)
-
-        assert abs(align.align_tokens(a, b)[2] - cost(len(a), len(b))) < 1e-9
-
-
-def test_time_choice():
-    assert align.choose_times([[(1, 3, 0.95), (1, 2, 0.80)], [(2.1, 2.9, 0.90)]], 0, 4) == [(1, 2), (2.1, 2.9)]
-    assert align.choose_times([[(1, 2, 0.5)], [], [(3, 4, 0.5)]], 0, 5) == [(1, 2), None, (3, 4)]
-
-
-def test_structure_and_gap():
-    lyric = "me diz mais uma vez que já estamos distantes de tudo".split()
-    plan = align.plan_structure([("me diz mais uma vez que já estamos".split(), 0, 4), ("diz antes de tudo".split(), 4, 9), (["xyz"], 9, 10)], lyric)
-    assert plan[0][:2] == (0, 8) and plan[1][:2] == (8, 11) and plan[2][3] == "not_in_lyric"
-    found = [("la", 1.0, 1.5, 0.9), ("sol", 2.0, 2.5, 0.9)]
-    assert align.fill_gap(found, ["la", "sol"], [0, 0], 0.0, 5.0, []) == ([(0, 1, 1.0, 2.5)], "full")
-    assert align.fill_gap(found, ["la", "sol"], [0, 0], 0.0, 5.0, [(1.9, 2.2)])[1] == "partial"
-    assert align.fill_gap([("la", 1.0, 1.5, 0.05)], ["la"], [0], 0.0, 5.0, []) == ([], "none")
-
-
-def test_caption_groups():
-    words = [("Bom", 0.1, 0.4), ("dia", 0.4, 1.0), ("amor", 2.0, 3.0)]
-    assert [g[2] for g in align.group_words(words)] == ["Bom dia", "amor"]
-
-
-def test_windows():
-    signal = np.ones(65 * 16000)
-    signal[18 * 16000 : 19 * 16000] = 0
-    found = align.cut_windows(signal)
-    assert found[0][0] == 0 and found[-1][1] == 65 and 18 <= found[0][1] <= 19
-    assert all(a[1] == b[0] for a, b in zip(found, found[1:])) and all(b - a <= 20 + 1e-9 for a, b in found)
-    assert align.cut_windows(np.zeros(0)) == []
-
-
-def test_viterbi_against_all_paths():
-    from itertools import product
-
-    r = np.random.default_rng(7)
-    for _ in range(40):
-        n, t = int(r.integers(2, 4)), int(r.integers(1, 6))
-        moves = np.where(r.random((n, n)) < 0.7, np.round(r.random((n, n)) * 2) / 2, -np.inf)
-        start, emit = np.round(r.random(n) * 2) / 2, np.round(r.random((t, n)) * 2) / 2
-        got = align.viterbi(start, emit, [np.flatnonzero(np.isfinite(moves[:, s])) for s in range(n)], [moves[np.isfinite(moves[:, s]), s] for s in range(n)])
-
-        def score(p):
-            return start[p[0]] + emit[0, p[0]] + sum(moves[a, b] + emit[k + 1, b] for k, (a, b) in enumerate(zip(p, p[1:])))
-
-        best = max(score(p) for p in product(range(n), repeat=t))
-        assert best == -np.inf or abs(score(tuple(got)) - best) < 1e-9
-
-
 def test_note_continuity(spark):
     from pyspark.sql import Row
 
     cands = lambda *x: [Row(pitch=p, score=s) for p, s in x]
     units = [("s", 1, 0.0, 1.0, cands((60, 0.5))), ("s", 2, 1.0, 2.0, cands((60, 0.50), (72, 0.51))), ("s", 3, 9.0, 10.0, cands((60, 0.5), (61, 0.5)))]
     df = spark.createDataFrame(units, "song_id string, unit long, start double, end double, cands array<struct<pitch:int,score:double>>")
-    assert [r["pitch"] for r in align.note_continuity(df).orderBy("unit").collect()] == [60, 60, 60]
+    assert [r["pitch"] for r in sequence.note_continuity(df).orderBy("unit").collect()] == [60, 60, 60]
 
 
 def test_review_undo():
@@ -173,8 +102,20 @@ def test_audit(spark):
     assert [r["k"] for r in audit.recomposed(words, parts, ["k"], "t", "p", "n").collect()] == [2]
 
 
-def test_frame_evidence():
-    t = np.arange(16000) / 16000
-    got = align.frame_evidence(np.sin(2 * np.pi * 220 * t), 16000)
-    assert got["per"].mean() > 0.8 and got["timbre"].shape[1] >= 8 and got["flux"][0] == 0
-    assert align.frame_evidence(np.zeros(10), 16000)["rms"].tolist() == [0.0]
+def test_conflict_free_and_overlapping(spark):
+    r = random.Random(6)
+    rows = [(k, i, a := r.randrange(60), a + r.randrange(1, 6)) for k in range(3) for i in range(30)]
+    busy = [(k, a := r.randrange(60), a + r.randrange(1, 9)) for k in range(2) for _ in range(6)]
+    d, o = spark.createDataFrame(rows, "k int, i int, a int, b int"), spark.createDataFrame(busy, "k int, a int, b int")
+    free = sorted((k, i) for k, i, a, b in rows if not any(k == q and a < y and b > x for q, x, y in busy))
+    assert sorted((x["k"], x["i"]) for x in intervals.conflict_free(d, o, ["k"], "a", "b").collect()) == free
+    got = {(x["k"], x["i"]): x["overlaps"] for x in intervals.overlapping(d, o, ["k"], "a", "b").collect()}
+    assert {x for x, hit in got.items() if not hit} == set(free) and len(got) == len(rows)
+    assert intervals.conflict_free(d, o.limit(0), ["k"], "a", "b").count() == len(rows)
+
+
+def test_a_long_interval_touches_few_buckets(spark):
+    p = spark.createDataFrame([(1, float(t)) for t in range(0, 1000, 7)], "k int, t double")
+    s = spark.createDataFrame([(1, 1, 3.0, 900_000_000.0), (1, 2, 5.0, 5.5), (1, 3, 14.0, 14.25)], "k int, i int, a double, b double")
+    got = intervals.points_in_intervals(p, s, ["k"], "t", "a", "b", 0.25)
+    assert sorted((x["i"], x["t"]) for x in got.collect()) == sorted([(1, float(t)) for t in range(7, 1000, 7)] + [(3, 14.0)])
