@@ -139,17 +139,14 @@ def _forest(prints: np.ndarray, distance: int, most: int | None) -> list[tuple[i
 
 
 def _bucket_links(distance: int, most: int | None, keys: int, held_rows: int | None):
-    """Rows sorted by their first ``keys`` columns to links (a, b); a bucket of over ``held_rows`` rows gives one row with its first keys and no link."""
+    """Rows (keys, node, words) sorted by their first ``keys`` columns to links (a, b) of nodes; a bucket of over ``held_rows`` rows gives one row with its first keys and no link."""
 
-    def spelled(prints):
-        return ["".join(f"{x:016x}" for x in row) for row in prints.tolist()]
-
-    def batch(prints, edges, hot):
+    def batch(nodes, edges, hot):
         e = np.array(edges, np.int64).reshape(-1, 2)
-        a, b = spelled(prints[e[:, 0]]), spelled(prints[e[:, 1]])
         none = [None] * len(hot)
+        a, b = (nodes[e[:, k]].tolist() + none for k in (0, 1))
         return pa.RecordBatch.from_arrays(
-            [pa.array(a + none, pa.string()), pa.array(b + none, pa.string()), pa.array([None] * len(e) + [k[0] for k in hot], pa.int32()), pa.array([None] * len(e) + [k[1] for k in hot], pa.int64())],
+            [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([None] * len(e) + [k[0] for k in hot], pa.int32()), pa.array([None] * len(e) + [k[1] for k in hot], pa.int64())],
             names=["a", "b", "choice", "part"],
         )
 
@@ -166,11 +163,11 @@ def _bucket_links(distance: int, most: int | None, keys: int, held_rows: int | N
             change[1:] |= c[1:] != c[:-1]
         starts = np.flatnonzero(change)
         ends = np.append(starts[1:], len(change))
-        prints = np.stack(columns[keys:], 1).view(np.uint64)
+        prints = np.stack(columns[keys + 1 :], 1).view(np.uint64)
         edges = []
         for k in np.flatnonzero(ends - starts > 1):
             edges += [(starts[k] + x, starts[k] + y) for x, y in _forest(prints[starts[k] : ends[k]], distance, most)]
-        return batch(prints, edges, [])
+        return batch(columns[keys], edges, [])
 
     def links(batches):
         parts: list[list[np.ndarray]] = []  # the rows of the open bucket
@@ -193,7 +190,7 @@ def _bucket_links(distance: int, most: int | None, keys: int, held_rows: int | N
                 parts = [[c[open_] for c in columns]]
             now = key
             if held_rows is not None and sum(len(x[0]) for x in parts) > held_rows:
-                yield batch(np.zeros((0, 1), np.uint64), [], [tuple(int(x) for x in key)])
+                yield batch(np.zeros(0, np.int64), [], [tuple(int(x) for x in key)])
                 parts, now, too_large = [], None, key
         if parts:
             yield done([np.concatenate(x) for x in zip(*parts, strict=True)])
@@ -201,26 +198,26 @@ def _bucket_links(distance: int, most: int | None, keys: int, held_rows: int | N
     return links
 
 
-def links(prints: DataFrame, column: str = "fingerprint", distance: int = DISTANCE, blocks: int = BLOCKS, words: int = 1, most: int | None = None, held_rows: int = _HELD) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints (as hex digits) that connect whatever is linked: at most ``distance`` bits
-    of the first word differ and, if ``most`` is given, at most that many of all words.
+def links(prints: DataFrame, column: str = "fingerprint", node: str | None = None, distance: int = DISTANCE, blocks: int = BLOCKS, words: int = 1, most: int | None = None, held_rows: int = _HELD) -> DataFrame:
+    """Edges (a, b) between the nodes (longs; the first word if no column is named) of distinct fingerprints that connect whatever
+    is linked: at most ``distance`` bits of the first word differ and, if ``most`` is given, at most that many of all words.
 
     Buckets of over ``held_rows`` fingerprints are dealt out once more, as pairs of chunks."""
-    names = [f"w{k}" for k in range(words)]
-    own = [F.get(F.col(column), F.lit(k)).alias(n) for k, n in enumerate(names)]
-    distinct = prints.where(F.col(column).isNotNull()).select(*own).distinct()
+    names = ["node", *[f"w{k}" for k in range(words)]]
+    own = [F.get(F.col(column), F.lit(k)) for k in range(words)]
+    distinct = prints.where(F.col(column).isNotNull()).select((own[0] if node is None else F.col(node)).alias("node"), *[w.alias(f"w{k}") for k, w in enumerate(own)]).distinct()
     if distance == 0 and most is None:
-        return distinct.select(F.lit("").alias("a"), F.lit("").alias("b")).limit(0)
+        return distinct.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     choices = F.array(*[F.struct(F.lit(k).cast("int").alias("choice"), F.col("w0").bitwiseAND(F.lit(m)).alias("part")) for k, m in enumerate(masks(distance, blocks))])
     dealt = distinct.select(F.explode(choices).alias("c"), *names).select("c.choice", "c.part", *names)
-    kind, key = "a string, b string, choice int, part bigint", ["choice", "part"]
+    kind, key = "a bigint, b bigint, choice int, part bigint", ["choice", "part"]
     found = cut(dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(_bucket_links(distance, most, 2, held_rows), kind))
     hot = found.where("a is null").select(*key)
     edges = found.where("a is not null").select("a", "b")
     if not hot.isEmpty():
         rows = cut(dealt.join(hot, key))
         chunks = rows.groupBy(*key).agg(F.ceil(F.count("*") * 2 / held_rows).cast("int").alias("chunks"))
-        own_chunk = F.pmod(F.xxhash64(*names), F.col("chunks")).cast("int")
+        own_chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
         paired = rows.join(chunks, key).withColumn("own", own_chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         pairs = paired.select(*key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *names)
         key = [*key, "i", "j"]
@@ -228,16 +225,29 @@ def links(prints: DataFrame, column: str = "fingerprint", distance: int = DISTAN
     return edges.distinct()
 
 
+def _noded(rows: DataFrame, words: int) -> DataFrame:
+    """``rows`` (print) with ``node``: a long for each distinct fingerprint, its word or a hash of its words without collisions."""
+    if words == 1:
+        return rows.withColumn("node", F.get("print", F.lit(0)))
+    seed = 0
+    while True:
+        noded = rows.withColumn("node", F.xxhash64(F.lit(seed), "print"))
+        clash = noded.select("node", F.xxhash64("print", F.lit(1)).alias("h")).groupBy("node").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b")
+        if clash.isEmpty():
+            return noded
+        seed += 1
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = WIDTH, distance: int = DISTANCE, blocks: int = BLOCKS, words: int = 1, most: int | None = None) -> DataFrame:
     """For each row: id, fingerprint (16 hex digits a word) and component_id (the smallest id reachable, itself included)."""
     rows = cut(docs.select(F.col(f"`{id_column}`").alias("id"), fingerprints(F.col(f"`{text}`"), width, words).alias("print")))
-    rows = rows.select("id", "print", digits(F.col("print"), words).alias("fingerprint"))
-    firsts = rows.groupBy("fingerprint").agg(F.min("id").alias("first"))
-    rooted = components(links(rows, "print", distance, blocks, words, most)).withColumnRenamed("node", "fingerprint")
-    firsts = firsts.join(rooted, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+    rows = _noded(rows, words)
+    firsts = rows.groupBy("node").agg(F.min("id").alias("first"))
+    rooted = components(links(rows, "print", "node", distance, blocks, words, most))
+    firsts = firsts.join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = firsts.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_print = firsts.join(lowest, "root").select("fingerprint", "component_id")
-    return rows.join(of_print, "fingerprint").select(F.col("id").alias(id_column), "fingerprint", "component_id")
+    of_node = firsts.join(lowest, "root").select("node", "component_id")
+    return rows.join(of_node, "node").select(F.col("id").alias(id_column), digits(F.col("print"), words).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", **how) -> DataFrame:
