@@ -573,3 +573,6 @@ def review_fold(spark, sf_dir):
     action = F.when(F.col("event_type") == "error", "undo").when(F.col("event_type") == "purchase", "remove").when(F.col("event_type") == "click", "replace").otherwise("correct")
     log = e.where("n > 20").select(song, F.col("n").alias("seq"), action.alias("action"), F.col("n").alias("item"), (F.col("event_id") % 20 + 1).alias("block"), ((F.col("event_id") % 20 + 1) * 1000).alias("start_ms"), ((F.col("event_id") % 20 + 1) * 1000 + 800).alias("end_ms"), F.lit("new").alias("text"))
     return review.fold(blocks, log)
+
+
+from tessitura.plans import word_queries  # noqa: E402, F401  its queries are registered here
