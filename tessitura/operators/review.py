@@ -42,47 +42,57 @@ def caption_candidates(items: DataFrame, captions: DataFrame, key: list[str], mo
 
 
 def apply_events(blocks: dict, decisions: dict, events: list[dict]):
-    """State after a log of events: (blocks, decisions). ``undo`` restores what stood before the last event that was not undone.
+    """State after a log of events: (blocks, decisions, problems). ``undo`` restores what stood before the last event that was not undone.
 
-    An event that breaks a rule (unknown block, overlap, end not after start) is left out as a whole."""
+    An event that breaks a rule (unknown action or block, overlap, end not after start, nothing to undo) changes nothing and
+    is told in problems as (its place, the rule). An association whose block goes is put off (``later``)."""
     history: list[tuple[dict, dict]] = []
+    problems: list[tuple[int, str]] = []
 
-    def valid(state: dict) -> bool:
+    def broken(state: dict) -> str | None:
         spans = sorted((b["start_ms"], b["end_ms"]) for b in state.values())
-        return all(s < e for s, e in spans) and all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+        if any(s >= e for s, e in spans):
+            return "end_not_after_start"
+        return "overlap" if any(a[1] > b[0] for a, b in zip(spans, spans[1:], strict=False)) else None
 
-    for e in events:
-        action = e["action"]
+    for place, e in enumerate(events):
+        action, block, item = e["action"], e.get("block"), e.get("item")
+        rule = None
         if action == "undo":
             if history:
                 blocks, decisions = history.pop()
+            else:
+                problems.append((place, "nothing_to_undo"))
             continue
+        if action not in ACTIONS:
+            rule = "unknown_action"
+        elif action in ("correct", "remove", "replace", "associate") and block not in blocks:
+            rule = "unknown_block"
         new_blocks, new_decisions = dict(blocks), dict(decisions)
-        block, item = e.get("block"), e.get("item")
-        if action in ("correct", "remove", "replace", "associate") and block not in blocks:
-            continue
-        if action in ("insert", "correct", "replace"):
-            own = {"start_ms": e["start_ms"], "end_ms": e["end_ms"], "text": e["text"]} if action != "correct" else blocks[block] | {"text": e["text"]}
-            new_blocks[block] = own
-        elif action == "remove":
-            new_blocks.pop(block)
-            new_decisions = {k: v for k, v in new_decisions.items() if not (v.get("action") == "associate" and v.get("block") == block)}
-        elif action not in ACTIONS:
-            continue
-        if item is not None:
-            new_decisions[item] = {"action": action, "block": block}
-        if not valid(new_blocks):
+        if rule is None:
+            if action == "correct":
+                new_blocks[block] = blocks[block] | {"text": e["text"]}
+            elif action in ("insert", "replace"):
+                new_blocks[block] = {"start_ms": e["start_ms"], "end_ms": e["end_ms"], "text": e["text"]}
+            elif action == "remove":
+                new_blocks.pop(block)
+            new_decisions = {k: v if v["action"] != "associate" or v["block"] in new_blocks else {"action": "later", "block": None} for k, v in new_decisions.items()}
+            if item is not None:
+                new_decisions[item] = {"action": action, "block": block}
+            rule = broken(new_blocks)
+        if rule is not None:
+            problems.append((place, rule))
             continue
         history.append((blocks, decisions))
         blocks, decisions = new_blocks, new_decisions
-    return blocks, decisions
+    return blocks, decisions, problems
 
 
 STATE = "song_id string, kind string, id long, body string"
 
 
 def fold(blocks: DataFrame, events: DataFrame) -> DataFrame:
-    """Blocks and decisions of each song after its log.
+    """Blocks and decisions of each song after its log, and a problem row for each event that breaks a rule (id: its seq).
 
     blocks: song_id, block, start_ms, end_ms, text; events: song_id, seq, action, item, block, start_ms, end_ms, text."""
 
@@ -91,8 +101,49 @@ def fold(blocks: DataFrame, events: DataFrame) -> DataFrame:
         log = [{k: None if pd.isna(v) else v for k, v in r.items()} for r in right.sort_values("seq").to_dict("records")]
         for e in log:
             e.update({k: int(e[k]) for k in ("item", "block", "start_ms", "end_ms") if e.get(k) is not None})
-        after, decided = apply_events(first, {}, log)
+        after, decided, problems = apply_events(first, {}, log)
         rows = [(key[0], "block", k, json.dumps(v, ensure_ascii=False)) for k, v in sorted(after.items())] + [(key[0], "decision", k, json.dumps(v)) for k, v in sorted(decided.items())]
+        rows += [(key[0], "problem", int(log[k]["seq"]), json.dumps({"rule": rule})) for k, rule in problems]
         return pd.DataFrame(rows, columns=["song_id", "kind", "id", "body"])
 
     return blocks.groupBy("song_id").cogroup(events.groupBy("song_id")).applyInPandas(run, STATE)
+
+
+def split_events(blocks: DataFrame, splits: DataFrame) -> DataFrame:
+    """Two events for each block that is split: the first part replaces it, the second is inserted.
+
+    blocks: song_id, block, start_ms, end_ms, text; splits: song_id, seq, item, block, new_block, at_ms, word (the
+    first word, from 0, of the second part). A cut that leaves no time or no word on a side gives no events."""
+    whole = splits.join(blocks, ["song_id", "block"]).withColumn("_w", F.split(F.trim("text"), r"\s+"))
+    whole = whole.where("word > 0 and word < size(_w) and at_ms > start_ms and at_ms < end_ms")
+    first = F.struct(F.lit("replace").alias("action"), F.col("block"), F.col("start_ms"), F.col("at_ms").alias("end_ms"), F.array_join(F.slice("_w", F.lit(1), F.col("word")), " ").alias("text"), F.lit(0).alias("n"))
+    second = F.struct(F.lit("insert").alias("action"), F.col("new_block").alias("block"), F.col("at_ms").alias("start_ms"), F.col("end_ms"), F.array_join(F.slice("_w", F.col("word") + 1, F.size("_w")), " ").alias("text"), F.lit(1).alias("n"))
+    dealt = whole.select("song_id", "seq", "item", F.explode(F.array(first, second)).alias("e"))
+    return dealt.select("song_id", (F.col("seq") * 2 + F.col("e.n")).alias("seq"), "e.action", "item", "e.block", "e.start_ms", "e.end_ms", "e.text")
+
+
+def editor_words(texts: DataFrame, key: list[str], text: str = "text") -> DataFrame:
+    """(key, no, text, start, end, score, confirmed): the words of a text for an editor, none of them confirmed."""
+    from tessitura.functions.text import tokens
+
+    none = F.lit(None).cast("double")
+    return texts.select(*key, F.posexplode(tokens(F.col(text))).alias("no", "text")).select(*key, F.col("no").cast("long").alias("no"), "text", none.alias("start"), none.alias("end"), none.alias("score"), F.lit(False).alias("confirmed"))
+
+
+def proposed_times(texts: DataFrame, found: DataFrame, windows: DataFrame, key: list[str]) -> DataFrame:
+    """editor_words with the times that an aligner proposes (rounded to milliseconds, origin aligner); a proposal confirms nothing.
+
+    found: key, no, text, key_text, start, end, score; windows: key, low, high."""
+    from tessitura.functions.text import comparison_key
+    from tessitura.operators.alignment import reused_times
+
+    own = editor_words(texts, key)
+    expected = own.select(*key, F.col("no").alias("pos"), "text", comparison_key(F.col("text")).alias("key"))
+    times = reused_times(expected, found, windows, key).select(*key, F.col("pos").alias("no"), F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "score")
+    return own.drop("start", "end", "score").join(times, [*key, "no"], "left").withColumn("origin", F.when(F.col("start").isNotNull(), "aligner"))
+
+
+def pending_published(pending_: DataFrame, published: DataFrame) -> DataFrame:
+    """Pending items with the place (from 0) and text of the published block they stem from. pending_: song_id, item, original; published: song_id, original, start, text."""
+    place = F.row_number().over(W.partitionBy("song_id").orderBy("start")) - 1
+    return pending_.join(published.select("song_id", "original", place.alias("place"), F.col("text").alias("published_text")), ["song_id", "original"])

@@ -87,10 +87,59 @@ def test_note_continuity(spark):
 def test_review_undo():
     blocks = {1: {"start_ms": 0, "end_ms": 900, "text": "a"}, 2: {"start_ms": 1000, "end_ms": 1900, "text": "b"}}
     log = [{"action": "associate", "item": 7, "block": 1}, {"action": "remove", "item": 8, "block": 1}, {"action": "undo"}, {"action": "insert", "item": 9, "block": 3, "start_ms": 500, "end_ms": 1500, "text": "x"}]
-    after, decided = review.apply_events(blocks, {}, log)
-    assert after == blocks and decided == {7: {"action": "associate", "block": 1}}
-    after, decided = review.apply_events(blocks, {}, log[:2])
-    assert 1 not in after and 7 not in decided
+    after, decided, problems = review.apply_events(blocks, {}, log)
+    assert after == blocks and decided == {7: {"action": "associate", "block": 1}} and problems == [(3, "overlap")]
+    after, decided, problems = review.apply_events(blocks, {}, log[:2])
+    assert 1 not in after and decided[7]["action"] == "later" and not problems
+    odd = [{"action": "undo"}, {"action": "sing"}, {"action": "remove", "block": 9}, {"action": "replace", "block": 1, "start_ms": 5, "end_ms": 5, "text": ""}]
+    assert [x for _, x in review.apply_events(blocks, {}, odd)[2]] == ["nothing_to_undo", "unknown_action", "unknown_block", "end_not_after_start"]
+
+
+def test_split_and_proposals(spark):
+    blocks = spark.createDataFrame([("s", 1, 0, 2000, "a b c")], "song_id string, block long, start_ms long, end_ms long, text string")
+    splits = spark.createDataFrame([("s", 1, 5, 1, 2, 900, 1), ("s", 2, 5, 1, 3, 900, 0)], "song_id string, seq long, item long, block long, new_block long, at_ms long, word int")
+    events = review.split_events(blocks, splits)
+    state = {r["id"]: r["body"] for r in review.fold(blocks, events).where("kind = 'block'").collect()}
+    assert '"end_ms": 900, "text": "a"' in state[1] and '"start_ms": 900, "end_ms": 2000, "text": "b c"' in state[2] and events.count() == 2
+    texts = spark.createDataFrame([("s", "Bom dia amor")], "song_id string, text string")
+    found = spark.createDataFrame([("s", 0, "bom", "bom", 0.1, 0.4004, 0.9), ("s", 1, "amor", "amor", 1.0, 2.0, None)], "song_id string, no long, text string, key string, start double, end double, score double")
+    windows = spark.createDataFrame([("s", 0.0, 3.0)], "song_id string, low double, high double")
+    got = [(r["text"], r["start"], r["end"], r["origin"], r["confirmed"]) for r in review.proposed_times(texts, found, windows, ["song_id"]).orderBy("no").collect()]
+    assert got == [("Bom", 0.1, 0.4, "aligner", False), ("dia", None, None, None, False), ("amor", 1.0, 2.0, "aligner", False)]
+    p = spark.createDataFrame([("s", 9, 16)], "song_id string, item int, original int")
+    done = spark.createDataFrame([("s", 15, 1.0, "x"), ("s", 16, 2.0, "y")], "song_id string, original int, start double, text string")
+    assert [(r["place"], r["published_text"]) for r in review.pending_published(p, done).collect()] == [(1, "y")]
+
+
+def test_export_and_versions(spark, tmp_path):
+    from tessitura.sources import publication as P
+
+    units = [("s", k, k, f"w{k}", 1, t) for k, t in enumerate(["a", "mor", "é"], 1)]
+    times = [(0.0, 0.5, 60), (0.5, 1.25, 64), (2.0, 200.0, 84)]
+    u = spark.createDataFrame(units, "song_id string, unit int, ord int, word_id string, block int, text string")
+    n = spark.createDataFrame([(*a, *b) for a, b in zip(units, times)], "song_id string, unit int, ord int, word_id string, block int, text string, start double, end double, pitch int")
+    out = P.export(u, n)
+    assert out["problems"].count() == 0
+    data = bytes(out["files"].head()["content"])
+    assert data[:14] == b"MThd\0\0\0\6\0\0\0\1\x07\x80" and data.endswith(b"\xff\x2f\0") and "é".encode() in data
+    got = [(r["tick_on"] / 3840, r["tick_off"] / 3840, r["pitch"]) for r in P.read_notes(out["files"]).orderBy("no").collect()]
+    assert got == times
+    assert out["captions"].head()["content"].startswith("1\n00:00:00,000 --> 00:00:00,500\na\n\n2\n")
+    assert '"difficulty":"advanced"' in out["metadata"].head()["content"] and '"lyricsOffset":0' in out["metadata"].head()["content"]
+    moved = n.withColumn("pitch", F.when(F.col("unit") == 2, 65).otherwise(F.col("pitch")))
+    assert [(r["no"], r["rule"]) for r in P.reread_problems(moved, out["files"]).collect()] == [(2, "differs")]
+    assert sorted((r["part"], r["rule"]) for r in P.export(u, n.where("unit < 3"))["problems"].collect()) == [("3", "missing")]
+    root = f"file://{tmp_path}/t"
+    assert P.publish_version(u, root) == 1 and P.publish_version(u.where("unit = 1"), root) == 2 and P.versions(spark, root) == [1, 2]
+    assert P.current(spark, root).count() == 1 and P.roll_back(spark, root) == 1 and P.current(spark, root).count() == 3
+    (tmp_path / "t" / "_lock").touch()
+    try:
+        P.publish_version(u, root)
+        raise AssertionError("a locked table was published")
+    except FileExistsError:
+        pass
+    m = P.manifest(out["captions"], n.select("song_id", "block", F.col("unit").alias("no"), "text", "start", "end", F.lit(True).alias("confirmed")), spark.createDataFrame([("s", "srt", "x")], "song_id string, name string, sha256 string"), u.limit(0)).head()
+    assert m["pending"] == 0 and m["sources"] == {"srt": "x"} and len(m["blocks"]) == 3
 
 
 def test_audit(spark):
