@@ -11,7 +11,6 @@ from tessitura.operators import audit, intervals, placement, review, series, sou
 from tessitura.plans.catalog import _EV, _FRAMES, _events, _frames, _lines, _LINES, _read, query, srt_render
 from tessitura.sources import captions, writers
 
-_USER = W.partitionBy("user_id").orderBy("start_ms", "event_id")
 _OVER = "(PARTITION BY user_id ORDER BY start_ms, event_id)"
 _TOKEN = "[\\\\p{L}\\\\p{N}]+(?:[''’\\\\-][\\\\p{L}\\\\p{N}]+)*".replace("\\\\", "\\")
 
