@@ -18,12 +18,16 @@ def free_name(taken, base: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share (spark.checkpoint.dir); a local one only where it is unset, as in tests."""
+    """The folder that the driver and all executors share (spark.checkpoint.dir); a local one only where it is unset on one machine, as in tests."""
     context = spark.sparkContext
     found = context._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='shared-')}"
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if context.master.partition("[")[0] != "local":  # other machines would not see it
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='shared-')}"
     context.setCheckpointDir(folder)
     return context._jsc.sc().getCheckpointDir().get()
 
