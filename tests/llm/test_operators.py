@@ -611,6 +611,34 @@ def test_probes_of_main_text(page, text):
     assert wrappers.main_text(page, None) == text
 
 
+def _sites(r, hosts=6, pages=7):
+    """Pages of generated sites with their main text: each site has a layout of its own, unmarked notices, and articles that differ."""
+    word = lambda n: " ".join("".join(r.choice("abdeilmnorstu") for _ in range(r.randrange(3, 9))) for _ in range(n))
+    for h in range(hosts):
+        menu, notice, foot = [word(1) for _ in range(6)], word(14), word(9)
+        classes = [r.choice(["x1", "wrap", "col-a", "blk"]) for _ in range(4)]
+        named = r.choice(["article", "main", "div"])
+        for k in range(pages):
+            title, body = word(5), [word(r.randrange(25, 60)) for _ in range(r.randrange(2, 7))]
+            inner = f"<h1>{title}</h1>" + "".join(f"<p>{x}</p>" + (f"<div>{notice}</div>" if i == 0 and h % 2 else "") for i, x in enumerate(body))
+            top = f"<header class='site-header'><nav><ul>{''.join(f'<li><a href=#>{m}</a></li>' for m in menu)}</ul></nav></header>"
+            side = f"<aside>{''.join(f'<p>{word(4)}</p>' for _ in range(k % 3))}</aside><div class='{classes[0]}'>{notice}</div>"
+            thread = "".join(f"<div class='comments'><p>{word(12)}</p></div>" for _ in range(k % 4))
+            page = f"<html><head><title>{title}</title><script>var a = '<p>no</p>';</script></head><body>{top}<div class='{classes[1]}'><{named} class='{classes[2]}'>{inner}</{named}>{side}{thread}</div><footer>{foot}</footer></body></html>"
+            yield f"http://h{h}.example/{k}", page, "\n\n".join([title, *body])
+
+
+def test_main_text_of_generated_sites(spark):
+    import random
+
+    rows = [(i, *x) for i, x in enumerate(_sites(random.Random(12)))]
+    got = {r["page_id"]: r["text"] for r in wrappers.extract(spark.createDataFrame([x[:3] for x in rows], "page_id int, url string, html string")).collect()}
+    assert [i for i, _, _, want in rows if got[i] != want] == []
+    # The template is what leaves the notice between two paragraphs out: a page alone keeps it.
+    kept = [i for i, _, page, want in rows if wrappers.main_text(page, None) != want]
+    assert len(kept) >= 15
+
+
 def test_wrappers_merge_in_a_tree(spark, monkeypatch):
     monkeypatch.setattr(wrappers, "_GROUP", 3)
     tags = "h1 h2 h3 h4 h5 h6 p pre section dl".split()
