@@ -8,7 +8,8 @@ window. A document word inside any occurrence of a window is hit.
 The benchmark is measured first. Up to ``block_bytes`` its windows are
 broadcast as sorted 64-bit hashes; a larger one is dealt into blocks of about
 that size and the documents are scanned once for each block, with what was
-found kept in the shared folder, so one block at a time is broadcast. A hash that is found is verified word by word.
+found kept in the shared folder, so one block at a time is broadcast; an item of
+over half a block goes in pieces that share their borders. A hash that is found is verified word by word.
 The scan is narrow: nothing is shuffled, and hot sources, copies and common
 passages cost what other rows cost.
 
@@ -167,12 +168,23 @@ def _scanner(shared, first: bool):
     return scan.asNondeterministic()  # else a condition on the hits scans the texts once more
 
 
+def _in_pieces(items: DataFrame, width: int, most: int) -> DataFrame:
+    """``items`` (id, text), those of over ``most`` bytes in pieces that share ``width`` - 1 words, so that each window stands in one whole."""
+    words = F.regexp_extract_all("text", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"), F.lit(0))
+    size = max(1, most // 16)
+    cut_ = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size("w") - (width - 1)) / size).cast("int") - 1)), lambda i: F.array_join(F.slice("w", i * size + 1, size + width - 1), " "))
+    large = F.octet_length("text") > most
+    dealt = items.where(large).select("id", words.alias("w")).select("id", F.explode(cut_).alias("text"))
+    return items.where(~large | F.col("text").isNull()).unionByName(dealt)
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", into: str = "hits", width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with a struct ``into``: n_words, n_hit, items (ids as sorted strings) and words (hit word ranges, end excluded)."""
     if into in docs.columns:
         raise ValueError(f"the table already has a column {into!r}; name another")
     spark = docs.sparkSession
     items = benchmark.select(F.col(f"`{item}`").cast("string").alias("id"), F.col(f"`{item_text}`").cast("string").alias("text"))
+    items = _in_pieces(items, width, block_bytes // 2)
     size = items.agg(F.sum(F.octet_length("text") + F.coalesce(F.octet_length("id"), F.lit(0)) + 16)).head()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     dealt = items.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)))

@@ -76,7 +76,7 @@ def _hits(text, items, width=10):
     return len(words), hit, sorted(found)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 24, 200])
+@pytest.mark.parametrize("block_bytes", [1 << 24, 200, 70])
 def test_decontamination(spark, docs, block_bytes):
     items = [(1, " ".join(WS.findall(ROWS[0][1])[2:25]).upper()), (2, "one TWO"), (3, None), (4, "..."), (5, " ".join(WS.findall(ROWS[0][1])[2:14])), (6, " ".join(WS.findall(ROWS[5][1])[:9]))]
     bench = spark.createDataFrame(items, "item_id long, text string")
