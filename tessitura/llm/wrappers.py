@@ -44,6 +44,7 @@ import html
 import json
 import re
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -86,6 +87,7 @@ def _marks_of(word: str) -> set[str]:
     return {p for p in parts if p in MARKS}
 
 
+@lru_cache(maxsize=20_000)
 def _label(name: str, attributes: str) -> str:
     if name in ("html", "body", "article", "main"):
         return name
