@@ -116,3 +116,21 @@ def test_pipeline_against_brute_force(spark, tmp_path):
 
     got = [(r["doc_id"], r["n_tokens"], list(r["ids"]), r["decoded_sha256"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_stages_with_empty_tables_and_clashing_columns(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    spark.createDataFrame([(1, "some words")], "item_id long, text string").limit(0).write.parquet(f"{tmp_path}/benchmark.parquet")
+    names = ["pieces", "lines", "hits", "quality", "component", "gone"]
+    extra = lambda df: df.withColumns({n: F.lit(n) for n in names})
+    good = "the words of this text are many and it is long enough to stay here in full"
+    some = fixtures.table(spark, [(1, good, "en", "s", 0), (1, good, "en", "s", 0), (None, good, None, None, None), (2, None, "en", "s", 0), (3, "", "en", "s", 0)])
+    for docs, n in ((extra(fixtures.empty(spark)), 0), (extra(some), 2)):
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, str(tmp_path))
+            if k < len(corpus_pipeline.STAGES) - 1:
+                assert out.columns == docs.columns, name
+                out.write.parquet(f"{tmp_path}/{n}-{k}")
+                docs = spark.read.parquet(f"{tmp_path}/{n}-{k}")
+        assert out.count() == n and out.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "decoded_sha256"]
