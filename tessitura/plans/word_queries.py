@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tessitura.functions import language as L
 from tessitura.functions import text as T
 from tessitura.operators import audit, intervals, placement, review, series, sound, syllables, words
-from tessitura.plans.catalog import _EV, _FRAMES, _events, _frames, _lines, _LINES, _read, query, srt_render
-from tessitura.sources import captions, writers
+from tessitura.plans.catalog import _EV, _FRAMES, _events, _frames, _lines, _LINES, _NOTES, _notes, _read, query, srt_render
+from tessitura.sources import captions, publication, writers
 
 _OVER = "(PARTITION BY user_id ORDER BY start_ms, event_id)"
 _TOKEN = "[\\\\p{L}\\\\p{N}]+(?:[''’\\\\-][\\\\p{L}\\\\p{N}]+)*".replace("\\\\", "\\")
@@ -236,9 +236,9 @@ def files_by_role(spark, sf_dir):
     return captions.one_file_per_role(o)
 
 
-@query("""SELECT DISTINCT o_orderpriority || o_orderkey % 50 AS identity FROM orders WHERE o_orderpriority || o_orderkey % 50 NOT IN (SELECT o_orderpriority || o_orderkey % 50 FROM orders WHERE o_orderkey % 3 = 0)""")
+@query("""SELECT DISTINCT o_orderpriority || o_orderkey % 5000 AS identity FROM orders WHERE o_orderpriority || o_orderkey % 5000 NOT IN (SELECT o_orderpriority || o_orderkey % 5000 FROM orders WHERE o_orderkey % 3 = 0)""")
 def missing_identities(spark, sf_dir):
-    o = _read(spark, sf_dir, "orders").select("o_orderkey", F.concat("o_orderpriority", F.col("o_orderkey") % 50).alias("identity"))
+    o = _read(spark, sf_dir, "orders").select("o_orderkey", F.concat("o_orderpriority", F.col("o_orderkey") % 5000).alias("identity"))
     return captions.missing(o.select("identity").distinct(), o.where("o_orderkey % 3 = 0"))
 
 
@@ -294,3 +294,56 @@ def embedding_frames(spark, sf_dir):
             yield pd.DataFrame(rows, columns=["vec_id", "i", "t", "rms", "per", "flux"])
 
     return _read(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, i long, t double, rms double, per double, flux double")
+
+
+@query("""SELECT item_id, regexp_replace(array_to_string(w[3:6], ' '), '\\s+', ' ', 'g') AS slice, regexp_replace(array_to_string(w[8:], ' '), '\\s+', ' ', 'g') AS rest FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark)""")
+def text_slices(spark, sf_dir):
+    """Tokens 2 to 5, and from 7 on, by the places where tokens begin."""
+    b = _read(spark, sf_dir, "benchmark").withColumn("w", F.split("text", " "))
+    offsets = F.transform("w", lambda x, i: F.aggregate(F.slice("w", 1, i), F.lit(0), lambda s, y: s + F.char_length(y) + 1))
+    b = b.withColumn("o", offsets)
+    return b.select("item_id", words.text_slice(F.col("text"), F.col("o"), F.lit(2), F.lit(6)).alias("slice"), words.text_slice(F.col("text"), F.col("o"), F.lit(7), F.size("o")).alias("rest"))
+
+
+@query(f"""WITH {_NOTES}, p AS (SELECT l_orderkey, k, e - l AS s, e FROM t) SELECT l_orderkey::VARCHAR AS song_id, k::INTEGER AS no, floor(s * 3840 + 0.5 + 1e-6)::BIGINT AS tick_on, floor(e * 3840 + 0.5 + 1e-6)::BIGINT AS tick_off, (40 + k % 30)::INTEGER AS pitch FROM p""")
+def note_file_round_trip(spark, sf_dir):
+    """Line items as notes of orders, written to note files and read back."""
+    n = _notes(spark, sf_dir).select(F.col("l_orderkey").cast("string").alias("song_id"), F.col("k").alias("ord"), F.col("s").alias("start"), F.col("e").alias("end"), (40 + F.col("k") % 30).cast("int").alias("pitch"), F.concat(F.lit("s"), "k").alias("text"))
+    return publication.read_notes(publication.note_files(n)).select("song_id", "no", "tick_on", "tick_off", "pitch")
+
+
+@query("""WITH n AS (SELECT l_orderkey, max(36 + l_partkey % 60) AS peak, count(DISTINCT l_partkey % 60) AS kinds FROM lineitem GROUP BY 1),
+s AS (SELECT l_orderkey, 0.85 * least(1.0, greatest(0.0, (peak - 60) / 24.0::DOUBLE)) + 0.15 * least(1.0, greatest(0.0, (kinds - 1) / 11.0::DOUBLE)) AS score FROM n)
+SELECT l_orderkey AS song_id, '{"title":"","artist":"","difficulty":"' || CASE WHEN score >= 0.65 THEN 'advanced' WHEN score >= 0.35 THEN 'intermediate' ELSE 'beginner' END || '","language":"pt-BR","offset":0,"lyricsOffset":0}' AS content FROM s""")
+def song_metadata(spark, sf_dir):
+    n = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("song_id"), (36 + F.col("l_partkey") % 60).alias("pitch"), F.lit(0.0).alias("start"), F.col("l_quantity").alias("end"))
+    return publication.metadata(n)
+
+
+@query(f"""WITH {_EV} SELECT event_id AS id, event_id AS word_id, start_ms AS core_start, end_ms AS core_end, array_to_string(list_filter(['old', CASE WHEN event_type = 'error' THEN 'approximate_times' END], lambda x: x IS NOT NULL), ',') AS warnings FROM ev""")
+def word_units(spark, sf_dir):
+    e = _events(spark, sf_dir).select(F.col("event_id").alias("id"), F.col("start_ms").alias("start"), F.col("end_ms").alias("end"), F.when(F.col("event_type") == "error", "fallback_share").otherwise("model").alias("origin"), F.array(F.lit("old")).alias("warnings"))
+    return captions.words_as_units(e).select("id", "word_id", "core_start", "core_end", F.array_join("warnings", ",").alias("warnings"))
+
+
+@query("""SELECT o_custkey AS song_id, o_orderkey AS block FROM orders WHERE o_custkey % 4 <> 1 AND (o_orderkey % 3 = 0 OR o_orderkey % 5 = 0)""")
+def confirmed_blocks(spark, sf_dir):
+    o = _read(spark, sf_dir, "orders")
+    flags = F.array(*[F.struct((F.col("o_orderkey") % k == 0).alias("confirmed")) for k in (3, 5)])
+    m = o.select(F.col("o_custkey").alias("song_id"), F.lit("a").alias("sha256"), F.col("o_orderkey").alias("block"), flags.alias("words"))
+    now = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("song_id"), F.when(F.col("c_custkey") % 4 == 1, "b").otherwise("a").alias("sha256"))
+    return captions.confirmed_blocks(m, now).select("song_id", "block")
+
+
+@query("""WITH c AS (SELECT o_orderkey, list_transform(range(1, length(o_orderpriority) + 1), lambda i: {'c': substr(o_orderpriority, i, 1), 's': ((o_orderkey + i) % 10) / 10.0::DOUBLE, 'i': i}) AS cs FROM orders)
+SELECT o_orderkey, len(list_filter(cs, lambda x: regexp_matches(x.c, '^[\\p{L}\\p{N}]$')))::INTEGER AS lexical, len(list_filter(cs, lambda x: x.s >= 0.3::DOUBLE AND x.i <= 6))::INTEGER AS usable, round(list_sum(list_transform(cs, lambda x: x.s)) / len(cs), 6) AS score FROM c""")
+def character_scores(spark, sf_dir):
+    o = _read(spark, sf_dir, "orders").select("o_orderkey", F.split("o_orderpriority", "").alias("letters"))
+    chars = F.transform("letters", lambda c, i: F.struct(c.alias("char"), i.cast("double").alias("start"), (i + 1).cast("double").alias("end"), ((F.col("o_orderkey") + i + 1) % 10 / 10).alias("score")))
+    o = o.withColumn("cs", chars)
+    return o.select("o_orderkey", F.size(words.lexical_chars(F.col("cs"))).alias("lexical"), F.size(words.usable_chars(F.col("cs"), F.lit(0.0), F.lit(6.0))).alias("usable"), F.round(words.mean_score(F.col("cs"), F.lit(None).cast("double")), 6).alias("score"))
+
+
+@query(f"""WITH {_EV} SELECT event_id, '{{"event_id":' || event_id || ',"start_ms":' || start_ms || ',"event_type":"' || event_type || '"}}' AS body FROM ev""")
+def finite_rows(spark, sf_dir):
+    return _events(spark, sf_dir).select("event_id", writers.finite_json(F.struct("event_id", "start_ms", "event_type")).alias("body"))
