@@ -16,6 +16,9 @@ _TABLE = {
     "op8_main_text": ("wrappers", "op8_main_text", None),
     "op2_substrings": ("substrings", "op2_substrings", None),
     "op5_minimax_shards": ("sharding", "op5_minimax_shards", None),
+    "op11_yinyang_codes": ("yinyang", "op11_yinyang_codes", "OP11_SQL"),
+    "op12_filter_audit": ("filter_audit", "op12_filter_audit", "OP12_SQL"),
+    "op13_language_id": ("language_id", "op13_language_id", None),
 }
 
 

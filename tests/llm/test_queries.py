@@ -22,7 +22,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, name):
     duck = duckdb.connect()
-    for t in "documents pages benchmark".split():
+    for t in "documents pages benchmark embeddings labels".split():
         duck.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     normal = lambda df: df[sorted(df.columns)].astype(str).replace({"<NA>": "nan", "None": "nan"}).sort_values(sorted(df.columns)).reset_index(drop=True)
     own, other = queries.queries()[name](spark, SF).toPandas(), duck.execute(queries.oracle_sql()[name]).fetch_df()
@@ -30,7 +30,7 @@ def test_sql(spark, name):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
 
 
 def test_pipeline(spark):
