@@ -43,6 +43,13 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def stored(df: DataFrame, kind: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: computed once however often it is used, and kept when executors are lost."""
+    folder = new_folder(df.sparkSession, kind)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def release() -> None:
     """Gives memory that an Arrow function no longer needs back, so that workers which are used again stay small."""
     import pyarrow as pa

@@ -14,9 +14,10 @@ from itertools import permutations
 from math import factorial
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import free_name, stored
 from .quality import _bind, words_of
 
 #: Names of the filters, in the order of their bits; the last is the one on copies.
@@ -58,14 +59,16 @@ def failures(docs: DataFrame, labels: DataFrame, part: str = "source", text: str
     by partial aggregation, and that first row again by digest and id together,
     so a text that very many documents share is no hot key. A null id has no
     labels, is no copy and makes no copies; rows that share the smallest id of
-    a text are all first. Of several labels of a document any 1 counts."""
+    a text are all first. Of several labels of a document any 1 counts.
+    The small rows are written to the shared folder, so that texts are read and judged once."""
     own = {c: f"`{c}`" for c in (part, text, doc_id)}
-    rows = docs.select(
+    judged_texts = docs.select(
         F.col(own[doc_id]).alias("doc_id"),
         F.coalesce(F.col(own[part]).cast("string"), F.lit("")).alias("part"),
         text_failures(F.col(own[text])).alias("mask"),
         F.unhex(F.sha2(F.coalesce(F.col(own[text]), F.lit("")), 256)).alias("digest"),
     )
+    rows = stored(judged_texts, "judged")
     flags = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         F.coalesce(F.max((F.col("quality") == 1).cast("long")), F.lit(0)).alias("good"), F.coalesce(F.max((F.col("toxic") == 1).cast("long")), F.lit(0)).alias("toxic")
     )
@@ -105,8 +108,7 @@ def edges(counts: DataFrame, n_filters: int = len(NAMES)) -> DataFrame:
     )
     arrangements = F.array(*[F.lit(factorial(k) * factorial(n_filters - 1 - k)).cast("long") for k in range(n_filters)])
     weighted = F.col("removed") * F.get(arrangements, F.bit_count("applied"))
-    by_filter = found.groupBy("part", "next").agg(F.sum(weighted).alias("shapley"))
-    return found.join(by_filter, ["part", "next"])
+    return found.withColumn("shapley", F.sum(weighted).over(W.partitionBy("part", "next")))  # 16 edges a filter
 
 
 def steps(spark, names: str = NAMES) -> DataFrame:
