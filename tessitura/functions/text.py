@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html
+import re
 import unicodedata
 
 import numpy as np
@@ -51,12 +53,57 @@ def sentence_case(text: Column) -> Column:
     return F.concat(lead, F.upper(F.substring(low, n + 1, F.lit(1))), F.substring(low, n + 2, F.char_length(low)))
 
 
+#: White space of any script, and the controls that separate.
+SPACES = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]+"
+
+
+def resolved(text: Column, composed: bool = True) -> Column:
+    """Character references (numbers, and all names, with or without their semicolon where that is allowed) as their characters; then NFC if ``composed``.
+
+    No built-in function knows the names or composes marks, so texts that need it (an ampersand, or a character from
+    U+0300 on) go through an Arrow function; the others stay where they are."""
+
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        form = (lambda t: unicodedata.normalize("NFC", t)) if composed else str
+        return pa.array([None if t is None else form(html.unescape(t)) for t in texts.to_pylist()], pa.string())
+
+    needs = text.rlike(r"&|[^\x00-\x{2FF}]" if composed else "&")
+    return F.when(needs, run(F.when(needs, text))).otherwise(text)
+
+
+def composed(text: Column) -> Column:
+    """NFC; texts below U+0300 are composed already."""
+
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in texts.to_pylist()], pa.string())
+
+    needs = text.rlike(r"[^\x00-\x{2FF}]")
+    return F.when(needs, run(F.when(needs, text))).otherwise(text)
+
+
+def _untagged(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(text, r"<[^>]*>", ""), r"\{\\[^}]*\}", "")
+
+
 def clean_markup(text: Column) -> Column:
-    """Basic entities resolved; tags, {\\…} commands, note signs and byte order marks dropped; spaces collapsed."""
-    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(sign))
-    text = F.regexp_replace(F.regexp_replace(text, r"<[^>]*>", ""), r"\{\\[^}]*\}", "")
-    return F.trim(F.regexp_replace(F.translate(text, "♪♫﻿", ""), r"\s+", " "))
+    """Character references resolved, composed (NFC); tags, {\\…} commands and byte order marks dropped, note signs spaces; spaces collapsed."""
+    signs = F.translate(_untagged(resolved(text)), "♪♫\ufeff", "  ")
+    return F.trim(F.regexp_replace(signs, SPACES, " "))
+
+
+def plain_markup(text: Column) -> Column:
+    """As ``clean_markup``, but nothing is composed, and note signs stay."""
+    return F.trim(F.regexp_replace(_untagged(resolved(text, False)), SPACES, " "))
+
+
+def plain_text(raw: str, compose: bool = True) -> str:
+    """``clean_markup`` of one text (``plain_markup`` without ``compose``), for readers that work file by file."""
+    text = html.unescape(raw)
+    text = re.sub(r"<[^>]*>", "", unicodedata.normalize("NFC", text) if compose else text)
+    text = re.sub(r"\{\\[^}]*\}", "", text)
+    return " ".join((text.translate({0x266A: " ", 0x266B: " ", 0xFEFF: None}) if compose else text).split())
 
 
 def milliseconds(stamp: Column) -> Column:

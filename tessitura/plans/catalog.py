@@ -5,6 +5,8 @@ frames and notes, and show that the operators compute what they say."""
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -119,10 +121,21 @@ def content_identity(spark, sf_dir):
     return _read(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("digest")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
 
 
+#: Names of character references, from the standard library; the longest one that a reference begins with counts.
+_NAMES = "map {" + ", ".join(f"'&{k}': " + " || ".join(f"chr({ord(c)})" for c in v) for k, v in html5.items()) + "}"
+
+
 @query(
-    """SELECT page_id, trim(regexp_replace(translate(regexp_replace(regexp_replace(
-  replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'),
-  '<[^>]*>', '', 'g'), '\\{\\\\[^}]*\\}', '', 'g'), '♪♫' || chr(65279), ''), '\\s+', ' ', 'g')) AS text FROM pages"""
+    f"""WITH names AS MATERIALIZED (SELECT {_NAMES} AS m), p AS (SELECT page_id, html, regexp_extract_all(html, '&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[A-Za-z][A-Za-z0-9]{{0,31}};?|[^&]+|&') AS parts FROM pages),
+e AS (SELECT DISTINCT unnest(parts) AS part FROM p), known AS (SELECT part, CASE
+  WHEN part[1] <> '&' OR part = '&' THEN part
+  WHEN regexp_matches(part, '^&#[0-9]') THEN chr(regexp_extract(part, '[0-9]+')::INTEGER)
+  WHEN regexp_matches(part, '^&#') THEN chr(('0x' || regexp_extract(part, '[xX]([0-9a-fA-F]+)', 1))::INTEGER)
+  ELSE coalesce(list_filter(list_transform(range(length(part), 1, -1), lambda k: m[part[1:k]] || part[k + 1:]), lambda x: x IS NOT NULL)[1], part) END AS sign FROM e, names),
+r AS (SELECT page_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS k FROM p),
+t AS (SELECT page_id, nfc_normalize(string_agg(sign, '' ORDER BY k)) AS html FROM r JOIN known USING (part) GROUP BY page_id)
+SELECT page_id, trim(regexp_replace(translate(regexp_replace(regexp_replace(coalesce(t.html, p.html),
+  '<[^>]*>', '', 'g'), '\\{{\\\\[^}}]*\\}}', '', 'g'), '♪♫' || chr(65279), '  '), '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+', ' ', 'g')) AS text FROM p LEFT JOIN t USING (page_id)"""
 )
 def markup_clean(spark, sf_dir):
     return _read(spark, sf_dir, "pages").select("page_id", T.clean_markup(F.col("html")).alias("text"))
@@ -575,4 +588,4 @@ def review_fold(spark, sf_dir):
     return review.fold(blocks, log)
 
 
-from tessitura.plans import word_queries  # noqa: E402, F401  its queries are registered here
+from tessitura.plans import file_queries, word_queries  # noqa: E402, F401  their queries are registered here

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessitura.functions.text import WORD, clean_markup, milliseconds
+from tessitura.functions.text import WORD, clean_markup, composed, milliseconds, plain_markup
 
 _TIME = r"(\d+:\d{2}:\d{2}[,.]\d{3})"
 
@@ -26,7 +26,7 @@ def captions(files: DataFrame, mode: str = "lenient", key: str = "path") -> Data
 
     lenient: the first line with times counts, the number before it is the
     index (else the block's place), overlap is allowed. strict: number, times
-    and text must stand in the first three lines, in this order. problem names
+    and text must stand in the first three lines, in this order; its text is not composed and keeps note signs. problem names
     what is wrong with a block, or is null."""
     if mode not in ("lenient", "strict"):
         raise ValueError("mode is 'lenient' or 'strict'")
@@ -44,7 +44,7 @@ def captions(files: DataFrame, mode: str = "lenient", key: str = "path") -> Data
         milliseconds(F.regexp_extract(times, rf"^\s*{_TIME}\s*-->", 1)).alias("start_ms"),
         milliseconds(F.regexp_extract(times, rf"-->\s*{_TIME}", 1)).alias("end_ms"),
         F.when(F.col("at") >= 0, raw).alias("raw"), numbered.alias("numbered"),
-    ).withColumn("text", clean_markup(F.col("raw")))
+    ).withColumn("text", (plain_markup if mode == "strict" else clean_markup)(F.col("raw")))
     by_idx, by_time = W.partitionBy(key, "idx"), W.partitionBy(key).orderBy("start_ms", "ord")
     shape = (F.size("lines") < 3) | ~F.col("numbered") if mode == "strict" else F.lit(False)
     problem = (
@@ -58,8 +58,8 @@ def captions(files: DataFrame, mode: str = "lenient", key: str = "path") -> Data
 
 
 def lyrics(files: DataFrame, key: str = "path") -> DataFrame:
-    """(key, no, line, problem): lines of lyrics; [labels], ``2x`` endings and texts without words are problems."""
-    own = normal_lines(files).withColumn("content", F.regexp_replace("content", r"^\s+|\s+$", ""))
+    """(key, no, line, problem): lines of lyrics, composed (NFC); [labels], ``2x`` endings and texts without words are problems."""
+    own = normal_lines(files).withColumn("content", composed(F.regexp_replace("content", r"^\s+|\s+$", "")))
     lines = own.select(key, F.col("content").rlike(WORD).alias("words"), F.posexplode(F.split("content", "\n")).alias("no", "line"))
     problem = F.when(F.col("line").rlike(r"^\s*\[.*\]\s*$"), F.lit("label")).when(F.col("line").rlike(r"(?i)(?<![\p{L}\p{N}_])\d+\s*[x×]\s*$"), F.lit("repetition")).when(~F.col("words"), F.lit("no_words"))
     return lines.select(key, "no", "line", problem.alias("problem"))
