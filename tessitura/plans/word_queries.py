@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessitura.functions import language as L
 from tessitura.functions import text as T
-from tessitura.operators import audit, intervals, placement, review, series, sound, syllables, words
+from tessitura.operators import audit, frames, intervals, placement, review, series, sound, syllables, words
 from tessitura.plans.catalog import _EV, _FRAMES, _events, _frames, _lines, _LINES, _NOTES, _notes, _read, query, srt_render
 from tessitura.sources import captions, publication, writers
 
@@ -282,18 +282,9 @@ def core_coverage(spark, sf_dir):
 
 @query()
 def embedding_frames(spark, sf_dir):
-    """Embeddings as short signals: level, periodicity, flux and timbre by frame."""
-    import pandas as pd
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for k, x in zip(batch["vec_id"], batch["embedding"], strict=True):
-                got = sound.frame_evidence(x, 2000)
-                rows += [(k, i, float(t), float(r), float(p), float(f)) for i, (t, r, p, f) in enumerate(zip(got["t"], got["rms"], got["per"], got["flux"], strict=True))]
-            yield pd.DataFrame(rows, columns=["vec_id", "i", "t", "rms", "per", "flux"])
-
-    return _read(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, i long, t double, rms double, per double, flux double")
+    """Embeddings as short signals: level, periodicity, flux and timbre by frame, chunks of three frames."""
+    signals = _read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("samples"), F.lit(2000).alias("rate"))
+    return frames.frame_evidence(signals, "vec_id", n_frames=3).drop("timbre")
 
 
 @query("""SELECT item_id, regexp_replace(array_to_string(w[3:6], ' '), '\\s+', ' ', 'g') AS slice, regexp_replace(array_to_string(w[8:], ' '), '\\s+', ' ', 'g') AS rest FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark)""")

@@ -9,9 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tessitura.operators.sound import frame_evidence
-
-FRAMES = "path string, i long, t double, rms double, per double, flux double, timbre array<double>"
+from tessitura.operators.frames import frame_evidence
 
 
 def decode_wave(content: bytes) -> tuple[np.ndarray, int]:
@@ -27,14 +25,18 @@ def decode_wave(content: bytes) -> tuple[np.ndarray, int]:
     return samples.reshape(-1, channels).mean(1), rate
 
 
-def wave_frames(spark: SparkSession, path: str) -> DataFrame:
-    """Frame evidence of each wave file; one task reads one file."""
+def read_waves(spark: SparkSession, path: str) -> DataFrame:
+    """(path, samples, rate): mono samples of each wave file; a task decodes one file at a time."""
 
     def run(batches):
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got = frame_evidence(*decode_wave(content))
-                n = len(got["t"])
-                yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(np.arange(n)), *[pa.array(got[k]) for k in ("t", "rms", "per", "flux")], pa.array(list(got["timbre"]), pa.list_(pa.float64()))], names=["path", "i", "t", "rms", "per", "flux", "timbre"])
+                samples, rate = decode_wave(content)
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([samples], pa.list_(pa.float32())), pa.array([rate], pa.int32())], names=["path", "samples", "rate"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, samples array<float>, rate int")
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, FRAMES)
+
+def wave_frames(spark: SparkSession, path: str) -> DataFrame:
+    """Frame evidence of each wave file (path, i, t, rms, per, flux, timbre)."""
+    return frame_evidence(read_waves(spark, path), "path")

@@ -179,17 +179,6 @@ def test_review_fold(spark):
         assert {b for kind, b in own if kind == "problem"} == wrong
 
 
-def test_embedding_frames(spark):
-    e = pd.read_parquet(f"{SF}/embeddings.parquet")
-    rows = catalog.QUERIES["embedding_frames"](spark, SF).collect()
-    level = {(r["vec_id"], r["i"]): r["rms"] for r in rows}
-    for k, x in list(zip(e["vec_id"], e["embedding"], strict=True))[:40]:
-        padded = np.concatenate([np.zeros(40), x, np.zeros(80)])
-        for i in range(0, len(x), 20):
-            assert abs(level[k, i // 20] - np.sqrt(np.mean(padded[i : i + 80] ** 2))) < 1e-9
-    assert all(0 <= r["per"] <= 1 and 0 <= r["flux"] <= 1 for r in rows)
-
-
 def test_every_query_has_sql_or_a_test():
     assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) == {"global_alignment", "structure_plan", "time_choice_beam", "ngram_candidates", "review_fold", "embedding_frames"}
 

@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessitura.operators import placement, sound, syllables
+from tessitura.operators import frames, placement, sound, syllables
+from tessitura.plans import catalog, word_queries  # noqa: F401
 
 
 def _plain_frames(y, rate):
@@ -30,18 +31,37 @@ def _plain_frames(y, rate):
     return out
 
 
-@pytest.mark.parametrize("block", [7, 2048])
-def test_frame_evidence_against_plain_loops(block, monkeypatch):
-    monkeypatch.setattr(sound, "BLOCK", block)
+@pytest.mark.parametrize(("n_frames", "spread"), [(1, False), (7, True), (2048, False)])
+def test_frame_evidence_against_plain_loops(spark, n_frames, spread):
+    """Chunks of any size give what whole signals give, of several songs and rates."""
     r = np.random.default_rng(0)
-    y = np.concatenate([np.sin(2 * np.pi * 220 * np.arange(1500) / 8000), r.normal(size=900) * 0.1, np.zeros(500)])
-    got, want = sound.frame_evidence(y, 8000), _plain_frames(y, 8000)
-    assert len(got["t"]) == len(want["rms"]) and abs(got["t"][1] - 0.01) < 1e-12 and got["flux"][0] == 0
-    for k, v in want.items():
-        assert np.allclose(got[k], np.array(v), atol=1e-7), k
-    for bad in (np.zeros(0), np.array([np.nan]), np.zeros((2, 2))):
-        with pytest.raises(ValueError):
-            sound.frame_evidence(bad, 8000)
+    signals = {"a": (np.concatenate([np.sin(2 * np.pi * 220 * np.arange(1500) / 8000), r.normal(size=900) * 0.1, np.zeros(500)]), 8000), "b": (r.normal(size=777), 4000), "c": (np.zeros(3), 4000), "d": (np.ones(40), 4000)}
+    df = spark.createDataFrame([(k, y.tolist(), rate) for k, (y, rate) in signals.items()], "song_id string, samples array<double>, rate int")
+    found = frames.frame_evidence(df, n_frames=n_frames, spread=spread).toPandas().sort_values(["song_id", "i"])
+    for song, (y, rate) in signals.items():
+        got, want = found[found["song_id"] == song], _plain_frames(y, rate)
+        assert got["i"].tolist() == list(range(len(want["rms"]))) and got["flux"].iloc[0] == 0
+        assert np.allclose(got["t"], np.arange(len(got)) * round(rate * 0.01) / rate)
+        for k in ("rms", "per", "flux"):
+            assert np.allclose(got[k], want[k], atol=1e-7), (song, k)
+        assert np.allclose(np.stack(got["timbre"]), np.array(want["timbre"]), atol=1e-7)
+
+
+@pytest.mark.parametrize(("samples", "rate"), [([], 8000), ([float("nan")], 8000), ([1.0, None], 8000), (None, 8000), ([1.0], 0)])
+def test_signals_that_are_none(spark, samples, rate):
+    df = spark.createDataFrame([("a", samples, rate)], "song_id string, samples array<double>, rate int")
+    with pytest.raises(Exception, match="finite samples"):
+        frames.frame_evidence(df).collect()
+
+
+def test_query_frames(spark):
+    vectors = {r["vec_id"]: r["embedding"] for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()}
+    got = catalog.QUERIES["embedding_frames"](spark, "/root/testdata/sf0.001").toPandas().sort_values(["vec_id", "i"])
+    assert set(got["vec_id"]) == set(vectors)
+    for k, rows in got.groupby("vec_id"):
+        want = _plain_frames(np.array(vectors[k]), 2000)
+        for c in ("rms", "per", "flux"):
+            assert np.allclose(rows[c], want[c], atol=1e-6), (k, c)
 
 
 def test_windows(spark):
