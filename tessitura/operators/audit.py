@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessitura.functions import text as T
+
 
 def _null_safe(a: str, b: str, names) -> object:
     return reduce(lambda x, y: x & y, [F.col(f"{a}.{n}").eqNullSafe(F.col(f"{b}.{n}")) for n in names])
@@ -54,3 +57,69 @@ def refuse(violations: DataFrame) -> None:
     first = violations.limit(1).collect()
     if first:
         raise ValueError(f"violation: {first[0].asDict()}")
+
+
+def _told(rows: DataFrame, key: list[str], checks: dict[str, Column]) -> DataFrame:
+    """(key, rule): one row for each check that a row breaks; an unknown outcome breaks none."""
+    rules = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in checks.items()]))
+    return rows.select(*key, F.explode(rules).alias("rule"))
+
+
+def _unreal(*columns: Column) -> Column:
+    found = F.lit(False)
+    for c in columns:
+        found = found | c.isNull() | F.isnan(c.cast("double")) | (F.abs(c.cast("double")) == float("inf"))
+    return found
+
+
+def block_violations(blocks: DataFrame, duration: Column, apart: float = 1e-5, beyond: float = 0.001) -> DataFrame:
+    """(song_id, block, rule) of reviewed blocks: what keeps them from being published.
+
+    blocks: song_id, block, start, end, text, words array<struct<text,start,end,confirmed>> (null or empty: none). Rules:
+    repeated (an id that stands twice), invalid_times (not finite, no length, outside the song), no_words, overlap (with
+    the block before, by more than ``apart``), other_words (the words do not spell the text), confirmed_times (a confirmed
+    word has no valid times within the block), no_room (confirmed words overlap, or leave no time for those between or
+    after them)."""
+    by_time = W.partitionBy("song_id").orderBy("start", "end", "block")
+    a, z, w = F.col("start"), F.col("end"), F.coalesce("words", F.array().cast(blocks.schema["words"].dataType))
+    own = T.tokens(F.col("text"))
+    keys = lambda c: F.transform(c, T.comparison_key)
+    sure = F.filter(F.transform(w, lambda x, i: F.struct(i.alias("i"), x["start"].alias("x"), x["end"].alias("y"), F.coalesce(x["confirmed"], F.lit(False)).alias("ok"))), lambda x: x["ok"])
+    bad = F.exists(sure, lambda c: _unreal(c["x"], c["y"]) | ~((c["x"] >= a) & (c["x"] < c["y"]) & (c["y"] <= z)))
+
+    def tight(c: Column, k: Column) -> Column:
+        before = F.get(sure, k - 1)
+        ended, at = F.when(k == 0, a).otherwise(before["y"]), F.when(k == 0, F.lit(-1)).otherwise(before["i"])
+        return (c["x"] < ended) | ((c["i"] > at + 1) & (c["x"] <= ended))
+
+    last = F.get(sure, F.size(sure) - 1)
+    crowded = F.exists(F.transform(sure, tight), lambda t: t) | (last.isNotNull() & (last["i"] < F.size(w) - 1) & (last["y"] >= z))
+    seen = blocks.withColumn("_n", F.count("*").over(W.partitionBy("song_id", "block"))).withColumn("_before", F.lag("end").over(by_time))
+    return _told(seen, ["song_id", "block"], {
+        "repeated": F.col("_n") > 1,
+        "invalid_times": _unreal(a, z) | ~((a >= 0) & (a < z) & (z <= duration + beyond)),
+        "no_words": F.coalesce(F.size(own), F.lit(0)) < 1,
+        "overlap": ~F.isnan("_before") & (a < F.col("_before") - apart),
+        "other_words": (F.size(w) > 0) & (keys(F.transform(w, lambda x: x["text"])) != keys(own)),
+        "confirmed_times": bad,
+        "no_room": ~bad & crowded,
+    })
+
+
+def unit_violations(units: DataFrame, duration: Column | None = None, apart: float = 1e-9, beyond: float = 0.002) -> DataFrame:
+    """(song_id, id, rule) of syllables (song_id, id, ord, start, end, core_start, core_end), judged in the order of ord.
+
+    Rules: absent_times (a time is null or not finite), invalid_times (not 0 <= start <= core_start < core_end <= end),
+    overlap (with the unit before, by more than ``apart``), repeated (an id that stands twice), outside (past ``duration``)."""
+    a, b, x, y = (F.col(c).cast("double") for c in ("start", "end", "core_start", "core_end"))
+    absent = _unreal(a, b, x, y)
+    seen = units.withColumn("_n", F.count("*").over(W.partitionBy("song_id", "id"))).withColumn("_before", F.lag("end").over(W.partitionBy("song_id").orderBy("ord")))
+    checks = {
+        "absent_times": absent,
+        "invalid_times": ~absent & ~((a >= 0) & (a <= x) & (x < y) & (y <= b) & (a < b)),
+        "overlap": ~F.isnan("_before") & (a < F.col("_before") - apart),
+        "repeated": F.col("_n") > 1,
+    }
+    if duration is not None:
+        checks["outside"] = b > duration + beyond
+    return _told(seen, ["song_id", "id"], checks)

@@ -11,12 +11,14 @@ _GROUPS = "struct<done:array<struct<start:double,end:double,text:string,first:do
 
 
 def capped_groups(words: DataFrame, duration: float = float("inf"), pause: float = 0.65, longest: float = 6.0, most_chars: int = 72, slack: float = 0.100) -> DataFrame:
-    """(song_id, seg, grp, start, end, text, problem, adjusted): captions of each song's segments, in order.
+    """(song_id, seg, grp, start, end, text, problem, adjusted, refused): captions of each song's segments, in order.
 
     words: song_id, seg, no, word, start, end, score, seg_start, seg_end, seg_text. A pause, the span or the length of the
     text begins a new caption. A segment stays one caption (problem segment_times) if its words do not spell its text or have
     no valid times in order within ``duration``. Where two captions of neighbouring segments overlap by up to ``slack``
-    seconds, the border that is only approximate, else that of an unsure word, gives way to a sure one (adjusted)."""
+    seconds, the border that is only approximate, else that of an unsure word, gives way to a sure one (adjusted). What is
+    then still wrong is told by refused: invalid_times (not within the song, or without length) or overlap (the caption
+    before it ends later); it is also the problem of a caption whose words were sure. ``valid_captions`` fails on it."""
     clean = lambda c: F.array_join(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), " ")
     ms = lambda c: F.rint(c * 1000)
     one = F.struct("no", F.struct(F.col("word").cast("string").alias("word"), F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), F.col("score").cast("double").alias("score")).alias("w"))
@@ -62,4 +64,21 @@ def capped_groups(words: DataFrame, duration: float = float("inf"), pause: float
     start = F.when(before == "after", F.col("p.end")).otherwise(F.col("start"))
     end = F.when(after == "before", F.col("n.start")).otherwise(F.col("end"))
     moved = F.coalesce(before == "after", F.lit(False)) | F.coalesce(after == "before", F.lit(False))
-    return sided.select("song_id", "seg", "grp", start.alias("start"), end.alias("end"), "text", F.when(~F.col("good"), "segment_times").alias("problem"), moved.alias("adjusted"))
+    placed = sided.select("song_id", "seg", "grp", start.alias("start"), end.alias("end"), "text", "good", moved.alias("adjusted"))
+    inside = F.coalesce(~F.isnan("start") & ~F.isnan("end") & (ms(F.col("start")) >= 0) & (ms(F.col("start")) < ms(F.col("end"))) & (ms(F.col("end")) <= ms(limit)), F.lit(False))
+    over = ms(F.col("start")) < ms(F.lag("end").over(w))
+    refused = F.when(~inside, "invalid_times").when(over, "overlap")
+    problem = F.when(~F.col("good"), "segment_times").otherwise(refused)
+    return placed.select("song_id", "seg", "grp", "start", "end", "text", problem.alias("problem"), "adjusted", refused.alias("refused"))
+
+
+def valid_captions(captions: DataFrame) -> DataFrame:
+    """``captions`` without the column refused; running the plan fails where one is refused."""
+    told = F.concat(F.lit("invalid captions: "), F.col("refused"), F.lit(" in segment "), F.col("seg").cast("string"))
+    checked = captions.withColumn("refused", F.when(F.col("refused").isNotNull(), F.raise_error(told).cast("string")))
+    return checked.where(F.col("refused").isNull()).drop("refused")
+
+
+def weak_words(words: DataFrame, least: float = SURE) -> DataFrame:
+    """(song_id, seg, no, word, score): words whose alignment is weak, to be looked at; a word without a score is not."""
+    return words.where(F.col("score") < least).select("song_id", "seg", "no", "word", "score")

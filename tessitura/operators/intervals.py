@@ -96,7 +96,8 @@ def conflict_free(rows: DataFrame, occupied: DataFrame, key: list[str], start: s
     """``rows`` that overlap no occupied interval of the same key.
 
     Both sides stand in one order by start. A row overlaps one that begins before it if the latest end so far is after
-    its start, and one that begins within it if the next occupied start is before its end: two window passes, no pairs."""
+    its start, and one that begins within it if the next occupied start is before its end: two window passes, no pairs.
+    A row without length overlaps what begins before it and ends after it."""
     o = occupied.select(*key, F.col(start).alias(start), F.col(end).alias(end)).where(F.col(end) > F.col(start)).withColumn("_o", F.lit(1))
     marked = _conflicts(rows, o, key, start, end)
     return marked.where("not _hit").drop("_hit")
@@ -110,7 +111,9 @@ def overlapping(rows: DataFrame, others: DataFrame, key: list[str], start: str,
 
 def _conflicts(rows: DataFrame, o: DataFrame, key: list[str], start: str, end: str) -> DataFrame:
     both = rows.withColumn("_o", F.lit(0)).unionByName(o, allowMissingColumns=True)
-    before = _window(key, [start, F.desc("_o")]).rowsBetween(W.unboundedPreceding, W.currentRow)
+    # A row without length stands before what begins where it does, and one that ends before it begins where it ends.
+    place = F.when((F.col("_o") == 0) & (F.col(end) <= F.col(start)), 0).otherwise(2 - F.col("_o"))
+    before = _window(key, [F.least(start, end), place]).rowsBetween(W.unboundedPreceding, W.currentRow)
     after = _window(key, [F.desc(start), "_o"]).rowsBetween(W.unboundedPreceding, W.currentRow)
     latest = F.max(F.when(F.col("_o") == 1, F.col(end))).over(before)
     following = F.min(F.when(F.col("_o") == 1, F.col(start))).over(after)
@@ -123,18 +126,22 @@ def points_in_intervals(points: DataFrame, intervals: DataFrame, key: list[str],
     """Points joined with the intervals they lie in: [start, end), or [start, end] if ``closed``.
 
     Intervals are dealt by length to levels of buckets, each level twice as wide as the one before, so an interval
-    touches three buckets at most however long it is. A point has one bucket on each level that occurs (one number is
-    asked for: a bit for each level); level, bucket and key are joined on equality and the bounds stay as a residual. No
-    pair is found twice. ``width`` is the bucket of the first level."""
-    size = F.greatest(F.col(end).cast("double") - F.col(start).cast("double"), F.lit(float(width)))
-    level = F.ceil(F.log2(size / F.lit(float(width))) - 1e-9).cast("int")
-    bucket = lambda c, lv: F.floor(F.col(c) / (F.lit(float(width)) * F.pow(F.lit(2.0), lv)))
-    levelled = intervals.withColumn("_level", level)
+    touches three buckets at most however long it is; the last level has one bucket, for what is longer, infinite ends
+    too. A point has one bucket on each level that occurs (a subquery: a bit for each level); level, bucket and key are
+    joined on equality and the bounds stay as a residual. No pair is found twice. ``width`` is the bucket of the first
+    level. Intervals with a bound that is null or not a number hold no point."""
+    a, b = F.col(start).cast("double"), F.col(end).cast("double")
+    size = F.greatest(b - a, F.lit(float(width)))
+    top = 62
+    level = F.when(size >= float(width) * 2.0 ** (top - 1), F.lit(top)).otherwise(F.ceil(F.log2(size / F.lit(float(width))) - 1e-9)).cast("int")
+    bucket = lambda c, lv: F.when(lv == top, F.lit(0).cast("long")).otherwise(F.floor(F.col(c) / (F.lit(float(width)) * F.pow(F.lit(2.0), lv))))
+    levelled = intervals.where((b >= a) & ~F.isnan(a) & ~F.isnan(b)).withColumn("_level", level)
     dealt = levelled.withColumn("_bucket", F.explode(F.sequence(bucket(start, F.col("_level")), bucket(end, F.col("_level")))))
-    bits = levelled.where("_level between 0 and 62").agg(F.expr("bit_or(shiftleft(1L, _level))")).head()[0] or 0
-    levels = [k for k in range(63) if bits >> k & 1]
+    bits = levelled.agg(F.expr("bit_or(shiftleft(1L, _level))").alias("bits")).scalar()
+    levels = F.filter(F.sequence(F.lit(0), F.lit(top)), lambda k: F.getbit(F.col("_bits"), k) == 1)
     inside = (F.col(at) >= F.col(start)) & ((F.col(at) <= F.col(end)) if closed else (F.col(at) < F.col(end)))
-    placed = points.withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("_bucket", bucket(at, F.col("_level")))
+    known = points.withColumn("_bits", F.coalesce(bits, F.lit(0).cast("long")))
+    placed = known.withColumn("_level", F.explode(levels)).withColumn("_bucket", bucket(at, F.col("_level"))).drop("_bits")
     return placed.join(dealt, [*key, "_level", "_bucket"]).where(inside).drop("_bucket", "_level")
 
 
