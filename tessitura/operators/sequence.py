@@ -9,35 +9,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BEAM = 64
-_BEAM = "array<struct<n:int,score:double,at:bigint,path:array<struct<start:double,end:double>>>>"
+
+
+def chosen_times(words: list[list[tuple[int, int, float]]], begin: int, beam: int = BEAM) -> list[int]:
+    """For each word the number of the option (start ms, end ms, score) that is taken, or -1.
+
+    The states are the best of those that end at one time, ``beam`` at most; each word keeps where its states come
+    from, and the path is read back once at the end. Ties go to the earlier end, then to the state that was there first."""
+    n, score, at = np.zeros(1, np.int64), np.zeros(1), np.array([begin], np.int64)
+    back: list[tuple[np.ndarray, np.ndarray]] = []
+    for options in words:
+        parent, option = np.arange(len(at)), np.full(len(at), -1)
+        if options:
+            start, end, gain = (np.array(x) for x in zip(*options, strict=True))
+            s, o = np.nonzero(at[:, None] <= start[None, :])
+            parent, option = np.concatenate([parent, s]), np.concatenate([option, o])
+            n, score, at = np.concatenate([n, n[s] + 1]), np.concatenate([score, score[s] + gain[o]]), np.concatenate([at, end[o]])
+            order = np.lexsort((at, -score, -n))
+            order = order[np.sort(np.unique(at[order], return_index=True)[1])][:beam]
+            parent, option, n, score, at = parent[order], option[order], n[order], score[order], at[order]
+        back.append((parent, option))
+    path, state = [], 0
+    for parent, option in reversed(back):
+        path.append(int(option[state]))
+        state = int(parent[state])
+    return path[::-1]
 
 
 def time_choice(options: DataFrame, beam: int = BEAM) -> DataFrame:
     """(song_id, word, start, end): at most one time for each word, without overlap in milliseconds: most words, then the highest score.
 
     options: song_id, word, start, end, score, window_start, window_end (start null: no option). The states are the
-    ``beam`` best ends so far, carried through the words of a song by a fold of built-in functions."""
+    ``beam`` best ends so far; a song is a row, and its states are small arrays."""
     valid = F.col("start").isNotNull() & F.col("end").isNotNull() & (F.col("start") >= F.col("window_start")) & (F.col("end") <= F.col("window_end"))
     score = F.when(~F.isnan("score") & (F.abs("score") < float("inf")), F.col("score"))
-    one = F.struct("start", "end", F.coalesce(score, F.lit(0.0)).alias("score"))
-    lists = options.groupBy("song_id", "word").agg(F.array_sort(F.collect_list(F.when(valid, one))).alias("o"), F.first("window_start").alias("w0"))
-    songs = lists.groupBy("song_id").agg(F.array_sort(F.collect_list(F.struct("word", "o"))).alias("ws"), F.first("w0").alias("w0"))
     ms = lambda c: F.rint(c * 1000).cast("bigint")
-    none = F.lit(None).cast("struct<start:double,end:double>")
-
-    def step(states, w):
-        skipped = F.transform(states, lambda s: F.struct(s["n"], s["score"], s["at"], F.concat(s["path"], F.array(none)).alias("path")))
-        taken = F.flatten(F.transform(states, lambda s: F.transform(F.filter(w["o"], lambda o: ms(o["start"]) >= s["at"]), lambda o: F.struct((s["n"] + 1).alias("n"), (s["score"] + o["score"]).alias("score"), ms(o["end"]).alias("at"), F.concat(s["path"], F.array(F.struct(o["start"].cast("double").alias("start"), o["end"].cast("double").alias("end")))).alias("path")))))
-        both = F.concat(skipped.cast(_BEAM), taken.cast(_BEAM))
-        better = lambda a, b: F.when((a["n"] > b["n"]) | ((a["n"] == b["n"]) & (a["score"] > b["score"])), -1).when((a["n"] == b["n"]) & (a["score"] == b["score"]), F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0)).otherwise(1)
-        ordered = F.array_sort(both, better)
-        # Of the states that end at one time the best stays.
-        first = F.aggregate(ordered, F.array().cast(_BEAM), lambda acc, s: F.when((F.size(acc) >= beam) | F.exists(acc, lambda x: x["at"] == s["at"]), acc).otherwise(F.concat(acc, F.array(s))))
-        return first
-
-    begin = F.array(F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("score"), ms(F.col("w0")).alias("at"), F.array().cast("array<struct<start:double,end:double>>").alias("path"))).cast(_BEAM)
-    best = F.get(F.aggregate("ws", begin, step), F.lit(0))["path"]
-    return songs.select("song_id", F.posexplode(best).alias("i", "t"), "ws").select("song_id", F.get("ws", F.col("i"))["word"].alias("word"), "t.start", "t.end")
+    one = F.struct(F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), F.coalesce(score, F.lit(0.0)).cast("double").alias("score"))
+    lists = options.groupBy("song_id", "word").agg(F.array_sort(F.collect_list(F.when(valid, one))).alias("o"), F.min("window_start").alias("w0"))
+    songs = lists.groupBy("song_id").agg(F.array_sort(F.collect_list(F.struct("word", "o"))).alias("ws"), ms(F.min("w0")).alias("begin"))
+    times = F.transform("ws", lambda w: F.transform(w["o"], lambda o: F.struct(ms(o["start"]).alias("a"), ms(o["end"]).alias("b"), o["score"].alias("s"))))
+
+    @F.arrow_udf("array<int>")
+    def choose(words: pa.Array, begin: pa.Array) -> pa.Array:
+        return pa.array([chosen_times([[(o["a"], o["b"], o["s"]) for o in w] for w in words[k].as_py()], begin[k].as_py() or 0, beam) for k in range(len(words))], pa.list_(pa.int32()))
+
+    found = songs.withColumn("taken", choose(times, "begin"))
+    rows = found.select("song_id", F.explode(F.arrays_zip("ws", "taken")).alias("x"))
+    taken = F.when(F.col("x.taken") >= 0, F.get(F.col("x.ws.o"), F.col("x.taken")))
+    return rows.select("song_id", F.col("x.ws.word").alias("word"), taken["start"].alias("start"), taken["end"].alias("end"))
 
 
 def best_paths(steps: DataFrame, start: list[float], moves: list[tuple[int, int, float]], key: str = "song_id") -> DataFrame:

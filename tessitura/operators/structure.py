@@ -2,35 +2,102 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessitura.functions.binding import bind
-from tessitura.functions.text import indel_ratio
+
+
+def lcs_to_word_ends(text: str, words: list[str], fewest: int, most: int, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, after, lcs): the longest common subsequence of ``text`` with each span of ``words`` of fewest to most words and up to longest characters.
+
+    One scan from every word at once: the state of a start is a row of bits, one for each character of ``text``, and a
+    further character of the words is one addition over all starts, so the spans that begin at a word cost one walk."""
+    joined = " ".join(words)
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+    known, index = np.unique(codes, return_inverse=True)
+    n_limbs = len(text) // 64 + 1
+    masks = np.zeros((len(known), n_limbs), np.uint64)
+    place = {int(c): k for k, c in enumerate(known)}
+    for i, c in enumerate(text):
+        if (k := place.get(ord(c))) is not None:
+            masks[k, i // 64] |= np.uint64(1 << i % 64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    word_at = np.zeros(len(codes) + 1, np.int64)  # the number of words that end here, 0 if none does
+    word_at[starts + sizes] = np.arange(1, len(words) + 1)
+    first = np.arange(len(words))
+    last_word = np.minimum(len(words), first + most)
+    stop = np.minimum(starts[last_word - 1] + sizes[last_word - 1], starts + longest)
+    state = np.full((len(words), n_limbs), np.uint64(0xFFFFFFFFFFFFFFFF))
+    full = np.array([(1 << min(64, max(0, len(text) - 64 * k))) - 1 for k in range(n_limbs)], np.uint64)
+    out: list[list[np.ndarray]] = [[], [], []]
+    for step in range(int((stop - starts).max(initial=0))):
+        going = starts[first] + step < stop[first]
+        if not going.all():
+            first, state = first[going], state[going]
+        at = starts[first] + step
+        mask = masks[index[at]]
+        hit = state & mask
+        carry = np.zeros(len(first), np.uint64)
+        new = np.empty_like(state)
+        for k in range(n_limbs):
+            part = state[:, k] + hit[:, k]
+            over = part < state[:, k]
+            with_carry = part + carry
+            new[:, k] = with_carry | (state[:, k] & ~mask[:, k])
+            carry = (over | (with_carry < part)).astype(np.uint64)
+        state = new
+        after = word_at[at + 1]
+        ended = np.flatnonzero((after > 0) & (after - first >= fewest))
+        if len(ended):
+            out[0].append(first[ended])
+            out[1].append(after[ended])
+            out[2].append(np.bitwise_count(~state[ended] & full).sum(1).astype(np.int64))
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
+
+
+def nearly_best(keys: list[str], words: list[str], least: float, margin: float, bonus: float) -> list[dict]:
+    """Spans (first, after, ratio, score) of ``words`` that are nearly as like ``keys`` as the best one, in order."""
+    n, text = len(keys), " ".join(keys)
+    if not n or not words:
+        return []
+    longest = int(len(text) * (2 - least) / least + 1e-6) if least > 0 else 1 << 40
+    first, after, lcs = lcs_to_word_ends(text, words, max(1, n // 2), n + max(6, n), longest)
+    upto = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])])
+    total = len(text) + upto[after] - upto[first] - 1
+    ratio = np.where(total > 0, 2 * lcs / np.maximum(total, 1), 1.0)
+    begins = np.array([w == keys[0] for w in words])
+    ends = np.array([w == keys[-1] for w in words])
+    score = ratio + bonus * (begins[first].astype(int) + ends[after - 1].astype(int))
+    some = np.flatnonzero(ratio >= least)
+    if not len(some):
+        return []
+    kept = some[score[some] >= score[some].max() - margin]
+    kept = kept[np.lexsort((after[kept], first[kept]))]
+    return [{"first": int(first[k]), "after": int(after[k]), "ratio": float(ratio[k]), "score": float(score[k])} for k in kept]
 
 
 def candidate_spans(captions: DataFrame, lyric: DataFrame, least: float = 0.65, margin: float = 0.025, bonus: float = 0.02) -> DataFrame:
     """(song_id, idx, first, after, ratio, score, span): spans of the lyric nearly as like a caption as the best one.
 
     captions: song_id, idx, keys; lyric: song_id, pos, key. A span has from half the caption's words to six words (or
-    the caption's number) more. Lengths in characters bound the similarity, so most spans are ruled out before any text
-    is built. score adds ``bonus`` for each end that is equal."""
-    cumulated = F.sum(F.char_length("key")).over(W.partitionBy("song_id").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow))
-    lyrics = lyric.withColumn("c", cumulated).groupBy("song_id").agg(F.array_sort(F.collect_list(F.struct("pos", "key", "c"))).alias("l"))
-    lyrics = lyrics.select("song_id", F.transform("l", lambda x: x["key"]).alias("words"), F.concat(F.array(F.lit(0).cast("long")), F.transform("l", lambda x: x["c"].cast("long"))).alias("upto"))
-    own = captions.select("song_id", "idx", "keys", F.size("keys").alias("n"), F.array_join("keys", " ").alias("text")).where("n > 0")
-    begun = own.join(lyrics, "song_id").withColumn("first", F.explode(F.sequence(F.lit(0), F.size("words") - 1)))
-    low = F.col("first") + F.greatest(F.lit(1), F.floor(F.col("n") / 2)).cast("int")
-    high = F.least(F.size("words"), F.col("first") + F.col("n") + F.greatest(F.lit(6), F.col("n")))
-    chars = F.get("upto", F.col("after")) - F.get("upto", F.col("first")) + F.col("after") - F.col("first") - 1
-    spans = begun.where(low <= high).withColumn("after", F.explode(F.sequence(low, high))).withColumn("chars", chars)
-    possible = 2 * F.least(F.char_length("text"), F.col("chars")) >= least * (F.char_length("text") + F.col("chars")) - 1e-9
-    spelled = spans.where(possible).withColumn("span", F.array_join(F.slice("words", F.col("first") + 1, F.col("after") - F.col("first")), " "))
-    alike = spelled.withColumn("ratio", indel_ratio(F.col("text"), F.col("span"))).where(F.col("ratio") >= least)
-    ends = (F.get("words", F.col("first")) == F.get("keys", F.lit(0))).cast("int") + (F.get("words", F.col("after") - 1) == F.get("keys", F.col("n") - 1)).cast("int")
-    ranked = alike.withColumn("score", F.col("ratio") + bonus * ends).withColumn("top", F.max("score").over(W.partitionBy("song_id", "idx")))
-    return ranked.where(F.col("score") >= F.col("top") - margin).select("song_id", "idx", "first", "after", "ratio", "score", "span")
+    the caption's number) more. One scan over the lyric finds the similarity of all spans of a caption; the lengths that
+    ``least`` allows bound it. score adds ``bonus`` for each end that is equal. A caption is a row that has its lyric's
+    words with it, so captions of one song can be in many tasks."""
+    lyrics = lyric.groupBy("song_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "key"))), lambda x: x["key"]).alias("words"))
+
+    @F.arrow_udf("array<struct<first:int,after:int,ratio:double,score:double>>")
+    def near(keys: pa.Array, words: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("first", pa.int32()), ("after", pa.int32()), ("ratio", pa.float64()), ("score", pa.float64())]))
+        return pa.array([nearly_best(keys[k].as_py() or [], words[k].as_py() or [], least, margin, bonus) for k in range(len(keys))], kind)
+
+    own = captions.where(F.size("keys") > 0).select("song_id", "idx", "keys").join(lyrics, "song_id")
+    found = own.select("song_id", "idx", "words", F.explode(near("keys", "words")).alias("c"))
+    span = F.array_join(F.slice("words", F.col("c.first") + 1, F.col("c.after") - F.col("c.first")), " ")
+    return found.select("song_id", "idx", "c.first", "c.after", "c.ratio", "c.score", span.alias("span"))
 
 
 _STATE = "struct<cursor:int,after:int,ratio:double,ended:double,out:array<struct<idx:bigint,token_start:bigint,token_end:bigint,score:double,warning:string>>>"
