@@ -35,7 +35,7 @@ def interval_violations(rows: DataFrame, key: list[str], order: list[str], start
 def runs(rows: DataFrame, key: list[str], order: list[str], flag: Column, name: str = "run") -> DataFrame:
     """``rows`` with the number (from 1) of the run of equal flags they are in."""
     w = _window(key, order)
-    change = F.coalesce(~flag.eqNullSafe(F.lag(flag).over(w)), F.lit(True)).cast("long")
+    change = (~flag.eqNullSafe(F.lag(flag).over(w)) | (F.row_number().over(w) == 1)).cast("long")
     return rows.withColumn(name, F.sum(change).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
 
 

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessitura.functions.text import indel_ratio
-
-ACTIONS = ("associate", "correct", "insert", "discard", "later", "remove", "replace")
+from tessitura.operators import revisions
 
 
 def pending(items: DataFrame, decisions: DataFrame, key: list[str], seq: str = "seq") -> DataFrame:
@@ -42,71 +38,22 @@ def caption_candidates(items: DataFrame, captions: DataFrame, key: list[str], mo
 
 
 def apply_events(blocks: dict, decisions: dict, events: list[dict]):
-    """State after a log of events: (blocks, decisions, problems). ``undo`` restores what stood before the last event that was not undone.
-
-    An event that breaks a rule (unknown action or block, overlap, end not after start, nothing to undo) changes nothing and
-    is told in problems as (its place, the rule). An association whose block goes is put off (``later``)."""
-    history: list[tuple[dict, dict]] = []
-    problems: list[tuple[int, str]] = []
-
-    def broken(state: dict) -> str | None:
-        spans = sorted((b["start_ms"], b["end_ms"]) for b in state.values())
-        if any(s >= e for s, e in spans):
-            return "end_not_after_start"
-        return "overlap" if any(a[1] > b[0] for a, b in zip(spans, spans[1:], strict=False)) else None
-
-    for place, e in enumerate(events):
-        action, block, item = e["action"], e.get("block"), e.get("item")
-        rule = None
-        if action == "undo":
-            if history:
-                blocks, decisions = history.pop()
-            else:
-                problems.append((place, "nothing_to_undo"))
-            continue
-        if action not in ACTIONS:
-            rule = "unknown_action"
-        elif action in ("correct", "remove", "replace", "associate") and block not in blocks:
-            rule = "unknown_block"
-        new_blocks, new_decisions = dict(blocks), dict(decisions)
-        if rule is None:
-            if action == "correct":
-                new_blocks[block] = blocks[block] | {"text": e["text"]}
-            elif action in ("insert", "replace"):
-                new_blocks[block] = {"start_ms": e["start_ms"], "end_ms": e["end_ms"], "text": e["text"]}
-            elif action == "remove":
-                new_blocks.pop(block)
-            new_decisions = {k: v if v["action"] != "associate" or v["block"] in new_blocks else {"action": "later", "block": None} for k, v in new_decisions.items()}
-            if item is not None:
-                new_decisions[item] = {"action": action, "block": block}
-            rule = broken(new_blocks)
-        if rule is not None:
-            problems.append((place, rule))
-            continue
-        history.append((blocks, decisions))
-        blocks, decisions = new_blocks, new_decisions
-    return blocks, decisions, problems
-
-
-STATE = "song_id string, kind string, id long, body string"
+    """State after a log of events: (blocks, decisions, problems), problems as (place of the event, the rule it breaks)."""
+    session = revisions.Session(blocks)
+    for k, v in decisions.items():
+        session._set("decision", k, v)
+    rules = [(place, session.apply(e)[1]) for place, e in enumerate(events)]
+    return session.entries["block"], session.entries["decision"], [x for x in rules if x[1] is not None]
 
 
 def fold(blocks: DataFrame, events: DataFrame) -> DataFrame:
     """Blocks and decisions of each song after its log, and a problem row for each event that breaks a rule (id: its seq).
 
-    blocks: song_id, block, start_ms, end_ms, text; events: song_id, seq, action, item, block, start_ms, end_ms, text."""
-
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        first = {int(r.block): {"start_ms": int(r.start_ms), "end_ms": int(r.end_ms), "text": r.text} for r in left.itertuples()}
-        log = [{k: None if pd.isna(v) else v for k, v in r.items()} for r in right.sort_values("seq").to_dict("records")]
-        for e in log:
-            e.update({k: int(e[k]) for k in ("item", "block", "start_ms", "end_ms") if e.get(k) is not None})
-        after, decided, problems = apply_events(first, {}, log)
-        rows = [(key[0], "block", k, json.dumps(v, ensure_ascii=False)) for k, v in sorted(after.items())] + [(key[0], "decision", k, json.dumps(v)) for k, v in sorted(decided.items())]
-        rows += [(key[0], "problem", int(log[k]["seq"]), json.dumps({"rule": rule})) for k, rule in problems]
-        return pd.DataFrame(rows, columns=["song_id", "kind", "id", "body"])
-
-    return blocks.groupBy("song_id").cogroup(events.groupBy("song_id")).applyInPandas(run, STATE)
+    blocks: song_id, block, start_ms, end_ms, text; events: song_id, seq, action, item, block, start_ms, end_ms, text.
+    ``undo`` restores what stood before the last event that was not undone. An event that breaks a rule (unknown action or
+    block, overlap, end not after start, nothing to undo) changes nothing. An association whose block goes is put off
+    (``later``)."""
+    return revisions.latest(revisions.changes(blocks, events)).select("song_id", "kind", "id", "body")
 
 
 def split_events(blocks: DataFrame, splits: DataFrame) -> DataFrame:

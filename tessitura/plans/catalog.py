@@ -577,15 +577,20 @@ def ngram_candidates(spark, sf_dir):
     return review.caption_candidates(items, c, ["conv_id"]).select("conv_id", "item", "ord", "n", "rank", F.round("score", 6).alias("score"))
 
 
-@query()
-def review_fold(spark, sf_dir):
-    """Users as songs, events as a log that corrects, removes and undoes."""
+def review_log(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Users as songs: their first events as blocks, the others as a log that corrects, removes and undoes."""
     e = _events(spark, sf_dir).withColumn("n", F.row_number().over(W.partitionBy("user_id").orderBy("start_ms", "event_id")).cast("long"))
     song = F.col("user_id").cast("string").alias("song_id")
     blocks = e.where("n <= 20").select(song, F.col("n").alias("block"), (F.col("n") * 1000).alias("start_ms"), (F.col("n") * 1000 + 900).alias("end_ms"), F.col("event_type").alias("text"))
     action = F.when(F.col("event_type") == "error", "undo").when(F.col("event_type") == "purchase", "remove").when(F.col("event_type") == "click", "replace").otherwise("correct")
     log = e.where("n > 20").select(song, F.col("n").alias("seq"), action.alias("action"), F.col("n").alias("item"), (F.col("event_id") % 20 + 1).alias("block"), ((F.col("event_id") % 20 + 1) * 1000).alias("start_ms"), ((F.col("event_id") % 20 + 1) * 1000 + 800).alias("end_ms"), F.lit("new").alias("text"))
-    return review.fold(blocks, log)
+    return blocks, log
+
+
+@query()
+def review_fold(spark, sf_dir):
+    """Users as songs, events as a log that corrects, removes and undoes."""
+    return review.fold(*review_log(spark, sf_dir))
 
 
-from tessitura.plans import file_queries, word_queries  # noqa: E402, F401  their queries are registered here
+from tessitura.plans import file_queries, version_queries, word_queries  # noqa: E402, F401  their queries are registered here

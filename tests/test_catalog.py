@@ -11,6 +11,7 @@ import pytest
 import regex
 
 from tessitura.functions.text import indel
+from tessitura.operators import review
 from tessitura.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -179,8 +180,26 @@ def test_review_fold(spark):
         assert {b for kind, b in own if kind == "problem"} == wrong
 
 
+def test_versioned_review(spark):
+    """The state before every tenth event is what the log up to it gives."""
+    blocks, log = (df.collect() for df in catalog.review_log(spark, SF))
+    got: dict = {}
+    for r in catalog.QUERIES["versioned_review"](spark, SF).collect():
+        got.setdefault((r["song_id"], r["at"]), {})[r["kind"], r["id"]] = json.loads(r["body"])
+    asked = 0
+    for song in sorted({r["song_id"] for r in log}):
+        first = {r["block"]: {"start_ms": r["start_ms"], "end_ms": r["end_ms"], "text": r["text"]} for r in blocks if r["song_id"] == song}
+        events = sorted((r.asDict() for r in log if r["song_id"] == song), key=lambda e: e["seq"])
+        for k, e in enumerate(events):
+            if e["seq"] % 10 == 0:
+                after, decided, _ = review.apply_events(dict(first), {}, events[:k])
+                assert got.get((song, e["seq"]), {}) == {("block", b): v for b, v in after.items()} | {("decision", i): v for i, v in decided.items()}
+                asked += 1
+    assert asked > 20
+
+
 def test_every_query_has_sql_or_a_test():
-    assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) == {"global_alignment", "structure_plan", "time_choice_beam", "ngram_candidates", "review_fold", "embedding_frames"}
+    assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) == {"global_alignment", "structure_plan", "time_choice_beam", "ngram_candidates", "review_fold", "embedding_frames", "versioned_review"}
 
 
 def test_entry(spark):
