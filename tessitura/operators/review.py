@@ -94,3 +94,31 @@ def pending_published(pending_: DataFrame, published: DataFrame) -> DataFrame:
     """Pending items with the place (from 0) and text of the published block they stem from. pending_: song_id, item, original; published: song_id, original, start, text."""
     place = F.row_number().over(W.partitionBy("song_id").orderBy("start")) - 1
     return pending_.join(published.select("song_id", "original", place.alias("place"), F.col("text").alias("published_text")), ["song_id", "original"])
+
+
+def marked_group(words: DataFrame, marked: DataFrame, key: list[str]) -> DataFrame:
+    """``words`` with the times of marked ones spread over an interval by the lengths of their texts: a suggestion, so none of them is confirmed.
+
+    words: key, no, text, start, end, confirmed, origin; marked: key, no, low, high (the interval, the same for all of a
+    key). Times are rounded to milliseconds. Adds problem: not_consecutive where the marked words of a key do not stand
+    together (their times stay as they are)."""
+    of_key = W.partitionBy(*key)
+    chosen = words.join(marked.select(*key, "no", "low", "high"), [*key, "no"]).withColumn("_w", F.greatest(F.lit(1), F.char_length("text")))
+    apart = F.max("no").over(of_key) - F.min("no").over(of_key) + 1 != F.count("*").over(of_key)
+    up = F.sum("_w").over(of_key.orderBy("no").rowsBetween(W.unboundedPreceding, W.currentRow))
+    place = lambda c: F.rint((F.col("low") + (F.col("high") - F.col("low")) * c / F.sum("_w").over(of_key)) * 1000) / 1000
+    timed = chosen.select(*key, "no", place(up - F.col("_w")).alias("_start"), place(up).alias("_end"), apart.alias("_apart"))
+    out = words.join(timed, [*key, "no"], "left")
+    fits = F.coalesce(~F.col("_apart"), F.lit(False))
+    new = {"start": F.when(fits, F.col("_start")).otherwise(F.col("start")), "end": F.when(fits, F.col("_end")).otherwise(F.col("end")), "confirmed": F.when(fits, F.lit(False)).otherwise(F.col("confirmed")), "origin": F.when(fits, "manual_approximation").otherwise(F.col("origin"))}
+    return out.withColumns(new | {"problem": F.when(F.col("_apart"), "not_consecutive")}).drop("_start", "_end", "_apart")
+
+
+def review_summary(songs: DataFrame, pending_: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(song_id, pending, blocks, confirmed): how far the review of each song is.
+
+    songs: song_id; pending_: song_id, item; blocks: song_id, block, words array<struct<confirmed>>."""
+    left = pending_.groupBy("song_id").agg(F.count("*").alias("pending"))
+    sure = F.size(F.filter(F.coalesce("words", F.array().cast(blocks.schema["words"].dataType)), lambda w: F.coalesce(w["confirmed"], F.lit(False))))
+    done = blocks.groupBy("song_id").agg(F.count("*").alias("blocks"), F.sum(sure).alias("confirmed"))
+    return songs.select("song_id").join(left, "song_id", "left").join(done, "song_id", "left").fillna(0, ["pending", "blocks", "confirmed"])

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessitura.operators import pitch, revisions, slices
+from tessitura.functions import text as T
+from tessitura.functions.shared import shared_folder
+from tessitura.operators import pitch, review, revisions, slices
 from tessitura.plans.catalog import _EV, ORACLE_SQL, _events, _frames, _read, query, review_log
+from tessitura.sources import folders
 
 
 @query(f"""WITH {_EV}, e AS (SELECT event_type, event_id, start_ms, row_number() OVER (PARTITION BY event_type ORDER BY start_ms, event_id) AS k, user_id FROM ev),
@@ -59,3 +63,53 @@ def tone_pitch(spark, sf_dir):
     found = pitch.sung_pitch(tones.select("p_partkey", "samples", "rate"), "p_partkey")
     told = found.groupBy("p_partkey").agg(F.count("*").alias("n_frames"), F.median("midi").alias("midi"), (F.count_if("voiced") >= 8).alias("voiced"))
     return told.join(tones.select("p_partkey", "true"), "p_partkey").select("p_partkey", "n_frames", "voiced", (F.abs(F.col("midi") - F.col("true")) <= 0.2).alias("near"))
+
+
+@query("""WITH k AS (SELECT c_custkey AS k FROM customer)
+SELECT k::VARCHAR AS song_id, 'captions' AS operation, CASE WHEN k % 5 = 0 THEN 'missing_voice' WHEN k % 7 = 0 THEN 'several_voice' WHEN k % 2 = 0 THEN 'reserved_file' END AS problem FROM k
+UNION ALL SELECT k::VARCHAR, 'notes', CASE WHEN k % 5 = 0 THEN 'missing_voice' WHEN k % 7 = 0 THEN 'several_voice' WHEN k % 2 = 1 THEN 'missing_captions' WHEN k % 3 = 0 THEN 'empty_lyrics' WHEN k % 11 = 0 THEN 'captions_overlap' END FROM k""")
+def folder_states(spark, sf_dir):
+    """Customers as folders: which files are there, and what is in the way of each operation."""
+    c = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    song = F.col("k").cast("string").alias("song_id")
+    file = lambda name, size=1, there=None: F.when(F.lit(True) if there is None else there, F.struct(F.concat(F.lit("/music/"), F.col("k").cast("string"), F.lit(f"/{name}")).alias("path"), F.lit(size).cast("long").alias("length")))
+    k = F.col("k")
+    every = [file("VOZ.Wav", 1, k % 5 != 0), file("voz.mp3", 1, (k % 5 != 0) & (k % 7 == 0)), file("Instrumental.flac"), file("letra.SRT", 1, k % 2 == 0), file("letra.txt", 1, k % 3 != 0), file("letra.txt", 0, k % 3 == 0), file("notes.txt")]
+    files = c.select(song, F.explode(F.array_compact(F.array(*every))).alias("f")).select("song_id", "f.*")
+    captions = c.select(song, F.explode(F.sequence(F.lit(0), F.lit(2))).alias("idx"), k.alias("k")).select("song_id", "idx", (F.col("idx") * 1000).cast("long").alias("start_ms"), (F.col("idx") * 1000 + F.when(F.col("k") % 11 == 0, 1001).otherwise(1000)).cast("long").alias("end_ms"))
+    return folders.folder_state(c.select(song), files, captions)
+
+
+@query("""SELECT o_orderkey::VARCHAR AS song_id, CASE WHEN o_orderkey % 10 = 0 THEN 'unknown_version' WHEN o_custkey % 3 = 0 THEN 'captions_changed' WHEN o_orderstatus = 'F' THEN 'voice_changed' END AS problem FROM orders""")
+def manifest_states(spark, sf_dir):
+    """Orders as manifests whose version, captions or voice may not be what they were."""
+    o = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("song_id"), "o_orderkey", "o_custkey", "o_orderstatus")
+    sha = lambda *c: F.sha2(F.concat_ws("/", *c), 256)
+    manifest = o.select("song_id", F.when(F.col("o_orderkey") % 10 == 0, 2).otherwise(1).alias("version"), sha("song_id", F.lit("captions")).alias("sha256"), F.create_map(F.lit("voice"), sha("song_id", F.lit("voice"))).alias("sources"))
+    captions = o.select("song_id", sha("song_id", F.when(F.col("o_custkey") % 3 == 0, "other").otherwise("captions")).alias("sha256"))
+    voices = o.where("o_orderkey % 10 = 0 OR o_custkey % 3 = 0 OR o_orderstatus <> 'F'").select("song_id", sha("song_id", F.lit("voice")).alias("sha256"))
+    return folders.manifest_problems(manifest, captions, voices)
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, length(p_name)::BIGINT AS size FROM lineitem JOIN part ON p_partkey = l_partkey""")
+def cached_parts(spark, sf_dir):
+    """What is computed of a part is kept by its identity: half of the line items ask first, all of them then, and each part is computed once."""
+    named = _read(spark, sf_dir, "lineitem").join(_read(spark, sf_dir, "part").select("p_partkey", "p_name"), F.col("p_partkey") == F.col("l_partkey"))
+    asked = named.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "p_name", T.identity(F.create_map(F.lit("name"), F.col("p_name"), F.lit("part"), F.col("l_partkey").cast("string"))).alias("identity"))
+    root = shared_folder(spark, "cache")
+    compute = lambda absent: absent.select("identity", F.length("p_name").cast("long").alias("size"))
+    folders.cached(asked.where("l_orderkey % 2 = 0"), root, compute)
+    return folders.cached(asked, root, compute).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "size")
+
+
+@query(f"""WITH {_EV}, w AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY start_ms, event_id) AS no FROM ev),
+m AS (SELECT *, length(event_type) AS k FROM w WHERE no BETWEEN 3 AND 12 AND NOT (user_id % 5 = 0 AND no = 6)), u AS (SELECT *, sum(k) OVER (PARTITION BY user_id ORDER BY no ROWS UNBOUNDED PRECEDING) AS up, sum(k) OVER (PARTITION BY user_id) AS total, max(no) OVER (PARTITION BY user_id) - min(no) OVER (PARTITION BY user_id) + 1 <> count(*) OVER (PARTITION BY user_id) AS apart FROM m)
+SELECT w.user_id, w.no, CASE WHEN NOT apart THEN round((10 + 16 * (up - k) / total::DOUBLE) * 1000)::BIGINT END AS start_ms, CASE WHEN NOT apart THEN round((10 + 16 * up / total::DOUBLE) * 1000)::BIGINT END AS end_ms, coalesce(apart, true) AS confirmed, CASE WHEN apart THEN 'not_consecutive' END AS problem FROM w LEFT JOIN u USING (user_id, no)""")
+def marked_groups(spark, sf_dir):
+    """Events of each user as words; the third to the twelfth are marked, of some users with one left out."""
+    e = _events(spark, sf_dir).select("user_id", "event_id", "start_ms", F.col("event_type").alias("text"))
+    words = e.select("user_id", F.row_number().over(W.partitionBy("user_id").orderBy("start_ms", "event_id")).cast("long").alias("no"), "text", F.lit(None).cast("double").alias("start"), F.lit(None).cast("double").alias("end"), F.lit(True).alias("confirmed"), F.lit("model").alias("origin"))
+    marked = words.where("no between 3 and 12 and not (user_id % 5 = 0 and no = 6)").select("user_id", "no", F.lit(10.0).alias("low"), F.lit(26.0).alias("high"))
+    got = review.marked_group(words, marked, ["user_id"])
+    ms = lambda c: F.rint(F.col(c) * 1000).cast("long").alias(f"{c}_ms")
+    return got.select("user_id", "no", ms("start"), ms("end"), "confirmed", "problem")

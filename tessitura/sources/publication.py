@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import struct
+import uuid
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -148,22 +150,76 @@ def versions(spark: SparkSession, root: str) -> list[int]:
     return sorted(int(n[2:]) for n in found if files.exists(at(f"{n}/_SUCCESS")))
 
 
-def publish_version(df: DataFrame, root: str, kind: str = "parquet") -> int:
+#: Milliseconds after which the lock of a writer that is gone can be taken.
+LEASE = 6 * 3_600_000
+
+
+class _Lock:
+    """The right to publish under a root: a file with its owner's name, made exclusively; one that is older than its lease belongs to a lost driver."""
+
+    def __init__(self, spark: SparkSession, root: str, lease: int = LEASE):
+        self.files, self.at = _folder(spark, root)
+        self.spark, self.root, self.lease, self.owner = spark, root, lease, uuid.uuid4().hex
+
+    def _create(self) -> bool:
+        try:
+            out = self.files.create(self.at("_lock"), False)  # fails if it is there
+        except Py4JJavaError:
+            return False
+        out.write(bytearray(self.owner.encode()))
+        out.close()
+        return True
+
+    def held(self) -> bool:
+        """Whether the lock is still this writer's."""
+        if not self.files.exists(self.at("_lock")):
+            return False
+        stream = self.files.open(self.at("_lock"))
+        found = bytes(stream.readAllBytes()).decode()
+        stream.close()
+        return found == self.owner
+
+    def __enter__(self):
+        self.files.mkdirs(self.at("."))
+        if self._create():
+            return self
+        made = self.files.getFileStatus(self.at("_lock")).getModificationTime() if self.files.exists(self.at("_lock")) else 0
+        if self.spark._jvm.System.currentTimeMillis() - made > self.lease:
+            # Of several that find an old lock one moves it away and goes on.
+            if made and not self.files.rename(self.at("_lock"), self.at(f"_lock-{self.owner}")):
+                raise FileExistsError(f"{self.root} is being published by another writer")
+            self.files.delete(self.at(f"_lock-{self.owner}"), False)
+            if self._create():
+                return self
+        raise FileExistsError(f"{self.root} is being published by another writer")
+
+    def __exit__(self, *_):
+        if self.held():
+            self.files.delete(self.at("_lock"), False)
+
+
+def publish_version(df: DataFrame, root: str, kind: str = "parquet", lease: int = LEASE) -> int:
     """Writes ``df`` as the next version under ``root`` and makes it the current one; older versions stay as history.
 
-    A lock file, made exclusively, keeps a second writer out; a write that fails leaves the current version as it is."""
+    A lock keeps a second writer out; the lock of a driver that was lost can be taken after ``lease`` milliseconds. A
+    write that fails, or that lost its lock meanwhile, leaves the current version as it is: data is written under a name of
+    its own, and one rename makes it a version."""
     spark = df.sparkSession
-    files, at = _folder(spark, root)
-    files.mkdirs(at("."))
-    if not files.createNewFile(at("_lock")):
-        raise FileExistsError(f"{root} is being published by another writer")
-    try:
+    with _Lock(spark, root, lease) as lock:
         done = versions(spark, root)
         number = (done[-1] if done else 0) + 1
-        df.write.mode("overwrite").format(kind).save(f"{root}/v={number}")
+        own = f"_writing-{lock.owner}"
+        try:
+            df.write.mode("errorifexists").format(kind).save(f"{root}/{own}")
+            if not lock.held() or lock.files.exists(lock.at(f"v={number}/_SUCCESS")):
+                raise FileExistsError(f"{root} was published by another writer meanwhile")
+            if lock.files.exists(lock.at(f"v={number}")):  # left by a write that failed
+                lock.files.delete(lock.at(f"v={number}"), True)
+            if not lock.files.rename(lock.at(own), lock.at(f"v={number}")):
+                raise OSError(f"{root}: version {number} could not be published")
+        finally:
+            lock.files.delete(lock.at(own), True)
         return number
-    finally:
-        files.delete(at("_lock"), False)
 
 
 def current(spark: SparkSession, root: str, kind: str = "parquet") -> DataFrame:
@@ -172,13 +228,13 @@ def current(spark: SparkSession, root: str, kind: str = "parquet") -> DataFrame:
 
 
 def roll_back(spark: SparkSession, root: str) -> int:
-    """Drops the newest version, so that the one before it is current again; returns its number."""
-    done = versions(spark, root)
-    if len(done) < 2:
-        raise ValueError("there is no earlier version")
-    files, at = _folder(spark, root)
-    files.delete(at(f"v={done[-1]}"), True)
-    return done[-2]
+    """Drops the newest version, so that the one before it is current again; returns its number. A publication under way keeps it out."""
+    with _Lock(spark, root) as lock:
+        done = versions(spark, root)
+        if len(done) < 2:
+            raise ValueError("there is no earlier version")
+        lock.files.delete(lock.at(f"v={done[-1]}"), True)
+        return done[-2]
 
 
 def manifest(captions: DataFrame, words: DataFrame, sources: DataFrame, pending: DataFrame) -> DataFrame:
