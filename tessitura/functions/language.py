@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessitura.functions.binding import bind
-
 #: Function words that vote for Portuguese.
 PT_WORDS = (
     "o a os as um uma uns umas de da do das dos em no na nos nas "
@@ -30,23 +28,35 @@ ONLY_EN = sorted(set(EN_WORDS) - set(PT_WORDS))
 LANGUAGES = ("pt", "en")
 
 
-def _words(line: Column) -> Column:
-    return F.regexp_extract_all(F.lower(line), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+def _one_of(words: list[str]) -> str:
+    """A regular expression that matches the words: their common beginnings are written once, so that few branches are tried."""
+    tree: dict = {}
+    for w in words:
+        node = tree
+        for c in w:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def spelled(node: dict) -> str:
+        rest = [c + spelled(below) for c, below in sorted(node.items()) if c]
+        if not rest:
+            return ""
+        return f"(?:{'|'.join(rest)})" + ("?" if "" in node else "")
+
+    return spelled(tree)
+
+
+_BEGIN, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
+_EN_VOTE = f"{_BEGIN}{_one_of(ONLY_EN)}{_END}"
+_PT_VOTE = f"{_BEGIN}{_one_of([w for w in ONLY_PT if not set(w) & set('ãõç')])}{_END}"
+_PT_SIGN = rf"{_BEGIN}[\p{{L}}\p{{N}}]*[ãõç]"
 
 
 def votes(line: Column) -> Column:
-    """A struct of pt and en: words that only one language has; ã, õ and ç vote for pt. Words are split once and looked up in sets."""
-    pt, en = (F.array(*map(F.lit, x)) for x in (ONLY_PT, ONLY_EN))
-    of_pt = lambda w: F.size(F.filter(w, lambda x: F.array_contains(pt, x) | x.rlike("[ãõç]")))
-    of_en = lambda w: F.size(F.filter(w, lambda x: F.array_contains(en, x)))
-
-    def counted(w: Column) -> Column:
-        # Most words are in neither list: what two set operations rule out is not looked at word by word.
-        some_pt = (F.size(F.array_intersect(w, pt)) > 0) | line.rlike("[ãõçÃÕÇ]")
-        some_en = F.size(F.array_intersect(w, en)) > 0
-        return F.struct(F.when(some_pt, of_pt(w)).otherwise(0).cast("long").alias("pt"), F.when(some_en, of_en(w)).otherwise(0).cast("long").alias("en"))
-
-    return bind(_words(line), counted)
+    """A struct of pt and en: words that only one language has; any word with ã, õ or ç votes for pt. Regular expressions count them."""
+    low = F.lower(line)
+    signs = F.when(low.rlike("[ãõç]"), F.regexp_count(low, F.lit(_PT_SIGN))).otherwise(F.lit(0))
+    return F.struct((F.regexp_count(low, F.lit(_PT_VOTE)) + signs).cast("long").alias("pt"), F.regexp_count(low, F.lit(_EN_VOTE)).cast("long").alias("en"))
 
 
 def line_languages(lines: DataFrame, key: list[str], order: list[str], line: str = "line") -> DataFrame:
