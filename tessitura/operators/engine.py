@@ -159,3 +159,30 @@ def placed_segments(heard: DataFrame, used: DataFrame) -> DataFrame:
     one = F.array(F.struct(F.lit(0.0).alias("seg_start"), length.alias("seg_end"), F.col("whole").alias("text")))
     each = lists.withColumn("approximate", ~valid).select(*key, "language", "approximate", F.explode(F.when(valid, F.col("s")).otherwise(one)).alias("x"))
     return each.select("song_id", (F.col("start") + F.col("x.seg_start")).alias("start"), (F.col("start") + F.col("x.seg_end")).alias("end"), F.col("x.text").alias("text"), "language", "approximate", F.col("start").alias("window_start"))
+
+
+def languages_of(segments: DataFrame, durations: DataFrame, engine: Engine, short: float = 2.5, reach: float = 3.0) -> DataFrame:
+    """``segments`` (song_id, start, end, text) with what language each is, from its text, its sound and, where those are weak, the sound around it.
+
+    Short segments, weak sound and text that differs from it are heard again with ``reach`` seconds to each side of their
+    middle, within the song (durations: song_id, duration). Adds choice (language, source, text_differs, review),
+    confidence (of that language in the segment's own sound) and wide_start, wide_end (null: not heard again). Running the
+    plan fails for a segment outside its song."""
+    a, b = F.col("start"), F.col("end")
+    own = segments.join(durations, "song_id")
+    wrong = F.coalesce(~((a >= 0) & (a < b) & (b <= F.col("duration") + 0.005)), F.lit(True))
+    own = own.withColumn("start", F.when(wrong, F.raise_error(F.lit("a segment has no valid times")).cast("double")).otherwise(a))
+    guess = lambda df, start, end, into: df.lateralJoin(guessing(engine)(F.col("song_id").outer(), F.col(start).outer(), F.col(end).outer())).withColumnRenamed("likely", into)
+    near = written(guess(own, "start", "end", "near"), "near").withColumn("local", L.acoustic_evidence(F.col("near")))
+    voted = near.withColumn("votes", L.votes(F.coalesce("text", F.lit("")))).withColumn("said", L.textual_evidence(F.col("votes.pt"), F.col("votes.en")))
+    differs = F.col("said.language").isNotNull() & (F.col("said.language") != F.col("local.language"))
+    middle = (a + b) / 2
+    low, high = F.greatest(F.lit(0.0), F.least(a, middle - reach)), F.least(F.col("duration"), F.greatest(b, middle + reach))
+    again = ((b - a < short) | ~F.col("local.strong") | differs) & (high - low > b - a + 0.01)
+    placed = voted.withColumns({"wide_start": F.when(again, low), "wide_end": F.when(again, high)})
+    key = ["song_id", "wide_start", "wide_end"]
+    wide = guess(placed.where("wide_start IS NOT NULL").select(*key).distinct(), "wide_start", "wide_end", "far")
+    heard = placed.join(written(wide, "wide"), key, "left").withColumn("wide", L.acoustic_evidence(F.col("far")))
+    chosen = heard.withColumn("choice", L.select_language(F.col("said"), F.col("local"), F.col("wide")))
+    confidence = F.coalesce(F.element_at("near", F.col("choice.language")), F.lit(0.0))
+    return chosen.select(*segments.columns, "choice", confidence.alias("confidence"), "wide_start", "wide_end")

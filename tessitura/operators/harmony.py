@@ -109,7 +109,7 @@ def tuning(signals: DataFrame, key: str = "song_id", n_frames: int = 512) -> Dat
 
     A signal without peaks has tuning 0; ties go to the lowest."""
     rate = signals.select(key, "rate")
-    parts = chunks(signals.withColumn("rate", F.col("rate")), key, n_frames, SIZE / 22050, STEP / 22050)
+    parts = chunks(signals, key, n_frames, SIZE / 22050, STEP / 22050)
     kind = dict(signals.dtypes)[key]
 
     def run(batches):

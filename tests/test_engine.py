@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessitura.operators import engine, sound
@@ -155,3 +156,23 @@ def test_no_windows(spark):
     segments, audit = engine.recognise(one, signals, none, engine.Recorded())
     assert segments.count() == 0 and [(r["winner"], r["used"]) for r in audit.collect()] == [(None, True)]
     assert audit.select(F.col("reason")).head()[0] == "no_text"
+
+
+def test_languages_with_context(spark):
+    """Short, weak or contradicted segments are heard again with what is around them, others are not."""
+    key = engine.Recorded.key
+    likely = {
+        key("s", 0.0, 5.0): {"pt": 0.9, "en": 0.05}, key("s", 10.0, 11.0): {"pt": 0.4, "en": 0.5}, key("s", 7.5, 13.5): {"pt": 0.8, "en": 0.1},
+        key("s", 20.0, 25.0): {"pt": 0.9, "en": 0.05}, key("s", 19.5, 25.5): {"pt": 0.85, "en": 0.1}, key("s", 29.0, 30.0): {"pt": 0.5, "en": 0.4}, key("s", 26.5, 30.0): {"en": 0.5, "pt": 0.4},
+    }
+    rows = [("s", 0.0, 5.0, "la la"), ("s", 10.0, 11.0, "la"), ("s", 20.0, 25.0, "the sun and the moon with you"), ("s", 29.0, 30.0, None)]
+    df = spark.createDataFrame(rows, "song_id string, start double, end double, text string")
+    durations = spark.createDataFrame([("s", 30.0)], "song_id string, duration double")
+    got = {r["start"]: r for r in engine.languages_of(df, durations, engine.Recorded({}, likely)).collect()}
+    assert (got[0.0]["choice"]["language"], got[0.0]["choice"]["source"], got[0.0]["wide_start"]) == ("pt", "local_audio", None)
+    assert (got[10.0]["choice"]["language"], got[10.0]["choice"]["source"], got[10.0]["wide_start"], got[10.0]["wide_end"]) == ("pt", "wide_audio", 7.5, 13.5) and got[10.0]["confidence"] == 0.4
+    assert (got[20.0]["choice"]["language"], got[20.0]["choice"]["source"], got[20.0]["choice"]["text_differs"], got[20.0]["wide_end"]) == ("en", "recognised_text", True, 25.5)
+    assert (got[29.0]["choice"]["language"], got[29.0]["wide_start"], got[29.0]["choice"]["review"]) == ("pt", 26.5, True)
+    bad = spark.createDataFrame([("s", 29.0, 31.0, "x")], "song_id string, start double, end double, text string")
+    with pytest.raises(Exception, match="no valid times"):
+        engine.languages_of(bad, durations, engine.Recorded()).collect()
