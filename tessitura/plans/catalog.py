@@ -593,4 +593,4 @@ def review_fold(spark, sf_dir):
     return review.fold(*review_log(spark, sf_dir))
 
 
-from tessitura.plans import file_queries, version_queries, word_queries  # noqa: E402, F401  their queries are registered here
+from tessitura.plans import file_queries, unit_queries, version_queries, word_queries  # noqa: E402, F401  their queries are registered here

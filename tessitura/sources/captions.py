@@ -76,8 +76,12 @@ UNITS_SCHEMA = "song_id string, units array<struct<id:string,word_id:string,bloc
 
 def read_alignment(spark: SparkSession, path: str) -> DataFrame:
     """Units of JSON alignments, in order of start and number."""
-    found = spark.read.json(path, schema=UNITS_SCHEMA, multiLine=True).select("song_id", F.inline("units"))
-    return found.withColumn("ord", F.row_number().over(W.partitionBy("song_id").orderBy("start", "no", "id")))
+    return in_order(spark.read.json(path, schema=UNITS_SCHEMA, multiLine=True).select("song_id", F.inline("units")))
+
+
+def in_order(units: DataFrame) -> DataFrame:
+    """``units`` with ord, their place in their song by start and number."""
+    return units.withColumn("ord", F.row_number().over(W.partitionBy("song_id").orderBy("start", "no", "id")))
 
 
 def words_as_units(words: DataFrame) -> DataFrame:
