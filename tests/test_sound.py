@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessitura.operators import frames, placement, sound, syllables
+from tessitura.operators import frames, intervals, placement, sound, syllables
 from tessitura.plans import catalog, word_queries  # noqa: F401
 
 
@@ -97,6 +97,62 @@ def test_sustained_words(spark):
     assert abs(got["0"]["end"] - 0.595) < 1e-9 and got["0"]["original_end"] == 0.3 and "sustained_end" in got["0"]["warnings"]
     assert got["1"]["end"] == 1.3 and got["1"]["original_end"] is None and abs(got["1"]["voice_left"] - 0.6) < 1e-6 and list(got["1"]["warnings"]) == ["voice_left"]
     assert got["2"]["end"] == 2.3 and got["3"]["end"] == 3.3
+    assert [got[str(k)]["end_reason"] for k in range(4)] == ["silence", "continuity", None, None]
+    assert abs(got["0"]["interrupted_at"] - 0.595) < 1e-9 and abs(got["0"]["confirmed_at"] - 0.71) < 1e-9 and abs(got["1"]["interrupted_at"] - 1.3) < 1e-9
+
+
+def _walk(frames, step=0.01):
+    """Why a walk over (t, silent, fits) ends, by looking at one frame after the other."""
+    quiet = failed = 0
+    good = None
+    for k, (t, silent, fits) in enumerate(frames):
+        quiet = quiet + 1 if silent else 0
+        if quiet * step >= 0.120 - 1e-9:
+            return "silence", frames[k - quiet + 1][0], t
+        if fits:
+            good, failed = k, 0
+        else:
+            failed += 1
+            if failed * step >= 0.250 - 1e-9:
+                return "continuity", frames[k - failed + 1][0], t
+    return "next_word" if good == len(frames) - 1 else "tail_not_confirmed", None, None
+
+
+def test_reasons_against_walks(spark):
+    r = np.random.default_rng(4)
+    walks = {}
+    for k in range(60):
+        kinds, state = [], 0
+        for _ in range(int(r.integers(1, 90))):
+            state = int(r.integers(0, 3)) if r.random() < (0.03, 0.1, 0.3)[k % 3] else state
+            kinds.append(state)
+        walks[f"w{k}"] = [(round(1 + 0.01 * i, 2), s == 2, s == 0) for i, s in enumerate(kinds)]
+    df = spark.createDataFrame([("s", w, t, 1.0, a, b) for w, fs in walks.items() for t, a, b in fs], "song_id string, word_id string, t double, a double, silent boolean, fits boolean")
+    key = ["song_id", "word_id"]
+    stops = intervals.confirmed_stop(df, key, "t", "silent", "fits", 0.01)
+    got = {x["word_id"]: x for x in sound.stop_reasons(df, stops, key, 0.01).collect()}
+    seen = set()
+    for w, fs in walks.items():
+        reason, begun, sure = _walk(fs)
+        seen.add(reason)
+        if w in got:
+            assert (got[w]["reason"], got[w]["confirmed_at"]) == (reason, sure), w
+            assert begun is None or abs(got[w]["interrupted_at"] - max(1.0, begun - 0.005)) < 1e-9
+        else:
+            assert sure == fs[0][0]  # the walk stopped at its first frame
+    assert seen == {"silence", "continuity", "next_word", "tail_not_confirmed"}
+
+
+def test_gaps_that_are_not_walked(spark):
+    w = spark.createDataFrame(
+        [("s", str(k), k, 1, t, float(k), k + 0.3, "model", [(c,) for c in t], []) for k, t in enumerate(["la", "sol", "la", "la"])],
+        "song_id string, word_id string, ord int, block int, text string, start double, end double, source string, chars array<struct<char:string>>, warnings array<string>",
+    )
+    rows = [(0.5, 0.9, True)] * 236 + [(0.0, 0.0, True)] * 64
+    got = {r["word_id"]: r["end_reason"] for r in sound.sustained_words(w, _frames(spark, rows)).collect()}
+    assert got == {"0": "next_word", "1": "weak_anchor", "2": "too_little:silence", "3": None}
+    bare = {r["word_id"]: r["end_reason"] for r in sound.sustained_words(w, _frames(spark, rows[:40])).collect()}
+    assert bare["1"] == bare["2"] == "no_frames"
 
 
 def test_phrase_tails(spark):
