@@ -93,39 +93,62 @@ def best_paths(steps: DataFrame, start: list[float], moves: list[tuple[int, int,
 NOTED = "song_id string, unit long, pitch int, score double, runner_up double"
 
 
+def _padded(lists: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pitches, scores) of candidate lists as two matrices, each row in the order of pitches; what is no candidate has the score -inf."""
+    lists = lists.cast(pa.list_(pa.struct([("pitch", pa.int64()), ("score", pa.float64())])))
+    counts = np.diff(lists.offsets.to_numpy()) if n else np.zeros(0, np.int64)
+    counts = np.where(lists.is_valid().to_numpy(zero_copy_only=False), counts, 0)
+    flat = lists.flatten()
+    row = np.repeat(np.arange(n), counts)
+    pitch, score = flat.field("pitch").to_numpy(zero_copy_only=False), flat.field("score").to_numpy(zero_copy_only=False)
+    order = np.lexsort((pitch, row))
+    place = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+    pitches, scores = np.zeros((n, max(1, int(counts.max(initial=0)))), np.int64), np.full((n, max(1, int(counts.max(initial=0)))), -np.inf)
+    pitches[row, place], scores[row, place] = pitch[order], score[order]
+    return pitches, scores
+
+
 def note_continuity(units: DataFrame, gap: float = 1.0, scale: float = 4.0, weight: float = 0.05) -> DataFrame:
     """(song_id, unit, pitch, score, runner_up): the pitch of each unit, where each choice depends on the pitch chosen before.
 
     units: song_id, unit, start, end, cands array<struct<pitch:int,score:double>> (all terms but continuity). The pitch
     before is forgotten over a gap of more than ``gap`` seconds; ties go to the lowest pitch; a unit without candidates keeps
-    it. Songs stream past in order, and the state is one note; within an Arrow batch the candidates are one flat array."""
+    it. Songs stream past in order; within an Arrow batch the first units of all songs are chosen at once, then the second
+    ones, and so on, and of the song that goes on in the next batch its last note is kept."""
 
     def run(batches):
-        now = before = None
-        ended = None
+        now, kept_pitch, kept_end = None, -1, np.nan
         for batch in batches:
-            songs, ids = batch.column("song_id").to_pylist(), batch.column("unit")
-            start, end = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("start", "end"))
-            lists = batch.column("cands")
-            edges = lists.offsets.to_numpy() if isinstance(lists, pa.ListArray) else np.zeros(len(songs) + 1, np.int64)
-            flat = lists.values
-            pitch, base = flat.field("pitch").to_numpy(zero_copy_only=False), flat.field("score").to_numpy(zero_copy_only=False)
-            out = np.full(len(songs), -1, np.int64)
-            best, second = np.zeros(len(songs)), np.zeros(len(songs))
-            for i in range(len(songs)):
-                if songs[i] != now:
-                    now, before, ended = songs[i], None, None
-                if ended is not None and start[i] - ended > gap:
-                    before = None
-                a, b = edges[i], edges[i + 1]
-                if b > a:
-                    own, scores = pitch[a:b], base[a:b] if before is None else base[a:b] + weight * np.exp(-np.abs(pitch[a:b] - before) / scale)
-                    order = np.lexsort((own, -scores))
-                    before, best[i] = int(own[order[0]]), scores[order[0]]
-                    second[i] = scores[order[1]] if len(order) > 1 else 0.0
-                out[i] = -1 if before is None else before
-                ended = end[i]
-            yield pa.RecordBatch.from_arrays([batch.column("song_id"), ids, pa.array(out, pa.int32(), mask=out < 0), pa.array(best), pa.array(second)], names=["song_id", "unit", "pitch", "score", "runner_up"])
+            n = batch.num_rows
+            if not n:
+                continue
+            songs = batch.column("song_id").to_pylist()
+            start, end = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("start", "end"))
+            pitches, scores = _padded(batch.column("cands"), n)
+            first = np.flatnonzero([True, *(x != y for x, y in zip(songs[1:], songs[:-1], strict=True))])
+            size = np.diff(np.append(first, n))
+            before, ended = np.full(len(first), -1, np.int64), np.full(len(first), np.nan)
+            if songs[0] == now:
+                before[0], ended[0] = kept_pitch, kept_end
+            out, best, second = np.full(n, -1, np.int64), np.zeros(n), np.zeros(n)
+            longest = np.argsort(-size, kind="stable")
+            for k in range(int(size.max())):
+                going = longest[: np.searchsorted(-size[longest], -k)]  # the songs that have a unit of this number
+                row = first[going] + k
+                last = np.where(start[row] - ended[going] > gap, -1, before[going])
+                near = weight * np.exp(-np.abs(pitches[row] - last[:, None]) / scale)
+                total = scores[row] + np.where(last[:, None] >= 0, near, 0.0)
+                top = total.argmax(1)
+                found = total[np.arange(len(row)), top]
+                some = found > -np.inf
+                chosen = np.where(some, pitches[row, top], last)
+                total[np.arange(len(row)), top] = -np.inf
+                other = total.max(1)
+                best[row], second[row] = np.where(some, found, 0.0), np.where(some & (other > -np.inf), other, 0.0)
+                out[row] = before[going] = chosen
+                ended[going] = end[row]
+            now, kept_pitch, kept_end = songs[-1], int(before[-1]), float(ended[-1])
+            yield pa.RecordBatch.from_arrays([batch.column("song_id"), batch.column("unit"), pa.array(out, pa.int32(), mask=out < 0), pa.array(best), pa.array(second)], names=["song_id", "unit", "pitch", "score", "runner_up"])
 
     ordered = units.select("song_id", "unit", "start", "end", "cands").repartition("song_id").sortWithinPartitions("song_id", "start", "unit")
     return ordered.mapInArrow(run, NOTED)

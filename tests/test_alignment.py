@@ -302,3 +302,37 @@ def test_a_long_song_is_quick(spark):
     assert sequence.time_choice(o).count() == 800
     assert middle - began < 20 and time.time() - middle < 20  # a few seconds at most; the margin is for slow machines
     print("seconds of structure and of times:", round(middle - began, 2), round(time.time() - middle, 2))
+
+
+@pytest.mark.parametrize("most", [3, 10_000])
+def test_continuity_against_a_plain_walk(spark, most):
+    """Songs of any length over Arrow batches of any size, with gaps, ties, empty and missing candidates."""
+    r = random.Random(6)
+    songs = {}
+    for k in range(25):
+        at, units = 0.0, []
+        for u in range(r.choice([1, 2, 7, 30])):
+            at += r.choice([0.0, 0.2, 1.0, 1.5])
+            cands = r.choice([None, []]) if r.random() < 0.15 else [(p, r.choice([0.2, 0.5, 0.5, round(r.random(), 3)])) for p in r.sample(range(40, 60), r.randrange(1, 5))]
+            units.append((u, at, at + 0.3, cands))
+            at += 0.3
+        songs[f"s{k}"] = units
+    df = spark.createDataFrame([(s, *u) for s, us in songs.items() for u in us], "song_id string, unit long, start double, end double, cands array<struct<pitch:int,score:double>>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+    try:
+        got = {(x["song_id"], x["unit"]): x for x in sequence.note_continuity(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for s, us in songs.items():
+        before = ended = None
+        for u, start, end, cands in us:
+            if ended is not None and start - ended > 1.0:
+                before = None
+            scored = sorted((-(c + (0.05 * np.exp(-abs(p - before) / 4) if before is not None else 0)), p) for p, c in cands or [])
+            x = got[s, u]
+            if scored:
+                before = scored[0][1]
+                assert abs(x["score"] + scored[0][0]) < 1e-12 and abs(x["runner_up"] + (scored[1][0] if len(scored) > 1 else 0)) < 1e-12
+            assert x["pitch"] == before
+            ended = end
+    assert len(got) == sum(map(len, songs.values()))
