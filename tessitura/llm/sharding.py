@@ -102,23 +102,19 @@ def minimax_cuts(groups: DataFrame, shards: int = SHARDS) -> tuple[int, list[str
         capacity, bound = _smallest(segments, shards, False), _smallest(segments, shards, True)
         if capacity == bound or all(s.groups == 1 for s in segments):
             break
-        # Where the j-th cut can lie for any capacity between the two, and what stands there unopened.
+        # Where the j-th cut can lie for any capacity between the two, and what stands there unopened. The largest are
+        # opened first, whatever their depth: they hold the two capacities apart.
         early, late = _ends(segments, bound, shards, True), _ends(segments, capacity, shards, True)
-        slack = max(s.size for s in segments if s.groups > 1)
-        zones = [(j + 1) * (capacity - bound) + slack for j in range(shards)]
+        zones = [(j + 1) * (capacity - bound) for j in range(shards)]
         places, opened, at = [(a - z, b + z) for a, b, z in zip(early, [*late, *late[-1:] * len(early)], zones, strict=False)], [], 0
         for s in segments:
             if s.groups > 1 and any(at < b and at + s.size > a for a, b in places):
-                opened.append(s.prefix)
+                opened.append(s)
             at += s.size
-        if not opened:
-            opened = [s.prefix for s in segments if s.groups > 1]
-        if len(opened) > _MOST_OPENED:  # the others' turn comes, if it must, when the zones are smaller
-            largest = {s.prefix for s in sorted((s for s in segments if s.groups > 1), key=lambda s: -s.size)[:_MOST_OPENED]}
-            opened = [p for p in opened if p in largest] or opened[:_MOST_OPENED]
-        shallow = min(len(p) for p in opened)
-        chosen = {p for p in opened if len(p) == shallow}
-        segments = sorted([s for s in segments if s.prefix not in chosen] + _children(groups, shallow + 1, sorted(chosen)), key=lambda s: s.prefix)
+        opened = sorted(opened or [s for s in segments if s.groups > 1], key=lambda s: (-s.size, s.prefix))[:_MOST_OPENED]
+        depth = len(opened[0].prefix)
+        chosen = {s.prefix for s in opened if len(s.prefix) == depth}
+        segments = sorted([s for s in segments if s.prefix not in chosen] + _children(groups, depth + 1, sorted(chosen)), key=lambda s: s.prefix)
     return capacity, _balanced(segments, capacity, shards)
 
 
