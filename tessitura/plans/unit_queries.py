@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessitura.functions.shared import shared_folder
 from tessitura.operators import regions, review, series, words
+from tessitura.plans import consolidation
 from tessitura.plans.catalog import _EV, _events, _read, query
 from tessitura.sources import captions
 
@@ -131,3 +132,21 @@ def repair_regions(spark, sf_dir):
     s = d.select("song_id", "total", k.alias("k")).where("(song_id * 31 + k * 17) % 7 < 5")
     held = s.select("song_id", F.col("k").alias("block"), (F.col("k") * 5).alias("a"), F.least(F.col("k") * 5 + 5, "total").alias("b"))
     return regions.repair_regions(held, d)
+
+
+@query("""WITH n AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k FROM conversations),
+t AS (SELECT conv_id, k, array_to_string(list_transform([0, 1, 2, 3], lambda j: md5(conv_id || '/' || k || '/' || j)[1:8]), ' ') AS text FROM n)
+SELECT conv_id::VARCHAR AS song_id, k * 10.0::DOUBLE AS start, round(k * 10 + CASE WHEN k % 3 = 0 THEN 4.6 ELSE 5.0 END, 6)::DOUBLE AS "end", text, CASE k % 3 WHEN 0 THEN 'inserted' WHEN 1 THEN 'corrected' ELSE 'kept' END AS origin, NULL::VARCHAR AS problem FROM t""")
+def consolidated_songs(spark, sf_dir):
+    """The whole chain: conversations as songs, turns as lines of four words; of every three lines one has a caption in capitals, one as it is, and one has none but times that an engine found."""
+    n = _read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("song_id"), F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long").alias("k"))
+    word = lambda j: F.substring(F.md5(F.concat_ws("/", "song_id", F.col("k").cast("string"), j.cast("string"))), 1, 8)
+    lines = n.withColumn("ws", F.transform(F.sequence(F.lit(0), F.lit(3)), word))
+    lyric = lines.select("song_id", F.posexplode("ws").alias("j", "text"), "k").select("song_id", ((F.col("k") - 1) * 4 + F.col("j")).alias("pos"), F.col("k").cast("int").alias("line"), "text", F.col("text").alias("key"), "j", "k")
+    spelled = F.array_join("ws", " ")
+    caps = lines.where("k % 3 > 0").select("song_id", F.col("k").alias("idx"), (F.col("k") * 10.0).alias("start"), (F.col("k") * 10.0 + 5).alias("end"), F.when(F.col("k") % 3 == 1, F.upper(spelled)).otherwise(spelled).alias("text"), F.col("ws").alias("keys"))
+    at = F.col("k") * 10 + F.col("j") * 1.2
+    found = lyric.where("k % 3 = 0").select("song_id", "pos", "key", at.alias("start"), (at + 1).alias("end"), F.lit(0.9).alias("score"))
+    songs = lines.groupBy("song_id").agg(((F.max("k") + 1) * 10.0).alias("duration"))
+    out = consolidation.consolidate(caps, lyric.drop("j", "k"), found, songs)
+    return out["published"].select("song_id", "start", F.round("end", 6).alias("end"), "text", "origin", "problem")
