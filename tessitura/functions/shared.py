@@ -1,4 +1,4 @@
-"""The folder that the driver and all executors share."""
+"""The folder that the driver and all executors share, and the number of tasks that dear rows are dealt over."""
 
 from __future__ import annotations
 
@@ -25,3 +25,8 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     folder = shared_folder(df.sparkSession, kind)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def spread(spark: SparkSession) -> int:
+    """Tasks for work that is dear by row and small by bytes, which sizes of files would put into one: several for each core."""
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))

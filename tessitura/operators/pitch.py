@@ -107,32 +107,50 @@ def pitch_candidates(signals: DataFrame, key: str = "song_id", n_frames: int = 1
     """(key, i, t, rms, bins array<int>, probs array<double>): for each frame of each signal (key, samples, rate) the states that it may be in.
 
     A bin is a tenth of a semitone from ``low`` on; candidates that fall into one bin are added. Chunks are made as in
-    ``frames.chunks``; a task holds one chunk."""
+    ``frames.chunks``; a task holds one chunk, and looks at up to 256 windows at once, of one signal or of many short ones."""
     parts = chunks(signals, key, n_frames, frame, hop)
     kind, top = dict(signals.dtypes)[key], round((high - low) * PER_SEMITONE)
 
+    def analysed(windows, rate):
+        """(rms, bins, probs) of each window."""
+        least, most = _span(rate, windows.shape[1], low, high)
+        f, hertz, p = candidates(normalised_difference(windows, least, most), least, rate)
+        b = np.clip(np.rint((69 + 12 * np.log2(hertz / 440) - low) * PER_SEMITONE), 0, top).astype(np.int64)
+        both, index = np.unique(f * (top + 1) + b, return_inverse=True)
+        edges = np.searchsorted(both // (top + 1), np.arange(len(windows) + 1)).astype(np.int32)
+        lists = lambda v: pa.ListArray.from_arrays(pa.array(edges), v)
+        return pa.array(np.sqrt((windows**2).mean(1))), lists(pa.array((both % (top + 1)).astype(np.int32))), lists(pa.array(np.bincount(index, p, len(both))))
+
     def run(batches):
         for batch in batches:
+            some, held, of = [], 0, None  # windows of one rate, of as many signals as they come from
             for k in range(batch.num_rows):
                 rate, chunk, first, n, left = (batch.column(c)[k].as_py() for c in range(1, 6))
                 part = batch.column(6)[k].values.to_numpy(zero_copy_only=False).astype(float)
                 step, size = max(1, round(rate * hop)), max(8, round(rate * frame))
-                least, most = _span(rate, size, low, high)
+                if some and of != rate:
+                    yield out(batch, some, of)
+                    some, held = [], 0
+                of = rate
                 x = np.zeros((n - 1) * step + size)
                 x[left : left + len(part)] = part
-                windows = np.lib.stride_tricks.sliding_window_view(x, size)[::step][1 if chunk else 0 :]
-                rms, bins, probs = np.sqrt((windows**2).mean(1)), [], []
-                for at in range(0, len(windows), 256):
-                    some = windows[at : at + 256]
-                    f, hertz, p = candidates(normalised_difference(some, least, most), least, rate)
-                    b = np.clip(np.rint((69 + 12 * np.log2(hertz / 440) - low) * PER_SEMITONE), 0, top).astype(np.int64)
-                    both, index = np.unique(f * (top + 1) + b, return_inverse=True)
-                    sums = np.bincount(index, p, len(both))
-                    edges = np.searchsorted(both // (top + 1), np.arange(len(some) + 1))
-                    bins += [(both[a:z] % (top + 1)) for a, z in zip(edges, edges[1:], strict=False)]
-                    probs += [sums[a:z] for a, z in zip(edges, edges[1:], strict=False)]
-                i = np.arange(first + (1 if chunk else 0), first + n)
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[k].as_py()] * len(i), batch.column(0).type), pa.array(i), pa.array(i * step / rate), pa.array(rms), pa.array(bins, pa.list_(pa.int32())), pa.array(probs, pa.list_(pa.float64()))], [key, "i", "t", "rms", "bins", "probs"])
+                own = 1 if chunk else 0
+                windows = np.lib.stride_tricks.sliding_window_view(x, size)[::step][own:]
+                at = 0
+                while at < len(windows):
+                    taken = windows[at : at + 256 - held]
+                    some.append((k, first + own + at, step, taken))
+                    at, held = at + len(taken), held + len(taken)
+                    if held == 256:
+                        yield out(batch, some, of)
+                        some, held = [], 0
+            if some:
+                yield out(batch, some, of)
+
+    def out(batch, some, rate):
+        names = batch.column(0).take(pa.array(np.repeat([k for k, *_ in some], [len(w) for *_, w in some])))
+        i = np.concatenate([np.arange(begin, begin + len(w)) for _, begin, _, w in some])
+        return pa.RecordBatch.from_arrays([names, pa.array(i), pa.array(i * some[0][2] / rate), *analysed(np.concatenate([w for *_, w in some]), rate)], [key, "i", "t", "rms", "bins", "probs"])
 
     columns = parts.select(key, *[F.col(c).cast("int") for c in ("rate", "chunk", "first", "n", "left")], F.col("part").cast("array<double>"))
     return columns.mapInArrow(run, f"`{key}` {kind}, i long, t double, rms double, bins array<int>, probs array<double>")
@@ -157,63 +175,117 @@ def _sources(n: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
     return source, np.where(valid, moves(n, reach)[source, (reach - offsets)[None, :]], -np.inf)  # from j + o into j: the move by -o
 
 
-def voiced_path(bins: list, probs: list, n: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """(state, voiced) of the best path: ``n`` states with a voiced and an unvoiced form each, unvoiced at first. Ties go to voiced, then to the lowest state.
+#: Frames between those whose scores are kept on the way forward, and frames of a group of songs that are walked at once.
+STRETCH, TOGETHER = 256, 2048
+
 
-    Two rows of n scores go on from frame to frame; what is kept of each frame is where its states come from."""
+def voiced_paths(songs: list[tuple[list, list]], n: int, reach: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(state, voiced) of the best path of each song (bins, probs): ``n`` states with a voiced and an unvoiced form each, unvoiced at first. Ties go to voiced, then to the lowest state.
+
+    Songs go on together from frame to frame. Where a state comes from is found on the way back, for the states of the path
+    alone, from the scores of the frame before; those are kept for each ``STRETCH``th frame, and made anew in between."""
+    if not songs:
+        return []
     tiny = np.finfo(float).tiny
     source, into = _sources(n, reach)
+    weights = np.ascontiguousarray(into.T)
     stay, switch = np.log(1 - SWITCH), np.log(SWITCH)
-    rows = np.arange(n)
-    back = np.empty((len(bins), 2, n), np.int16)
-    crossed = np.empty((len(bins), 2, n), bool)
-    score = None
-    for t, (b, p) in enumerate(zip(bins, probs, strict=True)):
-        emit = np.full((2, n), np.log(tiny))
-        emit[0, b] = np.log(np.maximum(p, tiny))
-        emit[1] = np.log(max((1 - min(1.0, float(np.sum(p)))) / n, tiny))
-        if score is None:
-            score = np.stack([np.full(n, np.log(tiny)), np.full(n, -np.log(n))]) + emit
-            continue
-        best, place = np.empty((2, n)), np.empty((2, n), np.int64)
-        for v in range(2):
-            options = score[v][source] + into
-            k = options.argmax(1)
-            best[v], place[v] = options[rows, k], source[rows, k]
-        for v in range(2):
-            own, other = best[v] + stay, best[1 - v] + switch
-            cross = (other > own) if v == 0 else (other >= own)
-            crossed[t, v] = cross
-            back[t, v] = np.where(cross, place[1 - v], place[v])
-            emit[v] += np.where(cross, other, own)
-        score = emit
-    states, kinds = np.zeros(len(bins), np.int64), np.zeros(len(bins), np.int64)
-    if len(bins):
-        v = 0 if score[0].max() >= score[1].max() else 1
-        j = int(score[v].argmax())
-        for t in range(len(bins) - 1, -1, -1):
-            states[t], kinds[t] = j, v
-            if t:
-                j, v = int(back[t, v, j]), 1 - v if crossed[t, v, j] else v
-    return states, kinds == 0
+    order = sorted(range(len(songs)), key=lambda s: -len(songs[s][0]))  # the longest first: those under way are a prefix
+    lengths = np.array([len(songs[s][0]) for s in order])
+    last = int(lengths[0])
+
+    def emitted(t):
+        at = [songs[s] for s in order[: int((lengths > t).sum())]]
+        emit = np.full((len(at), 2, n), np.log(tiny))
+        for s, (bins, probs) in enumerate(at):
+            emit[s, 0, bins[t]] = np.log(np.maximum(probs[t], tiny))
+            emit[s, 1] = np.log(max((1 - min(1.0, float(np.sum(probs[t])))) / n, tiny))
+        return emit
+
+    def step(score, t):
+        emit = emitted(t)
+        wide = np.full((len(emit), 2, n + 2 * reach), -np.inf)
+        wide[:, :, reach : reach + n] = score[: len(emit)]
+        best = wide[:, :, :n] + weights[0]
+        option = np.empty_like(best)
+        for k in range(1, 2 * reach + 1):
+            np.add(wide[:, :, k : k + n], weights[k], out=option)
+            np.maximum(best, option, out=best)
+        emit += np.maximum(best + stay, best[:, ::-1] + switch)
+        return emit
+
+    score = np.stack([np.full(n, np.log(tiny)), np.full(n, -np.log(n))])
+    kept, scores = {}, []
+    for t in range(last):
+        score = step(score, t) if t else score + emitted(0)
+        if t % STRETCH == 0:
+            kept[t], scores = score, []
+        scores.append(score)
+    states, kinds = np.zeros((len(songs), last), np.int64), np.zeros((len(songs), last), np.int64)
+    j, v = np.zeros(len(songs), np.int64), np.zeros(len(songs), np.int64)
+    for t in range(last - 1, -1, -1):
+        if t % STRETCH == STRETCH - 1 and t < last - 1:
+            scores = [kept[t + 1 - STRETCH]]
+            for u in range(t + 2 - STRETCH, t + 1):
+                scores.append(step(scores[-1], u))
+        score = scores[t % STRETCH]
+        ends = np.flatnonzero(lengths == t + 1)
+        v[ends] = np.where(score[ends, 0].max(1) >= score[ends, 1].max(1), 0, 1)
+        j[ends] = score[ends, v[ends]].argmax(1)
+        rows = np.arange(len(score))
+        on = lengths[: len(score)] > t + 1
+        if on.any():  # the frame after, whose state is known, tells this one's
+            r, came, kind = rows[on], source[j[: len(score)][on]], v[: len(score)][on]
+            options = [score[r[:, None], k[:, None], came] + into[j[: len(score)][on]] for k in (kind, 1 - kind)]
+            place = [o.argmax(1) for o in options]
+            own, other = options[0].max(1) + stay, options[1].max(1) + switch
+            cross = np.where(kind == 0, other > own, other >= own)
+            j[r] = came[np.arange(len(r)), np.where(cross, place[1], place[0])]
+            v[r] = np.where(cross, 1 - kind, kind)
+        states[rows, t], kinds[rows, t] = j[: len(score)], v[: len(score)]
+    found = {s: (states[k, : lengths[k]], kinds[k, : lengths[k]] == 0) for k, s in enumerate(order)}
+    return [found[s] for s in range(len(songs))]
+
+
+def voiced_path(bins: list, probs: list, n: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """``voiced_paths`` of one song."""
+    return voiced_paths([(bins, probs)], n, reach)[0]
 
 
 def sung_pitch(signals: DataFrame, key: str = "song_id", n_frames: int = 1024, frame: float = FRAME / RATE, hop: float = HOP / RATE, low: float = LOWEST, high: float = HIGHEST) -> DataFrame:
     """(key, i, t, midi, voiced, prob, rms): the pitch of each frame (null where there is no voice), and how sure a voice is.
 
-    Candidates are made chunk by chunk; the path of a song is one group, which holds a few numbers a frame and two bytes a
-    state and frame."""
+    Candidates are made chunk by chunk. Songs then stand one after the other in a task, which holds those whose paths it
+    finds together: of each a few numbers a frame."""
     found = pitch_candidates(signals, key, n_frames, frame, hop, low, high)
     kind, n = dict(signals.dtypes)[key], round((high - low) * PER_SEMITONE) + 1
     reach = round(round(FASTEST * 12 * hop) * PER_SEMITONE / 2)
 
-    def run(names, table):
-        table = table.sort_by("i")
-        bins = [np.array(x, np.int64) for x in table.column("bins").to_pylist()]
-        probs = [np.array(x) for x in table.column("probs").to_pylist()]
-        states, voiced = voiced_path(bins, probs, n, reach)
+    def paths(table):
+        """The rows of whole songs, which stand together in their order."""
+        bins, probs = ([x.values.to_numpy(zero_copy_only=False) for x in table.column(c).combine_chunks()] for c in ("bins", "probs"))
+        names = table.column(key).to_pylist()
+        edges = [0, *(k for k in range(1, len(names)) if names[k] != names[k - 1]), len(names)]
+        got = voiced_paths([(bins[a:z], probs[a:z]) for a, z in zip(edges, edges[1:], strict=False)], n, reach)
+        states, voiced = (np.concatenate(x) for x in zip(*got, strict=True))
         midi = pa.array(low + states / PER_SEMITONE, mask=~voiced)
         prob = np.array([min(1.0, float(p.sum())) for p in probs])
-        return pa.table({key: pa.array([names[0].as_py()] * len(bins), table.schema.field(key).type), "i": table.column("i"), "t": table.column("t"), "midi": midi, "voiced": pa.array(voiced), "prob": pa.array(prob), "rms": table.column("rms")})
+        return pa.table({key: table.column(key), "i": table.column("i"), "t": table.column("t"), "midi": midi, "voiced": pa.array(voiced), "prob": pa.array(prob), "rms": table.column("rms")}).combine_chunks().to_batches()
 
-    return found.groupBy(key).applyInArrow(run, f"`{key}` {kind}, i long, t double, midi double, voiced boolean, prob double, rms double")
+    def run(batches):
+        held = []  # rows of whole songs, and of the last one
+        for batch in batches:
+            for at in range(0, batch.num_rows, TOGETHER):
+                held.append(batch.slice(at, TOGETHER))
+                if held[0].column(0)[0] == held[-1].column(0)[-1]:
+                    continue  # one song still
+                table = pa.Table.from_batches(held)
+                names = table.column(key).to_pylist()
+                end = next(k for k in range(len(names) - 1, 0, -1) if names[k - 1] != names[k])
+                yield from paths(table.slice(0, end))
+                held = table.slice(end).to_batches()
+        if held:
+            yield from paths(pa.Table.from_batches(held))
+
+    songs = found.repartition(key).sortWithinPartitions(key, "i")
+    return songs.mapInArrow(run, f"`{key}` {kind}, i long, t double, midi double, voiced boolean, prob double, rms double")

@@ -133,3 +133,25 @@ def test_frames_that_hold_no_period(spark):
     df = spark.createDataFrame([("a", [0.0] * 100, 100)], "song_id string, samples array<double>, rate int")
     with pytest.raises(Exception, match="no period"):
         pitch.sung_pitch(df).collect()
+
+
+def test_songs_together_are_as_songs_alone():
+    """Songs of other lengths do not change a path, nor do the places where scores are kept."""
+    r = np.random.default_rng(5)
+    songs = []
+    for length in (1, 40, 3, 300, 40):
+        bins = [np.sort(r.choice(61, r.integers(0, 5), replace=False)) for _ in range(length)]
+        songs.append((bins, [r.dirichlet(np.ones(len(b) + 1))[: len(b)] for b in bins]))
+    together = pitch.voiced_paths(songs, 61, 4)
+    for (states, voiced), song in zip(together, songs, strict=True):
+        alone = pitch.voiced_path(*song, 61, 4)
+        assert (states == alone[0]).all() and (voiced == alone[1]).all() and len(states) == len(song[0])
+
+
+def test_tones_are_made_in_many_tasks(spark):
+    """A small file of parts is one task; what each of them becomes is not."""
+    from tessitura.functions.shared import spread
+    from tessitura.plans import version_queries
+
+    tones = version_queries.tones(spark, "/root/testdata/sf0.001")
+    assert tones.rdd.getNumPartitions() == spread(spark) > 1
