@@ -9,6 +9,11 @@ there (the same song again is refused), overwriting begins a new list; earlier
 versions stay as history and ``restore`` makes one current again. A folder
 without ``_current`` is read as it is: all files with the right suffix.
 
+Files of a few hundred bytes take a block of the disk each, and a name each in the
+list that the driver holds. With the option ``packed`` a task stores its songs in
+zip archives instead, under the same names; the list then names the archives. A
+packed publication is written at once: it cannot be appended to.
+
 Files are reached through pyarrow's file systems (local, HDFS, S3, GCS by URI).
 """
 
@@ -17,6 +22,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
+import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import groupby
@@ -34,6 +40,8 @@ SUBTITLES = "path string, song_id string, ord int, idx int, start_ms long, end_m
 NOTES = "path string, song_id string, no int, tick_on long, tick_off long, pitch int"
 #: Bytes of files that one task reads, about.
 TASK_BYTES = 32 << 20
+#: Songs of an archive: what its plain form has room for.
+PACK_SONGS = 65_535
 _TIMES = re.compile(r"\s*(\d+):(\d{2}):(\d{2})[,.](\d{3})\s*-->\s*(\d+):(\d{2}):(\d{2})[,.](\d{3})", re.ASCII)
 
 
@@ -80,7 +88,8 @@ class _Reader(DataSourceReader):
         store, root = _store(self.path)
         current = _current(store, root)
         if current:
-            infos = [store.get_file_info(f"{root}/{f}") for f in sorted(_listed(store, root, current["version"]).values())]
+            names = [*_listed(store, root, current["version"]).values(), *_packs(store, root, current["version"])]
+            infos = [store.get_file_info(f"{root}/{f}") for f in sorted(names)]
             lost = [i.path for i in infos if i.type != fs.FileType.File]
             if lost:
                 raise FileNotFoundError(f"published files are gone: {lost[:3]}")
@@ -94,22 +103,35 @@ class _Reader(DataSourceReader):
     def partitions(self):
         out, some, size = [], [], 0
         for info in self._found():
+            if info.path.endswith(".zip"):  # many small songs: a task of its own
+                out.append(_Files([info.path]))
+                continue
             if some and size + info.size > TASK_BYTES:
                 out.append(_Files(some))
                 some, size = [], 0
             some.append(info.path)
             size += info.size
-        return [*out, _Files(some)]
+        return [*out, _Files(some)] if some or not out else out
 
     def read(self, partition) -> Iterator[tuple]:
         store, _ = _store(self.path)
-        for path in partition.paths:
-            with store.open_input_stream(path) as stream:
-                content = stream.read()
+        for path, content in self._contents(store, partition.paths):
             song = song_of(path, self.suffix)
             for row in self.parse(content):
                 yield (path, song, *row)
 
+    @staticmethod
+    def _contents(store, paths) -> Iterator[tuple[str, bytes]]:
+        for path in paths:
+            if path.endswith(".zip"):
+                with store.open_input_file(path) as file, zipfile.ZipFile(file) as pack:
+                    for info in pack.infolist():
+                        yield f"{path}/{info.filename}", pack.read(info)
+                continue
+            with store.open_input_stream(path) as stream:
+                content = stream.read()
+            yield path, content
+
 
 def subtitle_rows(content: bytes, strict: bool = False) -> Iterator[tuple]:
     """(ord, idx, start_ms, end_ms, raw, text, problem) of the blocks of a file, in the order of the file."""
@@ -163,25 +185,34 @@ def _listed(store, root: str, version: str) -> dict[str, str]:
         return json.loads(stream.read())["files"]
 
 
+def _packs(store, root: str, version: str) -> list[str]:
+    """The archives of a version, none if it was not packed."""
+    with store.open_input_stream(f"{root}/{version}/_files.json") as stream:
+        return json.loads(stream.read()).get("packs", [])
+
+
 @dataclass
 class _Written(WriterCommitMessage):
     files: dict[str, str]
+    packs: tuple[str, ...] = ()
 
 
 class _Writer(DataSourceWriter):
     """Writes a file for each song; rows of a song stand together in one task, in their order (``write_files`` sees to it)."""
 
-    def __init__(self, path: str, suffix: str, columns: tuple[str, ...], schema: StructType, overwrite: bool, render):
+    def __init__(self, path: str, suffix: str, columns: tuple[str, ...], schema: StructType, overwrite: bool, render, packed: bool = False):
         missing = [c for c in columns if c not in schema.names]
         if missing:
             raise ValueError(f"columns {missing} are needed")
-        self.path, self.suffix, self.columns, self.overwrite, self.render = path, suffix, columns, overwrite, render
+        self.path, self.suffix, self.columns, self.overwrite, self.render, self.packed = path, suffix, columns, overwrite, render, packed
         self.version = f"v-{uuid.uuid4().hex}"
 
     def write(self, rows) -> WriterCommitMessage:
         store, root = _store(self.path)
         context = TaskContext.get()
         folder = f"{self.version}/part-{context.partitionId()}-{context.taskAttemptId()}" if context else f"{self.version}/part"
+        if self.packed:
+            return self._write_packs(rows, store, root, folder)
         files: dict[str, str] = {}
         for song, own in groupby(rows, key=lambda r: r["song_id"]):
             if song is None or song in files:
@@ -195,9 +226,35 @@ class _Writer(DataSourceWriter):
             files[song] = name
         return _Written(files)
 
+    def _write_packs(self, rows, store, root: str, folder: str) -> WriterCommitMessage:
+        songs, packs, stream, pack = set(), [], None, None
+        try:
+            for song, own in groupby(rows, key=lambda r: r["song_id"]):
+                if song is None or song in songs:
+                    raise ValueError(f"the rows of song {song!r} do not stand together" if song is not None else "a row has no song_id")
+                if len(songs) % PACK_SONGS == 0:
+                    if pack:
+                        pack.close()
+                        stream.close()
+                    store.create_dir(f"{root}/{folder}")
+                    packs.append(f"{folder}/{len(packs):05d}.zip")
+                    stream = store.open_output_stream(f"{root}/{packs[-1]}")
+                    pack = zipfile.ZipFile(stream, "w")
+                pack.writestr(zipfile.ZipInfo(file_name(song, self.suffix)), b"".join(self.render(song, own)))
+                songs.add(song)
+            if pack:
+                pack.close()
+        finally:
+            if stream:
+                stream.close()
+        return _Written({}, tuple(packs))
+
     def commit(self, messages) -> None:
         store, root = _store(self.path)
         current = _current(store, root)
+        if current and not self.overwrite and (self.packed or _packs(store, root, current["version"])):
+            self.abort(messages)
+            raise ValueError("a packed publication is written at once: it can be overwritten, not appended to")
         files = {} if self.overwrite or not current else _listed(store, root, current["version"])
         for message in messages:
             twice = [s for s in message.files if s in files]
@@ -208,7 +265,7 @@ class _Writer(DataSourceWriter):
         store.create_dir(f"{root}/{self.version}")
         before = current["version"] if current else None
         with store.open_output_stream(f"{root}/{self.version}/_files.json") as out:
-            out.write(json.dumps({"before": before, "files": files}, ensure_ascii=False, sort_keys=True).encode())
+            out.write(json.dumps({"before": before, "files": files, "packs": [p for m in messages for p in m.packs]}, ensure_ascii=False, sort_keys=True).encode())
         _point(store, root, {"version": self.version, "before": before})
 
     def abort(self, messages) -> None:
@@ -267,6 +324,10 @@ def render_notes(song: str, rows) -> Iterator[bytes]:
 # --- the sources
 
 
+def _packed(options) -> bool:
+    return options.get("packed", "false").lower() == "true"
+
+
 class SubtitleFiles(DataSource):
     """Format ``subtitles``: .srt files. Option ``mode``: lenient (the default) or strict."""
 
@@ -284,7 +345,7 @@ class SubtitleFiles(DataSource):
         return _Reader(self.options["path"], ".srt", _Subtitles(mode == "strict"))
 
     def writer(self, schema, overwrite):
-        return _Writer(self.options["path"], ".srt", ("song_id", "start_ms", "end_ms", "text"), schema, overwrite, render_subtitles)
+        return _Writer(self.options["path"], ".srt", ("song_id", "start_ms", "end_ms", "text"), schema, overwrite, render_subtitles, _packed(self.options))
 
 
 @dataclass
@@ -309,7 +370,7 @@ class NoteFiles(DataSource):
         return _Reader(self.options["path"], ".mid", note_rows)
 
     def writer(self, schema, overwrite):
-        return _Writer(self.options["path"], ".mid", ("song_id", "tick_on", "tick_off", "pitch", "text"), schema, overwrite, render_notes)
+        return _Writer(self.options["path"], ".mid", ("song_id", "tick_on", "tick_off", "pitch", "text"), schema, overwrite, render_notes, _packed(self.options))
 
 
 def register(spark: SparkSession) -> None:
@@ -318,13 +379,13 @@ def register(spark: SparkSession) -> None:
         spark.dataSource.register(source)
 
 
-def write_files(df: DataFrame, kind: str, path: str, order: list[str], overwrite: bool = False) -> None:
-    """Publishes a file for each song of ``df`` (song_id and what the format needs), its rows in ``order``.
+def write_files(df: DataFrame, kind: str, path: str, order: list[str], overwrite: bool = False, packed: bool = False) -> None:
+    """Publishes a file for each song of ``df`` (song_id and what the format needs), its rows in ``order``; ``packed``: in archives.
 
     One shuffle brings the rows of a song together; a song's file is written by one task."""
     register(df.sparkSession)
     rows = df.withColumn("song_id", df["song_id"].cast("string")).repartition("song_id").sortWithinPartitions("song_id", *order)
-    rows.write.format(kind).mode("overwrite" if overwrite else "append").save(path)
+    rows.write.format(kind).option("packed", str(packed).lower()).mode("overwrite" if overwrite else "append").save(path)
 
 
 def read_files(spark: SparkSession, kind: str, path: str, **options: str) -> DataFrame:

@@ -140,3 +140,33 @@ def test_many_files_are_dealt_by_size(monkeypatch, tmp_path):
     monkeypatch.setattr(files, "TASK_BYTES", 250)
     parts = files._Reader(str(tmp_path), ".srt", None).partitions()
     assert [len(p.paths) for p in parts] == [2] * 5
+
+
+def test_packed_notes(spark, tmp_path, monkeypatch):
+    """Many songs take a few archives, whatever their number, and are read back as from files; no song is taken twice, nothing is appended."""
+    monkeypatch.setattr(files, "PACK_SONGS", 7)
+    rows = [(f"s/{s}", 100 * k, 100 * k + 60, 40 + k, f"sí{k}") for s in range(60) for k in range(5)]
+    df = spark.createDataFrame(rows, "song_id string, tick_on long, tick_off long, pitch int, text string")
+    files.write_files(df, "notefiles", str(tmp_path), ["tick_on"], packed=True)
+    assert len(list(tmp_path.rglob("*.zip"))) < 60 and not list(tmp_path.rglob("*.mid"))
+    got = files.read_files(spark, "notefiles", str(tmp_path))
+    assert sorted((r["song_id"], r["tick_on"], r["tick_off"], r["pitch"]) for r in got.collect()) == sorted(r[:4] for r in rows)
+    for packed in (True, False):
+        with pytest.raises(Exception, match="not appended to"):
+            files.write_files(df, "notefiles", str(tmp_path), ["tick_on"], packed=packed)
+    files.write_files(df.where("song_id < 's/3'"), "notefiles", str(tmp_path), ["tick_on"], overwrite=True)
+    assert files.read_files(spark, "notefiles", str(tmp_path)).select("song_id").distinct().count() == 23
+    files.restore(str(tmp_path))
+    assert files.read_files(spark, "notefiles", str(tmp_path)).count() == len(rows)
+
+
+def test_note_files_of_orders_are_packed(spark, monkeypatch):
+    """The disk that the query takes does not grow by a block for each order."""
+    from tessitura.plans import file_queries
+
+    seen = []
+    write = files.write_files
+    monkeypatch.setattr(file_queries.files, "write_files", lambda df, kind, path, *a, **k: (seen.append(path), write(df, kind, path, *a, **k)))
+    n = file_queries.note_files(spark, "/root/testdata/sf0.001").select("song_id").distinct().count()
+    found = [f for _, _, names in os.walk(seen[0].removeprefix("file://").removeprefix("file:")) for f in names]
+    assert 0 < len(found) < n
