@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,3 +59,57 @@ def test_walk_against_rules():
     none = stops.Walk()
     none.step(0.0, False, False, 0.01, 0.12, 0.25)
     assert none.result(0.01, 0.6, 0.08, 0.0) == (None, None, None, False)
+
+
+class _Handle:
+    """State and timers of one group, and how often they are asked."""
+
+    def __init__(self):
+        self.state, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.state
+
+    def update(self, value):
+        self.calls, self.state = self.calls + 1, value
+
+    def clear(self):
+        self.state = None
+
+    def registerTimer(self, ms):
+        self.calls += 1
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):
+        self.timers.discard(ms)
+
+
+class _At:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+    getExpiryTimeInMs = getCurrentWatermarkInMs
+
+
+def test_keys_share_calls_to_the_state():
+    """A batch of a thousand keys asks the state as often as one of one key; each key is told once, when it is idle for long enough."""
+    handle, walker = _Handle(), stops.Stops(1.0, 2.0, 4.0, 0.6, 0.0, 0.0, 10.0)
+    walker.init(handle)
+    keys = [str(k) for k in range(1000)]
+    for t in (0.0, 1.0):
+        batch = pd.DataFrame({"key": keys, "t": [t + k % 2 * 100 for k in range(1000)], "silent": False, "fits": True})
+        assert not list(walker.handleInputRows((0,), iter([batch]), _At(0)))
+    assert handle.calls <= 6 and len(handle.timers) == 1
+    for ms, told in ((11_001, 500), (111_001, 500)):
+        assert handle.timers and min(handle.timers) <= ms
+        handle.timers.clear()
+        rows = list(walker.handleExpiredTimer((0,), _At(ms), _At(ms)))
+        assert sum(map(len, rows)) == told and set(rows[0]["coverage"]) == {1.0}
+    assert handle.state is None and not handle.timers
