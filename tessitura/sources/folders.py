@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessitura.functions.shared import spread
 from tessitura.functions.text import is_audio
 from tessitura.sources.writers import subtitle_text
 
@@ -32,28 +33,41 @@ def roles(files: DataFrame, known: dict[str, tuple[str, str | None]] = ROLES) ->
 
     Deeper folders do not count: files lie in the folder of their song."""
     name = F.lower(F.regexp_extract("path", r"([^/\\]*)$", 1))
-    stem, suffix = F.regexp_replace(name, r"\.[^.]*$", ""), F.regexp_extract(name, r"(\.[^.]*)$", 1)
-    found = [F.when((stem == s) & (is_audio(name) if kind is None else suffix == kind), F.lit(role)) for role, (s, kind) in known.items()]
+    found = [F.when(here, F.lit(role)) for role, here in _has_role(name, known).items()]
     return files.withColumn("role", F.explode(F.array_compact(F.array(*found)))).select("song_id", "role", "path", "length")
 
 
+def _has_role(name: Column, known: dict[str, tuple[str, str | None]]) -> dict[str, Column]:
+    """For each role whether a file of this name, in lower case, has it."""
+    stem, suffix = F.regexp_replace(name, r"\.[^.]*$", ""), F.regexp_extract(name, r"(\.[^.]*)$", 1)
+    return {role: (stem == s) & (is_audio(name) if kind is None else suffix == kind) for role, (s, kind) in known.items()}
+
+
 def folder_state(songs: DataFrame, files: DataFrame, captions: DataFrame | None = None) -> DataFrame:
     """(song_id, operation, problem): for each song and operation what is in its way first, or null.
 
     songs: song_id; files: song_id, path, length; captions: song_id, idx, start_ms, end_ms of the subtitles that were read
     (for notes). Problems: missing_, several_ and empty_ with the role, reserved_file, no_captions, captions_overlap."""
-    by_role = roles(files).groupBy("song_id", "role").agg(F.count("*").alias("n"), F.min("length").alias("least"))
-    needed = songs.select("song_id", F.explode(F.array(*[F.struct(F.lit(op).alias("operation"), F.lit(k).alias("place"), F.lit(role).alias("role")) for op, rs in NEEDS.items() for k, role in enumerate(rs)])).alias("x")).select("song_id", "x.*")
-    told = needed.join(by_role, ["song_id", "role"], "left")
-    kind = F.when(F.col("n").isNull(), "missing_").when(F.col("n") > 1, "several_").when(F.col("least") == 0, "empty_")
-    first = told.groupBy("song_id", "operation").agg(F.min_by(F.concat(kind, "role"), F.when(kind.isNotNull(), F.col("place"))).alias("problem"))
+    tasks = spread(songs.sparkSession)  # given, since narrow rows that are put together by bytes are many to a task
     name = F.lower(F.regexp_extract("path", r"([^/\\]*)$", 1))
-    taken = files.select("song_id", F.explode(F.array_compact(F.array(*[F.when(name.isin(*names), F.lit(op)) for op, names in RESERVED.items() if names]))).alias("operation")).distinct().withColumn("_taken", F.lit(True))
-    state = first.join(taken, ["song_id", "operation"], "left").withColumn("problem", F.coalesce("problem", F.when(F.col("_taken"), F.lit("reserved_file")))).drop("_taken")
+    has = _has_role(name, ROLES)
+    marks = {f"_is_{role}": F.when(here, F.struct("length")) for role, here in has.items()}
+    taken = {f"_taken_{op}": name.isin(*names) for op, names in RESERVED.items() if names}
+    marked = files.select("song_id", *[c.alias(k) for k, c in (marks | taken).items()]).repartition(tasks, "song_id")
+    seen = marked.groupBy("song_id").agg(*[F.count(f"_is_{r}").alias(f"_n_{r}") for r in has], *[F.min(f"_is_{r}.length").alias(f"_least_{r}") for r in has], *[F.bool_or(k).alias(k) for k in taken])
+    told = songs.select("song_id").repartition(tasks, "song_id").distinct().join(seen, "song_id", "left")
+
+    def first(op):
+        """What is in the way of an operation first: a role that it needs, in their order, then a file that must not be there."""
+        kinds = [F.concat(F.when(F.coalesce(f"_n_{r}", F.lit(0)) == 0, "missing_").when(F.col(f"_n_{r}") > 1, "several_").when(F.col(f"_least_{r}") == 0, "empty_"), F.lit(r)) for r in NEEDS[op]]
+        reserved = [F.when(F.col(f"_taken_{op}"), F.lit("reserved_file"))] if RESERVED[op] else []
+        return F.struct(F.lit(op).alias("operation"), F.coalesce(*kinds, *reserved).alias("problem"))
+
+    state = told.select("song_id", F.explode(F.array(*map(first, NEEDS))).alias("x")).select("song_id", "x.*")
     if captions is None:
         return state
     w = W.partitionBy("song_id").orderBy("start_ms", "idx")
-    crossed = captions.withColumn("_over", F.col("start_ms") < F.lag("end_ms").over(w)).groupBy("song_id").agg(F.coalesce(F.bool_or("_over"), F.lit(False)).alias("_over"))
+    crossed = captions.repartition(tasks, "song_id").withColumn("_over", F.col("start_ms") < F.lag("end_ms").over(w)).groupBy("song_id").agg(F.coalesce(F.bool_or("_over"), F.lit(False)).alias("_over"))
     read = state.join(crossed, "song_id", "left")
     of_notes = F.when(F.col("_over").isNull(), "no_captions").when(F.col("_over"), "captions_overlap")
     return read.withColumn("problem", F.coalesce("problem", F.when(F.col("operation") == "notes", of_notes))).drop("_over")
