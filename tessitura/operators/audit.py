@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessitura.functions import text as T
+from tessitura.functions.shared import spread
 
 
 def _null_safe(a: str, b: str, names) -> object:
@@ -16,8 +17,9 @@ def _null_safe(a: str, b: str, names) -> object:
 
 
 def orphans(children: DataFrame, parents: DataFrame, on: list[str]) -> DataFrame:
-    """Children without a parent."""
-    return children.join(parents.select(*on).distinct(), on, "left_anti")
+    """Children without a parent. The number of tasks is given, and holds for both sides: put together by bytes, narrow rows are many to a sort."""
+    dealt = parents.select(*on).repartition(spread(children.sparkSession), *on)
+    return children.join(dealt.distinct(), on, "left_anti")
 
 
 def not_unique(rows: DataFrame, key: list[str]) -> DataFrame:

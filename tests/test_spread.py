@@ -8,7 +8,7 @@ from tessitura.plans.catalog import QUERIES
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["weighted_stability", "folder_states"])
+@pytest.mark.parametrize("name", ["weighted_stability", "folder_states", "orphan_rows"])
 def test_dealt_by_number(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert f"{spread(spark)}), REPARTITION_BY_NUM" in plan
