@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import struct
 import uuid
+from itertools import accumulate, chain
+from operator import itemgetter
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -26,21 +29,39 @@ def _number(n: int) -> bytes:
     return bytes(out[::-1])
 
 
+#: Quantities of up to two bytes, which nearly all are.
+_NUMBERS = [_number(n) for n in range(1 << 14)]
+_HEAD = b"\x00\xff\x51\x03" + round(1e6 / BEATS_PER_SECOND).to_bytes(3, "big") + bytes([0, 0xC0, PROGRAM])
+
+
 def _track(notes) -> bytes:
     """A file of one track: tempo, voice, and for each note its text, its begin and its end."""
-    events = [(0, 0, b"\xff\x51\x03" + round(1e6 / BEATS_PER_SECOND).to_bytes(3, "big")), (0, 1, bytes([0xC0, PROGRAM]))]
-    for n in notes:
-        text = (n["text"] or "").encode("utf-8")
-        events += [(n["tick_on"], 3, b"\xff\x05" + _number(len(text)) + text), (n["tick_on"], 4, bytes([0x90, n["pitch"], VELOCITY])), (n["tick_off"], 2, bytes([0x80, n["pitch"], 0]))]
-    body, at = b"", 0
-    for tick, _, data in sorted(events, key=lambda e: e[:2]):
-        body, at = body + _number(tick - at) + data, tick
-    body += b"\x00\xff\x2f\x00"
+    return _track_of([(n["tick_on"], n["tick_off"], n["pitch"], n["text"]) for n in notes])
+
+
+def _track_of(notes) -> bytes:
+    """``_track`` of tuples."""
+    number = lambda n: _NUMBERS[n] if 0 <= n < 1 << 14 else _number(n)
+    events = []
+    for on, off, pitch, text in notes:
+        text = (text or "").encode("utf-8")
+        events += [(on, 1, b"\xff\x05" + number(len(text)) + text), (on, 2, bytes((0x90, pitch, VELOCITY))), (off, 0, bytes((0x80, pitch, 0)))]
+    events.sort(key=itemgetter(0, 1))
+    parts, at = [_HEAD], 0
+    for tick, _, data in events:
+        parts += [number(tick - at), data]
+        at = tick
+    body = b"".join([*parts, b"\x00\xff\x2f\x00"])
     return b"MThd" + struct.pack(">IHHH", 6, 0, 1, TICKS_PER_BEAT) + b"MTrk" + struct.pack(">I", len(body)) + body
 
 
 def _events(data: bytes):
     """(tick_on, tick_off, pitch) of the notes of a file as ``_track`` writes it; ValueError if it is none."""
+    return [{"tick_on": on, "tick_off": off, "pitch": pitch} for on, off, pitch in _notes_of(data)]
+
+
+def _notes_of(data: bytes) -> list[tuple[int, int, int]]:
+    """``_events`` as tuples."""
     if data[:4] != b"MThd" or data[14:18] != b"MTrk" or struct.unpack(">I", data[18:22])[0] != len(data) - 22:
         raise ValueError("not a note file of one track")
     at, tick, open_, found = 22, 0, {}, []
@@ -73,10 +94,10 @@ def _events(data: bytes):
             if status == 0x90:
                 open_[pitch] = tick
             else:
-                found.append({"tick_on": open_.pop(pitch), "tick_off": tick, "pitch": pitch})
+                found.append((open_.pop(pitch), tick, pitch))
         else:
             raise ValueError(f"unknown event {status:#x}")
-    return sorted(found, key=lambda n: (n["tick_on"], n["tick_off"], n["pitch"]))
+    return sorted(found)
 
 
 def note_files(notes: DataFrame) -> DataFrame:
@@ -90,7 +111,10 @@ def note_files(notes: DataFrame) -> DataFrame:
 
     @F.arrow_udf("binary")
     def files(lists: pa.Array) -> pa.Array:
-        return pa.array([_track(x) for x in lists.to_pylist()], pa.binary())
+        flat = lists.flatten()
+        notes = list(zip(*(flat.field(c).to_pylist() for c in ("tick_on", "tick_off", "pitch", "text")), strict=True))
+        ends = pc.list_value_length(lists).to_numpy(zero_copy_only=False).cumsum().tolist()
+        return pa.array([_track_of(notes[a:z]) for a, z in zip([0, *ends], ends, strict=False)], pa.binary())
 
     one = F.struct("start", "ord", "tick_on", "tick_off", F.col("pitch").cast("int").alias("pitch"), "text")
     return checked.groupBy("song_id").agg(F.array_sort(F.collect_list(one)).alias("n")).select("song_id", files("n").alias("content"))
@@ -101,8 +125,10 @@ def read_notes(files: DataFrame) -> DataFrame:
 
     @F.arrow_udf("array<struct<tick_on:bigint,tick_off:bigint,pitch:int>>")
     def events(contents: pa.Array) -> pa.Array:
-        kind = pa.list_(pa.struct([("tick_on", pa.int64()), ("tick_off", pa.int64()), ("pitch", pa.int32())]))
-        return pa.array([_events(x) for x in contents.to_pylist()], kind)
+        found = [_notes_of(x) for x in contents.to_pylist()]
+        columns = [pa.array(c, k) for c, k in zip(zip(*chain.from_iterable(found), strict=True) if any(found) else ((), (), ()), (pa.int64(), pa.int64(), pa.int32()), strict=True)]
+        offsets = pa.array([0, *accumulate(map(len, found))], pa.int32())
+        return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(columns, ["tick_on", "tick_off", "pitch"]))
 
     return files.select("song_id", F.posexplode(events("content")).alias("no", "n")).select("song_id", (F.col("no") + 1).alias("no"), "n.*")
 

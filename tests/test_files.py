@@ -170,3 +170,14 @@ def test_note_files_of_orders_are_packed(spark, monkeypatch):
     n = file_queries.note_files(spark, "/root/testdata/sf0.001").select("song_id").distinct().count()
     found = [f for _, _, names in os.walk(seen[0].removeprefix("file://").removeprefix("file:")) for f in names]
     assert 0 < len(found) < n
+
+
+def test_long_tracks_are_written_in_proportion():
+    """A file of many notes is put together once, not copied for each event."""
+    from time import perf_counter
+
+    notes = [{"tick_on": 100 * k, "tick_off": 100 * k + 60, "pitch": 40 + k % 30, "text": "la"} for k in range(150_000)]
+    begin = perf_counter()
+    content = publication._track(notes)
+    assert perf_counter() - begin < 10
+    assert publication._events(content) == [{c: n[c] for c in ("tick_on", "tick_off", "pitch")} for n in notes]
