@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SURE = 0.30
-_GROUPS = "struct<done:array<struct<start:double,end:double,text:string,first:double,last:double,first_end:double,last_start:double>>,open:array<struct<word:string,start:double,end:double,score:double>>>"
+_GROUPS = "struct<done:array<struct<start:double,end:double,text:string,first:double,last:double,first_end:double,last_start:double>>,open:array<struct<word:string,start:double,end:double,score:double>>,chars:int>"
 
 
 def capped_groups(words: DataFrame, duration: float = float("inf"), pause: float = 0.65, longest: float = 6.0, most_chars: int = 72, slack: float = 0.100) -> DataFrame:
@@ -37,11 +37,12 @@ def capped_groups(words: DataFrame, duration: float = float("inf"), pause: float
     def step(acc, w):
         n = F.size(acc["open"])
         a, z = F.get(acc["open"], F.lit(0)), F.get(acc["open"], n - 1)
-        joined = F.char_length(F.array_join(F.transform(F.concat(acc["open"], F.array(w)), lambda x: x["word"]), " "))
+        own = F.char_length(w["word"])
+        joined = F.when(n > 0, acc["chars"] + 1 + own).otherwise(own)  # words joined by spaces, counted as they come
         new = (n > 0) & ((w["start"] - z["end"] >= pause) | (w["end"] - a["start"] > longest) | (joined > most_chars))
-        return F.when(new, F.struct(F.concat(acc["done"], F.array(closed(acc["open"]))).alias("done"), F.array(w).alias("open")).cast(_GROUPS)).otherwise(F.struct(acc["done"], F.concat(acc["open"], F.array(w)).alias("open")).cast(_GROUPS))
+        return F.when(new, F.struct(F.concat(acc["done"], F.array(closed(acc["open"]))).alias("done"), F.array(w).alias("open"), own.alias("chars")).cast(_GROUPS)).otherwise(F.struct(acc["done"], F.concat(acc["open"], F.array(w)).alias("open"), joined.alias("chars")).cast(_GROUPS))
 
-    empty = F.struct(F.array().alias("done"), F.array().alias("open")).cast(_GROUPS)
+    empty = F.struct(F.array().alias("done"), F.array().alias("open"), F.lit(0).alias("chars")).cast(_GROUPS)
     grouped = F.aggregate("ws", empty, step, lambda acc: F.concat(acc["done"], F.array(closed(acc["open"]))))
     none = F.lit(None).cast("double")
     kept = F.array(F.struct(F.col("seg_start").alias("start"), F.col("seg_end").alias("end"), F.col("seg_text").alias("text"), none.alias("first"), none.alias("last"), none.alias("first_end"), none.alias("last_start")))

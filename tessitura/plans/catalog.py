@@ -562,10 +562,11 @@ SELECT conv_id::VARCHAR AS song_id, turn AS seg, grp, min(a) / 1000.0::DOUBLE AS
 )
 def capped_groups(spark, sf_dir):
     """Turns of conversations as words with a new caption at pauses, long spans and long texts."""
-    w = _read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("song_id"), F.col("turn").alias("seg"), F.posexplode(T.tokens(F.col("text"))).alias("no", "word"))
+    turns = _read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("song_id"), F.col("turn").alias("seg"), T.tokens(F.col("text")).alias("ws"))
+    # The text of a turn is joined once, not for each of its words.
+    w = turns.withColumn("whole", F.array_join("ws", " ")).select("song_id", "seg", "whole", F.posexplode("ws").alias("no", "word"))
     at = (F.col("no") * 400 + F.floor(F.col("no") / 9) * 1000) / 1000
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "word")).over(W.partitionBy("song_id", "seg"))), lambda x: x["word"]), " ")
-    words = w.select("song_id", "seg", "no", "word", at.alias("start"), ((at * 1000 + 300) / 1000).alias("end"), F.lit(0.9).alias("score"), F.lit(0.0).alias("seg_start"), F.lit(1e6).alias("seg_end"), whole.alias("seg_text"))
+    words = w.select("song_id", "seg", "no", "word", at.alias("start"), ((at * 1000 + 300) / 1000).alias("end"), F.lit(0.9).alias("score"), F.lit(0.0).alias("seg_start"), F.lit(1e6).alias("seg_end"), F.col("whole").alias("seg_text"))
     return captioning.capped_groups(words, slack=0.0).select("song_id", "seg", "grp", "start", "end", "text")
 
 

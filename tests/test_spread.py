@@ -12,3 +12,9 @@ SF = "/root/testdata/sf0.001"
 def test_dealt_by_number(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert f"{spread(spark)}), REPARTITION_BY_NUM" in plan
+
+
+def test_texts_of_turns_are_joined_once(spark):
+    """capped_groups: no window sorts and joins the words of a turn for each of them."""
+    plan = QUERIES["capped_groups"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in "".join(line for line in plan.splitlines() if "Window" in line)
