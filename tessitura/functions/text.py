@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -236,3 +237,52 @@ def indel(a: str, b: str) -> float:
         hit = row & places.get(c, 0)
         row = (row + hit | row - hit) & full
     return 2 * (len(a) - row.bit_count()) / (len(a) + len(b))
+
+
+def run_ratios(texts: Column, parts: Column) -> Column:
+    """For each text in turn the Indel ratio of it and of the first, the first two, ... of ``parts`` joined by spaces; null parts are skipped, a null text has no ratio."""
+
+    @F.arrow_udf("array<double>")
+    def run(left: pa.Array, right: pa.Array) -> pa.Array:
+        return pa.array([indel_runs(tuple(a), b) for a, b in zip(left.to_pylist(), right.to_pylist(), strict=True)], pa.list_(pa.float64()))
+
+    return run(texts, parts)
+
+
+@lru_cache(maxsize=16)
+def _packed(texts: tuple[str | None, ...]) -> tuple[dict[str, int], int, list[tuple[int, int, int] | None]]:
+    """Places of each character in all texts as one bit vector, a bit apart: it takes the carry of a text, so none goes into the next."""
+    places: dict[str, int] = {}
+    full, at, spans = 0, 0, []
+    for t in texts:
+        if t is None:
+            spans.append(None)
+            continue
+        own: dict[str, int] = {}
+        for i, c in enumerate(t):
+            own[c] = own.get(c, 0) | 1 << i
+        for c, bits in own.items():
+            places[c] = places.get(c, 0) | bits << at
+        ones = (1 << len(t)) - 1
+        full |= ones << at
+        spans.append((at, ones, len(t)))
+        at += len(t) + 1
+    return places, full, spans
+
+
+def indel_runs(texts: tuple[str | None, ...], parts: list[str | None]) -> list[float | None]:
+    """``run_ratios`` of one row: a run begins with the run before it, so all of them take one pass over the longest."""
+    places, full, spans = _packed(texts)
+    row, length, any_part, told = full, 0, False, []
+    for part in parts:
+        if part is not None:
+            piece = f" {part}" if any_part else part
+            any_part, length = True, length + len(piece)
+            for c in piece:
+                mask = places.get(c)
+                if mask:
+                    hit = row & mask
+                    row = (row + hit | row ^ hit) & full
+        told.append((row, length))
+    ratio = lambda row, length, at, ones, n: 2 * (n - (row >> at & ones).bit_count()) / (n + length) if n + length else 1.0
+    return [None if span is None else ratio(row, length, *span) for span in spans for row, length in told]

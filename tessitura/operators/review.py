@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessitura.functions.text import indel_ratio
+from tessitura.functions.shared import spread
+from tessitura.functions.text import run_ratios
 from tessitura.operators import revisions
 
 
@@ -28,11 +29,19 @@ def caption_candidates(items: DataFrame, captions: DataFrame, key: list[str], mo
     """For each item its ``most`` best runs of one to three captions, by Indel similarity, then start.
 
     items: key, item, text; captions: key, ord, start, text. Both sides meet on the key."""
+    # A few bytes of text cost thousands of steps, so keys are dealt over a given number of tasks. Items of a key are packed, so one
+    # pass over three captions in a row tells how near each of the three runs is to every item of the pack.
+    tasks, own = spread(items.sparkSession), [c for c in items.columns if c not in key]
     w = W.partitionBy(*key).orderBy("start", "ord")
-    ahead = [F.col("text"), *(F.lead("text", k).over(w) for k in (1, 2))]
-    options = [F.when(ahead[k].isNotNull(), F.struct(F.lit(k + 1).alias("n"), F.concat_ws(" ", *ahead[: k + 1]).alias("gram"))) for k in range(3)]
-    grams = captions.withColumn("g", F.array_compact(F.array(*options))).select(*key, "ord", "start", F.explode("g").alias("g"))
-    scored = items.join(grams.select(*key, "ord", "start", "g.n", "g.gram"), key).withColumn("score", indel_ratio(F.lower("text"), F.lower("gram")))
+    runs = captions.repartition(tasks, *key).select(*key, "ord", "start", F.array("text", *(F.lead("text", k).over(w) for k in (1, 2))).alias("_parts"))
+    pack = F.floor((F.row_number().over(W.partitionBy(*key).orderBy("item")) - 1) / 16)
+    packs = items.repartition(tasks, *key).withColumn("_pack", pack).groupBy(*key, "_pack").agg(F.collect_list(F.struct(*own)).alias("_items"))
+    low = lambda texts: F.transform(texts, F.lower)
+    ratios = run_ratios(low(F.col("_items.text")), low(F.col("_parts")))
+    met = packs.join(runs, key).withColumn("_ratios", ratios).select(*key, "_items", "ord", "start", "_parts", F.posexplode("_ratios").alias("_at", "score"))
+    n = F.col("_at") % 3 + 1
+    found = met.where(F.get("_parts", n - 1).isNotNull()).withColumn("_item", F.get("_items", F.floor(F.col("_at") / 3).cast("int")))
+    scored = found.select(*key, *(F.col(f"_item.{c}") for c in own), "ord", "start", n.alias("n"), F.concat_ws(" ", F.slice("_parts", F.lit(1), n)).alias("gram"), "score")
     best = W.partitionBy(*key, "item").orderBy(F.desc("score"), "start", "ord", "n")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most)
 
