@@ -62,7 +62,7 @@ def fold(blocks: DataFrame, events: DataFrame) -> DataFrame:
     ``undo`` restores what stood before the last event that was not undone. An event that breaks a rule (unknown action or
     block, overlap, end not after start, nothing to undo) changes nothing. An association whose block goes is put off
     (``later``)."""
-    return revisions.latest(revisions.changes(blocks, events)).select("song_id", "kind", "id", "body")
+    return revisions.final_state(blocks, events)
 
 
 def split_events(blocks: DataFrame, splits: DataFrame) -> DataFrame:

@@ -10,12 +10,16 @@ from __future__ import annotations
 
 import json
 from bisect import bisect_left, insort
+from collections.abc import Callable, Iterator
+from itertools import batched, chain, groupby
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessitura.functions.shared import spread
+
 ACTIONS = ("associate", "correct", "insert", "discard", "later", "remove", "replace")
 CHANGES = "song_id string, n long, seq long, kind string, id long, body string"
 
@@ -108,29 +112,79 @@ def changes(blocks: DataFrame, events: DataFrame) -> DataFrame:
 
     blocks: song_id, block, start_ms, end_ms, text; events: song_id, seq, action, item, block, start_ms, end_ms, text.
     kind is block or decision (body: the new value as JSON, null: gone) or problem (id: the seq of an event that breaks a
-    rule and changes nothing). Blocks that stand before the log are changes with n 0 and without seq. A song is one
-    group; what is held of it is its state and the entries that its log changed."""
-
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        first = {int(r.block): {"start_ms": int(r.start_ms), "end_ms": int(r.end_ms), "text": r.text} for r in left.itertuples()}
-        session = Session(first)
-        rows = [(key[0], 0, None, "block", k, json.dumps(v, ensure_ascii=False)) for k, v in sorted(first.items())]
-        log = [{k: None if pd.isna(v) else v for k, v in r.items()} for r in right.sort_values("seq", kind="stable").to_dict("records")]
+    rule and changes nothing). Blocks that stand before the log are changes with n 0 and without seq. What is held of a
+    song is its state and what undoes its log."""
+
+    def told(song: str | None, session: Session, log: Iterator[dict]) -> Iterator[tuple]:
+        for k, v in sorted(session.entries["block"].items()):
+            yield song, 0, None, "block", k, _body(v)
         n = 0
         for e in log:
-            e.update({k: int(e[k]) for k in ("seq", "item", "block", "start_ms", "end_ms") if e.get(k) is not None})
             changed, rule = session.apply(e)
             if rule is not None:
                 n += 1
-                rows.append((key[0], n, e["seq"], "problem", e["seq"], json.dumps({"rule": rule})))
+                yield song, n, e["seq"], "problem", e["seq"], json.dumps({"rule": rule})
             for kind, k in changed:
                 n += 1
                 value = session.entries[kind].get(k)
-                rows.append((key[0], n, e["seq"], kind, k, None if value is None else json.dumps(value, ensure_ascii=False)))
-        out = pd.DataFrame(rows, columns=["song_id", "n", "seq", "kind", "id", "body"])
-        return out.astype({"seq": "Int64"})
+                yield song, n, e["seq"], kind, k, None if value is None else _body(value)
+
+    return _replayed(blocks, events, told, CHANGES)
+
+
+def final_state(blocks: DataFrame, events: DataFrame) -> DataFrame:
+    """(song_id, kind, id, body): ``latest`` of ``changes``, told at the end of each log: no change leaves the task that folds it."""
+
+    def told(song: str | None, session: Session, log: Iterator[dict]) -> Iterator[tuple]:
+        broken = {}
+        for e in log:
+            rule = session.apply(e)[1]
+            if rule is not None:
+                broken[e["seq"]] = json.dumps({"rule": rule})
+        for kind, entries in session.entries.items():
+            for k, value in entries.items():
+                yield song, kind, k, _body(value)
+        for seq, body in broken.items():
+            yield song, "problem", seq, body
+
+    return _replayed(blocks, events, told, "song_id string, kind string, id long, body string")
+
+
+def _body(value: dict) -> str:
+    return json.dumps(value, ensure_ascii=False)
+
+
+def _replayed(blocks: DataFrame, events: DataFrame, told: Callable[[str | None, Session, Iterator[dict]], Iterator[tuple]], schema: str) -> DataFrame:
+    """What ``told`` tells of each song, from a session with its blocks and its events in order.
+
+    Blocks and events stand sorted by song in one table, and a task goes through the rows of all its songs once: a song costs
+    its rows and no call of its own. Events are dear by row and small by bytes, so songs are dealt over a given number of tasks."""
+    none = F.lit(None)
+
+    def side(df: DataFrame, number: int, **given: Column) -> DataFrame:
+        take = lambda c, kind: given.get(c, F.col(c) if c in df.columns else none).cast(kind).alias(c)
+        return df.select(take("song_id", "string"), F.lit(number).alias("_side"), take("seq", "long"), take("action", "string"), *(take(c, "long") for c in ("item", "block", "start_ms", "end_ms")), take("text", "string"))
+
+    rows = side(blocks, 0, seq=none, action=none, item=none).unionByName(side(events, 1))
+    dealt = rows.repartition(spread(blocks.sparkSession), "song_id").sortWithinPartitions("song_id", "_side", F.col("seq").asc_nulls_last())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = (r for b in batches for r in b.to_pylist())
+        for part in batched((x for song, own in groupby(read, lambda r: r["song_id"]) for x in _told_of(song, own, told)), 8192):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), kinds, strict=True)], names)
+
+    names, kinds = zip(*((name, {"long": pa.int64(), "string": pa.string()}[kind]) for name, kind in map(str.split, schema.split(", "))), strict=True)
+    return dealt.mapInArrow(run, schema)
+
 
-    return blocks.groupBy("song_id").cogroup(events.groupBy("song_id")).applyInPandas(run, CHANGES)
+def _told_of(song: str | None, rows: Iterator[dict], told) -> Iterator[tuple]:
+    first, event = {}, None
+    for r in rows:
+        if r["_side"]:
+            event = r
+            break
+        first[r["block"]] = {"start_ms": r["start_ms"], "end_ms": r["end_ms"], "text": r["text"]}
+    yield from told(song, Session(first), chain([event] if event else [], rows))
 
 
 def latest(changed: DataFrame, more: list[str] | None = None) -> DataFrame:
