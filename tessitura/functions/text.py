@@ -30,6 +30,12 @@ def comparison_key(word: Column) -> Column:
     return F.regexp_replace(F.translate(F.replace(F.lower(word), F.lit("ß"), F.lit("ss")), ACCENTED, BASE), r"[^\p{L}\p{N}]", "")
 
 
+def comparison_keys(words: Column) -> Column:
+    """``comparison_key`` of each word of an array of tokens, all in one pass: they are joined by line feeds, which no token holds."""
+    joined = F.translate(F.replace(F.lower(F.array_join(words, "\n")), F.lit("ß"), F.lit("ss")), ACCENTED, BASE)
+    return F.when(F.size(words) > 0, F.split(F.regexp_replace(joined, r"[^\p{L}\p{N}\n]", ""), "\n")).when(words.isNotNull(), F.array().cast("array<string>"))
+
+
 def accented_key(word: Column) -> Column:
     """Lower case with accents, letters and digits only."""
     return F.regexp_replace(F.lower(word), r"[^\p{L}\p{N}]", "")

@@ -109,11 +109,15 @@ def token_index(spark, sf_dir):
   FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+(?:[''’\\-][\\p{{L}}\\p{{N}}]+)*')) AS w FROM documents)) GROUP BY key"""
 )
 def comparison_key(spark, sf_dir):
-    words = _read(spark, sf_dir, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("w"))
-    # Equal words of a document are counted first, and the key of each distinct word is made once.
-    counted = words.groupBy("doc_id", "w").agg(F.count("*").alias("c"))
-    keys = counted.select("w").distinct().withColumn("key", T.comparison_key(F.col("w")))
-    return counted.join(keys, "w").groupBy("key").agg(F.sum("c").alias("n"), F.count_distinct("doc_id").alias("docs"))
+    documents = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    keys = T.comparison_keys(T.tokens(F.col("text")))
+    ids = documents.where("doc_id is not null").groupBy("doc_id").count()
+    if ids.where("count > 1").isEmpty():
+        # Each document is one row: its distinct keys come after its words, so only counts of keys are shuffled.
+        words = documents.withColumn("keys", keys).select(F.size("keys").alias("m"), "doc_id", F.posexplode(F.concat("keys", F.array_distinct("keys"))).alias("i", "key"))
+        return words.groupBy("key").agg(F.count_if(F.col("i") < F.col("m")).alias("n"), F.count_if((F.col("i") >= F.col("m")) & F.col("doc_id").isNotNull()).alias("docs"))
+    counted = documents.select("doc_id", F.explode(keys).alias("key")).groupBy("doc_id", "key").agg(F.count("*").alias("c"))
+    return counted.groupBy("key").agg(F.sum("c").alias("n"), F.count("doc_id").alias("docs"))
 
 
 @query("SELECT sha256(text) AS digest, count(*)::BIGINT AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1")
