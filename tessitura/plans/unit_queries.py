@@ -100,7 +100,9 @@ def read_alignments(spark, sf_dir):
     n = _read(spark, sf_dir, "lineitem").withColumn("k", F.row_number().over(W.partitionBy("l_orderkey").orderBy(*_LN.split(", "))))
     unit = F.struct(F.concat(F.lit("u"), F.col("k").cast("string")).alias("id"), F.lit("w").alias("word_id"), F.lit(1).alias("block"), F.col("k").alias("no"), F.lit("la").alias("text"), F.col("l_quantity").alias("start"), (F.col("l_quantity") + 1).alias("end"), F.col("l_quantity").alias("core_start"), (F.col("l_quantity") + 1).alias("core_end"), F.col("l_discount").alias("score"), F.lit("model").alias("origin"), F.array(F.lit("old")).alias("warnings"))
     folder = shared_folder(spark, "alignments")
-    n.groupBy(F.col("l_orderkey").cast("string").alias("song_id")).agg(F.collect_list(unit).alias("units")).select(F.to_json(F.struct("song_id", "units")).alias("value")).write.text(folder)
+    # Units are collected where their places were told, and the names of their fields, which make up most of the text, are compressed.
+    songs = n.groupBy("l_orderkey").agg(F.collect_list(unit).alias("units")).select(F.col("l_orderkey").cast("string").alias("song_id"), "units")
+    songs.select(F.to_json(F.struct("song_id", "units")).alias("value")).write.text(folder, compression="lz4")
     # One object a line here; a file with one object over several lines is read by ``captions.read_alignment``.
     found = spark.read.schema(captions.UNITS_SCHEMA).json(folder).select("song_id", F.inline("units"))
     return captions.in_order(found).select("song_id", "id", "ord", "start", "end", "score")
